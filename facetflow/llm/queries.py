@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import ann, bpe, topk, url_filter
+from facetflow.llm import ann, bpe, mixing, token_counts, topk, url_filter
 from facetflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -19,6 +23,10 @@ def op7_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -27,5 +35,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op6_bit_sliced_top_k, op7_one_bit_neighbours, op9_url_filter, op10_byte_bpe)}
-ORACLES = {"op6_bit_sliced_top_k": topk.TOP_K_SQL, "op9_url_filter": url_filter.verdict_sql()}
+QUERIES = {f.__name__: f for f in (op4_temperature_mix, op6_bit_sliced_top_k, op7_one_bit_neighbours, op8_section_tokens, op9_url_filter, op10_byte_bpe)}
+ORACLES = {"op4_temperature_mix": mixing.MIX_SQL, "op6_bit_sliced_top_k": topk.TOP_K_SQL, "op9_url_filter": url_filter.verdict_sql()}
