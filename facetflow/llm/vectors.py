@@ -39,6 +39,8 @@ def matrix(column: pa.ListArray, length: int) -> np.ndarray:
 def packed(rows: DataFrame, size: int, length: int, pack: Callable[[np.ndarray, np.ndarray], bytes], slots: int) -> DataFrame:
     """Rows (id, v) as blocks (slot, block binary) of at most `size` rows, made by pack(ids, vectors)."""
 
+    step = min(size, 1024)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, held = [], [], 0
 
@@ -47,8 +49,8 @@ def packed(rows: DataFrame, size: int, length: int, pack: Callable[[np.ndarray,
             return pa.record_batch([pa.array([zlib.crc32(block) % slots], pa.int32()), pa.array([block], pa.binary())], names=["slot", "block"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 if held + part.num_rows > size:
                     yield out()
                     ids, vectors, held = [], [], 0
