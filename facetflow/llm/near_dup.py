@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,7 +91,7 @@ def aligned(a: list[int], b: list[int], similarity: float = SIMILARITY) -> float
     The alignment is restricted to the band that any alignment of that similarity stays in; a bit vector
     holds a row of it.
     """
-    least = -(-similarity * (len(a) + len(b)) // (1 + similarity))
+    least = math.ceil(similarity * (len(a) + len(b)) / (1 + similarity) - 1e-9)
     if least > min(len(a), len(b)) or sum((Counter(a) & Counter(b)).values()) < least:
         return 0.0
     head = 0
@@ -102,7 +103,7 @@ def aligned(a: list[int], b: list[int], similarity: float = SIMILARITY) -> float
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     matched = head + tail
     if x and y:
-        left, right = int(len(a) - least), int(len(b) - least)
+        left, right = len(a) - least, len(b) - least
         places: dict[int, int] = {}
         for j, s in enumerate(y):
             places[s] = places.get(s, 0) | 1 << j
@@ -115,7 +116,7 @@ def aligned(a: list[int], b: list[int], similarity: float = SIMILARITY) -> float
                 row = ((row + up) | (row - up)) & full
         matched += len(y) - row.bit_count()
     share = matched / (len(a) + len(b) - matched)
-    return share if share >= similarity else 0.0
+    return share if matched >= least else 0.0
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -156,7 +157,7 @@ def starred(members: DataFrame, last: bool) -> DataFrame:
 
 def paired(stars: DataFrame, similarity: float) -> DataFrame:
     """Pairs of hub and member of different classes, that sizes allow to be similar; each once."""
-    near = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")) & (F.col("class") != F.col("hub.class"))
+    near = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-9) & (F.col("class") != F.col("hub.class"))
     return stars.where(near).select(F.col("hub.text_key").alias("a"), F.col("hub.id").alias("a_id"), F.col("text_key").alias("b"), F.col("id").alias("b_id")).distinct()
 
 
