@@ -24,7 +24,7 @@ from facetflow.llm.common import U64, chunks, fold, mix64, posix_dir
 
 BEGIN, END = xxhash.xxh3_64_intdigest(b" begin"), xxhash.xxh3_64_intdigest(b" end")  # no token has a space
 SALTS = U64(8)  # a context's bigrams are dealt to so many parts at most
-PAIRS, PART_BYTES = 3_000_000, 8_000_000
+PAIRS, PART_BYTES = 3_000_000, 12_000_000
 WORD = np.dtype([("c", "u8"), ("cc", "u4"), ("n1", "u4"), ("n2", "u4"), ("n3", "u4"), ("total", "u8")])
 #: c: count; cc: distinct words before it; total: count as context; n1, n2, n3: its successors seen once, twice, more often.
 
@@ -65,7 +65,7 @@ def runs(keys: np.ndarray) -> np.ndarray:
 def binary_rows(parts: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """(part, kind, arrays) for columns sorted by part."""
     starts = runs(parts)
-    for a, b in zip(starts, [*starts[1:], len(parts)], strict=True):
+    for a, b in zip(starts, np.append(starts, len(parts))[1:], strict=True):
         yield int(parts[a]), kind, pickle.dumps([c[a:b] for c in columns], protocol=5)
 
 
@@ -218,8 +218,8 @@ class Model:
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Count all rows of docs (null texts as empty). Parts grow with the size of the input."""
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # Spark's own estimate, from the files
-    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), 100_000)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     folder = posix_dir(spark, "bigrams")
     pairs = docs.select(F.col(text).alias("text")).mapInArrow(pair_rows(parts), ROWS).repartitionById(parts, F.col("part"))
     by_word = pairs.mapInArrow(pair_files(folder, parts), ROWS).repartitionById(parts, F.col("part"))
@@ -238,7 +238,7 @@ def mapped(path: str) -> np.ndarray | None:
 
 def slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
     starts = runs(parts)
-    for a, b in zip(starts, [*starts[1:], len(parts)], strict=True):
+    for a, b in zip(starts, np.append(starts, len(parts))[1:], strict=True):
         yield int(parts[a]), int(a), int(b)
 
 
