@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetflow.operators.graph import components
+from facetflow.session import cut
 
 BY = ("mesh",)
 
@@ -105,12 +106,12 @@ def lifted(winners: DataFrame, votes: DataFrame, hooks: DataFrame, merge: str =
 
 
 def lift(pixels: DataFrame, vote: int = 16, pair: int = 32, resolution: int = 100, share: float = 0.125, floor: float = 16.0, merge: str = "last_view", by=BY) -> dict[str, DataFrame]:
-    """All steps, lazily but for the components: their tables by name."""
+    """All steps but the components: their tables by name. What several steps read is cut off, so it is made once."""
     v = votes(pixels, vote, by)
-    w = winners(v, by)
+    w = cut(winners(v, by))
     o = overlaps(w, by)
     r = ratios(o, pair, by)
-    left = without(r, promiscuous(degrees(o, r, by), 0.95, floor, by), by)
+    left = cut(without(r, promiscuous(degrees(o, r, by), 0.95, floor, by), by))
     t = ratio_threshold(left, resolution, share, by=by)
     return {"votes": v, "winners": w, "overlaps": o, "ratios": r, "left": left, "threshold": t, "edges": mutual(left, t, by)}
 

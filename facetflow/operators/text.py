@@ -22,11 +22,15 @@ def canonical(text: Column, keep: str = "") -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), "[ \\t\\n\\r\\f\\x0B]+", " "))
 
 
-@F.pandas_udf("string")
-def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def unescaped(text: Column) -> Column:
     """HTML entities resolved twice, white space collapsed and trimmed."""
-    for part in parts:
-        yield part.map(lambda t: None if t is None else " ".join(html.unescape(html.unescape(t)).split()))
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: None if t is None else " ".join(html.unescape(html.unescape(t)).split()))
+
+    return run(text)
 
 
 #: Contractions, letters, single digits, runs of other signs.
