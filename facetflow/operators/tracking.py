@@ -5,6 +5,8 @@ Rows carry the session columns `by`; windows and groups are within a session and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,20 +69,26 @@ def _assigned(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def assigned(pairs: DataFrame, least: float, by=BY) -> DataFrame:
-    """(by, frame, trk, det, iou): a one-to-one assignment of greatest total IoU, then those of at least `least`. One group a frame."""
-    keys = [*by, "frame"]
-    types = dict(pairs.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in (*keys, "trk", "det")) + ", iou double"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot_table(index="trk", columns="det", values="iou", aggfunc="max", fill_value=0.0)
-        at = [(a, b) for a, b in _assigned(1 - table.to_numpy()) if table.iat[a, b] >= least]
-        out = pd.DataFrame({"trk": [table.index[a] for a, _ in at], "det": [table.columns[b] for _, b in at], "iou": [float(table.iat[a, b]) for a, b in at]})
-        for k in reversed(keys):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
-
-    return pairs.groupBy(*keys).applyInPandas(run, schema)
+    """(by, frame, trk, det, iou): a one-to-one assignment of greatest total IoU, then those of at least `least`. A frame's pairs are one array."""
+
+    @F.pandas_udf("array<int>")
+    def chosen(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Places of the chosen pairs in a frame's array."""
+        for part in parts:
+            out = []
+            for rows in part:
+                tracks, dets = sorted({r["trk"] for r in rows}), sorted({r["det"] for r in rows})
+                cost, place = np.ones((len(tracks), len(dets))), {}
+                for i, r in enumerate(rows):
+                    a, b = tracks.index(r["trk"]), dets.index(r["det"])
+                    if 1 - r["iou"] <= cost[a, b]:
+                        cost[a, b], place[a, b] = 1 - r["iou"], i
+                out.append([place[at] for at in _assigned(cost) if at in place])
+            yield pd.Series(out)
+
+    rows = pairs.groupBy(*by, "frame").agg(F.array_sort(F.collect_list(F.struct("trk", "det", F.col("iou").cast("double").alias("iou")))).alias("rows"))
+    picked = rows.withColumn("at", F.explode(chosen("rows"))).withColumn("r", F.get("rows", F.col("at")))
+    return picked.select(*by, "frame", "r.trk", "r.det", "r.iou").where(F.col("iou") >= least)
 
 
 # --- counters and statuses of a track: frames (by, obj, frame, matched) ---------------------------
