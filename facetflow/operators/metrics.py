@@ -37,7 +37,7 @@ def agreement(labels: DataFrame, by=("mesh",)) -> DataFrame:
     n, all_pairs = F.col("n"), _pairs(F.col("n"))
     return (
         sums.join(by_est, list(by)).join(by_ref, list(by))
-        .select(*by, "n", (F.col("miss_e") / n).alias("hamming_rm"), (F.col("miss_r") / n).alias("hamming_rf"), ((F.col("miss_e") + F.col("miss_r")) / (2 * n)).alias("hamming"),
+        .select(*by, "n", (F.col("miss_r") / n).alias("hamming_rm"), (F.col("miss_e") / n).alias("hamming_rf"), ((F.col("miss_e") + F.col("miss_r")) / (2 * n)).alias("hamming"),
                 F.when(n > 1, (F.col("pe") + F.col("pr") - 2 * F.col("both")) / all_pairs).otherwise(F.lit(0.0)).alias("inverse_rand"),
                 (F.least("g1", "g2") / n).alias("gce"), (F.col("l") / n).alias("lce"))
     )

@@ -122,7 +122,7 @@ e AS (SELECT mesh, est, sum(n) AS e, max(n) AS m FROM c GROUP BY ALL), r AS (SEL
 t AS (SELECT mesh, sum(n) AS n FROM c GROUP BY ALL),
 x AS (SELECT c.mesh, sum(c.n * (c.n - 1) / 2) AS both_in, sum(c.n * (e.e - c.n) / e.e) AS g1, sum(c.n * (r.r - c.n) / r.r) AS g2, sum(least(c.n * (e.e - c.n) / e.e, c.n * (r.r - c.n) / r.r)) AS l
   FROM c JOIN e USING (mesh, est) JOIN r ON c.mesh = r.mesh AND c.ref = r.ref GROUP BY c.mesh),
-a AS (SELECT t.mesh, t.n::BIGINT AS n, (SELECT sum(e - m) FROM e WHERE e.mesh = t.mesh) / t.n AS hamming_rm, (SELECT sum(r - m) FROM r WHERE r.mesh = t.mesh) / t.n AS hamming_rf,
+a AS (SELECT t.mesh, t.n::BIGINT AS n, (SELECT sum(r - m) FROM r WHERE r.mesh = t.mesh) / t.n AS hamming_rm, (SELECT sum(e - m) FROM e WHERE e.mesh = t.mesh) / t.n AS hamming_rf,
   ((SELECT sum(e * (e - 1) / 2) FROM e WHERE e.mesh = t.mesh) + (SELECT sum(r * (r - 1) / 2) FROM r WHERE r.mesh = t.mesh) - 2 * both_in) / (t.n * (t.n - 1) / 2) AS inverse_rand, least(g1, g2) / t.n AS gce, l / t.n AS lce
   FROM t JOIN x ON t.mesh = x.mesh)"""
 AGREE_COLUMNS = "round(hamming_rm, 9) AS hamming_rm, round(hamming_rf, 9) AS hamming_rf, round((hamming_rm + hamming_rf) / 2, 9) AS hamming, round(inverse_rand, 9) AS inverse_rand, round(gce, 9) AS gce, round(lce, 9) AS lce"
