@@ -18,7 +18,9 @@ from facetflow.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 12, 2
+BITS, FAR = 1024, 143  # of MinHash bits that two texts may differ in: a pair of similarity 0.8 differs in more with a probability of 0.00001
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64))[:, None]
+FACTORS = mix64(np.arange(1, BITS + 1, dtype=np.uint64) << U64(20))[:, None] | U64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,27 +38,27 @@ def shingles(words: list[bytes]) -> np.ndarray:
         return mix64(out + U64(k))
 
 
-def numbered(h: np.ndarray) -> np.ndarray:
-    """Shingles labelled with the number of times that they came before."""
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """How many times each shingle came before."""
     order = np.argsort(h, kind="stable")
     own = h[order]
-    fresh = np.concatenate([[True], own[1:] != own[:-1]])
-    if fresh.all():
-        return h
-    starts = np.flatnonzero(fresh)
-    before = np.arange(len(h)) - np.repeat(starts, np.diff([*starts, len(h)]))
-    out = np.empty_like(h)
-    with np.errstate(over="ignore"):
-        out[order] = mix64(own + before.astype(U64) * U64(0xD6E8FEB86659FD93))
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    out = np.empty(len(h), dtype=np.int64)
+    out[order] = np.arange(len(h)) - np.repeat(starts, np.diff([*starts, len(h)]))
     return out
 
 
+def distinct(words: list[bytes]) -> np.ndarray:
+    """A text's shingles in order, of each the one labelled as its first occurrence. Similarity is over distinct runs: a line repeated hundreds of times makes no two texts alike."""
+    h = shingles(words)
+    return h[occurrences(h) == 0]
+
+
 def sketch(h: np.ndarray) -> np.ndarray:
-    """For each of SKETCHES orders the hash of the PICKED least labelled shingles, in text order, and the order's number."""
-    own = numbered(h)
-    rank = mix64(own[None, :] ^ SEEDS)
-    k = min(PICKED, len(own))
-    at = np.argpartition(rank, k - 1, axis=1)[:, :k] if k < len(own) else np.tile(np.arange(k), (SKETCHES, 1))
+    """For each of SKETCHES orders the hash of the PICKED least of distinct(), in text order, and the order's number."""
+    rank = mix64(h[None, :] ^ SEEDS)
+    k = min(PICKED, len(h))
+    at = np.argpartition(rank, k - 1, axis=1)[:, :k] if k < len(h) else np.tile(np.arange(k), (SKETCHES, 1))
     at.sort(axis=1)
     out = SEEDS[:, 0].copy()
     with np.errstate(over="ignore"):
@@ -65,8 +67,17 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bits(h: np.ndarray) -> np.ndarray:
+    """A bit for each of BITS orders, the last one of the least shingle, packed into longs."""
+    least = np.full(BITS, ~U64(0))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 1024):
+            least = np.minimum(least, (h[None, at : at + 1024] * FACTORS).min(axis=1))
+    return np.packbits((least & U64(1)).astype(np.uint8)).view(np.int64)
+
+
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of docs: id, text_key (digest of the lower-cased words; null without words), n (shingles), sketch."""
+    """One row per row of docs: id, text_key (digest of the lower-cased words; null without words), n (distinct shingles), sketch."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +87,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 keys, sizes, sketches = [], [], []
                 for value in part.column(1):
                     words = words_of(value.as_py())
-                    h = shingles(words) if words else None
+                    h = distinct(words) if words else None
                     keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                     sizes.append(len(h) if words else 0)
                     sketches.append(sketch(h) if words else [])
@@ -138,23 +149,34 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity:
                     words = words_of(a_text.as_py())
                     if xxhash.xxh3_128_digest(b" ".join(words)) != a:
                         continue
-                    last = (a, shingles(words).tolist())
+                    last = (a, distinct(words).tolist())
                 words = words_of(b_text.as_py())
                 if xxhash.xxh3_128_digest(b" ".join(words)) == b:
-                    for column, value in zip(rows, (a, b, aligned(last[1], shingles(words).tolist(), similarity) > 0), strict=True):
+                    for column, value in zip(rows, (a, b, aligned(last[1], distinct(words).tolist(), similarity) > 0), strict=True):
                         column.append(value)
             yield pa.record_batch([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.bool_())], names=["a", "b", "similar"])
 
     return joined.mapInArrow(run, "a binary, b binary, similar boolean").distinct()
 
 
-def starred(members: DataFrame, last: bool) -> DataFrame:
-    """members (bucket, text_key, id, n, class) of buckets of two texts and more, with their bucket's hub (its first or last text by id), how many they are and whether they are of one class."""
-    own = F.struct("id", "text_key", "n", "class")
-    hubs = members.groupBy("bucket").agg((F.max if last else F.min)(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1")
+def starred(members: DataFrame) -> DataFrame:
+    """members (bucket, text_key, id, n, class, weight) of buckets of two texts and more, with their bucket's hub, how many they are and whether they are of one class.
+
+    The hub is the text of the greatest weight (ties: the least id): the texts that share its buckets with it,
+    counted by bucket. The text that a group of copies stems from agrees with most of them, and so is the hub of all.
+    """
+    own = F.struct((-F.col("weight")).alias("less"), "id", "text_key", "n", "class")
+    hubs = members.groupBy("bucket").agg(F.min(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1")
     return members.join(hubs, "bucket")
 
 
+def weighed(members: DataFrame) -> DataFrame:
+    """members of buckets of two texts and more, with weight: the sizes of a text's buckets together."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(members.join(sizes, "bucket"))
+    return shared.drop("size").join(shared.groupBy("text_key").agg(F.sum("size").alias("weight")), "text_key")
+
+
 def paired(stars: DataFrame, similarity: float) -> DataFrame:
     """Pairs of hub and member of different classes, that sizes allow to be similar; each once."""
     near = (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-9) & (F.col("class") != F.col("hub.class"))
@@ -167,35 +189,67 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def classed(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """members with the class that the links found so far give."""
-    found = components(tested.where("similar"), "a", "b").withColumnRenamed("node", "text_key")
-    return members.drop("class").join(found, "text_key", "left").withColumn("class", F.coalesce("component", "text_key")).drop("component")
+    """members with the class that the links found so far give within two steps: the hub that took a text in, or that hub's own. Texts of one component may still differ here; they are then tested once more, no link is lost."""
+    parent = tested.where("similar").groupBy(F.col("b").alias("text_key")).agg(F.min("a").alias("parent"))
+    second = parent.select(F.col("text_key").alias("parent"), F.col("parent").alias("second"))
+    found = parent.join(second, "parent", "left").select("text_key", F.coalesce("second", "parent").alias("found"))
+    return members.drop("class").join(found, "text_key", "left").withColumn("class", F.coalesce("found", "text_key")).drop("found")
 
 
 def links(texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """Tested pairs (a, b, similar) of texts (text_key, id, n, sketch) that span the classes of similar ones.
 
-    Texts that share a sketch share a bucket. Each is aligned with its bucket's hub. Buckets of three and
-    more texts that this leaves in several classes are split by each of the other sketches, and again aligned with a hub. Where a
-    split bucket still has several classes, its texts of different classes are aligned with each other.
+    Texts that share a sketch share a bucket. Each is aligned with its bucket's hub. Buckets of three and more
+    texts that this leaves in several classes are split by each of the other sketches, and again aligned with a hub. Where a
+    bucket still has several classes, its texts of different classes are aligned with each other if their MinHash bits are close.
     """
-    members = cut(starred(texts.select("text_key", "id", "n", F.explode("sketch").alias("bucket"), F.col("text_key").alias("class")), last=False))
+    members = weighed(texts.select("text_key", "id", "n", F.explode("sketch").alias("bucket"), F.col("text_key").alias("class")))
+    members = cut(starred(members))
     tested = cut(verified(paired(members, similarity), docs, key, text, similarity))
-    mixed = classed(members.where("texts > 2").select("bucket", "text_key", "id", "n", "class"), tested)
-    open_ = cut(starred(mixed, last=False).where("not one").select("bucket", "text_key", "id", "n", "class"))
+    columns = ["bucket", "text_key", "id", "n", "class", "weight"]
+    open_ = cut(starred(classed(members.where("texts > 2").select(*columns), tested)).where("not one").select(*columns))
     if open_.isEmpty():
         return tested
-    split = open_.join(texts.select("text_key", "sketch"), "text_key").select("text_key", "id", "n", "class", F.col("bucket").alias("outer"), F.explode("sketch").alias("inner")).where(F.col("inner") != F.col("outer"))
-    split = cut(starred(split.withColumn("bucket", F.xxhash64("outer", "inner")).drop("outer", "inner"), last=True).where("not one"))
+    # the texts that their hub did not take in, each bucket split by the other sketches
+    split = open_.join(texts.select("text_key", "sketch"), "text_key").select("text_key", "id", "n", "class", F.col("bucket").alias("outer"), F.explode("sketch").alias("inner")).where(F.col("inner") > F.col("outer"))
+    split = cut(starred(weighed(split.withColumn("bucket", F.xxhash64("outer", "inner")).drop("outer", "inner"))).where("not one"))
     more = cut(verified(untested(paired(split, similarity), tested), docs, key, text, similarity))
     tested = cut(tested.unionByName(more))
-    mixed = classed(split.where("texts > 2").select("bucket", "text_key", "id", "n", "class"), tested)
-    open_ = cut(starred(mixed, last=True).where("not one").select("bucket", "text_key", "id", "n", "class"))
+    open_ = cut(starred(classed(open_, tested)).where("not one AND texts > 2").select(*columns))
     if open_.isEmpty():
         return tested
-    other = open_.select("bucket", F.struct("id", "text_key", "n", "class").alias("hub"))
-    rest = open_.join(other, "bucket").where(F.col("text_key") < F.col("hub.text_key"))
-    return cut(tested.unionByName(verified(untested(paired(rest, similarity), tested), docs, key, text, similarity)))
+    return cut(tested.unionByName(verified(untested(crossed(open_, texts, docs, key, text, similarity), tested), docs, key, text, similarity)))
+
+
+def with_bits(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(text_key, bits) of the texts of keys (text_key, id)."""
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(keys, "id").select("text_key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, signs = [], []
+            for own, value in zip(*batch.columns, strict=True):
+                words = words_of(value.as_py())
+                if xxhash.xxh3_128_digest(b" ".join(words)) == own.as_py():
+                    keys.append(own.as_py())
+                    signs.append(bits(distinct(words)))
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], names=["text_key", "bits"])
+
+    return texts.mapInArrow(run, "text_key binary, bits array<bigint>").dropDuplicates(["text_key"])
+
+
+def crossed(open_: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """Pairs of texts of different classes in a bucket that sizes and bits allow to be similar; each once, in its least common bucket."""
+    columns = ["text_key", "id", "n", "class", "sketch", "bits"]
+    signs = with_bits(open_.select("text_key", "id").distinct(), docs, key, text)
+    own = cut(open_.join(texts.select("text_key", "sketch").join(signs, "text_key"), "text_key").select("bucket", *columns))
+    other = own.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    near = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9
+    differing = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
+    met = (F.col("text_key") < F.col("text_key_b")) & (F.col("class") != F.col("class_b")) & near & (differing <= FAR)
+    once = F.array_min(F.array_intersect("sketch", "sketch_b")) == F.col("bucket_b")
+    pairs = own.join(other, (F.col("bucket") == F.col("bucket_b")) & met & once)
+    return pairs.select(F.col("text_key").alias("a"), F.col("id").alias("a_id"), F.col("text_key_b").alias("b"), F.col("id_b").alias("b_id")).distinct()
 
 
 def signed_classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -213,8 +267,8 @@ def signed_classes(docs: DataFrame, key: str, text: str, similarity: float) -> D
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: key, class_id, the least key of the row's class of copies and near copies.
 
-    Two texts are linked if, as runs of five lower-cased words (of shorter texts the whole), what aligns in order is at least
-    `similarity` of all runs of both. Classes are the components of the links. Candidates share at least one of 12 sketches of two
+    Two texts are linked if, as distinct runs of five lower-cased words (of shorter texts the whole) in order of first occurrence, what
+    aligns is at least `similarity` of all runs of both. Classes are the components of the links. Candidates share at least one of 12 sketches of two
     least shingles each in text order; a pair of similarity 0.8 shares none with a probability of about 5 in a million.
     Null texts and texts without words are classes of their own. Rows without a key are grouped with exact copies
     only. Repeated rows are copies. An empty table gives an empty result; other columns are ignored.

@@ -182,7 +182,7 @@ def test_near_duplicates_by_all_pairs(spark, docs):
         rows.append((10_000 + i, " ".join(copy)))
     passage = [r.choice(vocabulary) for _ in range(60)]
     rows += [(20_000 + i, " ".join(passage + [f"y{r.randrange(10**6)}" for _ in range(30)])) for i in range(60)]
-    parts = [near_dup.shingles(w).tolist() if (w := near_dup.words_of(t)) else [] for _, t in rows]
+    parts = [near_dup.distinct(w).tolist() if (w := near_dup.words_of(t)) else [] for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -283,7 +283,7 @@ def test_pipeline_is_its_stages(spark, small, docs, plain):
     rows = [r for r, name, share in verdicts if name != "und" and share >= 0.3]
     kept, parts = [], []
     for r in sorted(rows, key=lambda r: r["doc_id"]):
-        own = near_dup.shingles(near_dup.words_of(r["text"])).tolist()
+        own = near_dup.distinct(near_dup.words_of(r["text"])).tolist()
         if not any(near_dup.aligned(own, other) for other in parts):
             kept.append(r)
         parts.append(own)  # a chain of links leads to the first of its class
