@@ -56,7 +56,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, the words of all texts as indices, number of words of each text)."""
     seen: dict[str, int] = defaultdict(count().__next__)
-    found = [WORD.findall(t.lower()) for t in texts]
+    found = [[w for w in WORD.findall(t.lower()) if w.isalpha() or any(map(str.isalpha, w))] for t in texts]  # not bare fractions and the like
     sizes = np.array([len(w) for w in found], dtype=np.int64)
     ids = np.fromiter((seen[w] for words in found for w in words), dtype=np.int64, count=int(sizes.sum()))
     return list(seen), ids, sizes
