@@ -235,6 +235,7 @@ ORACLES = {
     "vector_functions": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({'sin' if i % 2 == 0 else 'cos'}(l_discount * 2 * pi() / pow(10000, {2 * (i // 2) / 4})), 6) AS w{i}" for i in range(4)) + ", round(ln(greatest(l_discount, 1e-3) / greatest(1 - l_discount, 1e-3)), 6) AS logit, round(least(greatest((l_discount * 100 - l_tax * 50 + 3 * l_quantity) / sqrt(3), -12), 12), 6) AS score FROM lineitem",
     "masked_mean": "SELECT l_suppkey, round(coalesce(avg(l_tax) FILTER (l_discount > 0.095::DOUBLE), 0), 6) AS mean FROM lineitem GROUP BY ALL",
     "canonical_text": "SELECT p_partkey, trim(regexp_replace(lower(translate(replace(' The_' || p_name || ' (No. 5)!,  ' || p_brand, '_', ' '), '!\"#$%&''()*+,-./:;<=>?@[\\]^`{|}~', '')), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM part",
+    "pretokenise": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '" + text.PIECES.replace("'", "''") + "')) AS token FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT token) AS kinds, max(token) AS last FROM t GROUP BY doc_id",
     "unescaped_text": "SELECT p_partkey, trim(regexp_replace('a & b  ' || p_name || ' <i> ', ' +', ' ', 'g')) AS text FROM part",
     "colour_text": "SELECT p_partkey, round(CASE p_size % 3 WHEN 0 THEN p_size / 255 WHEN 1 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS r, round(CASE p_size % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.25 ELSE 1 END, 6)::DOUBLE AS g, 1.0::DOUBLE AS b FROM part",
     "source_options": "SELECT p_partkey, 'fast_' || p_size || ',slow' AS found FROM part",

@@ -246,6 +246,11 @@ ORACLES = {
     "holes_and_sprinkles": SPRINKLE_SQL,
     "mask_boundary": BOUNDARY_SQL + " SELECT * FROM bd", "boundary_f": F_SQL,
     "distance_transform": DISTANCE_SQL + " SELECT img, mask, y, x, round(d, 6) AS d FROM dt",
+    "error_prompts": GRID_SQL + """, e AS (SELECT * FROM ms WHERE mask <= 3), r AS (SELECT img, (mask - 1)::INT AS mask, y, x FROM ms WHERE mask >= 2),
+d AS (SELECT *, 1 AS pos FROM (SELECT * FROM r EXCEPT SELECT * FROM e) UNION ALL SELECT *, 0 FROM (SELECT * FROM e EXCEPT SELECT * FROM r)),
+o AS (SELECT m4.*, p.pos FROM m4, (VALUES (0), (1)) p(pos) WHERE mask <= 3 AND NOT EXISTS (SELECT 1 FROM d WHERE d.img = m4.img AND d.mask = m4.mask AND d.y = m4.y AND d.x = m4.x AND d.pos = p.pos)),
+q AS (SELECT d.img, d.mask, d.y, d.x, d.pos, min((d.y - o.y) ** 2 + (d.x - o.x) ** 2) AS dd FROM d JOIN o USING (img, mask, pos) GROUP BY ALL)
+SELECT img, mask, y, x, pos = 1 AS positive FROM (SELECT *, row_number() OVER (PARTITION BY img, mask ORDER BY dd DESC, pos DESC, y, x) AS r FROM q) WHERE r = 1""",
     "inside_samples": GRID_SQL + f", s AS (SELECT *, row_number() OVER (PARTITION BY img, mask ORDER BY md5('3|' || img || '|' || mask || '|' || y || '|' || x)) AS r FROM ms) SELECT img, mask, (row_number() OVER (PARTITION BY img, mask ORDER BY x, y) - 1)::INT AS k, round(x / {W - 1}, 6) AS sx, round(y / {H - 1}, 6) AS sy FROM s WHERE r <= 5",
     "best_candidate": GRID_SQL + ", p AS (SELECT a.img, b.mask, count(*) AS n FROM ms a JOIN ms b ON a.img = b.img AND a.y = b.y AND a.x = b.x AND a.mask = 1 AND b.mask > 1 GROUP BY ALL), q AS (SELECT p.img, p.mask, n / (x.area + y.area - n) AS iou FROM p JOIN ar x ON x.img = p.img AND x.mask = 1 JOIN ar y ON y.img = p.img AND y.mask = p.mask) SELECT img, mask FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY iou DESC, mask) AS r FROM q) WHERE r = 1",
     "point_grid": "SELECT round((i + 0.5) / 8, 6)::DOUBLE AS x, round((j + 0.5) / 8, 6)::DOUBLE AS y FROM range(8) a(i), range(8) b(j)",

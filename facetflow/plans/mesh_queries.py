@@ -321,6 +321,7 @@ ORACLES = {
     "label_energy": ENERGY_SQL,
     "cut_graph": CUT_SQL,
     "closest_weight": WEIGHT_SQL + " SELECT mesh, arg_min(weight, abs(labels - 21) * 1000 + weight) AS weight FROM w GROUP BY mesh",
+    "crawled_weight": WEIGHT_SQL + " SELECT mesh, min(weight) AS weight FROM w WHERE weight >= 6 AND abs(labels - 21) <= 1 GROUP BY mesh",
     "triangulate": "WITH p AS (SELECT i::INT AS f, i % 5 + 2 AS n FROM range(30) t(i)), t AS (SELECT f, k FROM p, range(4) r(k) WHERE k < n - 2) SELECT 0 AS mesh, row_number() OVER (ORDER BY f, k) - 1 AS tri, f, '0,' || (k + 1) || ',' || (k + 2) AS v FROM t",
     "remapped_pixels": f"SELECT (l_orderkey % {MESHES})::INT AS mesh, l_orderkey AS px, l_linenumber AS py, (CASE WHEN l_partkey % 170 = 0 THEN -1 ELSE least(l_partkey % 170 - 1, {2 * N * M - 1}) // 2 END)::INT AS f FROM lineitem",
     "polygon_areas": POLYGON_SQL,
