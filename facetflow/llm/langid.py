@@ -180,7 +180,7 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(1).to_pylist(), 8_000_000):
+            for at, texts in chunks(batch.column(1).to_pylist()):
                 names, shares = shared.value.verdicts(texts)
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[key, "lang_pred", "score"])
 
@@ -193,7 +193,7 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(1).to_pylist(), 8_000_000):
+            for at, texts in chunks(batch.column(1).to_pylist()):
                 rows: list[tuple[int, int, str, int, int]] = []
                 for i, label in enumerate(shared.value.read(texts)):
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [len(label)]]) if len(label) else []
@@ -210,7 +210,7 @@ def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(column).to_pylist(), 8_000_000):
+            for at, texts in chunks(batch.column(column).to_pylist()):
                 names, shares = shared.value.verdicts(texts)
                 yield batch.slice(at, len(texts)).filter(pa.array([n != "und" and s >= least for n, s in zip(names, shares, strict=True)], pa.bool_()))
 
