@@ -66,7 +66,8 @@ def packed(rows: DataFrame, size: int, length: int, pack: Callable[[np.ndarray,
 def best(index: DataFrame, queries: DataFrame, slots: int, k: int, search: Callable[[bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of search(index block, query block) -> (query ids, vec ids, scores) over all pairs of blocks."""
     dealt = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).withColumnRenamed("block", "query_block")
-    pairs = index.withColumnRenamed("block", "index_block").join(dealt, "slot")
+    # few bytes but much work: the number of partitions is given, so that AQE doesn't put the slots together
+    pairs = index.withColumnRenamed("block", "index_block").repartition(2 * slots, "slot").join(dealt.repartition(2 * slots, "slot"), "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
