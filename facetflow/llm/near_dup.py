@@ -18,9 +18,8 @@ from facetflow.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 12, 2
-BITS, FAR = 1024, 143  # of MinHash bits that two texts may differ in: a pair of similarity 0.8 differs in more with a probability of 0.00001
+SAMPLED, COMMON = 8, 1 << 17  # a share of the texts, and a number of shingles, that the order of least_first() is made from
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64))[:, None]
-FACTORS = mix64(np.arange(1, BITS + 1, dtype=np.uint64) << U64(20))[:, None] | U64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,15 +66,6 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bits(h: np.ndarray) -> np.ndarray:
-    """A bit for each of BITS orders, the last one of the least shingle, packed into longs."""
-    least = np.full(BITS, ~U64(0))
-    with np.errstate(over="ignore"):
-        for at in range(0, len(h), 1024):
-            least = np.minimum(least, (h[None, at : at + 1024] * FACTORS).min(axis=1))
-    return np.packbits((least & U64(1)).astype(np.uint8)).view(np.int64)
-
-
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row of docs: id, text_key (digest of the lower-cased words; null without words), n (distinct shingles), sketch."""
     kind = docs.schema[key].dataType.simpleString()
@@ -201,7 +191,7 @@ def links(texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: fl
 
     Texts that share a sketch share a bucket. Each is aligned with its bucket's hub. Buckets of three and more
     texts that this leaves in several classes are split by each of the other sketches, and again aligned with a hub. Where a
-    bucket still has several classes, its texts of different classes are aligned with each other if their MinHash bits are close.
+    bucket still has several classes, its texts of different classes are aligned with each other if they share one of the shingles that similar texts must share.
     """
     members = weighed(texts.select("text_key", "id", "n", F.explode("sketch").alias("bucket"), F.col("text_key").alias("class")))
     members = cut(starred(members))
@@ -218,37 +208,75 @@ def links(texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: fl
     open_ = cut(starred(classed(open_, tested)).where("not one AND texts > 2").select(*columns))
     if open_.isEmpty():
         return tested
-    return cut(tested.unionByName(verified(untested(crossed(open_, texts, docs, key, text, similarity), tested), docs, key, text, similarity)))
+    return cut(tested.unionByName(verified(untested(crossed(open_, docs, key, text, similarity), tested), docs, key, text, similarity)))
 
 
-def with_bits(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(text_key, bits) of the texts of keys (text_key, id)."""
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(keys, "id").select("text_key", "text")
+def with_shingles(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """keys (text_key, id, n, class) with the distinct shingles of their texts."""
+    names = ["text_key", "id", "n", "class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, signs = [], []
-            for own, value in zip(*batch.columns, strict=True):
+            at, found = [], []
+            for i, (own, value) in enumerate(zip(batch.column("text_key"), batch.column("text"), strict=True)):
                 words = words_of(value.as_py())
                 if xxhash.xxh3_128_digest(b" ".join(words)) == own.as_py():
-                    keys.append(own.as_py())
-                    signs.append(bits(distinct(words)))
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], names=["text_key", "bits"])
-
-    return texts.mapInArrow(run, "text_key binary, bits array<bigint>").dropDuplicates(["text_key"])
-
-
-def crossed(open_: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """Pairs of texts of different classes in a bucket that sizes and bits allow to be similar; each once, in its least common bucket."""
-    columns = ["text_key", "id", "n", "class", "sketch", "bits"]
-    signs = with_bits(open_.select("text_key", "id").distinct(), docs, key, text)
-    own = cut(open_.join(texts.select("text_key", "sketch").join(signs, "text_key"), "text_key").select("bucket", *columns))
-    other = own.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    near = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9
-    differing = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
-    met = (F.col("text_key") < F.col("text_key_b")) & (F.col("class") != F.col("class_b")) & near & (differing <= FAR)
-    once = F.array_min(F.array_intersect("sketch", "sketch_b")) == F.col("bucket_b")
-    pairs = own.join(other, (F.col("bucket") == F.col("bucket_b")) & met & once)
+                    at.append(i)
+                    found.append(distinct(words).view(np.int64))
+            rows = batch.select(names).take(pa.array(at, pa.int64()))
+            yield pa.record_batch([*rows.columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, "shingles"])
+
+    kind = keys.schema["id"].dataType.simpleString()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(keys, "id").select(*names, "text")
+    return texts.mapInArrow(run, f"text_key binary, id {kind}, n bigint, class binary, shingles array<bigint>").dropDuplicates(["text_key"])
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several of a sample of texts (text_key, shingles), the COMMON most frequent ones at most, by value; and their places, the least frequent first."""
+    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
+    counts = sample.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON)
+    found = np.array([r["shingle"] for r in counts.select("shingle").collect()], dtype=np.int64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
+
+def least_first(h: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a text's distinct shingles that each similar text has one of them among its own: all but the share they must have in common, and one more.
+
+    The order, in which these are the first, is the same for all texts: what is not in `common` by hash, then `common` by its
+    places. It decides how many pairs meet and not whether similar ones do.
+    """
+    h, place = h.view(np.int64), np.zeros(len(h), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        place = np.where(common[at] == h, places[at], 0)
+    return h[np.lexsort((h, place))[: len(h) - math.ceil(similarity * len(h) - 1e-8) + 1]]
+
+
+def firsts(texts: DataFrame, similarity: float) -> DataFrame:
+    """texts (text_key, id, n, class, shingles), a row for each shingle of least_first(), with its place."""
+    common, places = common_shingles(texts)
+    names = ["text_key", "id", "n", "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [least_first(np.array(x.as_py(), dtype=np.int64), common, places, similarity) for x in batch.column("shingles")]
+            yield pa.record_batch([*batch.select(names).columns, pa.array(first, pa.list_(pa.int64()))], names=[*names, "first"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select(*names, "shingles").mapInArrow(run, f"text_key binary, id {kind}, n bigint, class binary, first array<bigint>").select(*names, F.posexplode("first").alias("place", "shingle"))
+
+
+def crossed(open_: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """Pairs of texts of open_ of different classes that sizes, and the places of a shared shingle in least_first(), allow to be similar; each once. No similar pair is left out."""
+    columns = ["text_key", "id", "n", "class", "place"]
+    own = firsts(cut(with_shingles(open_.select("text_key", "id", "n", "class").distinct(), docs, key, text)), similarity)
+    several = own.groupBy("shingle").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("shingle")
+    own = cut(own.join(several, "shingle"))
+    other = own.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns])
+    near = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-8
+    enough = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= similarity * (F.col("n") + F.col("n_b")) / (1 + similarity) - 1e-8
+    pairs = own.join(other, "shingle").where((F.col("text_key") < F.col("text_key_b")) & (F.col("class") != F.col("class_b")) & near & enough)
     return pairs.select(F.col("text_key").alias("a"), F.col("id").alias("a_id"), F.col("text_key_b").alias("b"), F.col("id_b").alias("b_id")).distinct()
 
 
