@@ -68,8 +68,8 @@ def merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
-def byte_pairs(merges: list[tuple[str, str]], length: int = 77):
-    """Pandas UDF: an array of pre-tokens -> ids of their byte pairs between a start and an end id, cut to `length` with the end kept, padded with 0.
+def byte_pairs(merges: list[tuple[str, str]], length: int | None = 77):
+    """Pandas UDF: an array of pre-tokens -> ids of their byte pairs between a start and an end id, cut to `length` with the end kept, padded with 0; whole with None.
 
     Ids: the byte letters, the same at a word's end, the merges, start, end. The merges are a parameter.
     """
@@ -85,8 +85,10 @@ def byte_pairs(merges: list[tuple[str, str]], length: int = 77):
             rows = []
             for words in part:
                 own = [start, *[i for w in (words if words is not None else ()) for i in known(w)], end]
-                own = own if len(own) <= length else [*own[: length - 1], end]
-                rows.append(own + [0] * (length - len(own)))
+                if length is not None:
+                    own = own if len(own) <= length else [*own[: length - 1], end]
+                    own += [0] * (length - len(own))
+                rows.append(own)
             yield pd.Series(rows)
 
     return encode
