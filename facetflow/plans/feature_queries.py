@@ -83,14 +83,16 @@ def cosine_top_k(spark, sf_dir):
 COSINE_SQL = "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.id AS query, b.id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id < 20) SELECT query, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"
 
 
-def _links(spark, sf_dir) -> DataFrame:
-    """A sparse graph on the vectors' ids with distinct weights."""
+def _links(spark, sf_dir, whole=False) -> DataFrame:
+    """A sparse graph on the vectors' ids with distinct weights: of all ids, or of those that LINK_SQL holds."""
     own = _vectors(spark, sf_dir).select((F.col("label") % 2).alias("mesh"), F.col("id").alias("src"), F.explode(F.array(F.lit(2), F.lit(6), F.lit(14))).alias("step"))
-    return own.withColumn("dst", F.col("src") + F.col("step")).where("dst < 500").withColumn("w", F.pmod(F.col("src") * 7919 + F.col("step") * 104729, F.lit(10007)) / 10.0).select("mesh", "src", "dst", "w")
+    own = own.withColumn("dst", F.col("src") + F.col("step"))
+    own = own.join(_vectors(spark, sf_dir).select(F.col("id").alias("dst")), "dst", "left_semi") if whole else own.where("dst < 500")
+    return own.withColumn("w", F.pmod(F.col("src") * 7919 + F.col("step") * 104729, F.lit(10007)) / 10.0).select("mesh", "src", "dst", "w")
 
 
 def mst(spark, sf_dir):
-    return features.spanning_tree(_links(spark, sf_dir)).select("mesh", "src", "dst", "w")
+    return features.spanning_tree(_links(spark, sf_dir, whole=True)).select("mesh", "src", "dst", "w")
 
 
 def single_linkage(spark, sf_dir):
@@ -130,9 +132,9 @@ def agglomerated(spark, sf_dir):
     return features.agglomerated(own, None, 6)
 
 
-def merged_by_index(spark, sf_dir):
+def merged_by_index(spark, sf_dir, whole=False):
     targets = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 60 - 1).alias("idx"))
-    return features.merged_by_index(targets, _points(spark, sf_dir).where("id < 50").select("id", F.round("value", 6).alias("value"))).select("p_partkey", "idx", "value")
+    return features.merged_by_index(targets, _points(spark, sf_dir).where(F.lit(whole) | (F.col("id") < 50)).select("id", F.round("value", 6).alias("value"))).select("p_partkey", "idx", "value")
 
 
 def small_functions(spark, sf_dir):
@@ -220,7 +222,7 @@ def scene(spark, sf_dir):
 
 QUERIES = {
     "l2_normalise": l2, "mean_vectors": mean_vectors, "plane_scatter_mean": plane_mean, "pool_gather": pool_gather, "plane_sample": plane_sample, "voxel_mean": voxel_mean, "voxel_sample": voxel_sample, "ball_query": ball_query, "cosine_top_k": cosine_top_k,
-    "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "vector_functions": small_functions, "masked_mean": masked_means,
+    "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "index_merge_whole": lambda s, d: merged_by_index(s, d, whole=True), "vector_functions": small_functions, "masked_mean": masked_means,
     "canonical_text": canonical, "pretokenise": pre_tokens, "byte_pairs": byte_pairs, "unescaped_text": unescaped, "colour_text": colours, "source_options": source_options,
     "obj_round_trip": obj_round_trip, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
 }
@@ -248,3 +250,4 @@ ORACLES = {
     "natural_order": "SELECT page_id, page_id::INT AS place FROM pages",
     "scene_flatten": GRID_SQL + "SELECT 's' AS scene, mesh::VARCHAR AS name, v, round(x + 10 * mesh, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM vt",
 }
+ORACLES["index_merge_whole"] = ORACLES["index_merge"].replace(" WHERE vec_id < 50", "")
