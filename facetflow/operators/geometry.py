@@ -243,16 +243,16 @@ def side_lengths(faces: DataFrame, vertices: DataFrame, by=BY) -> DataFrame:
 
 
 def distances(sources: DataFrame, sides: DataFrame, rounds: int = 10_000, by=BY) -> DataFrame:
-    """(by, v, d): length of the shortest way from the nearest source. Each round relaxes the vertices that came nearer in the last one."""
+    """(by, v, d): length of the shortest way from the nearest source. Each round relaxes the vertices that came nearer in the last one; RuntimeError if `rounds` don't end it."""
     best = cut(sources.select(*by, "v", F.lit(0.0).alias("d")).distinct())
     moved = best
     for _ in range(rounds):
         new = moved.withColumnRenamed("v", "src").join(sides, [*by, "src"]).groupBy(*by, F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("length")).alias("n"))
         moved = cut(new.join(best, [*by, "v"], "left").where(F.col("d").isNull() | (F.col("n") < F.col("d") - 1e-12)).select(*by, "v", F.col("n").alias("d")))
         if moved.isEmpty():
-            break
+            return best
         best = cut(best.join(moved.withColumnRenamed("d", "n"), [*by, "v"], "full").select(*by, "v", F.coalesce("n", "d").alias("d")))
-    return best
+    raise RuntimeError(f"distances not found in {rounds} rounds")
 
 
 def cut_discrepancy(faces: DataFrame, vertices: DataFrame, est: DataFrame, ref: DataFrame, by=BY) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.operators.skew import met, parts_of
 from facetflow.session import cut
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on edges (u, v), u > v. Large: each node's greater neighbours move to its least neighbour (or itself). Small: a node and its lesser neighbours move to the least of them."""
+def _stars(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One step on `count` edges (u, v), u > v. Large: each node's greater neighbours move to its least neighbour (or itself). Small: a node and its lesser neighbours move to the least of them."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(least, "u")  # a node of many edges is split by AQE's skew join
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    joined = met(both, least.select("u", "m"), parts_of(least, "u", "degree", 10_000, 2 * count), "u", "v")
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     else:
@@ -24,16 +25,20 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
     """(node, component) of every node that has an edge to another; component is the least node that can be reached.
 
     Edges are undirected; repeated edges, loops and edges with null ends count for nothing. Alternates large and
-    small stars (rounds grow with the square of the logarithm of the size), cutting the lineage each round with a checkpoint.
+    small stars (rounds grow with the square of the logarithm of the size), cutting the lineage each round with a checkpoint;
+    RuntimeError if `rounds` of them don't end it.
     """
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)) & F.lit(True)).toDF("u", "v", "ok").where("ok").drop("ok").distinct()
     now = cut(now)
-    before = None
+    # a forest of stars with unchanged edges stays so; an order-free digest of the edges tells
+    digest = lambda edges: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = digest(now)
     for _ in range(rounds):
-        now = cut(_stars(_stars(now, large=True), large=False))
-        # a forest of stars with unchanged edges stays so; an order-free digest of the edges tells
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        before = state
+        now = cut(_stars(_stars(now, True, before[0]), False, before[0]))
+        state = digest(now)
         if state == before:
             break
-        before = state
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
