@@ -9,11 +9,18 @@ from facetflow.operators.skew import met, parts_of
 from facetflow.session import cut
 
 
+SMALL = 1_000_000  # edges up to which all of them may meet in one task
+
+
 def _stars(edges: DataFrame, large: bool, count: int) -> DataFrame:
     """One step on `count` edges (u, v), u > v. Large: each node's greater neighbours move to its least neighbour (or itself). Small: a node and its lesser neighbours move to the least of them."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    joined = met(both, least.select("u", "m"), parts_of(least, "u", "degree", 10_000, 2 * count), "u", "v")
+    if count <= SMALL:  # no node has more edges than that
+        joined = both.join(least, "u")
+    else:
+        least = cut(least)
+        joined = met(both, least.select("u", "m"), parts_of(least, "u", "degree", 10_000, 2 * count), "u", "v")
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     else:
@@ -35,7 +42,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
     state = digest(now)
     for _ in range(rounds):
         before = state
-        now = cut(_stars(_stars(now, True, before[0]), False, before[0]))
+        near = _stars(now, True, before[0])
+        now = cut(_stars(near if before[0] <= SMALL else cut(near), False, before[0]))
         state = digest(now)
         if state == before:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: no lineage, and unlike a checkpoint neither its partitioning nor its constraints, so AQE may split a join of it and the planner has less to infer."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; survives the loss of executors."""
     shared_dir(df.sparkSession)
