@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.llm.common import U64, mix64
 from facetflow.operators.graph import components
-from facetflow.session import cut
+from facetflow.operators.skew import copied, dealt, met, parts_of
+from facetflow.session import stored
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 12, 2
+SKETCHES, PICKED, AT_ONCE = 12, 2, 1 << 16
 SAMPLED, COMMON = 8, 1 << 17  # a share of the texts, and a number of shingles, that the order of least_first() is made from
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64))[:, None]
 
@@ -47,27 +47,43 @@ def occurrences(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct(words: list[bytes]) -> np.ndarray:
-    """A text's shingles in order, of each the one labelled as its first occurrence. Similarity is over distinct runs: a line repeated hundreds of times makes no two texts alike."""
-    h = shingles(words)
-    return h[occurrences(h) == 0]
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Shingles with the number of times that each came before mixed in, so that all of a text are distinct."""
+    before = occurrences(h).astype(U64)
+    again = before > 0
+    if not again.any():
+        return h
+    out = h.copy()
+    with np.errstate(over="ignore"):
+        out[again] = mix64(h[again] + before[again] * U64(0xD6E8FEB86659FD93))
+    return out
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """For each of SKETCHES orders the hash of the PICKED least of distinct(), in text order, and the order's number."""
-    rank = mix64(h[None, :] ^ SEEDS)
-    k = min(PICKED, len(h))
-    at = np.argpartition(rank, k - 1, axis=1)[:, :k] if k < len(h) else np.tile(np.arange(k), (SKETCHES, 1))
+def sketch(own: np.ndarray) -> np.ndarray:
+    """For each of SKETCHES orders the hash of the PICKED least labelled shingles, in text order, and the order's number."""
+    k, found = min(PICKED, len(own)), []
+    for start in range(0, len(own), AT_ONCE):
+        rank = mix64(own[None, start : start + AT_ONCE] ^ SEEDS)
+        found.append(start + (np.argpartition(rank, k - 1, axis=1)[:, :k] if k < rank.shape[1] else np.tile(np.arange(rank.shape[1]), (SKETCHES, 1))))
+    at = found[0]
+    if len(found) > 1:
+        at = np.concatenate(found, axis=1)
+        at = np.take_along_axis(at, np.argpartition(mix64(own[at] ^ SEEDS), k - 1, axis=1)[:, :k], axis=1)
     at.sort(axis=1)
     out = SEEDS[:, 0].copy()
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = mix64(out * U64(0x100000001B3) + h[at[:, i]])
+            out = mix64(out * U64(0x100000001B3) + own[at[:, i]])
     return out.view(np.int64)
 
 
+def raw_digest(text: str) -> Column:
+    """Tells rows of one key with different texts apart."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of docs: id, text_key (digest of the lower-cased words; null without words), n (distinct shingles), sketch."""
+    """One row per row of docs: id, raw (digest of the text), text_key (digest of the lower-cased words; null without words), n (shingles), sketch."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,62 +91,80 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys, sizes, sketches = [], [], []
-                for value in part.column(1):
+                for value in part.column(2):
                     words = words_of(value.as_py())
-                    h = distinct(words) if words else None
+                    h = shingles(words) if words else ()
                     keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                    sizes.append(len(h) if words else 0)
-                    sketches.append(sketch(h) if words else [])
-                yield pa.record_batch([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "text_key", "n", "sketch"])
+                    sizes.append(len(h))
+                    sketches.append(sketch(labelled(h)) if words else [])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "raw", "text_key", "n", "sketch"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, text_key binary, n bigint, sketch array<bigint>")
+    rows = docs.select(F.col(key).alias("id"), raw_digest(text).alias("raw"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, raw string, text_key binary, n bigint, sketch array<bigint>")
 
 
-def aligned(a: list[int], b: list[int], similarity: float = SIMILARITY) -> float:
+def banded(x: list[int], y: list[int], left: int, right: int) -> int:
+    """The most shingles of x and y that match in order with x[i] against y[i - left] to y[i + right] only (or a little more, never more than without a band).
+
+    Row by row a bit vector as wide as the band: a zero stands where one more match than in the column before is possible.
+    """
+    width = left + right + 1
+    full, block = (1 << width) - 1, max(width, 1024)
+    row, behind, places = full, 0, {}
+    for i, s in enumerate(x):
+        at = i % block  # of the window's first column, y[i - left], in the two blocks of columns at hand
+        if at == 0:
+            places = {}
+            for p, t in enumerate(y[max(i - left, 0) : i - left + 2 * block], max(left - i, 0)):
+                places[t] = places.get(t, 0) | 1 << p
+        if i:
+            behind += ~row & 1
+            row = row >> 1 | 1 << (width - 1)
+        here = places.get(s, 0) >> at & full
+        if here:
+            up = row & here
+            row = (row + up | row - up) & full
+    return behind + width - row.bit_count()
+
+
+def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Shingles matched in order, over all shingles of both less these; 0 where that is less than `similarity`.
 
-    The alignment is restricted to the band that any alignment of that similarity stays in; a bit vector
-    holds a row of it.
+    What texts of that similarity must have in common, with multiplicity, is looked at first. What begins and ends
+    alike matches; between, the band is widened until what doesn't match fits in it, or until any alignment of that
+    similarity would. Work is the texts' length times the band's width in machine words.
     """
     least = math.ceil(similarity * (len(a) + len(b)) / (1 + similarity) - 1e-9)
-    if least > min(len(a), len(b)) or sum((Counter(a) & Counter(b)).values()) < least:
+    short = min(len(a), len(b))
+    if least > short or len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < least:
         return 0.0
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    head = (np.flatnonzero(a[:short] != b[:short]).tolist() or [short])[0]
+    rest = short - head
+    tail = (np.flatnonzero(a[len(a) - rest :][::-1] != b[len(b) - rest :][::-1]).tolist() or [rest])[0]
+    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
     matched = head + tail
     if x and y:
-        left, right = len(a) - least, len(b) - least
-        places: dict[int, int] = {}
-        for j, s in enumerate(y):
-            places[s] = places.get(s, 0) | 1 << j
-        full = (1 << len(y)) - 1
-        row, width = full, (1 << (left + right + 1)) - 1
-        for i, s in enumerate(x):
-            here = places.get(s, 0)
-            if here and (here := here & (width << (i - left) if i >= left else width >> (left - i))):
-                up = row & here
-                row = ((row + up) | (row - up)) & full
-        matched += len(y) - row.bit_count()
-    share = matched / (len(a) + len(b) - matched)
-    return share if matched >= least else 0.0
+        left, right, width = len(a) - least, len(b) - least, 32
+        while True:
+            found = banded(x, y, min(left, width), min(right, width))
+            if width >= max(left, right) or (len(x) - found <= width and len(y) - found <= width):
+                break
+            width *= 4
+        matched += found
+    return matched / (len(a) + len(b) - matched) if matched >= least else 0.0
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """pairs (a, a_id, b, b_id) with `similar`: whether the texts of the two keys align. Texts are fetched by id and held to their key."""
+    """pairs (a, a_id, b, b_id) with `similar`: whether the texts of the two keys align. Texts are fetched by id and held to their key; a hub of many pairs is dealt out in parts."""
+    pairs = stored(pairs)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    joined = (
-        pairs.join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-        .join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
-        .select("a", "b", "a_text", "b_text")
-    )
+    hot = parts_of(pairs.groupBy("a_id").count(), "a_id", "count", 256)
+    pairs = dealt(pairs, hot, "a_id", "b")
+    hubs = pairs.select("a_id", "part").distinct().join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
+    joined = pairs.join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id").join(hubs, ["a_id", "part"]).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, list[int]] = (None, [])
+        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, dtype=U64))
         for batch in batches:
             rows = ([], [], [])
             for a, b, a_text, b_text in zip(*batch.columns, strict=True):
@@ -139,10 +173,10 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity:
                     words = words_of(a_text.as_py())
                     if xxhash.xxh3_128_digest(b" ".join(words)) != a:
                         continue
-                    last = (a, distinct(words).tolist())
+                    last = (a, shingles(words))
                 words = words_of(b_text.as_py())
                 if xxhash.xxh3_128_digest(b" ".join(words)) == b:
-                    for column, value in zip(rows, (a, b, aligned(last[1], distinct(words).tolist(), similarity) > 0), strict=True):
+                    for column, value in zip(rows, (a, b, aligned(last[1], shingles(words), similarity) > 0), strict=True):
                         column.append(value)
             yield pa.record_batch([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.bool_())], names=["a", "b", "similar"])
 
@@ -154,16 +188,17 @@ def starred(members: DataFrame) -> DataFrame:
 
     The hub is the text of the greatest weight (ties: the least id): the texts that share its buckets with it,
     counted by bucket. The text that a group of copies stems from agrees with most of them, and so is the hub of all.
+    Members of a hot bucket meet its hub in several parts.
     """
     own = F.struct((-F.col("weight")).alias("less"), "id", "text_key", "n", "class")
-    hubs = members.groupBy("bucket").agg(F.min(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1")
-    return members.join(hubs, "bucket")
+    hubs = stored(members.groupBy("bucket").agg(F.min(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1"))
+    return met(members, hubs, parts_of(hubs, "bucket", "texts", 1000), "bucket", "text_key")
 
 
 def weighed(members: DataFrame) -> DataFrame:
     """members of buckets of two texts and more, with weight: the sizes of a text's buckets together."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(members.join(sizes, "bucket"))
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = stored(met(members, sizes, parts_of(sizes, "bucket", "size", 1000), "bucket", "text_key"))
     return shared.drop("size").join(shared.groupBy("text_key").agg(F.sum("size").alias("weight")), "text_key")
 
 
@@ -194,25 +229,25 @@ def links(texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: fl
     bucket still has several classes, its texts of different classes are aligned with each other if they share one of the shingles that similar texts must share.
     """
     members = weighed(texts.select("text_key", "id", "n", F.explode("sketch").alias("bucket"), F.col("text_key").alias("class")))
-    members = cut(starred(members))
-    tested = cut(verified(paired(members, similarity), docs, key, text, similarity))
+    members = stored(starred(members))
+    tested = stored(verified(paired(members, similarity), docs, key, text, similarity))
     columns = ["bucket", "text_key", "id", "n", "class", "weight"]
-    open_ = cut(starred(classed(members.where("texts > 2").select(*columns), tested)).where("not one").select(*columns))
+    open_ = stored(starred(classed(members.where("texts > 2").select(*columns), tested)).where("not one").select(*columns))
     if open_.isEmpty():
         return tested
     # the texts that their hub did not take in, each bucket split by the other sketches
     split = open_.join(texts.select("text_key", "sketch"), "text_key").select("text_key", "id", "n", "class", F.col("bucket").alias("outer"), F.explode("sketch").alias("inner")).where(F.col("inner") > F.col("outer"))
-    split = cut(starred(weighed(split.withColumn("bucket", F.xxhash64("outer", "inner")).drop("outer", "inner"))).where("not one"))
-    more = cut(verified(untested(paired(split, similarity), tested), docs, key, text, similarity))
-    tested = cut(tested.unionByName(more))
-    open_ = cut(starred(classed(open_, tested)).where("not one AND texts > 2").select(*columns))
+    split = stored(starred(weighed(split.withColumn("bucket", F.xxhash64("outer", "inner")).drop("outer", "inner"))).where("not one"))
+    more = stored(verified(untested(paired(split, similarity), tested), docs, key, text, similarity))
+    tested = stored(tested.unionByName(more))
+    open_ = stored(starred(classed(open_, tested)).where("not one AND texts > 2").select(*columns))
     if open_.isEmpty():
         return tested
-    return cut(tested.unionByName(verified(untested(crossed(open_, docs, key, text, similarity), tested), docs, key, text, similarity)))
+    return stored(tested.unionByName(verified(untested(crossed(open_, docs, key, text, similarity), tested), docs, key, text, similarity)))
 
 
 def with_shingles(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """keys (text_key, id, n, class) with the distinct shingles of their texts."""
+    """keys (text_key, id, n, class) with the labelled shingles of their texts."""
     names = ["text_key", "id", "n", "class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +257,7 @@ def with_shingles(keys: DataFrame, docs: DataFrame, key: str, text: str) -> Data
                 words = words_of(value.as_py())
                 if xxhash.xxh3_128_digest(b" ".join(words)) == own.as_py():
                     at.append(i)
-                    found.append(distinct(words).view(np.int64))
+                    found.append(labelled(shingles(words)).view(np.int64))
             rows = batch.select(names).take(pa.array(at, pa.int64()))
             yield pa.record_batch([*rows.columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, "shingles"])
 
@@ -241,7 +276,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def least_first(h: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of a text's distinct shingles that each similar text has one of them among its own: all but the share they must have in common, and one more.
+    """So many of a text's labelled shingles that each similar text has one of them among its own: all but the share they must have in common, and one more.
 
     The order, in which these are the first, is the same for all texts: what is not in `common` by hash, then `common` by its
     places. It decides how many pairs meet and not whether similar ones do.
@@ -270,47 +305,58 @@ def firsts(texts: DataFrame, similarity: float) -> DataFrame:
 def crossed(open_: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """Pairs of texts of open_ of different classes that sizes, and the places of a shared shingle in least_first(), allow to be similar; each once. No similar pair is left out."""
     columns = ["text_key", "id", "n", "class", "place"]
-    own = firsts(cut(with_shingles(open_.select("text_key", "id", "n", "class").distinct(), docs, key, text)), similarity)
-    several = own.groupBy("shingle").agg((F.min("class") < F.max("class")).alias("several")).where("several").select("shingle")
-    own = cut(own.join(several, "shingle"))
-    other = own.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns])
+    own = firsts(stored(with_shingles(open_.select("text_key", "id", "n", "class").distinct(), docs, key, text)), similarity)
+    several = stored(own.groupBy("shingle").agg(F.count("*").alias("texts"), (F.min("class") < F.max("class")).alias("several")).where("several").select("shingle", "texts"))
+    hot = parts_of(several, "shingle", "texts", 1000)
+    own = stored(met(own, several.select("shingle"), hot, "shingle", "text_key"))
+    other = copied(own.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns]), hot, "shingle")
+    own = dealt(own, hot, "shingle", "text_key")
     near = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-8
     enough = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= similarity * (F.col("n") + F.col("n_b")) / (1 + similarity) - 1e-8
-    pairs = own.join(other, "shingle").where((F.col("text_key") < F.col("text_key_b")) & (F.col("class") != F.col("class_b")) & near & enough)
+    pairs = own.join(other, ["shingle", "part"]).where((F.col("text_key") < F.col("text_key_b")) & (F.col("class") != F.col("class_b")) & near & enough)
     return pairs.select(F.col("text_key").alias("a"), F.col("id").alias("a_id"), F.col("text_key_b").alias("b"), F.col("id_b").alias("b_id")).distinct()
 
 
 def signed_classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """id, text_key and class_id of every row of docs."""
-    rows = cut(signed(docs, key, text))
-    texts = cut(rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    """id, raw, text_key and class_id of every row of docs, and `stays`: whether its text is the one of its class that is kept."""
+    rows = stored(signed(docs, key, text))
+    some = rows.where(F.col("text_key").isNotNull())
+    texts = stored(some.groupBy("text_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("least")))
     tested = links(texts.where(F.col("id").isNotNull()), docs, key, text, similarity)
     found = components(tested.where("similar"), "a", "b").withColumnRenamed("node", "text_key")
-    own = texts.select("text_key", "id").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
-    least = own.groupBy("component").agg(F.min("id").alias("class_id"))
-    by_text = own.join(least, "component").select("text_key", "class_id")
-    return rows.select("id", "text_key").join(by_text, "text_key", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    own = stored(texts.select("text_key", "id", "least", "copies").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key")))
+    least = stored(own.groupBy("component").agg(F.min("id").alias("class_id"), F.min("least").alias("kept"), F.count("*").alias("texts")))
+    own = met(own, least, parts_of(least, "component", "texts", 10_000), "component", "text_key")
+    by_text = own.select("text_key", "class_id", "kept", "copies")
+    hot = parts_of(texts, "text_key", "copies", 10_000)
+    known = met(some.select("id", "raw", "text_key"), by_text, hot, "text_key", "id").select("id", "raw", "text_key", F.coalesce("class_id", "id").alias("class_id"), (F.struct("id", "raw") == F.col("kept")).alias("stays"))
+    return known.unionByName(rows.where(F.col("text_key").isNull()).select("id", "raw", "text_key", F.col("id").alias("class_id"), F.lit(True).alias("stays")))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: key, class_id, the least key of the row's class of copies and near copies.
 
-    Two texts are linked if, as distinct runs of five lower-cased words (of shorter texts the whole) in order of first occurrence, what
-    aligns is at least `similarity` of all runs of both. Classes are the components of the links. Candidates share at least one of 12 sketches of two
-    least shingles each in text order; a pair of similarity 0.8 shares none with a probability of about 5 in a million.
+    Two texts are linked if, as runs of five lower-cased words (of shorter texts the whole), what aligns in order, repeats with
+    their number, is at least `similarity` of all runs of both. Classes are the components of the links. Candidates share at
+    least one of 12 sketches of two least occurrence-labelled runs each in text order; a pair of similarity 0.8 shares none with a probability of
+    about 5 in a million, where no run repeats.
     Null texts and texts without words are classes of their own. Rows without a key are grouped with exact copies
-    only. Repeated rows are copies. An empty table gives an empty result; other columns are ignored.
+    only. Repeated rows are copies. Texts of any length are compared whole; alignment takes their length times the band's width.
+    An empty table gives an empty result; other columns are ignored.
     """
     return signed_classes(docs, key, text, similarity).select(F.col("id").alias(key), "class_id")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the row of the least key of each class, all columns as they are; repeated rows once. Rows without a key stay."""
-    rows = cut(signed_classes(docs, key, text, similarity).where(F.col("id").isNotNull()))
-    out = docs.join(rows.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_out")).distinct(), F.col(key) == F.col("_out"), "left_anti")
-    again = rows.where((F.col("id") == F.col("class_id")) & F.col("text_key").isNotNull())
-    again = again.groupBy("id").count().where("count > 1").select(F.col("id").alias("_again"))
+    """docs with one row of each class, that of the least key (ties: of the least digest of the text), all columns as they are; repeated rows once.
+
+    Rows without a key and rows without words stay.
+    """
+    rows = stored(signed_classes(docs, key, text, similarity).where(F.col("id").isNotNull() & F.col("text_key").isNotNull()))
+    at = (F.col(key) == F.col("_id")) & (raw_digest(text) == F.col("_raw"))
+    out = docs.join(rows.where("not stays").select(F.col("id").alias("_id"), F.col("raw").alias("_raw")).distinct(), at, "left_anti")
+    again = rows.where("stays").groupBy(F.col("id").alias("_id"), F.col("raw").alias("_raw")).count().where("count > 1").drop("count")
     if again.isEmpty():
         return out
-    at = F.col(key) == F.col("_again")
-    return out.join(again, at, "left_anti").unionByName(out.join(again, at, "left_semi").dropDuplicates([key]))
+    first = out.join(again, at, "left_semi").withColumn("_raw", raw_digest(text)).dropDuplicates([key, "_raw"]).drop("_raw")
+    return out.join(again, at, "left_anti").unionByName(first)

@@ -30,6 +30,6 @@ def test_first_shingles_of_similar_texts_meet():
         b = np.concatenate([a[: math.ceil(0.8 * n)], r.integers(0, 1 << 62, n // 8).astype(np.uint64)])
         common = np.unique(r.choice(a, n // 2)).view(np.int64)
         places = r.permutation(len(common)) + 1
-        if near_dup.aligned(a.tolist(), b.tolist()):
+        if near_dup.aligned(a, b):
             first = [set(near_dup.least_first(x, common, places, 0.8).tolist()) for x in (a, b)]
             assert first[0] & first[1]
