@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import pickle
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from facetflow.llm.vectors import search_all
 
-MOST = float(1 << 20)
-
-
 def quantised(v: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * v).astype(np.int64)
+    """floor(256 * x) of each component, exactly; an array of Python integers where a long is too short."""
+    m, e = np.frexp(v.astype(np.float64))
+    if not len(v) or e.max() <= 52:
+        return np.floor(256.0 * v.astype(np.float64)).astype(np.int64)
+    whole = [int(math.ldexp(x, 53)) << (y - 45) if y >= 45 else math.floor(math.ldexp(x, y + 8)) for x, y in zip(m.ravel().tolist(), e.ravel().tolist(), strict=True)]
+    return np.array(whole, dtype=object).reshape(v.shape)
 
 
 def bits(column: np.ndarray, words: int) -> np.ndarray:
@@ -24,19 +26,19 @@ def bits(column: np.ndarray, words: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def pack_index(ids: np.ndarray, vectors: np.ndarray) -> bytes:
+def pack_index(ids: np.ndarray, vectors: np.ndarray) -> tuple:
     """A block of the index: for each attribute its least value and the bitmaps of its distance from it, least significant first."""
     x = quantised(vectors)
     low = x.min(axis=0)
-    x -= low
+    x = x - low
     words = -(-len(ids) // 64)
     widths = [int(v).bit_length() for v in x.max(axis=0)]
-    slices = [bits((x[:, d] >> b) & 1, words) for d, width in enumerate(widths) for b in range(width)]
-    return pickle.dumps((ids, low, widths, np.array(slices, dtype=np.uint64).reshape(-1, words)))
+    slices = [bits((x[:, d] >> b & 1).astype(bool), words) for d, width in enumerate(widths) for b in range(width)]
+    return ids, low.tolist(), widths, np.array(slices, dtype=np.uint64).reshape(-1, words)
 
 
-def pack_query(ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    return pickle.dumps((ids, quantised(vectors)))
+def pack_query(ids: np.ndarray, vectors: np.ndarray) -> tuple:
+    return ids, quantised(vectors).tolist()
 
 
 def added(slices: np.ndarray, column: dict[int, list[int]]) -> list[np.ndarray]:
@@ -88,22 +90,24 @@ def rows_of(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[:n])
 
 
+def value_at(sums: list[np.ndarray], row: int) -> int:
+    return sum((int(s[row >> 6]) >> (row & 63) & 1) << w for w, s in enumerate(sums))
+
+
 def searcher(k: int):
-    def search(index: bytes, queries: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, low, widths, slices = pickle.loads(index)
-        asking, q = pickle.loads(queries)
+    def search(index: tuple, queries: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, low, widths, slices = index
         n, words = len(ids), slices.shape[1]
         both = np.concatenate([slices, ~slices])  # the second half stands for (2**width - 1) - distance
         first = np.concatenate([[0], np.cumsum(widths)]).astype(int)
         everyone = bits(np.ones(n, dtype=bool), words)
         order = np.argsort(ids, kind="stable")
         own_ids = ids[order]
-        outs: list[list[np.ndarray]] = [[], [], []]
-        for qid, weights in zip(asking, q, strict=True):
+        outs: tuple[list, list, list] = ([], [], [])
+        for qid, weights in zip(queries[0].tolist(), queries[1], strict=True):
             column: dict[int, list[int]] = {}
-            base = int((weights * low).sum())
-            for d, width in enumerate(widths):
-                w = int(weights[d])
+            base = sum(w * v for w, v in zip(weights, low, strict=True))
+            for d, (w, width) in enumerate(zip(weights, widths, strict=True)):
                 if w and width:
                     at = first[d] if w > 0 else first[d] + len(slices)
                     base += 0 if w > 0 else w * ((1 << width) - 1)
@@ -122,13 +126,13 @@ def searcher(k: int):
             rows = rows_of(sure, n)
             ties = rows_of(tied, n)
             ties = ties[np.argsort(ids[ties], kind="stable")][: k - len(rows)]
-            rows = np.concatenate([rows, ties])
-            score = np.full(len(rows), base, dtype=np.int64)
-            for w, s in enumerate(sums):
-                score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
-            for out, x in zip(outs, (np.full(len(rows), qid), ids[rows], score), strict=True):
-                out.append(x)
-        return tuple(np.concatenate(o) if o else np.zeros(0, dtype=np.int64) for o in outs)
+            for row in np.concatenate([rows, ties]).tolist():
+                score = base + value_at(sums, row)
+                if not -(1 << 63) <= score < 1 << 63:
+                    raise OverflowError(f"the score of {qid} and {ids[row]} needs more than 64 bits")
+                for out, x in zip(outs, (qid, ids[row], score), strict=True):
+                    out.append(x)
+        return tuple(np.array(o, dtype=np.int64) for o in outs)
 
     return search
 
@@ -136,20 +140,20 @@ def searcher(k: int):
 def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose key is divisible by `every` the k other rows of the largest inner product of floor(256 * x), exactly; ties go to the smaller vec_id.
 
-    Vectors null or with null or non-finite components take no part, nor do those with a component beyond 2**20
-    (their scores need not fit a long), with a null key or of another length than most. A row of the query's own
-    key is no candidate; of repeated query rows the smallest vector asks once; repeated candidates count each. An
-    empty table gives an empty result; fewer candidates than k give all. Other columns are ignored. Work is queries
-    times rows by definition, in bitmaps of 16,384 rows; nothing is collected and a pair of blocks hands on k rows a query.
+    Vectors null, empty or with null or non-finite components take no part, nor do rows with a null key. Vectors of another length
+    than the query's have no inner product with it. Components of any size are exact; OverflowError if a score among a
+    block's best needs more than 64 bits. A row of the query's own key is no candidate; a repeated row asks, and is a candidate, once for
+    each row, and a key that asks several times has its k best of all pairs. An empty table gives an empty result; fewer candidates than k give all.
+    Other columns are ignored. Work is queries times rows by definition, in bitmaps; nothing is collected and a block hands on k rows a query.
     """
-    return search_all(vectors, key, column, every, k, pack_index, pack_query, searcher(k), "bigint", most=MOST)
+    return search_all(vectors, key, column, every, k, pack_index, pack_query, searcher(k), "bigint")
 
 
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

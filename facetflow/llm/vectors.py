@@ -1,92 +1,111 @@
-"""Searches of a stated query set against all vectors, block by block.
+"""Searches of a stated query set against all vectors, slot by slot.
 
-Rows are packed into blocks of bounded size as they stream from the scan, without a shuffle. Each query
-block meets each index block once; only the best few rows of each pair of blocks go on.
+Rows are packed into blocks as they stream from the scan. Each slot of the index holds blocks of one
+vector length and of bounded size; a task keeps its slot's blocks and lets all query blocks stream past them, so an index
+block is shuffled once and a query block once a slot. Only the best few rows of each query and slot go on.
 """
 
 from __future__ import annotations
 
-import zlib
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-INDEX_ROWS, QUERY_ROWS = 16_384, 256
+BLOCK_ROWS, QUERY_ROWS = 16_384, 512
+SLOT_CELLS, LEAST_ROWS = 1 << 26, 2048  # components a slot holds at most (or one block), rows it is worth a task for
+MOST_LENGTHS = 10_000  # different lengths of vectors: their counts are collected, more raise ValueError
 
 
-def usable(vectors: DataFrame, key: str, column: str, most: float | None = None, nonzero: bool = False) -> tuple[DataFrame, int, int]:
-    """(rows with columns id and v (array<double>) that take part, how many, their length).
+def usable(vectors: DataFrame, key: str, column: str, nonzero: bool = False) -> DataFrame:
+    """Rows that take part, with columns id, v (array of the column's own numbers) and n (its length).
 
-    Null ids, null vectors and vectors with null or non-finite components take no part, nor do those whose
-    length is not the most frequent one (ties: the shorter). most: bound of a component's magnitude.
+    Null ids, null or empty vectors and vectors with null or non-finite components take no part; nonzero: nor do zero vectors.
     """
-    inside = lambda x: x.isNotNull() & (F.abs(x) <= F.lit(most or 1.7976931348623157e308))  # noqa: E731  NaN is above all numbers
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", inside) & (F.size("v") > 0))
+    finite = lambda x: x.isNotNull() & (F.abs(x.cast("double")) <= F.lit(1.7976931348623157e308))  # noqa: E731  NaN is above all numbers
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & (F.size("v") > 0))
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    length, count = (found[0]["n"], found[0]["count"]) if found else (1, 0)
-    return rows.where(F.size("v") == length), count, length
+    return rows.withColumn("n", F.size("v"))
 
 
-def matrix(column: pa.ListArray, length: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
-
-
-def packed(rows: DataFrame, size: int, length: int, pack: Callable[[np.ndarray, np.ndarray], bytes], slots: int) -> DataFrame:
-    """Rows (id, v) as blocks (slot, block binary) of at most `size` rows, made by pack(ids, vectors)."""
-
-    step = min(size, 1024)
+def packed(rows: DataFrame, size: Callable[[int], int], pack: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """rows as blocks (n, at, block) of vectors of one length, size(n) rows at most; pack(ids, vectors) makes them. Blocks of a length are numbered by partition (`at`), those of one partition one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            block = pack(np.concatenate(ids), np.concatenate(vectors))
-            return pa.record_batch([pa.array([zlib.crc32(block) % slots], pa.int32()), pa.array([block], pa.binary())], names=["slot", "block"])
+        first, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows_held: dict[int, int] = {}
+
+        def out(n: int) -> pa.RecordBatch:
+            nonlocal made
+            parts = held.pop(n)
+            rows_held.pop(n)
+            block = pickle.dumps(pack(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])), protocol=5)
+            made += 1
+            return pa.record_batch([pa.array([n], pa.int32()), pa.array([first + made - 1], pa.int64()), pa.array([block], pa.binary())], names=["n", "at", "block"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                if held + part.num_rows > size:
-                    yield out()
-                    ids, vectors, held = [], [], 0
-                ids.append(part.column(0).to_numpy())
-                vectors.append(matrix(part.column(1), length))
-                held += part.num_rows
-        if held:
-            yield out()
-
-    return rows.select("id", "v").mapInArrow(run, "slot int, block binary")
-
-
-def best(index: DataFrame, queries: DataFrame, slots: int, k: int, search: Callable[[bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of search(index block, query block) -> (query ids, vec ids, scores) over all pairs of blocks."""
-    dealt = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).withColumnRenamed("block", "query_block")
-    # few bytes but much work: the number of partitions is given, so that AQE doesn't put the slots together
-    pairs = index.withColumnRenamed("block", "index_block").repartition(2 * slots, "slot").join(dealt.repartition(2 * slots, "slot"), "slot")
+            lengths = batch.column(2).to_numpy()
+            for n in np.unique(lengths).tolist():
+                own = batch.filter(pa.array(lengths == n)) if len(lengths) and (lengths != n).any() else batch
+                step = min(size(n), 1024)
+                for start in range(0, own.num_rows, step):
+                    part = own.slice(start, step)
+                    if rows_held.get(n, 0) + part.num_rows > size(n):
+                        yield out(n)
+                    held.setdefault(n, []).append((part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)))
+                    rows_held[n] = rows_held.get(n, 0) + part.num_rows
+            while sum(n * r for n, r in rows_held.items()) > 2 * SLOT_CELLS:  # many lengths
+                yield out(max(rows_held, key=lambda n: n * rows_held[n]))
+        for n in list(held):
+            yield out(n)
+
+    return rows.select("id", "v", "n").mapInArrow(run, "n int, at bigint, block binary")
+
+
+def searched(rows: DataFrame, asking: DataFrame, k: int, pack_index: Callable, pack_query: Callable, search: Callable[[tuple, tuple], tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of search(index block, query block) -> (query ids, vec ids, scores) over all rows (id, v, n) of a query's length."""
+    spark = rows.sparkSession
+    counts = {r["n"]: r["count"] for r in rows.groupBy("n").count().limit(MOST_LENGTHS + 1).collect()}
+    if len(counts) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    size = {n: min(max(LEAST_ROWS, -(-c // tasks)), max(1, SLOT_CELLS // n)) for n, c in counts.items()}  # rows of a slot
+    first, slots = {}, 0
+    for n, c in sorted(counts.items()):
+        first[n] = slots
+        slots += -(-c // size[n])
+    of_length = spark.createDataFrame([(n, first[n], -(-c // size[n])) for n, c in counts.items()], "n int, first int, slots int")
+    index = packed(rows, lambda n: min(BLOCK_ROWS, size[n]), pack_index).join(F.broadcast(of_length), "n").select((F.col("first") + F.col("at") % F.col("slots")).cast("int").alias("slot"), F.lit(0).alias("kind"), "block")
+    queries = packed(asking, lambda n: min(QUERY_ROWS, max(1, SLOT_CELLS // n)), pack_query).join(F.broadcast(of_length), "n")
+    queries = queries.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"), F.lit(1).alias("kind"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, blocks = None, []
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                q, v, s = search(a.as_py(), b.as_py())
-                yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64() if kind == "bigint" else pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("index_block", "query_block").mapInArrow(run, f"query_id bigint, vec_id bigint, score {kind}")
+            for own, role, block in zip(*batch.columns, strict=True):
+                if own.as_py() != slot:
+                    slot, blocks = own.as_py(), []
+                if role.as_py() == 0:  # a slot's index blocks come first
+                    blocks.append(pickle.loads(block.as_py()))
+                    continue
+                query = pickle.loads(block.as_py())
+                found = [search(b, query) for b in blocks]
+                if found:
+                    q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
+                    yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64() if kind == "bigint" else pa.float64())], names=["query_id", "vec_id", "score"])
+
+    dealt = index.unionByName(queries).repartitionById(max(slots, 1), F.col("slot")).sortWithinPartitions("slot", "kind")
+    found = dealt.mapInArrow(run, f"query_id bigint, vec_id bigint, score {kind}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def query_rows(rows: DataFrame, every: int) -> DataFrame:
-    """Rows whose id is divisible by `every`; of repeated ids the smallest vector asks."""
-    return rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-
-
-def search_all(vectors: DataFrame, key: str, column: str, every: int, k: int, pack_index, pack_query, search, kind: str, most: float | None = None, nonzero: bool = False, index_rows: int = INDEX_ROWS) -> DataFrame:
-    rows, count, length = usable(vectors, key, column, most, nonzero)
-    slots = max(1, -(-count // index_rows))
-    asking = query_rows(rows, every).repartition(max(1, count // (every * QUERY_ROWS)), "id")
-    return best(packed(rows, index_rows, length, pack_index, slots), packed(asking, QUERY_ROWS, length, pack_query, 1), slots, k, search, kind)
+def search_all(vectors: DataFrame, key: str, column: str, every: int, k: int, pack_index: Callable, pack_query: Callable, search: Callable, kind: str, nonzero: bool = False) -> DataFrame:
+    rows = usable(vectors, key, column, nonzero)
+    return searched(rows, rows.where(F.col("id") % every == 0), k, pack_index, pack_query, search, kind)

@@ -1,5 +1,7 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,11 +88,41 @@ def test_vectors(spark):
     assert sorted(x for x in exact if x[0] == 0) == [(0, 1, 6, 65536), (0, 2, 6, 65536), (0, 3, 9, 65536), (0, 4, 5, 0), (0, 5, 50, 0)]
     near = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(table).collect()]
     assert sorted(x for x in near if x[0] == 0) == [(0, 1, 6), (0, 2, 6), (0, 3, 9), (0, 4, 50), (0, 5, 50)]
+    assert sorted(x[1:] for x in exact if x[0] == 50)[:2] == [(1, 6, 131072), (2, 6, 131072)]  # the second row of 50 asks too
     for search in (topk.top_k, ann.nearest):
         assert search(table.limit(0)).count() == 0
         assert search(table.where("vec_id = 0")).count() == 0
 
 
+def test_top_k_agrees_with_its_sql(spark):
+    """Large components, mixed lengths, repeated keys and ties."""
+    rows = [(0, [1.0, 1.0]), (1, [2e6, 0.0]), (2, [1.0, 0.0]), (3, [-3e9, 2.5]), (50, [-1.5, 0.25]), (50, [4.0, 0.0]), (50, [4.0, 0.0]), (4, [1.0]), (100, [2.0]), (5, [0.5, 7.0, 1.0]), (150, [0.1, 0.2, -0.3]), (6, [-1e-300, 0.0]), (200, [3.0, 1.0, 1.0, 1.0])]
+    rows += [(7 + i, [float(i % 3), 1.0]) for i in range(40)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [list(r) for r in rows])
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(topk.TOP_K_SQL).fetchall())
+    wide = spark.createDataFrame([(0, [1e300, -1e300]), (1, [2e300, 2e300]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    exact = topk.searcher(5)(topk.pack_index(np.array([1]), np.array([[2e300, 2e300]])), topk.pack_query(np.array([0]), np.array([[1e300, -1e300]])))
+    assert [x.tolist() for x in exact] == [[0], [1], [0]]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(wide).collect()
+
+
+def test_popcount_estimates():
+    r = np.random.default_rng(2)
+    v, q = r.standard_normal((300, 100)), r.standard_normal((5, 100))
+    ids, codes, ones, correction, _ = ann.packer(7)(np.arange(300), v)
+    _, _, planes, low, step, whole = ann.query_packer(7)(np.arange(5), q)
+    turn = lambda x: x / ann.norms(x)[:, None] @ ann.rotation(100, 7)
+    plain = np.where(turn(v) > 0, 1, -1) @ turn(q).T / 10 / correction[:, None]
+    for i in range(5):
+        steps = sum(np.bitwise_count(codes[w] & planes[i, j, w]).astype(int) << j for j in range(8) for w in range(len(codes)))
+        guess = (2 * (low[i] * ones + step[i] * steps) - whole[i]) / (10 * correction)
+        assert np.abs(guess - plain[:, i]).max() <= (step[i] * 10 / 2 / correction).max()
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme casino"), (3, "HTTP://A.Example.NET/en/x?q#f"), (4, "http://example.net"), (5, "http://x.org/fr/casino"), (6, "http://x.org/y-casino.html"), (7, "http://x.org/spam-farm"), (8, "http://x.org/spamfarm"), (9, "http://notexample.com/de/"), (10, "http://w.example.com/de/a"), (None, ""), (3, "HTTP://A.Example.NET/en/x?q#f"), (11, "http://b.net/")]
     table = spark.createDataFrame([(a, b, "h", "r") for a, b in rows], "page_id bigint, url string, host string, rule string")
