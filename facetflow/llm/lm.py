@@ -1,9 +1,10 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
 
-Bigrams are summed in each task, packed by part and shuffled as a few binary rows a task. Each part becomes one file of
-sorted bigram hashes with counts in the shared folder; what it has of each word (as context and as
-predicted word) goes on to the word parts, which become files of sorted word hashes with their statistics. Only the
-counts of counts reach the driver. Files are written under a temporary name and renamed, so a repeated task does no harm.
+One stage a level, from the longest n-grams to words. A stage's parts are ranges of the n-grams' hash, so no context or word is
+hot. Counts are summed in each task before they are shuffled, packed by part with a dictionary of their words. A part becomes one file of
+sorted hashes and their numbers in the shared folder, and hands on what its n-grams say of the next shorter ones: how many
+distinct words stand before each (suffix), and how often and by what each is followed (prefix). Only the counts of counts
+reach the driver, summed by Spark. Files are written under a temporary name and renamed, so a repeated task does no harm.
 """
 
 from __future__ import annotations
@@ -17,43 +18,71 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.llm.common import U64, chunks, fold, mix64, posix_dir
 
+ORDER = 3
 BEGIN, END = xxhash.xxh3_64_intdigest(b" begin"), xxhash.xxh3_64_intdigest(b" end")  # no token has a space
-SALTS = U64(8)  # a context's bigrams are dealt to so many parts at most
-PAIRS, PART_BYTES = 3_000_000, 12_000_000
-WORD = np.dtype([("c", "u8"), ("cc", "u4"), ("n1", "u4"), ("n2", "u4"), ("n3", "u4"), ("total", "u8")])
-#: c: count; cc: distinct words before it; total: count as context; n1, n2, n3: its successors seen once, twice, more often.
-
-
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of begin, words (A-Z lowered, split at ASCII white space) and end of each text, one after the other; and each text's number of them."""
+WINDOW, GRAMS, PART_BYTES, OPEN = 1 << 20, 3_000_000, 12_000_000, 512
+PIECE = 4_000_000  # characters whose words are held as Python objects at a time
+GRAM, CONTEXT, WORD, STATS = 0, 1, 2, 3  # kinds of rows: counts, numbers of followers, occurrences of words, counts of counts
+ROWS = "level int, part int, kind int, data binary"
+SUMS = ("n1", "n2", "n3", "n4", "more", "total", "kinds", "words", "occurrences")
+SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """text cut at ASCII white space after about PIECE characters each."""
+    at = 0
+    while len(text) - at > PIECE:
+        ends = [e for e in (text.find(s, at + PIECE) for s in SPACES) if e >= 0]
+        if not ends:
+            break
+        yield text[at : min(ends)]
+        at = min(ends)
+    yield text[at:]
+
+
+def tokens(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's order - 1 begin marks, words (A-Z lowered, split at ASCII white space) and end, one after the other; and each text's number of words and end."""
+    parts: list[np.ndarray] = []
     flat: list[bytes] = []
     sizes = np.empty(len(texts), dtype=np.int64)
+
+    def flush() -> None:
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), dtype=U64, count=len(flat)))
+        flat.clear()
+
     for i, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        sizes[i] = len(words) + 2
-        flat.append(b" begin")
-        flat += words
+        flat += [b" begin"] * (order - 1)
+        n = 1
+        for piece in pieces(text):
+            words = piece.encode("utf-8", "surrogatepass").lower().split()
+            n += len(words)
+            flat += words
+            if len(text) > PIECE:
+                flush()
         flat.append(b" end")
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, flat), dtype=U64, count=len(flat)), sizes
+        sizes[i] = n
+    flush()
+    return np.concatenate(parts), sizes
 
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def longer(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, from those of all but their last word and of that word."""
     with np.errstate(over="ignore"):
-        return mix64(v * U64(0x9E3779B97F4A7C15) + w)
+        return mix64(h * U64(0x9E3779B97F4A7C15) + words)
 
 
-def pair_part(v: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix64(v + (w % SALTS) * U64(0xD6E8FEB86659FD93)) % U64(parts)).astype(np.int64)
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    return functools.reduce(longer, columns)
 
 
-def word_part(h: np.ndarray, parts: int) -> np.ndarray:
-    """Ranges of the hash, so that sorted words are sorted by part."""
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of the hash."""
     return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
@@ -62,143 +91,127 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
-def binary_rows(parts: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """(part, kind, arrays) for columns sorted by part."""
-    starts = runs(parts)
-    for a, b in zip(starts, np.append(starts, len(parts))[1:], strict=True):
-        yield int(parts[a]), kind, pickle.dumps([c[a:b] for c in columns], protocol=5)
+def summed(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(hashes, columns, sums of the values) of the distinct n-grams, by hash."""
+    h = hashed(columns)
+    order = np.argsort(h)
+    h = h[order]
+    starts = runs(h)
+    first = order[starts]
+    return h[starts], [c[first] for c in columns], [np.add.reduceat(v[order], starts, dtype=np.int64) if len(starts) else v.astype(np.int64) for v in values]
 
 
-def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, kind, data = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+def binary_rows(level: int, kind: int, parts: int, h: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of ROWS for n-grams sorted by hash: the words of each part's once, the n-grams in their words' order."""
+    part = part_of(h, parts)
+    starts = runs(part)
+    for a, b in zip(starts, np.append(starts, len(part))[1:], strict=True):
+        words, index = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
+        index = index.reshape(len(columns), -1).astype(np.min_scalar_type(len(words)))
+        order = np.lexsort(index[::-1])
+        own = [v[a:b][order] for v in values]
+        data = pickle.dumps((words, index[:, order], [v.astype(np.min_scalar_type(int(v.max()))) for v in own]), protocol=5)
+        yield level, int(part[a]), kind, zstandard.compress(data, 1)
 
 
-ROWS = "part int, kind int, data binary"
+def unpacked(rows: list[bytes], columns: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    found = [pickle.loads(zstandard.decompress(r)) for r in rows]
+    return [np.concatenate([w[i[c]] for w, i, _ in found]) for c in range(columns)], [np.concatenate([v[c].astype(np.int64) for *_, v in found]) for c in range(values)]
 
 
-def summed_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, v, w, count) of distinct pairs by ascending hash."""
-    h = pair_hash(v, w)
-    order = np.argsort(h)
-    h = h[order]
-    starts = runs(h)
-    n = np.diff([*starts, len(h)]) if n is None else np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else n
-    first = order[starts]
-    return h[starts], v[first], w[first], n
+def batches_of(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for level, part, kind, data in rows:
+        yield pa.record_batch([pa.array([level], pa.int32()), pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["level", "part", "kind", "data"])
+
 
+def counted(order: int, parts: int):
+    """Texts -> counts of n-grams, and of words, summed over GRAMS tokens at a time."""
 
-def pair_rows(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            _, v, w, n = summed_pairs(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]), None)
-            part = pair_part(v, w, parts)
-            order = np.argsort(part, kind="stable")
-            rows = list(binary_rows(part[order], 0, [v[order], w[order], n[order].astype(np.uint32)]))
-            for at in range(0, len(rows), 64):
-                yield batch_of(rows[at : at + 64])
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            ones = np.ones(len(columns[0]), dtype=np.uint8)
+            h, own, values = summed(columns, [ones])
+            yield from batches_of(binary_rows(order, GRAM, parts, h, own, values))
+            h, own, values = summed(columns[-1:], [ones])
+            yield from batches_of(binary_rows(1, WORD, parts, h, own, values))
 
         for batch in batches:
             for _, texts in chunks(batch.column(0).to_pylist()):
-                h, _ = tokens(texts)
-                inside = h[:-1] != U64(END)
-                held.append((h[:-1][inside], h[1:][inside]))
-                size += len(held[-1][0])
-                if size >= PAIRS:
-                    yield from out()
-                    held, size = [], 0
-        if held:
+                h, _ = tokens(texts, order)
+                for start in range(0, len(h), WINDOW):
+                    at = np.flatnonzero(h[start : start + WINDOW] != U64(BEGIN)) + start
+                    held.append([h[at - k] for k in range(order - 1, -1, -1)])
+                    size += len(at)
+                    if size >= GRAMS:
+                        yield from out()
+                        held.clear()
+                        size = 0
+        if size:
             yield from out()
 
     return run
 
 
-def save(path: str, values: np.ndarray) -> None:
+def save(path: str, h: np.ndarray, values: np.ndarray) -> None:
+    """One file: how many rows, columns and exceptions; the sorted hashes; rows with a number of 255 and more, and their numbers; all numbers as bytes."""
+    many = np.flatnonzero((values >= 255).any(axis=1))
     temporary = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(temporary, "wb") as file:
-        np.save(file, values)
+        for x in (np.array([*values.shape, len(many)]), h, many, values[many], np.where(np.isin(np.arange(len(h)), many)[:, None], 255, values).astype(np.uint8)):
+            file.write(np.ascontiguousarray(x).tobytes())
     os.replace(temporary, path)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], list[list[np.ndarray]]]:
-    found: dict[tuple[int, int], list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found.setdefault((part, kind), []).append(pickle.loads(data))
-    return found
-
-
-def joined(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*rows, strict=True)]
-
-
-def of_counts(n: np.ndarray) -> list[int]:
-    """How many are 1, 2, 3 and 4."""
-    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
-
-
-def pair_files(folder: str, parts: int):
-    """Writes a part's bigrams; hands on what they say of each word: kind 1 of contexts, kind 2 of predicted words, kind 3 counts of counts."""
+def level_files(folder: str, order: int, level: int, parts: int):
+    """Writes a part's file; hands on rows of shorter n-grams, and a row of counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (part, _), rows in gathered(batches).items():
-            h, v, w, n = summed_pairs(*joined(rows))
-            save(f"{folder}/pairs/{part}.h.npy", h)
-            many = np.flatnonzero(n >= 255)
-            save(f"{folder}/pairs/{part}.n.npy", np.minimum(n, 255).astype(np.uint8))
-            save(f"{folder}/pairs/{part}.many.npy", np.stack([many, n[many]]).astype(np.int64))
-            out = [(0, 3, pickle.dumps([np.array([of_counts(n)])]))]
-            for kind, key in ((1, v), (2, w)):
-                order = np.argsort(key)
-                own, count = key[order], n[order]
-                starts = runs(own)
-                total = np.add.reduceat(count, starts).astype(np.uint64)
-                if kind == 1:
-                    each = [np.add.reduceat((m).astype(np.uint32), starts) for m in (count == 1, count == 2, count > 2)]
+        found: dict[int, dict[int, list[bytes]]] = {}
+        for batch in batches:
+            for own, part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own == level and kind != STATS:
+                    found.setdefault(part, {}).setdefault(kind, []).append(data)
                 else:
-                    each = [np.diff([*starts, len(own)]).astype(np.uint32)]
-                out += binary_rows(word_part(own[starts], parts), kind, [own[starts], total, *each])
-            for at in range(0, len(out), 64):
-                yield batch_of(out[at : at + 64])
+                    yield from batches_of(iter([(own, part, kind, data)]))
+        for part in sorted(found):
+            own = found.pop(part)
+            sides = {kind: summed(*unpacked(rows, level, 4 if kind == CONTEXT else 1)) for kind, rows in own.items()}
+            h = np.unique(np.concatenate([s[0] for s in sides.values()]))
+            values = np.zeros((len(h), 1 + 4 * (level < order) + (level == 1)), dtype=np.int64)
+            for kind, (keys, _, numbers) in sides.items():
+                at = np.searchsorted(h, keys)
+                for column, x in zip({GRAM: (0,), CONTEXT: (1, 2, 3, 4), WORD: (-1,)}[kind], numbers, strict=True):
+                    values[at, column] = x
+            save(f"{folder}/{level}/{part}", h, values)
+            n = values[:, 0]
+            words = values[:, -1] if level == 1 else np.zeros(0, dtype=np.int64)
+            yield from batches_of(iter([(level, part, STATS, pickle.dumps([*[int((n == k).sum()) for k in (1, 2, 3, 4)], int((n > 2).sum()), int(n.sum()), int((n > 0).sum()), int((words > 0).sum()), int(words.sum())]))]))
+            if level > 1:
+                _, columns, (n,) = sides[GRAM] if GRAM in sides else (None, [np.zeros(0, dtype=U64)] * level, (np.zeros(0, dtype=np.int64),))
+                keys, grams, numbers = summed(columns[1:], [np.ones(len(n), dtype=np.uint8)])
+                yield from batches_of(binary_rows(level - 1, GRAM, parts, keys, grams, numbers))
+                keys, grams, numbers = summed(columns[:-1], [n, n == 1, n == 2, n > 2])
+                yield from batches_of(binary_rows(level - 1, CONTEXT, parts, keys, grams, numbers))
 
     return run
 
 
-def word_files(folder: str):
-    """Writes a part's words; hands on one row of statistics."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches)
-        for part in sorted({p for p, _ in found}):
-            stats = np.zeros(12, dtype=np.int64)
-            if (part, 3) in found:
-                stats[8:] = joined(found[part, 3])[0].sum(axis=0)
-            sides = {kind: joined(found[part, kind]) for kind in (1, 2) if (part, kind) in found}
-            if sides:
-                words = np.unique(np.concatenate([s[0] for s in sides.values()]))
-                record = np.zeros(len(words), dtype=WORD)
-                for kind, (key, total, *each) in sides.items():
-                    at = np.searchsorted(words, key)
-                    for name, values in zip(("total", "n1", "n2", "n3") if kind == 1 else ("c", "cc"), (total, *each), strict=True):
-                        # bincount sums exactly below 2**53
-                        record[name] = np.bincount(at, weights=values, minlength=len(words)).astype(np.uint64)
-                save(f"{folder}/words/{part}.h.npy", words)
-                save(f"{folder}/words/{part}.r.npy", record)
-                cc = record["cc"].astype(np.int64)
-                stats[:8] = [record["c"].sum(), (cc > 0).sum(), cc.sum(), *of_counts(cc), (cc > 2).sum()]
-            yield batch_of([(part, 0, pickle.dumps([stats]))])
-
-    return run
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [pickle.loads(d) for d in batch.column("data").to_pylist()]
+        yield pa.record_batch([batch.column("level"), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(SUMS))]], names=["level", *SUMS])
 
 
-def discounts(n: list[int]) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4; within [0, count] where a number is missing."""
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
-    return np.array([0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5, 0.0), float(k)) for k in (1, 2, 3)])
+def discounts(n: list[int]) -> tuple[float, ...]:
+    """Modified Kneser-Ney discounts for counts 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4; half the count where a number is missing or the discount is not above 0."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    found = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0 for k in (1, 2, 3)]
+    return (0.0, *[d if d > 0 else k / 2 for k, d in enumerate(found, 1)])
 
 
 @dataclass(frozen=True)
@@ -206,104 +219,108 @@ class Model:
     """Where the files are, and the few numbers of the whole corpus."""
 
     folder: str
+    order: int
     parts: int
     n: int  # training tokens
     v: int  # distinct ones
-    pairs: int  # distinct (word before, word)
-    d1: tuple[float, ...]
-    d2: tuple[float, ...]
-    floor: float  # probability of a word not seen, and what each word gets of the unigram discounts
+    total: int  # of the words' counts at level 1: distinct words before them, summed
+    discounts: tuple[tuple[float, ...], ...]  # by level, from 1
+    floor: float  # probability of a word not seen, and what each word gets of the discounts of level 1
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Count all rows of docs (null texts as empty). Parts grow with the size of the input."""
+def fit(docs: DataFrame, text: str = "text", order: int = ORDER, part_bytes: int = PART_BYTES) -> Model:
+    """Count all rows of docs (null texts as empty). Parts are of about part_bytes of text, each of which a task sorts in memory, and grow in number with the input."""
+    if order < 1:
+        raise ValueError("order is 1 or more")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    folder = posix_dir(spark, "bigrams")
-    pairs = docs.select(F.col(text).alias("text")).mapInArrow(pair_rows(parts), ROWS).repartitionById(parts, F.col("part"))
-    by_word = pairs.mapInArrow(pair_files(folder, parts), ROWS).repartitionById(parts, F.col("part"))
-    rows = by_word.mapInArrow(word_files(folder), ROWS).select("data").collect()  # one row a part
-    stats = sum((pickle.loads(r["data"])[0] for r in rows), np.zeros(12, dtype=np.int64)).tolist()
-    n, v, cc, m, more, own = stats[0], stats[1], stats[2], stats[3:7], stats[7], stats[8:]
-    d1, d2 = discounts(m), discounts(own)
-    left = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * more) / cc if cc else 1.0
-    return Model(folder, parts, n, v, cc, tuple(d1), tuple(d2), left / (v + 1))
-
-
-@functools.lru_cache(maxsize=100_000)
-def mapped(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
-
-
-def slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    starts = runs(parts)
-    for a, b in zip(starts, np.append(starts, len(parts))[1:], strict=True):
-        yield int(parts[a]), int(a), int(b)
-
-
-def looked_up(h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the sorted keys are in the sorted array h, their places)."""
-    at = np.searchsorted(h, keys)
-    at[at == len(h)] = 0
-    good = h[at] == keys
-    return good, at[good]
-
-
-def word_stats(model: Model, words: np.ndarray) -> np.ndarray:
-    """The records of sorted distinct words; zeros for those not seen."""
-    out = np.zeros(len(words), dtype=WORD)
-    for part, a, b in slices(word_part(words, model.parts)):
-        h = mapped(f"{model.folder}/words/{part}.h.npy")
-        if h is not None and len(h):
-            good, at = looked_up(h, words[a:b])
-            out[a:b][good] = mapped(f"{model.folder}/words/{part}.r.npy")[at]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    folder = posix_dir(spark, "ngrams")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(counted(order, parts), ROWS)
+    for level in range(order, 0, -1):
+        rows = rows.repartitionById(parts, F.col("part")).mapInArrow(level_files(folder, order, level, parts), ROWS)
+    names = "level int, " + ", ".join(f"{s} bigint" for s in SUMS)
+    found = {r["level"]: r for r in rows.mapInArrow(sums, names).groupBy("level").agg(*[F.sum(s).alias(s) for s in SUMS]).collect()}
+    empty = dict.fromkeys(SUMS, 0)
+    by_level = [found.get(k, empty) for k in range(1, order + 1)]
+    reduced = tuple(discounts([s["n1"], s["n2"], s["n3"], s["n4"]]) for s in by_level)
+    words, d = by_level[0], reduced[0]
+    left = (d[1] * words["n1"] + d[2] * words["n2"] + d[3] * words["more"]) / words["total"] if words["total"] else 1.0
+    return Model(folder, order, parts, words["occurrences"], words["words"], words["total"], reduced, left / (words["words"] + 1))
+
+
+@functools.lru_cache(maxsize=OPEN)
+def mapped(path: str) -> tuple[np.ndarray, ...] | None:
+    """(hashes, rows of exceptions, their numbers, numbers as bytes) of a part's file; the least recently used are unmapped."""
+    if not os.path.exists(path):
+        return None
+    raw = np.memmap(path, dtype=np.uint8, mode="r")
+    rows, columns, many = raw[:24].view(np.int64).tolist()
+    ends = np.cumsum([24, 8 * rows, 8 * many, 8 * many * columns, rows * columns]).tolist()
+    h, at, big, low = (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    return h.view(U64), at.view(np.int64), big.view(np.int64).reshape(many, columns), low.reshape(rows, columns)
+
+
+def numbers(model: Model, level: int, keys: np.ndarray) -> np.ndarray:
+    """The numbers of n-grams by their sorted distinct hashes; zeros for those not seen."""
+    out = np.zeros((len(keys), 1 + 4 * (level < model.order) + (level == 1)), dtype=np.int64)
+    part = part_of(keys, model.parts)
+    starts = runs(part)
+    for a, b in zip(starts, np.append(starts, len(part))[1:], strict=True):
+        found = mapped(f"{model.folder}/{level}/{part[a]}")
+        if found is not None and len(found[0]):
+            h, rows, big, low = found
+            at = np.searchsorted(h, keys[a:b])
+            at[at == len(h)] = 0
+            good = np.flatnonzero(h[at] == keys[a:b])
+            at = at[good]
+            values = low[at].astype(np.int64)
+            full = np.flatnonzero((values == 255).any(axis=1))
+            if len(full):
+                values[full] = big[np.searchsorted(rows, at[full])]
+            out[a + good] = values
     return out
 
 
-def pair_counts(model: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    h, part = pair_hash(v, w), pair_part(v, w, model.parts)
-    order = np.lexsort((h, part))
-    h, part = h[order], part[order]
-    found = np.zeros(len(h), dtype=np.int64)
-    for p, a, b in slices(part):
-        own = mapped(f"{model.folder}/pairs/{p}.h.npy")
-        if own is not None and len(own):
-            good, at = looked_up(own, h[a:b])
-            n = mapped(f"{model.folder}/pairs/{p}.n.npy")[at].astype(np.int64)
-            full = np.flatnonzero(n == 255)
-            if len(full):
-                places, values = mapped(f"{model.folder}/pairs/{p}.many.npy")
-                n[full] = values[np.searchsorted(places, at[full])]
-            found[a:b][good] = n
-    out = np.empty_like(found)
-    out[order] = found
-    return out
+def probabilities(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrences, base probability, probability) of each token of h from the order-th on, given those before it; meaningless for begin marks."""
+    first = model.order - 1
+    grams, p, occurrences, context = h, None, None, None
+    for level in range(1, model.order + 1):
+        if level > 1:
+            grams = longer(grams[:-1], h[level - 1 :])  # of the n-grams that end at each token from the level-th on
+        keys, index = np.unique(grams, return_inverse=True)
+        found = numbers(model, level, keys)
+        n, d = found[:, 0][index][first - level + 1 :], np.array(model.discounts[level - 1])
+        less = np.maximum(n - d[np.minimum(n, 3)], 0)
+        if level == 1:
+            occurrences = found[:, -1][index][first:]
+            p = (less / model.total if model.total else 0.0) + model.floor
+        else:
+            total = context[:, 0]
+            under = np.where(total > 0, total, 1)
+            p = np.where(total > 0, less / under + context[:, 1:] @ d[1:] / under * p, p)
+        if level < model.order:
+            context = found[:, 1:5][index][first - level : -1]
+    return occurrences, (occurrences + 0.5) / (model.n + 0.5 * (model.v + 1)), p
 
 
 def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     """(n_tokens, n_known, base_score, score) of each text."""
-    h, sizes = tokens(texts)
-    words, index = np.unique(h, return_inverse=True)
-    seen = word_stats(model, words)
-    d1, d2 = np.array(model.d1), np.array(model.d2)
-    cc, c = seen["cc"].astype(np.int64), seen["c"].astype(np.float64)
-    base = np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
-    single = (np.maximum(cc - d1[np.minimum(cc, 3)], 0) / model.pairs if model.pairs else np.zeros(len(cc))) + model.floor
-    total = seen["total"].astype(np.float64)
-    spread = d2[1] * seen["n1"] + d2[2] * seen["n2"] + d2[3] * seen["n3"]
-    inside = h[:-1] != U64(END)
-    v, w = index[:-1][inside], index[1:][inside]
-    p = single[w]
-    both = np.flatnonzero((total[v] > 0) & (c[w] > 0))
-    n = np.zeros(len(v), dtype=np.int64)
-    n[both] = pair_counts(model, words[v[both]], words[w[both]])
-    known = total[v] > 0
-    under = np.where(known, total[v], 1)
-    p = np.where(known, np.maximum(n - d2[np.minimum(n, 3)], 0) / under + spread[v] / under * p, p)
-    text = np.repeat(np.arange(len(texts)), sizes - 1)
-    add = lambda x: np.bincount(text, weights=x, minlength=len(texts))
-    return sizes - 1, add(c[w] > 0).astype(np.int64), add(base[w]), add(np.log10(p))
+    h, sizes = tokens(texts, model.order)
+    known, base, score = (np.zeros(len(texts)) for _ in range(3))
+    ends = np.cumsum(sizes + model.order - 1)
+    for start in range(0, len(h), WINDOW):
+        own = h[max(start - model.order + 1, 0) : start + WINDOW]
+        if len(own) < model.order:
+            continue
+        at = np.arange(max(start, model.order - 1), min(start + WINDOW, len(h)))
+        some = h[at] != U64(BEGIN)
+        c, q, p = (x[some] for x in probabilities(model, own))
+        text = np.searchsorted(ends, at[some], "right")
+        for total, x in ((known, c > 0), (base, np.log10(q)), (score, np.log10(p))):
+            total += np.bincount(text, weights=x, minlength=len(texts))
+    return sizes, known.astype(np.int64), base, score
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,12 +336,13 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
 
-def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Every row of docs scored by a model of the rows whose crc32 of the key modulo 5 is not 1 (held_out: it is).
 
     A null or empty text is one end token. Words are runs of characters other than ASCII white space, A-Z lowered; a
-    text's words and its end are predicted, each from the one before. Repeated rows count and are scored each; no training
-    rows: probabilities are those of an unseen word. Other columns are ignored. An empty table gives an empty result.
+    text's words and its end are predicted, each from the order - 1 before, with as many begin marks before the first. Repeated rows
+    count and are scored each; no training rows: probabilities are those of an unseen word. Texts of any length are read whole, a
+    window of tokens at a time. Other columns are ignored. An empty table gives an empty result.
     """
-    model = fit(docs.where(fold(key, 5) != 1), text)
+    model = fit(docs.where(fold(key, 5) != 1), text, order)
     return scored(docs, model, key, text).select(key, (fold(key, 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -38,53 +38,68 @@ def crc(i, k):
     return zlib.crc32(str(i).encode()) % k
 
 
-def test_kneser_ney(spark, small, docs):
+def plain_kneser_ney(texts, order):
+    """(probability of a word after a tuple of words, counts of words) by dictionaries."""
+    raw, words = Counter(), Counter()
+    for t in texts:
+        a = ["<s>"] * (order - 1) + (t or "").encode().lower().split() + ["</s>"]
+        words.update(a[order - 1 :])
+        raw.update(tuple(a[i - order + 1 : i + 1]) for i in range(order - 1, len(a)))
+    counts = {order: raw}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    followers, reduced = defaultdict(Counter), {}
+    for k, c in counts.items():
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2])
+        reduced[k] = [0] + [j - (j + 1) * y * of[j + 1] / of[j] for j in (1, 2, 3)]
+        for g, n in c.items():
+            followers[k, g[:-1]][g[-1]] = n
+
+    left = {(k, g): (sum(own.values()), sum(reduced[k][min(x, 3)] for x in own.values())) for (k, g), own in followers.items()}
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (len(words) + 1)
+        if (k, context) not in left:
+            return lower
+        n = followers[k, context].get(w, 0)
+        return (max(n - reduced[k][min(n, 3)], 0) + left[k, context][1] * lower) / left[k, context][0]
+
+    return p, words
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_kneser_ney(spark, small, docs, order):
     rows = docs.select("doc_id", "text").collect()
-    cut = lambda t: [1, *(t or "").encode().lower().split(), 0]
-    pairs, words = Counter(), Counter()
-    for r in rows:
-        if crc(r["doc_id"], 5) != 1:
-            a = cut(r["text"])
-            words.update(a[1:])
-            pairs.update(itertools.pairwise(a))
+    p, words = plain_kneser_ney([r["text"] for r in rows if crc(r["doc_id"], 5) != 1], order)
     n, v = sum(words.values()), len(words)
-    before, total, kinds = Counter(w for _, w in pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in pairs.items():
-        total[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-
-    def discounts(values):
-        c = Counter(values)
-        y = c[1] / (c[1] + 2 * c[2])
-        return [0] + [k - (k + 1) * y * c[k + 1] / c[k] for k in (1, 2, 3)]
-
-    d1, d2 = discounts(before.values()), discounts(pairs.values())
-    floor = sum(d1[min(c, 3)] for c in before.values()) / len(pairs) / (v + 1)
-
-    def p(a, w):
-        single = max(before[w] - d1[min(before[w], 3)], 0) / len(pairs) + floor
-        if a not in total:
-            return single
-        c = pairs[a, w]
-        return max(c - d2[min(c, 3)], 0) / total[a] + sum(d * k for d, k in zip(d2[1:], kinds[a], strict=True)) / total[a] * single
-
-    assert abs(sum(p(b"the", w) for w in words) + p(b"the", "unseen") - 1) < 1e-9
-    found = {r["doc_id"]: r for r in queries.op1_kneser_ney(spark, small).collect()}
+    if order <= 3:
+        for context in ((b"the",), (b"of", b"the"), (b"unseen", b"the"), ("<s>",) * 2):
+            assert abs(sum(p(context[:order - 1], w) for w in words) + p(context[:order - 1], b"never seen") - 1) < 1e-9
+    found = {r["doc_id"]: r for r in (queries.op1_kneser_ney(spark, small) if order == 3 else lm.held_out_scores(docs, order=order)).collect()}
     assert len(found) == len(rows)
     for r in rows:
-        a, own = cut(r["text"]), found[r["doc_id"]]
-        assert (own["held_out"], own["n_tokens"], own["n_known"], own["train_tokens"]) == (crc(r["doc_id"], 5) == 1, len(a) - 1, sum(w in words for w in a[1:]), n)
-        assert math.isclose(own["base_score"], sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in a[1:]), rel_tol=1e-9)
-        assert math.isclose(own["score"], sum(math.log10(p(x, y)) for x, y in itertools.pairwise(a)), rel_tol=1e-9)
+        a, own = ["<s>"] * (order - 1) + r["text"].encode().lower().split() + ["</s>"], found[r["doc_id"]]
+        mine = a[order - 1 :]
+        assert (own["held_out"], own["n_tokens"], own["n_known"], own["train_tokens"]) == (crc(r["doc_id"], 5) == 1, len(mine), sum(w in words for w in mine), n)
+        assert math.isclose(own["base_score"], sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in mine), rel_tol=1e-9)
+        assert math.isclose(own["score"], sum(math.log10(p(tuple(a[i - order + 1 : i]), a[i])) for i in range(order - 1, len(a))), rel_tol=1e-9)
     held = [r for r in found.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert order == 1 or sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_many_counts_of_a_pair(spark):
+def test_many_counts_and_small_windows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b " * 200) for i in range(3)], "doc_id bigint, text string")
-    model = lm.fit(docs)
-    v, w = (lm.tokens(["a b"])[0][i : i + 1] for i in (1, 2))
-    assert lm.pair_counts(model, v, w).tolist() == [600]
+    model = lm.fit(docs, order=2)
+    h, _ = lm.tokens(["a b"], 2)
+    assert lm.numbers(model, 2, lm.longer(h[1:2], h[2:3])).tolist() == [[600]]
+    texts = [r["text"] for r in docs.collect()] + ["", "b a  c\x0bd", "x" * 50]
+    whole = lm.scores(model, texts)
+    monkeypatch.setattr(lm, "WINDOW", 7)
+    monkeypatch.setattr(lm, "PIECE", 5)
+    for a, b in zip(whole, lm.scores(model, texts), strict=True):
+        assert np.allclose(a, b, rtol=1e-12)
 
 
 def test_quality_held_out(spark):
