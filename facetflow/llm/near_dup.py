@@ -155,13 +155,13 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """pairs (a, a_id, b, b_id) with `similar`: whether the texts of the two keys align. Texts are fetched by id and held to their key; a hub of many pairs is dealt out in parts."""
+    """pairs (a, a_id, b, b_id) with `similar`: whether the texts of the two keys align. Texts are fetched by id and held to their key; a hub of many pairs is dealt out in parts. Texts are always shuffled, so that the plan is the same at every size."""
     pairs = stored(pairs)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     hot = parts_of(pairs.groupBy("a_id").count(), "a_id", "count", 256)
     pairs = dealt(pairs, hot, "a_id", "b")
-    hubs = pairs.select("a_id", "part").distinct().join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
-    joined = pairs.join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id").join(hubs, ["a_id", "part"]).select("a", "b", "a_text", "b_text")
+    hubs = pairs.select("a_id", "part").distinct().join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")).hint("merge"), "a_id")
+    joined = pairs.join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")).hint("merge"), "b_id").join(hubs.hint("merge"), ["a_id", "part"]).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, dtype=U64))
@@ -262,7 +262,7 @@ def with_shingles(keys: DataFrame, docs: DataFrame, key: str, text: str) -> Data
             yield pa.record_batch([*rows.columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, "shingles"])
 
     kind = keys.schema["id"].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(keys, "id").select(*names, "text")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(keys.hint("merge"), "id").select(*names, "text")
     return texts.mapInArrow(run, f"text_key binary, id {kind}, n bigint, class binary, shingles array<bigint>").dropDuplicates(["text_key"])
 
 
@@ -354,7 +354,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     """
     rows = stored(signed_classes(docs, key, text, similarity).where(F.col("id").isNotNull() & F.col("text_key").isNotNull()))
     at = (F.col(key) == F.col("_id")) & (raw_digest(text) == F.col("_raw"))
-    out = docs.join(rows.where("not stays").select(F.col("id").alias("_id"), F.col("raw").alias("_raw")).distinct(), at, "left_anti")
+    out = docs.join(rows.where("not stays").select(F.col("id").alias("_id"), F.col("raw").alias("_raw")).distinct().hint("merge"), at, "left_anti")
     again = rows.where("stays").groupBy(F.col("id").alias("_id"), F.col("raw").alias("_raw")).count().where("count > 1").drop("count")
     if again.isEmpty():
         return out
