@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from facetflow.session import cut
 
 SOURCES, BLOCKS = 100_000, 200_000  # rows up to which a table of sources or blocks is broadcast
-BLOCK_TOKENS, MOST_BLOCKS = 65_536, 50_000
+BLOCK_TOKENS = 65_536
 
 
 def words(text: Column) -> Column:
@@ -68,8 +68,23 @@ def weights(totals: DataFrame, repetition: float | None, entropy: float | None,
     return a, z, (top / ((top / whole) ** a / z) if cover else float(whole))
 
 
+def block_of(n_blocks: Column, seed: str) -> Column:
+    return F.conv(F.substring(digest(seed, "part", F.col("id")), 1, 12), 16, 10).cast("long") % n_blocks
+
+
+def running(rows: DataFrame, keys: list[str], order: str, tie: str, value: str) -> DataFrame:
+    """rows with rank (from 0) and before (sum of the value over the rows before) by order (a hexadecimal digest), then tie, within keys; a key's rows are dealt out by their order's first digits."""
+    own = rows.withColumn("_p", F.substring(order, 1, 3))
+    sizes = own.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))
+    w = Window.partitionBy(*keys, "_p").orderBy(order, tie)
+    own = own.withColumn("rank", F.row_number().over(w) - 1).withColumn("before", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
+    return own.join(sizes, [*keys, "_p"]).withColumn("rank", F.col("rank") + F.col("_n")).withColumn("before", F.col("before") + F.col("_s")).drop("_p", "_n", "_s")
+
+
 def planned(slim: DataFrame, repetition: float | None, entropy: float | None, cover: bool, seed: str) -> DataFrame:
-    """The plan, one row per block of a source, for slim (name, id, tokens): name, block, epochs (whole ones), last (whether in the part epoch too), rank, cutoff (greatest order digest that is in, null: all), n_blocks."""
+    """The plan, one row per block of a source and epoch that has a place, for slim (name, id, tokens): name, n_blocks, block, epoch, rank, cutoff (greatest order digest that is in, null: all)."""
     totals = cut(slim.groupBy("name").agg(F.sum("tokens").alias("tokens")))
     a, z, budget = weights(totals, repetition, entropy, cover)
     whole = totals.agg(F.sum("tokens")).first()[0] or 1
@@ -79,25 +94,20 @@ def planned(slim: DataFrame, repetition: float | None, entropy: float | None, co
         "name",
         F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("int").alias("epochs"),
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("rest"),
-        F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("int").alias("n_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long").alias("n_blocks"),
     )
     sources = cut(sources)
-    by = with_blocks(slim, sources, seed)
-    order = Window.partitionBy("name").orderBy("order", "block")
-    blocks = (
-        by.groupBy("name", "block").agg(F.sum("tokens").alias("tokens"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))
-        .withColumn("order", digest(seed, "block", F.col("name"), F.col("epochs").cast("string"), F.col("block").cast("string")))
-        .withColumn("rank", (F.row_number().over(order) - 1).cast("int"))
-        .withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
-        .withColumn("last", F.col("before") < F.col("rest"))
-        .withColumn("left", F.when(F.col("last") & (F.col("before") + F.col("tokens") > F.col("rest")), F.col("rest") - F.col("before")))
-    )
-    blocks = cut(blocks.select("name", "block", "epochs", "last", "rank", "left", "n_blocks"))
-    edge = small(blocks.where(F.col("left").isNotNull()).select("name", "block", "left"), SOURCES)
-    keys = by.join(edge, ["name", "block"]).groupBy("name", "left", digest(seed, "row", F.col("epochs").cast("string"), F.col("id")).alias("key")).agg(F.sum("tokens").alias("tokens"))
-    running = Window.partitionBy("name").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    cutoffs = keys.withColumn("before", F.sum("tokens").over(running) - F.col("tokens")).where("before < left").groupBy("name").agg(F.max("key").alias("cutoff"))
-    kept = blocks.join(cutoffs, "name", "left").select("name", "block", "epochs", "last", "rank", F.when(F.col("left").isNotNull(), F.col("cutoff")).alias("cutoff"), "n_blocks")
+    by = slim.join(small(sources, SOURCES), "name").withColumn("block", block_of(F.col("n_blocks"), seed))
+    blocks = by.groupBy("name", "block").agg(F.sum("tokens").alias("tokens"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))
+    blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).withColumn("order", digest(seed, "block", F.col("name"), F.col("epoch").cast("string"), F.col("block").cast("string")))
+    blocks = running(blocks, ["name", "epoch"], "order", "block", "tokens").where((F.col("epoch") < F.col("epochs")) | (F.col("before") < F.col("rest")))
+    left = F.when((F.col("epoch") == F.col("epochs")) & (F.col("before") + F.col("tokens") > F.col("rest")), F.col("rest") - F.col("before"))
+    blocks = cut(blocks.select("name", "n_blocks", "block", "epoch", "rank", left.alias("left")))
+    # at most one block of a source is cut, after the row that fills the budget
+    edge = small(blocks.where(F.col("left").isNotNull()).select("name", "block", "epoch", "left"), SOURCES)
+    keys = by.select("name", "block", "id", "tokens").join(edge, ["name", "block"]).groupBy("name", "left", digest(seed, "row", F.col("epoch").cast("string"), F.col("id")).alias("key")).agg(F.sum("tokens").alias("tokens"), F.min("id").alias("id"))
+    cutoffs = running(keys, ["name", "left"], "key", "id", "tokens").where("before < left").groupBy("name").agg(F.max("key").alias("cutoff"))
+    kept = blocks.join(cutoffs, "name", "left").select("name", "n_blocks", "block", "epoch", "rank", F.when(F.col("left").isNotNull(), F.col("cutoff")).alias("cutoff"))
     return cut(kept)
 
 
@@ -106,20 +116,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_blocks(slim: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
-    hashed = F.conv(F.substring(digest(seed, "part", F.col("id")), 1, 8), 16, 10).cast("long")
-    return slim.join(small(sources, SOURCES), "name").withColumn("block", (hashed % F.col("n_blocks")).cast("int"))
-
-
 def dealt(slim: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
-    """slim's rows with the list `turns` of the epochs in which each has a place (null or empty: none), rank and n_blocks."""
-    counts = small(plan.groupBy("name").agg(F.first("n_blocks").alias("n_blocks"), F.first("epochs").alias("epochs")), SOURCES)
-    hashed = F.conv(F.substring(digest(seed, "part", F.col("id")), 1, 8), 16, 10).cast("long")
-    at = slim.join(counts, "name").withColumn("block", (hashed % F.col("n_blocks")).cast("int")).drop("n_blocks", "epochs")
-    key = digest(seed, "row", F.col("epochs").cast("string"), F.col("id"))
-    in_last = F.col("last") & (F.col("cutoff").isNull() | (key <= F.col("cutoff")))
-    times = F.col("epochs") + F.when(in_last, 1).otherwise(0)
-    return at.join(small(plan, BLOCKS), ["name", "block"]).withColumn("turns", F.when(times > 0, F.sequence(F.lit(0), times - 1)))
+    """slim's rows, once for each epoch in which each has a place, with epoch, rank and order_key."""
+    counts = small(plan.groupBy("name").agg(F.first("n_blocks").alias("n_blocks")), SOURCES)
+    at = slim.join(counts, "name").withColumn("block", block_of(F.col("n_blocks"), seed)).drop("n_blocks")
+    rows = at.join(small(plan.drop("n_blocks"), BLOCKS), ["name", "block"]).withColumn("order_key", digest(seed, "row", F.col("epoch").cast("string"), F.col("id")))
+    return rows.where(F.col("cutoff").isNull() | (F.col("order_key") <= F.col("cutoff")))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", repetition: float | None = 4.0, entropy: float | None = None, cover: bool = False, seed: str = "mix") -> DataFrame:
@@ -129,24 +131,24 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     bisection: the least one at which no source is repeated more than `repetition` times, or the greatest at which the
     weights' entropy (nats) is at least `entropy`. The budget is the corpus's words; with cover=True as many as the largest
     source needs to be used once, so that nothing is left out. A source whose budget is e times its words and a rest gets
-    e whole epochs and one part epoch. Rows of a source are split into blocks of about 65,536 words (at most 50,000 blocks)
-    by a digest of the key; a seeded permutation orders the blocks of the part epoch and the rows of a block (by
-    block_rank, then order_key), which is cut after the row that fills the budget. Whole epochs have the same order.
+    e whole epochs and one part epoch. Rows of a source are split into blocks of about 65,536 words
+    by a digest of the key; each epoch has a seeded permutation of its own of the blocks, and of the rows of a block (by
+    block_rank, then order_key); the part epoch is cut after the row that fills the budget.
 
     A null source is a source of its own; null and empty texts have 0 words and are dealt like others, but a source without
-    words gets nothing. Rows that repeat a key stay together. An empty table gives an empty result. Other columns are ignored.
+    words gets nothing. Rows that repeat a key have the same places; texts of any length count whole. An empty table gives an empty result. Other columns are ignored.
     """
     slim = cut(docs.select(name_of(F.col(source)).alias("name"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("id"), F.col(key).alias("_key"), F.col(source).alias("_source"), words(F.col(text)).alias("tokens")))
     plan = planned(slim.select("name", "id", "tokens"), repetition, entropy, cover, seed)
     rows = dealt(slim, plan, seed)
-    return rows.select(F.col("_key").alias(key), F.col("_source").alias(source), F.explode("turns").alias("epoch"), F.col("rank").alias("block_rank"), digest(seed, "row", F.col("epochs").cast("string"), F.col("id")).alias("order_key"), "tokens")
+    return rows.select(F.col("_key").alias(key), F.col("_source").alias(source), "epoch", F.col("rank").cast("int").alias("block_rank"), "order_key", "tokens")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", repetition: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs with each row once for each epoch in which it has a place, at least once where its source has words; the columns of docs."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name_of(F.col(source)).alias("name"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("id"), words(F.col(text)).alias("tokens"))
     plan = planned(cut(named.select("name", "id", "tokens")), repetition, None, True, seed)
-    return dealt(named.drop("tokens"), plan, seed).select("row", F.explode("turns")).select("row.*")
+    return dealt(named.drop("tokens"), plan, seed).select("row.*")
 
 
 MIX_SQL = """
@@ -162,14 +164,14 @@ b AS (SELECT 0 AS i, 1.0::DOUBLE AS best, 0.0::DOUBLE AS other
 e AS (SELECT CASE WHEN (SELECT f FROM f0) <= 4 THEN 0.0 ELSE ceil(best * 1e6) / 1e6 END AS alpha FROM b WHERE i = 48),
 z AS (SELECT sum(pow(share, alpha)) AS z FROM p, e),
 s0 AS (SELECT name, tokens, CASE WHEN tokens > 0 THEN floor(whole * pow(tokens / whole, alpha) / z + 1e-6)::BIGINT ELSE 0 END AS budget FROM t, a, e, z),
-s AS (SELECT name, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest, least(50000, greatest(1, ceil(tokens / 65536)))::BIGINT AS n_blocks FROM s0),
-d AS (SELECT w.*, s.epochs, s.rest, ('0x' || substr(md5('mix|part|' || id), 1, 8))::BIGINT % n_blocks AS block, md5('mix|row|' || epochs || '|' || id) AS order_key FROM w JOIN s USING (name)),
-k0 AS (SELECT name, block, sum(tokens) AS tokens, any_value(epochs) AS epochs, any_value(rest) AS rest, md5('mix|block|' || name || '|' || any_value(epochs) || '|' || block) AS o FROM d GROUP BY name, block),
-k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o, block) - 1 AS rank, sum(tokens) OVER (PARTITION BY name ORDER BY o, block ROWS UNBOUNDED PRECEDING) - tokens AS before FROM k0),
-g AS (SELECT name, block, rank, before, before < rest AS last, CASE WHEN before < rest AND before + tokens > rest THEN rest - before END AS left_over FROM k),
-c0 AS (SELECT d.name, order_key, any_value(left_over) AS left_over, sum(tokens) AS tokens FROM d JOIN g ON d.name = g.name AND d.block = g.block WHERE left_over IS NOT NULL GROUP BY d.name, order_key),
+s AS (SELECT name, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END::BIGINT AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest, greatest(1, ceil(tokens / 65536))::BIGINT AS n_blocks FROM s0),
+d0 AS (SELECT w.*, s.epochs, s.rest, ('0x' || substr(md5('mix|part|' || id), 1, 12))::BIGINT % n_blocks AS block FROM w JOIN s USING (name)),
+d1 AS (SELECT *, unnest(range(epochs + 1)) AS epoch FROM d0), d AS (SELECT *, md5('mix|row|' || epoch || '|' || id) AS order_key FROM d1),
+k0 AS (SELECT name, epoch, block, sum(tokens) AS tokens, any_value(epochs) AS epochs, any_value(rest) AS rest, md5('mix|block|' || name || '|' || epoch || '|' || block) AS o FROM d GROUP BY name, epoch, block),
+k AS (SELECT *, row_number() OVER (PARTITION BY name, epoch ORDER BY o, block) - 1 AS rank, sum(tokens) OVER (PARTITION BY name, epoch ORDER BY o, block ROWS UNBOUNDED PRECEDING) - tokens AS before FROM k0),
+g AS (SELECT name, epoch, block, rank, CASE WHEN epoch = epochs AND before + tokens > rest THEN rest - before END AS left_over FROM k WHERE epoch < epochs OR before < rest),
+c0 AS (SELECT d.name, order_key, any_value(left_over) AS left_over, sum(tokens) AS tokens FROM d JOIN g ON d.name = g.name AND d.epoch = g.epoch AND d.block = g.block WHERE left_over IS NOT NULL GROUP BY d.name, order_key),
 c1 AS (SELECT *, sum(tokens) OVER (PARTITION BY name ORDER BY order_key ROWS UNBOUNDED PRECEDING) - tokens AS before FROM c0),
-c AS (SELECT name, max(order_key) AS cutoff FROM c1 WHERE before < left_over GROUP BY name),
-r AS (SELECT d.*, g.rank, epochs + CASE WHEN last AND (left_over IS NULL OR order_key <= cutoff) THEN 1 ELSE 0 END AS times FROM d JOIN g ON d.name = g.name AND d.block = g.block LEFT JOIN c ON d.name = c.name)
-SELECT doc_id, source, epoch::INT AS epoch, rank::INT AS block_rank, order_key, tokens FROM (SELECT *, unnest(range(times::BIGINT)) AS epoch FROM r)
+c AS (SELECT name, max(order_key) AS cutoff FROM c1 WHERE before < left_over GROUP BY name)
+SELECT doc_id, source, d.epoch::INT AS epoch, rank::INT AS block_rank, order_key, tokens FROM d JOIN g ON d.name = g.name AND d.epoch = g.epoch AND d.block = g.block LEFT JOIN c ON d.name = c.name WHERE left_over IS NULL OR order_key <= cutoff
 """
