@@ -40,6 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours, wherever the shared folder is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: no lineage, and unlike a checkpoint neither its partitioning nor its constraints, so AQE may split a join of it and the planner has less to infer."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
