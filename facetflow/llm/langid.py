@@ -125,18 +125,20 @@ class Model:
         label = self.labels(self.emissions(distinct)[ids], sizes)
         yield from np.split(label, np.cumsum(sizes)[:-1])
 
-    def verdicts(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Of each text the language of most words (ties: the first by name) and their share; und and 0 without letters."""
-        names, shares = [], []
+    def verdicts(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
+        """Of each text the language of most words (ties: the first by name), their share, and the number of spans; und, 0 and 0 without letters."""
+        names, shares, spans = [], [], []
         for label in self.read(texts):
             if len(label):
                 n = np.bincount(label, minlength=len(self.languages))
                 names.append(self.languages[int(n.argmax())])
                 shares.append(float(n.max() / len(label)))
+                spans.append(1 + int((label[1:] != label[:-1]).sum()))
             else:
                 names.append("und")
                 shares.append(0.0)
-        return names, shares
+                spans.append(0)
+        return names, shares, spans
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
@@ -175,16 +177,16 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
 
 def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, lang_pred, score (share of the words in that language). und and 0 where the text is null or has no letter. Repeated rows give repeated rows; other columns are ignored. Narrow."""
+    """One row per input row: key, lang_pred, score (share of the words in that language), n_spans (of one language each). und and 0 where the text is null or has no letter. Repeated rows give repeated rows; other columns are ignored. Narrow."""
     kind, shared = docs.schema[key].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch.column(1).to_pylist()):
-                names, shares = shared.value.verdicts(texts)
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[key, "lang_pred", "score"])
+                names, shares, spans = shared.value.verdicts(texts)
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.int32())], names=[key, "lang_pred", "score", "n_spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_spans int")
 
 
 def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,13 +213,16 @@ def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch.column(column).to_pylist()):
-                names, shares = shared.value.verdicts(texts)
+                names, shares, _ = shared.value.verdicts(texts)
                 yield batch.slice(at, len(texts)).filter(pa.array([n != "und" and s >= least for n, s in zip(names, shares, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, held_out (crc32 of the key modulo 4 is 2), lang_pred, score for every row of docs, learned from text and lang of the rows of other folds."""
+    """key, held_out (crc32 of the key modulo 4 is 2), lang_pred, score, n_spans for every row of docs, learned from text and lang of the rows of other folds.
+
+    Ties go to the first language by name. Texts of any length are read whole; see predicted for null and empty ones.
+    """
     model = fit(docs.where(fold(key, 4) != 2), lang, text)
-    return predicted(docs, model, key, text).select(key, (fold(key, 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predicted(docs, model, key, text).select(key, (fold(key, 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")

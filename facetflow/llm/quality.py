@@ -71,7 +71,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Bounded by its parameters: DIMENSIONS x LATENT numbers and at most 2 x PER_LABEL latent vectors."""
+    """Bounded by its parameters: DIMENSIONS x LATENT numbers and at most 2 x PER_LABEL latent vectors, by their documents' ids."""
 
     rarity: np.ndarray
     axes: np.ndarray
@@ -84,24 +84,31 @@ class Model:
         if not k:
             return np.full(len(texts), 0.5)
         counts = features(texts, memo)
-        cosines = unit(weighted(counts, self.rarity) @ self.axes) @ self.vectors.T
+        # double precision and rounding: a text's votes don't hang on what else is in its batch
+        cosines = np.round(unit(weighted(counts, self.rarity).astype(np.float64) @ self.axes) @ self.vectors.T, 9)
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        if k < len(self.labels):
+            last = np.take_along_axis(cosines, near, axis=1).min(axis=1, keepdims=True)
+            for row in np.flatnonzero((cosines >= last).sum(axis=1) > k):  # a tie at the last place: the smaller ids vote
+                near[row] = np.argsort(-cosines[row], kind="stable")[:k]
         w = np.clip(np.take_along_axis(cosines, near, axis=1), 0, 1).astype(np.float64) ** 8
         total = w.sum(axis=1)
         votes = (w * self.labels[near]).sum(axis=1)
         return np.where((total > 0) & (counts.sum(axis=1) > 0), np.clip(votes / np.where(total > 0, total, 1), 0, 1), 0.5)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str, per_label: int) -> DataFrame:
-    """id, label and text of at most per_label documents a label, the first by a hash of the key, from folds other than 1 of 3. A document's label is the least of its rows."""
-    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold("id", 3) != 1))
+def labelled(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str, per_label: int, held_out: bool = True) -> DataFrame:
+    """id, label and text of at most per_label documents a label, the first by a hash of the key; held_out: none from fold 1 of 3. A document's label is the least of its rows, and of repeated ids the least text counts."""
+    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    if held_out:
+        known = known.where(fold("id", 3) != 1)
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     first = [known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_label) for v in (0, 1)]
     ids = F.broadcast(first[0].unionByName(first[1]))  # at most 2 x per_label rows
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").dropDuplicates(["id"])
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", per_label: int = PER_LABEL, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", per_label: int = PER_LABEL, seed: int = 5, held_out: bool = True) -> Model:
     """Latent semantic vectors of a bounded sample of labelled documents (per_label a label), made in tasks and gathered as sparse counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
                 cells = [np.flatnonzero(c).astype(np.int32) for c in counts]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(cells, pa.list_(pa.int32())), pa.array([c[i] for c, i in zip(counts, cells, strict=True)], pa.list_(pa.float32()))], names=["id", "label", "cells", "counts"])
 
-    sample = labelled(docs, labels, key, label, text, per_label).select("id", "label", "text")
+    sample = labelled(docs, labels, key, label, text, per_label, held_out).select("id", "label", "text")
     rows = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, label int, cells array<int>, counts array<float>").toArrow().sort_by("id")
     n = rows.num_rows
     counts = np.zeros((n, DIMENSIONS), dtype=np.float32)
@@ -127,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
         probe, _ = np.linalg.qr(x.T @ (x @ probe))
     basis, _ = np.linalg.qr(probe)
     _, _, axes = np.linalg.svd(x @ basis, full_matrices=False)
-    axes = (basis @ axes[:width].T).astype(np.float32)
-    return Model(rarity, axes, unit(x @ axes).astype(np.float32), rows["label"].to_numpy().astype(np.float64) if n else np.zeros(0))
+    axes = (basis @ axes[:width].T).astype(np.float64)
+    return Model(rarity, axes, unit(x.astype(np.float64) @ axes), rows["label"].to_numpy().astype(np.float64) if n else np.zeros(0))
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,5 +167,8 @@ def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
 
 
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out (crc32 of the key modulo 3 is 1), score, predicted (1 if score >= 0.5) for every row of docs; see fit and scored."""
+    """key, held_out (crc32 of the key modulo 3 is 1), score, predicted (1 if score >= 0.5) for every row of docs; see fit and scored.
+
+    The k labelled vectors of the largest cosines vote, of equal ones those of the smaller ids; whole texts of any length count.
+    """
     return scored(docs, fit(docs, labels, key=key, text=text), key, text).select(key, (fold(key, 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -77,7 +77,18 @@ def test_stages_keep_columns(spark, docs, labels, tmp_path):
             out.collect()
     kept = corpus_pipeline.one_of_each(spark, docs, str(tmp_path))
     assert kept.where("doc_id in (3, 4)").count() == 1
-    assert corpus_pipeline.run(spark, str(tmp_path)).where(F.col("doc_id") == 3).count() >= 0
+    assert kept.where("doc_id is null or doc_id in (0, 1, 2)").count() == 4
+    twice = spark.createDataFrame([(1, "a b c d e f g h"), (7, "x y z u v w q r"), (7, "a b c d e f g h"), (9, "x y z u v w q r"), (9, "x y z u v w q r")], "doc_id bigint, text string")
+    rows = near_dup.deduplicated(twice).collect()
+    assert sorted((r["doc_id"], r["text"][0]) for r in rows) == [(1, "a"), (7, "x")]  # one of each class, though an id repeats
+    found = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert not found & {0, 1, 2, 6} and 4 not in found
+
+
+def test_pipeline_of_empty_tables(spark, docs, labels, tmp_path):
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_vectors(spark):
