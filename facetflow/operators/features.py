@@ -162,6 +162,14 @@ def single_linkage(tree: DataFrame, nodes: DataFrame, limit: float, by=("mesh",)
     return nodes.select(*by, "n").join(found, [*by, "n"], "left").select(*by, "n", F.coalesce("cluster", "n").alias("cluster"))
 
 
+def dendrogram_cut(merges: DataFrame, nodes: DataFrame, clusters: int, by=("mesh",)) -> DataFrame:
+    """(by, n, cluster): merges (by, src, dst, w; a tree's edges) replayed in order of w, src, dst until at most so many clusters of nodes (by, n) are left, named by their least node."""
+    sizes = nodes.groupBy(*by).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*by).orderBy("w", "src", "dst")
+    done = merges.withColumn("_r", F.row_number().over(order)).join(sizes, list(by)).where(F.col("_r") <= F.col("_n") - clusters)
+    return single_linkage(done, nodes, float("inf"), by)
+
+
 def chained(parts: DataFrame, by=("mesh",)) -> DataFrame:
     """(by, src, dst): edges that join a mesh's components (by, f, comp) to a chain of their least faces."""
     reps = parts.groupBy(*by, "comp").agg(F.min("f").alias("f"))
@@ -227,15 +235,20 @@ def agglomerated(vectors: DataFrame, adjacent: DataFrame | None, clusters: int,
     return vectors.select(*by, "f", "v").groupBy(*keys).cogroup(joined.select(*by, "src", "dst").groupBy(*keys)).applyInPandas(run, schema)
 
 
-def cosine_neighbours(vectors: DataFrame, k: int, probes: int, keys: str = "id", vector: str = "v") -> DataFrame:
-    """(query, rank, id, score): of rows whose id is below `probes` the k rows of largest cosine; ties to the smaller id. The query set is stated and broadcast if small."""
+def cosine_neighbours(vectors: DataFrame, k: int, every: int, keys: str = "id", vector: str = "v", slots: int = 64) -> DataFrame:
+    """(query, rank, id, score): of each row whose id is divisible by `every` the k other rows of largest cosine; ties to the smaller id.
+
+    All rows are dealt to `slots` by a hash of their id; each query goes to every slot and hands on its k best rows there.
+    """
     unit = vectors.select(F.col(keys).alias("id"), l2_normalised(F.col(vector)).alias("u"))
-    asked = unit.where(F.col("id") < probes).select(F.collect_list(F.struct("id", "u")).alias("asked"))
-    own = unit.join(F.broadcast(asked)).select("id", "u", F.explode("asked").alias("q")).where(F.col("q.id") != F.col("id"))
-    score = F.aggregate(F.zip_with("u", "q.u", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    found = own.select(F.col("q.id").alias("query"), "id", score.alias("score"))
+    asked = unit.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("u").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    own = unit.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")).join(asked.hint("merge"), "slot").where(F.col("query") != F.col("id"))
+    score = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    found = own.select("query", "slot", "id", score.alias("score"))
+    best = Window.partitionBy("slot", "query").orderBy(F.desc("score"), "id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def merged_by_index(targets: DataFrame, features: DataFrame, index: str = "idx") -> DataFrame:

@@ -273,3 +273,15 @@ def surface_samples(faces: DataFrame, vertices: DataFrame, n: int, seed: int = 0
     own = p.select(*by, "f", "p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).withColumn("a", F.sqrt(u(1))).withColumn("b", u(2))
     at = lambda i, c: F.get("p", F.lit(i))[c]
     return own.select(*by, "f", "k", *[((1 - F.col("a")) * at(0, c) + F.col("a") * (1 - F.col("b")) * at(1, c) + F.col("a") * F.col("b") * at(2, c)).alias(c) for c in AXES])
+
+
+def cleaned_mesh(vertices: DataFrame, faces: DataFrame, cell: float, by=BY) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) with vertices of one grid cell merged into the least of them, faces that lost a corner or repeat another's corners left out (the least stays), and vertices that no face names."""
+    place = [F.floor(F.col(c) / cell) for c in AXES]
+    near = vertices.select(*by, "v", F.min("v").over(Window.partitionBy(*by, *place)).alias("to"))
+    corners = faces.select(*by, "f", F.posexplode("v").alias("i", "v")).join(near, [*by, "v"])
+    own = corners.groupBy(*by, "f").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "to"))), lambda s: s["to"]).alias("v"))
+    own = own.where(F.size(F.array_distinct("v")) == F.size("v"))
+    own = own.withColumn("_r", F.row_number().over(Window.partitionBy(*by, F.array_sort("v")).orderBy("f"))).where("_r = 1").drop("_r")
+    used = own.select(*by, F.explode("v").alias("v")).distinct()
+    return vertices.join(used, [*by, "v"], "left_semi"), own

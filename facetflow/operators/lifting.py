@@ -6,6 +6,9 @@ Ties go to the smallest label.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,15 +108,64 @@ def lifted(winners: DataFrame, votes: DataFrame, hooks: DataFrame, merge: str =
     return hooked.groupBy(*by, "f", "label").agg(F.sum("n").alias("n")).groupBy(*by, "f").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
 
 
-def lift(pixels: DataFrame, vote: int = 16, pair: int = 32, resolution: int = 100, share: float = 0.125, floor: float = 16.0, merge: str = "last_view", by=BY) -> dict[str, DataFrame]:
-    """All steps but the components: their tables by name. What several steps read is cut off, so it is made once."""
-    v = votes(pixels, vote, by)
-    w = cut(winners(v, by))
-    o = overlaps(w, by)
-    r = ratios(o, pair, by)
-    left = cut(without(r, promiscuous(degrees(o, r, by), 0.95, floor, by), by))
-    t = ratio_threshold(left, resolution, share, by=by)
-    return {"votes": v, "winners": w, "overlaps": o, "ratios": r, "left": left, "threshold": t, "edges": mutual(left, t, by)}
+@dataclass
+class Lift:
+    """All steps, each made when it is asked for; pixels (by, view, f, label). What several later steps read is cut off, so it is made once."""
+
+    pixels: DataFrame
+    vote: int = 16
+    pair: int = 32
+    resolution: int = 100
+    share: float = 0.125
+    floor: float = 16.0
+    by: tuple[str, ...] = BY
+
+    @cached_property
+    def votes(self) -> DataFrame:
+        return votes(self.pixels, self.vote, self.by)
+
+    @cached_property
+    def winners(self) -> DataFrame:
+        return winners(self.votes, self.by)
+
+    @cached_property
+    def overlaps(self) -> DataFrame:
+        return overlaps(self.winners, self.by)
+
+    @cached_property
+    def _overlaps(self) -> DataFrame:
+        return cut(self.overlaps)
+
+    @cached_property
+    def ratios(self) -> DataFrame:
+        return ratios(self.overlaps, self.pair, self.by)
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        return degrees(self._overlaps, ratios(self._overlaps, self.pair, self.by), self.by)
+
+    @cached_property
+    def left(self) -> DataFrame:
+        return without(ratios(self._overlaps, self.pair, self.by), promiscuous(self.degrees, 0.95, self.floor, self.by), self.by)
+
+    @cached_property
+    def _left(self) -> DataFrame:
+        return cut(self.left)
+
+    @cached_property
+    def threshold(self) -> DataFrame:
+        return ratio_threshold(self.left, self.resolution, self.share, by=self.by)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return mutual(self._left, ratio_threshold(self._left, self.resolution, self.share, by=self.by), self.by)
+
+    @cached_property
+    def hooks(self) -> DataFrame:
+        return hooks(self.edges, self.by)
+
+    def lifted(self, merge: str = "last_view") -> DataFrame:
+        return lifted(self.winners, self.votes, self.hooks, merge, self.by)
 
 
 def label_statistics(labels: DataFrame, by=BY) -> DataFrame:

@@ -360,3 +360,27 @@ def scaled_points(x: Column, y: Column, w: Column, h: Column, resolution: int) -
 def box_prompt(box: list[Column]) -> Column:
     """A box as two corner points labelled 2 and 3."""
     return F.array(F.struct(box[0].alias("x"), box[1].alias("y"), F.lit(2).alias("label")), F.struct(box[2].alias("x"), box[3].alias("y"), F.lit(3).alias("label")))
+
+
+# --- cues, annotations and candidates ---------------------------------------------------------------
+
+def of_cues(cues: dict[str, DataFrame], by=BY) -> DataFrame:
+    """Masks of several cues as one table: pixels (by, cue, mask, y, x), masks numbered from 1 in order of cue and mask."""
+    rows = None
+    for name, own in cues.items():
+        own = own.select(*by, F.lit(name).alias("cue"), F.col("mask").alias("_old"), "y", "x")
+        rows = own if rows is None else rows.unionByName(own)
+    numbers = rows.select(*by, "cue", "_old").distinct().withColumn("mask", F.row_number().over(Window.partitionBy(*by).orderBy("cue", "_old")))
+    return rows.join(numbers, [*by, "cue", "_old"]).select(*by, "cue", "mask", "y", "x")
+
+
+def annotation_kind(json: Column) -> Column:
+    """What an annotation is: polygons (a list), counts (an object with a list of counts), coded (with a string of them), none."""
+    counts = F.get_json_object(json, "$.counts")
+    return F.when(F.ltrim(json).startswith("["), "polygons").when(counts.startswith("["), "counts").when(counts.isNotNull(), "coded").otherwise("none")
+
+
+def best_of_queries(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cand, logit, multi): of each query the candidate of the highest logit (ties: the smaller), and all of them by candidate."""
+    rows = F.array_sort(F.collect_list(F.struct("cand", "logit")))
+    return candidates.groupBy(*keys).agg(F.max_by(F.struct("cand", "logit"), F.struct("logit", -F.col("cand"))).alias("b"), rows.alias("multi")).select(*keys, "b.cand", "b.logit", "multi")

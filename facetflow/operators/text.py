@@ -33,8 +33,8 @@ def unescaped(text: Column) -> Column:
     return run(text)
 
 
-#: Contractions, letters, single digits, runs of other signs.
-PIECES = "(?i)'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-ÿ]+|[0-9]|[^\\sa-zA-ZÀ-ÖØ-öø-ÿ0-9]+"
+# Fixed value: contractions, letters, single digits, runs of other signs. White space is spelt out, as regular expression engines differ in it.
+PIECES = "(?i)'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}\\p{L}\\p{N}]+"
 
 
 def pre_tokens(text: Column) -> Column:

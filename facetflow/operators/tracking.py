@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetflow.session import cut
+
 BY = ("session",)
 
 
@@ -93,12 +95,27 @@ def assigned(pairs: DataFrame, least: float, by=BY) -> DataFrame:
 
 # --- counters and statuses of a track: frames (by, obj, frame, matched) ---------------------------
 
-def keep_alive(frames: DataFrame, start: int, most: int, least: int, by=BY) -> DataFrame:
-    """frames with alive: a counter from `start`, up by one on a match to `most`, down by one on a miss to `least`. A track's frames are one array."""
-    rows = frames.groupBy(*by, "obj").agg(F.array_sort(F.collect_list(F.struct("frame", "matched"))).alias("all"))
-    step = f"greatest({least}, least({most}, IF(size(done) = 0, {start}, element_at(done, -1).alive) + IF(r.matched, 1, -1)))"
-    fold = F.expr(f"aggregate(all, cast(array() as array<struct<frame: bigint, matched: boolean, alive: int>>), (done, r) -> concat(done, array(named_struct('frame', cast(r.frame as bigint), 'matched', r.matched, 'alive', {step}))))")
-    return rows.select(*by, "obj", F.explode(fold).alias("r")).select(*by, "obj", "r.frame", "r.matched", "r.alive")
+def keep_alive(frames: DataFrame, start: int, most: int, least: int, chunk: int = 256, by=BY) -> DataFrame:
+    """frames with alive: a counter from `start`, up by one on a match to `most`, down by one on a miss to `least`.
+
+    Add-and-clamp steps compose to one such step (shift, low, high). A track's frames are cut into chunks of bounded size; the steps of
+    chunks give each chunk's first value, from which its frames are counted. least <= start <= most.
+    """
+    keys = [*by, "obj"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("frame")) - 1
+    rows = frames.select(*keys, "frame", "matched", F.floor(place / chunk).alias("chunk")).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("frame", "matched"))).alias("all"))
+    up, clamp = "IF(r.matched, 1, -1)", lambda v: f"greatest({least}, least({most}, {v}))"
+    step = f"named_struct('shift', f.shift + {up}, 'low', {clamp(f'f.low + {up}')}, 'high', {clamp(f'f.high + {up}')})"
+    rows = cut(rows.withColumn("f", F.expr(f"aggregate(all, named_struct('shift', 0, 'low', {least}, 'high', {most}), (f, r) -> {step})")))
+    steps = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("steps"))
+    after = "least(s.f.high, greatest(s.f.low, element_at(done, -1) + s.f.shift))"
+    firsts = steps.select(*keys, "steps", F.expr(f"aggregate(steps, array({start}), (done, s) -> concat(done, array({after})))").alias("first"))
+    firsts = firsts.select(*keys, F.posexplode("steps").alias("i", "s"), "first").select(*keys, F.col("s.chunk").alias("chunk"), F.get("first", F.col("i")).alias("first"))
+    last = "element_at(done, -1).alive"
+    fold = F.expr(
+        f"slice(aggregate(all, array(named_struct('frame', cast(null as bigint), 'matched', false, 'alive', first)), (done, r) -> concat(done, array(named_struct('frame', cast(r.frame as bigint), 'matched', r.matched, 'alive', {clamp(f'{last} + {up}')})))), 2, size(all))"
+    )
+    return rows.join(firsts, [*keys, "chunk"]).select(*keys, F.explode(fold).alias("r")).select(*keys, "r.frame", "r.matched", "r.alive")
 
 
 def confirmed(frames: DataFrame, needed: int, by=BY) -> DataFrame:
@@ -185,16 +202,23 @@ def dense_index(objects: DataFrame, by=BY) -> DataFrame:
 
 # --- history --------------------------------------------------------------------------------------
 
+def _numbered(queries: DataFrame, frames: DataFrame, by) -> tuple[DataFrame, DataFrame]:
+    """(queries (by, q, r): how many frames of its session come before q; frames (by, frame, i): numbered from 1)."""
+    rows = queries.select(*by, F.col("q").alias("at"), F.lit(0).alias("is_frame")).distinct().unionByName(frames.select(*by, F.col("frame").alias("at"), F.lit(1).alias("is_frame")).distinct())
+    rows = rows.withColumn("n", F.sum("is_frame").over(Window.partitionBy(*by).orderBy("at", "is_frame").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("is_frame = 0").select(*by, F.col("at").alias("q"), F.col("n").alias("r")), rows.where("is_frame = 1").select(*by, F.col("at").alias("frame"), F.col("n").alias("i"))
+
+
 def closest_frames(queries: DataFrame, frames: DataFrame, k: int, by=BY) -> DataFrame:
     """(by, q, frame): k conditioning frames nearest to q: the closest before, the closest at or after, then by distance (ties: the earlier).
 
-    An as-of join in both directions; the candidates of a query are its session's conditioning frames, which are few.
+    Only the k frames on either side of q can be among them; they are found by their numbers in the session's order.
     """
-    own = queries.join(frames, list(by)).withColumn("d", F.abs(F.col("frame") - F.col("q")))
-    side = Window.partitionBy(*by, "q", F.col("frame") < F.col("q")).orderBy("d")
-    own = own.withColumn("near", (F.row_number().over(side) == 1).cast("int"))
-    order = Window.partitionBy(*by, "q").orderBy(F.desc("near"), "d", "frame")
-    return own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*by, "q", "frame")
+    asked, own = _numbered(queries, frames, by)
+    own = asked.withColumn("i", F.explode(F.sequence(F.col("r") - k + 1, F.col("r") + k))).join(own, [*by, "i"]).withColumn("d", F.abs(F.col("frame") - F.col("q")))
+    near = F.col("i").isin(F.col("r"), F.col("r") + 1).cast("int")
+    order = Window.partitionBy(*by, "q").orderBy(F.desc(near), "d", "frame")
+    return own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select(*by, "q", "frame")
 
 
 def strided_history(queries: DataFrame, frames: DataFrame, k: int, stride: int, by=BY) -> DataFrame:
@@ -205,9 +229,11 @@ def strided_history(queries: DataFrame, frames: DataFrame, k: int, stride: int,
 
 def scored_history(queries: DataFrame, frames: DataFrame, k: int, least: float, by=BY) -> DataFrame:
     """(by, q, frame): the last k frames before q of a score above `least`; the one just before always."""
-    own = queries.join(frames, list(by)).where((F.col("frame") < F.col("q")) & ((F.col("score") > least) | (F.col("frame") == F.col("q") - 1)))
+    asked, own = _numbered(queries, frames.where(F.col("score") > least), by)
+    good = asked.withColumn("i", F.explode(F.sequence(F.col("r") - k + 1, F.col("r")))).join(own, [*by, "i"]).select(*by, "q", "frame")
+    just = queries.select(*by, "q", (F.col("q") - 1).alias("frame")).join(frames, [*by, "frame"], "left_semi")
     order = Window.partitionBy(*by, "q").orderBy(F.desc("frame"))
-    return own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*by, "q", "frame")
+    return good.unionByName(just).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select(*by, "q", "frame")
 
 
 def evicted(outputs: DataFrame, corrections: DataFrame, reach: int, by=BY) -> DataFrame:
@@ -295,3 +321,19 @@ def dense_records(outputs: DataFrame, objects: DataFrame, frames: DataFrame, by=
 def shard(frame: Column, workers: int) -> Column:
     """Frames dealt to workers in turn."""
     return F.pmod(frame, F.lit(workers)).cast("int")
+
+
+def session_states(requests: DataFrame, by=BY) -> DataFrame:
+    """(by, open, objs): after requests (by, seq, type, obj) of start, add, remove, reset and close, whether a session is open, and its objects.
+
+    A start opens a session (an open one goes on); reset and close leave no objects, close is idempotent and what comes after it
+    before the next start counts for nothing. An object is there if its last add is after the last reset, close and its last remove.
+    """
+    w = Window.partitionBy(*by).orderBy("seq")
+    turn = F.last(F.when(F.col("type").isin("start", "close"), F.col("type")), ignorenulls=True)
+    own = requests.withColumn("_on", F.coalesce(turn.over(w) == "start", F.lit(False)))
+    emptied = own.groupBy(*by).agg(F.max_by("_on", "seq").alias("open"), F.max(F.when(F.col("type").isin("reset", "close"), F.col("seq"))).alias("_e"))
+    last = own.where("_on").groupBy(*by, "obj").agg(F.max(F.when(F.col("type") == "add", F.col("seq"))).alias("_a"), F.max(F.when(F.col("type") == "remove", F.col("seq"))).alias("_r"))
+    there = last.join(emptied, list(by)).where((F.col("_a") > F.coalesce("_e", F.lit(-1))) & (F.col("_a") > F.coalesce("_r", F.lit(-1))))
+    objs = there.groupBy(*by).agg(F.array_sort(F.collect_list("obj")).alias("objs"))
+    return emptied.join(objs, list(by), "left").select(*by, "open", F.coalesce("objs", F.array().cast(objs.schema["objs"].dataType)).alias("objs"))

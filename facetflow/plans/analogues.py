@@ -33,3 +33,12 @@ def poses(spark: SparkSession) -> DataFrame:
 
 #: The third column of poses(), applied to a normal.
 FACING_SQL = "abs(nx * (view / 10.0::DOUBLE) + ny * (1 - view / 10.0::DOUBLE) + nz * 0.5) > 0.05"
+
+
+def numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Numbers of made images and meshes, five suppliers each, so that they grow with the tables; at least three."""
+    return table(spark, sf_dir, "supplier").select(F.expr("cast(s_suppkey div 5 as int)").alias(name)).distinct()
+
+
+#: The same numbers.
+NUMBERS_SQL = "(SELECT DISTINCT (s_suppkey // 5)::INT FROM supplier)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.operators import features, labels, text
-from facetflow.plans.analogues import table
+from facetflow.plans.analogues import numbered, table
 from facetflow.plans.lifting_queries import rounded
 from facetflow.plans.mesh_queries import GRID_SQL, face_labels, faces, shapes, vertices
 from facetflow.session import cut, shared_dir
@@ -77,22 +77,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY mesh, centre ORDER BY dx * dx +
 
 
 def cosine_top_k(spark, sf_dir):
-    return rounded(features.cosine_neighbours(_vectors(spark, sf_dir), 5, 20), 6)
+    return rounded(features.cosine_neighbours(_vectors(spark, sf_dir), 5, 50), 6)
 
 
-COSINE_SQL = "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.id AS query, b.id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id < 20) SELECT query, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"
+COSINE_SQL = "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.id AS query, b.id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0) SELECT query, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"
 
 
-def _links(spark, sf_dir, whole=False) -> DataFrame:
-    """A sparse graph on the vectors' ids with distinct weights: of all ids, or of those that LINK_SQL holds."""
+def _links(spark, sf_dir) -> DataFrame:
+    """A sparse graph on the vectors' ids with distinct weights."""
     own = _vectors(spark, sf_dir).select((F.col("label") % 2).alias("mesh"), F.col("id").alias("src"), F.explode(F.array(F.lit(2), F.lit(6), F.lit(14))).alias("step"))
     own = own.withColumn("dst", F.col("src") + F.col("step"))
-    own = own.join(_vectors(spark, sf_dir).select(F.col("id").alias("dst")), "dst", "left_semi") if whole else own.where("dst < 500")
+    own = own.join(_vectors(spark, sf_dir).select(F.col("id").alias("dst")), "dst", "left_semi")
     return own.withColumn("w", F.pmod(F.col("src") * 7919 + F.col("step") * 104729, F.lit(10007)) / 10.0).select("mesh", "src", "dst", "w")
 
 
 def mst(spark, sf_dir):
-    return features.spanning_tree(_links(spark, sf_dir, whole=True)).select("mesh", "src", "dst", "w")
+    return features.spanning_tree(_links(spark, sf_dir)).select("mesh", "src", "dst", "w")
 
 
 def single_linkage(spark, sf_dir):
@@ -101,18 +101,18 @@ def single_linkage(spark, sf_dir):
     return features.single_linkage(tree, nodes, 600.0)
 
 
-LINK_SQL = "WITH RECURSIVE lk AS (SELECT label % 2 AS mesh, vec_id AS src, vec_id + s AS dst, ((vec_id * 7919 + s * 104729) % 10007) / 10.0 AS w FROM embeddings, (VALUES (2), (6), (14)) t(s) WHERE vec_id + s < 500)"
+LINK_SQL = "WITH RECURSIVE lk AS (SELECT label % 2 AS mesh, vec_id AS src, vec_id + s AS dst, ((vec_id * 7919 + s * 104729) % 10007) / 10.0 AS w FROM embeddings, (VALUES (2), (6), (14)) t(s) WHERE vec_id + s IN (SELECT vec_id FROM embeddings))"
 LINKAGE_SQL = LINK_SQL + ", b AS (SELECT mesh, src AS a, dst AS b FROM lk WHERE w <= 600 UNION SELECT mesh, dst, src FROM lk WHERE w <= 600), n AS (SELECT mesh, src AS n FROM lk UNION SELECT mesh, dst FROM lk), r AS (SELECT mesh, n, n AS c FROM n UNION SELECT r.mesh, b.b, r.c FROM r JOIN b ON b.mesh = r.mesh AND b.a = r.n) SELECT mesh, n, min(c) AS cluster FROM r GROUP BY ALL"
 
 
 def chained(spark, sf_dir):
-    parts = labels.label_components(face_labels(spark), labels.adjacency(faces(spark)))
+    parts = labels.label_components(face_labels(spark, sf_dir), labels.adjacency(faces(spark, sf_dir)))
     return features.chained(parts)
 
 
 def representatives(spark, sf_dir):
-    parts = labels.label_components(face_labels(spark), labels.adjacency(faces(spark)))
-    return features.representatives(parts.join(shapes(spark).select("mesh", "f", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), ["mesh", "f"])).withColumn("mesh", F.col("mesh"))
+    parts = labels.label_components(face_labels(spark, sf_dir), labels.adjacency(faces(spark, sf_dir)))
+    return features.representatives(parts.join(shapes(spark, sf_dir).select("mesh", "f", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), ["mesh", "f"])).withColumn("mesh", F.col("mesh"))
 
 
 def k_means(spark, sf_dir):
@@ -128,13 +128,14 @@ def gmm(spark, sf_dir):
 
 
 def agglomerated(spark, sf_dir):
-    own = _vectors(spark, sf_dir).where("id < 120").select((F.col("label") % 2).alias("mesh"), F.col("id").alias("f"), "v")
+    """Meshes of 128 vectors: more vectors are more meshes."""
+    own = _vectors(spark, sf_dir).select(F.expr("cast(id div 128 as int)").alias("mesh"), F.col("id").alias("f"), "v")
     return features.agglomerated(own, None, 6)
 
 
-def merged_by_index(spark, sf_dir, whole=False):
+def merged_by_index(spark, sf_dir):
     targets = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 60 - 1).alias("idx"))
-    return features.merged_by_index(targets, _points(spark, sf_dir).where(F.lit(whole) | (F.col("id") < 50)).select("id", F.round("value", 6).alias("value"))).select("p_partkey", "idx", "value")
+    return features.merged_by_index(targets, _points(spark, sf_dir).select("id", F.round("value", 6).alias("value"))).select("p_partkey", "idx", "value")
 
 
 def small_functions(spark, sf_dir):
@@ -184,30 +185,42 @@ def source_options(spark, sf_dir):
 def obj_round_trip(spark, sf_dir):
     """Meshes written as OBJ text, read again by the mesh reader."""
     folder = f"{shared_dir(spark)}/obj-{uuid.uuid4().hex}"
-    own = labels.fill_rest(face_labels(spark), faces(spark)).join(faces(spark), ["mesh", "f"])
-    lines = meshes.obj_lines(vertices(spark), own)
+    own = labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir)).join(faces(spark, sf_dir), ["mesh", "f"])
+    lines = meshes.obj_lines(vertices(spark, sf_dir), own)
     meshes.write_obj(lines, folder)
-    read = spark.read.option("recursiveFileLookup", "false").text(folder)
-    return read.groupBy("mesh").agg(F.count_if(F.col("value").startswith("v ")).alias("vertices"), F.count_if(F.col("value").startswith("f ")).alias("faces"), F.count_if(F.col("value").startswith("usemtl")).alias("materials"))
+    own, triangles = meshes.mesh(spark, folder, kind="obj")
+    corners = F.aggregate("v", F.lit(0), lambda a, b: a + b)
+    materials = spark.read.text(folder).where(F.col("value").startswith("usemtl")).groupBy("mesh").agg(F.count("*").alias("materials"))
+    found = own.groupBy("mesh").agg(F.count("*").alias("vertices"), F.round(F.sum("z"), 4).alias("z")).join(triangles.groupBy("mesh").agg(F.count("*").alias("faces"), F.sum(corners).alias("corners")), "mesh")
+    return found.withColumn("mesh", F.col("mesh").cast("int")).join(materials, "mesh").select("mesh", "vertices", "faces", "materials", "z", "corners")
+
+
+def ply_round_trip(spark, sf_dir):
+    """Vertices written as ascii PLY, with colours and faces, read again by the mesh reader."""
+    folder = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}"
+    own = vertices(spark, sf_dir).select("mesh", "v", "x", "y", "z", *[(F.col("v") * k % 256).cast("int").alias(c) for k, c in ((3, "r"), (5, "g"), (7, "b"))])
+    meshes.write_obj(meshes.ply_lines(own, faces(spark, sf_dir)), folder)
+    return rounded(meshes.mesh(spark, folder, kind="ply")[0].withColumn("mesh", F.col("mesh").cast("int")), 6)
 
 
 def label_json_round_trip(spark, sf_dir):
     folder = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
-    meshes.labels_json(face_labels(spark)).write.partitionBy("mesh").text(folder)
+    meshes.labels_json(face_labels(spark, sf_dir)).write.partitionBy("mesh").text(folder)
     return spark.read.text(folder).select("mesh", F.explode(F.from_json("value", "map<string,int>")).alias("f", "label")).select("mesh", F.col("f").cast("int").alias("f"), "label")
 
 
 def changed_rows(spark, sf_dir):
-    lines = meshes.obj_lines(vertices(spark), face_labels(spark).join(faces(spark), ["mesh", "f"]))
+    lines = meshes.obj_lines(vertices(spark, sf_dir), face_labels(spark, sf_dir).join(faces(spark, sf_dir), ["mesh", "f"]))
     return lines.where("part = 1").select("mesh", F.col("id").cast("int").alias("id"), "line")
 
 
 def label_gaps(spark, sf_dir):
-    return meshes.gaps(face_labels(spark).select("mesh", "f"))
+    return meshes.gaps(face_labels(spark, sf_dir).select("mesh", "f"))
 
 
 def not_processed(spark, sf_dir):
-    return meshes.not_yet_done(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")
+    """Customers without a finished order."""
+    return meshes.not_yet_done(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")
 
 
 def natural_order(spark, sf_dir):
@@ -215,16 +228,16 @@ def natural_order(spark, sf_dir):
 
 
 def scene(spark, sf_dir):
-    shapes_ = vertices(spark).select(F.lit("s").alias("scene"), F.col("mesh").cast("string").alias("name"), "v", "x", "y", "z")
-    poses = spark.range(3).select(F.lit("s").alias("scene"), F.col("id").cast("string").alias("name"), F.array(*[F.lit(1.0) if i % 5 == 0 else (F.col("id") * 10.0 if i == 3 else F.lit(0.0)) for i in range(16)]).alias("m"))
+    shapes_ = vertices(spark, sf_dir).select(F.lit("s").alias("scene"), F.col("mesh").cast("string").alias("name"), "v", "x", "y", "z")
+    poses = numbered(spark, sf_dir, "id").select(F.lit("s").alias("scene"), F.col("id").cast("string").alias("name"), F.array(*[F.lit(1.0) if i % 5 == 0 else (F.col("id") * 10.0 if i == 3 else F.lit(0.0)) for i in range(16)]).alias("m"))
     return rounded(meshes.scene(shapes_, poses), 6)
 
 
 QUERIES = {
     "l2_normalise": l2, "mean_vectors": mean_vectors, "plane_scatter_mean": plane_mean, "pool_gather": pool_gather, "plane_sample": plane_sample, "voxel_mean": voxel_mean, "voxel_sample": voxel_sample, "ball_query": ball_query, "cosine_top_k": cosine_top_k,
-    "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "index_merge_whole": lambda s, d: merged_by_index(s, d, whole=True), "vector_functions": small_functions, "masked_mean": masked_means,
+    "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "vector_functions": small_functions, "masked_mean": masked_means,
     "canonical_text": canonical, "pretokenise": pre_tokens, "byte_pairs": byte_pairs, "unescaped_text": unescaped, "colour_text": colours, "source_options": source_options,
-    "obj_round_trip": obj_round_trip, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
+    "obj_round_trip": obj_round_trip, "ply_round_trip": ply_round_trip, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
 }
 POOL = " + ".join(f"max(value) OVER (PARTITION BY mesh, {CELL.format(c=a)}, {CELL.format(c=b)})" for a, b in (("x", "y"), ("x", "z"), ("y", "z")))
 ORACLES = {
@@ -234,7 +247,7 @@ ORACLES = {
     "pool_gather": POINT_SQL + f" SELECT id, round({POOL}, 6) AS pooled FROM p",
     "plane_sample": SAMPLE_SQL, "voxel_mean": VOXEL_SQL + " SELECT mesh, vx, vy, vz, round(value, 6) AS value FROM vx", "voxel_sample": VOXEL_SAMPLE_SQL, "ball_query": BALL_SQL, "cosine_top_k": COSINE_SQL, "single_linkage": LINKAGE_SQL,
     "component_chain": GRID_SQL + ", c AS (SELECT mesh, comp, min(f) AS f FROM cmp GROUP BY ALL) SELECT * FROM (SELECT mesh, f AS src, lead(f) OVER (PARTITION BY mesh ORDER BY comp) AS dst FROM c) WHERE dst IS NOT NULL",
-    "index_merge": "WITH e AS (SELECT vec_id AS id, round(embedding[4]::DOUBLE + 0.5, 6) AS value FROM embeddings WHERE vec_id < 50) SELECT p_partkey, p_partkey % 60 - 1 AS idx, coalesce(value, 0)::DOUBLE AS value FROM part LEFT JOIN e ON e.id = p_partkey % 60 - 1",
+    "index_merge": "WITH e AS (SELECT vec_id AS id, round(embedding[4]::DOUBLE + 0.5, 6) AS value FROM embeddings) SELECT p_partkey, p_partkey % 60 - 1 AS idx, coalesce(value, 0)::DOUBLE AS value FROM part LEFT JOIN e ON e.id = p_partkey % 60 - 1",
     "vector_functions": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({'sin' if i % 2 == 0 else 'cos'}(l_discount * 2 * pi() / pow(10000, {2 * (i // 2) / 4})), 6) AS w{i}" for i in range(4)) + ", round(ln(greatest(l_discount, 1e-3) / greatest(1 - l_discount, 1e-3)), 6) AS logit, round(least(greatest((l_discount * 100 - l_tax * 50 + 3 * l_quantity) / sqrt(3), -12), 12), 6) AS score FROM lineitem",
     "masked_mean": "SELECT l_suppkey, round(coalesce(avg(l_tax) FILTER (l_discount > 0.095::DOUBLE), 0), 6) AS mean FROM lineitem GROUP BY ALL",
     "canonical_text": "SELECT p_partkey, trim(regexp_replace(lower(translate(replace(' The_' || p_name || ' (No. 5)!,  ' || p_brand, '_', ' '), '!\"#$%&''()*+,-./:;<=>?@[\\]^`{|}~', '')), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM part",
@@ -242,12 +255,12 @@ ORACLES = {
     "unescaped_text": "SELECT p_partkey, trim(regexp_replace('a & b  ' || p_name || ' <i> ', ' +', ' ', 'g')) AS text FROM part",
     "colour_text": "SELECT p_partkey, round(CASE p_size % 3 WHEN 0 THEN p_size / 255 WHEN 1 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS r, round(CASE p_size % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.25 ELSE 1 END, 6)::DOUBLE AS g, 1.0::DOUBLE AS b FROM part",
     "source_options": "SELECT p_partkey, 'fast_' || p_size || ',slow' AS found FROM part",
-    "obj_round_trip": GRID_SQL + ", st AS (SELECT fc.mesh, fc.f, coalesce(label, 0) AS label FROM fc LEFT JOIN lb USING (mesh, f)) SELECT mesh, (SELECT count(*) FROM vt WHERE vt.mesh = st.mesh) AS vertices, count(*) AS faces, count(DISTINCT label) AS materials FROM st GROUP BY mesh",
+    "obj_round_trip": GRID_SQL + ", st AS (SELECT fc.mesh, fc.f, coalesce(label, 0) AS label FROM fc LEFT JOIN lb USING (mesh, f)) SELECT mesh, (SELECT count(*) FROM vt WHERE vt.mesh = st.mesh) AS vertices, count(*) AS faces, count(DISTINCT label) AS materials, (SELECT round(sum(z), 4) FROM vt WHERE vt.mesh = st.mesh) AS z, sum(v[1] + v[2] + v[3])::BIGINT AS corners FROM st JOIN fc USING (mesh, f) GROUP BY mesh",
+    "ply_round_trip": GRID_SQL + "SELECT mesh, v::BIGINT AS v, x, y, z FROM vt",
     "label_json_round_trip": GRID_SQL + "SELECT mesh, f, label FROM lb",
     "change_rows": GRID_SQL + ", o AS (SELECT lb.mesh, label, v, row_number() OVER w AS id, lag(label) OVER w AS before FROM lb JOIN fc USING (mesh, f) WINDOW w AS (PARTITION BY lb.mesh ORDER BY label, lb.f)) SELECT mesh, id::INT AS id, CASE WHEN before IS DISTINCT FROM label THEN 'usemtl label_' || label || chr(10) ELSE '' END || 'f ' || (v[1] + 1) || ' ' || (v[2] + 1) || ' ' || (v[3] + 1) AS line FROM o",
     "label_gaps": GRID_SQL + "SELECT mesh, count(DISTINCT f) AS faces, max(f) AS last FROM lb GROUP BY mesh HAVING min(f) <> 0 OR max(f) + 1 <> count(DISTINCT f)",
-    "anti_processed": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "anti_processed": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F')",
     "natural_order": "SELECT page_id, page_id::INT AS place FROM pages",
     "scene_flatten": GRID_SQL + "SELECT 's' AS scene, mesh::VARCHAR AS name, v, round(x + 10 * mesh, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM vt",
 }
-ORACLES["index_merge_whole"] = ORACLES["index_merge"].replace(" WHERE vec_id < 50", "")

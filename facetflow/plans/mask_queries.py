@@ -6,33 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.operators import masks
-from facetflow.plans.analogues import table
+from facetflow.plans.analogues import NUMBERS_SQL, numbered, table
 from facetflow.plans.lifting_queries import rounded
 from facetflow.session import cut
 
-H, W, IMAGES, MASKS = 16, 18, 3, 4
-INSIDE = "(y - 3 * mask) * (y - 3 * mask) + (x - 2 * mask - img) * (x - 2 * mask - img) <= (3 + mask) * (3 + mask) AND (y * 7 + x * 5 + mask) % 29 <> 0 OR (y * 31 + x * 17 + mask * 7 + img * 3) % 53 = 0"
+H, W, MASKS = 16, 18, 4
+INSIDE = "(y - 3 * mask) * (y - 3 * mask) + (x - 2 * mask - img % 3) * (x - 2 * mask - img % 3) <= (3 + mask) * (3 + mask) AND (y * 7 + x * 5 + mask) % 29 <> 0 OR (y * 31 + x * 17 + mask * 7 + img * 3) % 53 = 0"
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    return spark.range(IMAGES * H * W).select(F.expr(f"cast(id div {H * W} as int)").alias("img"), F.expr(f"cast(id div {W} % {H} as int)").alias("y"), F.expr(f"cast(id % {W} as int)").alias("x"))
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(spark, sf_dir, "img").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(H * W - 1))))
+    return rows.select("img", F.expr(f"cast(id div {W} as int)").alias("y"), F.expr(f"cast(id % {W} as int)").alias("x"))
 
 
-def discs(spark: SparkSession) -> DataFrame:
+def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discs with pinholes and specks."""
-    return grid(spark).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(MASKS)))).where(INSIDE).select("img", "mask", "y", "x")
+    return grid(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(MASKS)))).where(INSIDE).select("img", "mask", "y", "x")
 
 
-def sizes(spark: SparkSession) -> DataFrame:
-    return spark.range(IMAGES).select(F.col("id").cast("int").alias("img"), F.lit(H).alias("h"), F.lit(W).alias("w"))
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(spark, sf_dir, "img").select("img", F.lit(H).alias("h"), F.lit(W).alias("w"))
 
 
-def logits(spark: SparkSession) -> DataFrame:
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.pmod(F.col("y") * 31 + F.col("x") * 17 + F.col("mask") * 71 + F.col("img") * 3, F.lit(97)) / 10.0 - 4.8
-    return grid(spark).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(MASKS)))).select("img", "mask", "y", "x", value.alias("logit"))
+    return grid(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(MASKS)))).select("img", "mask", "y", "x", value.alias("logit"))
 
 
-GRID_SQL = f"""WITH RECURSIVE g AS (SELECT a.i::INT AS img, b.y::INT AS y, c.x::INT AS x FROM range({IMAGES}) a(i), range({H}) b(y), range({W}) c(x)),
+GRID_SQL = f"""WITH RECURSIVE g AS (SELECT a.i::INT AS img, b.y::INT AS y, c.x::INT AS x FROM {NUMBERS_SQL} a(i), range({H}) b(y), range({W}) c(x)),
 m4 AS (SELECT img, k::INT AS mask, y, x FROM g, range(1, {MASKS + 1}) t(k)), ms AS (SELECT * FROM m4 WHERE {INSIDE}),
 ar AS (SELECT img, mask, count(*) AS area FROM ms GROUP BY ALL),
 rk AS (SELECT img, mask, row_number() OVER (PARTITION BY img ORDER BY area DESC, mask) AS rank FROM ar),
@@ -44,36 +45,36 @@ COMPONENTS = """, {p}r AS (SELECT img, mask, y, x, y * 1000 + x AS c FROM {p} UN
 {p}c AS (SELECT img, mask, y, x, min(c) AS c FROM {p}r GROUP BY ALL), {p}a AS (SELECT *, count(*) OVER (PARTITION BY img, mask, c) AS area FROM {p}c)"""
 
 
-def foreground(spark: SparkSession) -> DataFrame:
-    return grid(spark).withColumn("foreground", F.col("x") < W - 3)
+def foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir).withColumn("foreground", F.col("x") < W - 3)
 
 
-def label_map(spark: SparkSession) -> DataFrame:
-    return masks.with_foreground(foreground(spark), masks.painted(discs(spark)))
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.with_foreground(foreground(spark, sf_dir), masks.painted(discs(spark, sf_dir)))
 
 
 def islands(spark, sf_dir):
-    return masks.without_islands(discs(spark), 3)
+    return masks.without_islands(discs(spark, sf_dir), 3)
 
 
 def holes(spark, sf_dir):
-    return masks.with_holes_filled(discs(spark), grid(spark), 3)
+    return masks.with_holes_filled(discs(spark, sf_dir), grid(spark, sf_dir), 3)
 
 
 def components(spark, sf_dir):
-    return masks.pixel_components(discs(spark), ["img", "mask"]).select("img", "mask", "y", "x", (F.col("comp.y") * 1000 + F.col("comp.x")).alias("c"), "area")
+    return masks.pixel_components(discs(spark, sf_dir), ["img", "mask"]).select("img", "mask", "y", "x", (F.col("comp.y") * 1000 + F.col("comp.x")).alias("c"), "area")
 
 
 def cleaned_map(spark, sf_dir):
-    return masks.cleaned_map(cut(label_map(spark)), 4)
+    return masks.cleaned_map(cut(label_map(spark, sf_dir)), 4)
 
 
 def cleaned_once(spark, sf_dir):
-    return masks.cleaned_once(cut(discs(spark)), grid(spark), 3)[1]
+    return masks.cleaned_once(cut(discs(spark, sf_dir)), grid(spark, sf_dir), 3)[1]
 
 
 def rle(spark, sf_dir):
-    return masks.run_lengths(discs(spark), sizes(spark)).select("img", "mask", F.array_join("counts", ",").alias("counts"), "area")
+    return masks.run_lengths(discs(spark, sf_dir), sizes(spark, sf_dir)).select("img", "mask", F.array_join("counts", ",").alias("counts"), "area")
 
 
 RLE_SQL = GRID_SQL + f""", o AS (SELECT m4.img, m4.mask, m4.x * {H} + m4.y AS pos, (ms.y IS NOT NULL)::INT AS b FROM m4 LEFT JOIN ms USING (img, mask, y, x)),
@@ -83,31 +84,32 @@ SELECT z.img, z.mask, string_agg(n::VARCHAR, ',' ORDER BY run) AS counts, any_va
 
 
 def rle_decoded(spark, sf_dir):
-    return masks.from_run_lengths(masks.run_lengths(discs(spark), sizes(spark)), sizes(spark)).select("img", "mask", "y", "x")
+    return masks.from_run_lengths(masks.run_lengths(discs(spark, sf_dir), sizes(spark, sf_dir)), sizes(spark, sf_dir)).select("img", "mask", "y", "x")
 
 
 def _boxes(spark, sf_dir) -> DataFrame:
-    """lineitem rows as boxes of 400 groups."""
-    line = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey % 400").cast("int").alias("img"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_tax", "l_partkey")])
+    """lineitem rows as boxes; the lines of sixteen orders are an image, so images grow in number and not in size."""
+    line = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 16").cast("int").alias("img"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_tax", "l_partkey")])
     x0, y0 = F.col("l_quantity"), F.pmod(F.col("l_partkey"), F.lit(37)).cast("double")
     return line.select("img", "id", x0.alias("x0"), y0.alias("y0"), (x0 + 5 + F.round(F.col("l_tax") * 100)).alias("x1"), (y0 + 6 + F.round(F.col("l_discount") * 100)).alias("y1"), (F.pmod(F.col("l_partkey") * 31, F.lit(1009)) / 1009.0).alias("score"))
 
 
-BOX_SQL = """WITH b AS (SELECT (l_orderkey % 400)::INT AS img, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS x0, (min(l_partkey) % 37)::DOUBLE AS y0, min(l_quantity) + 5 + round(min(l_tax) * 100) AS x1,
+BOX_SQL = """WITH b AS (SELECT (l_orderkey // 16)::INT AS img, l_orderkey * 10 + l_linenumber AS id, min(l_quantity) AS x0, (min(l_partkey) % 37)::DOUBLE AS y0, min(l_quantity) + 5 + round(min(l_tax) * 100) AS x1,
   (min(l_partkey) % 37)::DOUBLE + 6 + round(min(l_discount) * 100) AS y1, ((min(l_partkey) * 31) % 1009) / 1009.0::DOUBLE AS score FROM lineitem GROUP BY 1, 2),
 p AS (SELECT a.img, a.id AS a, c.id AS b, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, c.x0 AS bx0, c.y0 AS by0, c.x1 AS bx1, c.y1 AS by1, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) AS i,
   (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s FROM b a JOIN b c ON a.img = c.img AND a.id < c.id)"""
 
 
 def box_pairs(spark, sf_dir):
-    return rounded(masks.overlapping_boxes(_boxes(spark, sf_dir), 16.0, 0.1), 6)
+    return rounded(masks.overlapping_boxes(_boxes(spark, sf_dir), 16.0, 0.1), 12)
 
 
 def giou_pairs(spark, sf_dir):
+    """Of all pairs of an image: boxes apart from each other have one too, and an image has few boxes."""
     own = _boxes(spark, sf_dir)
     other = own.select("img", *[F.col(c).alias(f"{c}_b") for c in ("id", "x0", "y0", "x1", "y1")])
     a, b = [F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"{c}_b") for c in ("x0", "y0", "x1", "y1")]
-    return rounded(own.join(other, "img").where("id < id_b AND id % 7 = 0").select("img", F.col("id").alias("a"), F.col("id_b").alias("b"), masks.generalised_iou(a, b).alias("giou")), 6)
+    return rounded(own.join(other, "img").where("id < id_b").select("img", F.col("id").alias("a"), F.col("id_b").alias("b"), masks.generalised_iou(a, b).alias("giou")), 12)
 
 
 def nms(spark, sf_dir):
@@ -141,18 +143,18 @@ def box_filters(spark, sf_dir):
 
 
 def stability(spark, sf_dir):
-    a = masks.stability(logits(spark), 0.0, 1.0)
-    b = masks.stability(logits(spark), 0.0, 1.0, symmetric=False).withColumnRenamed("score", "other")
+    a = masks.stability(logits(spark, sf_dir), 0.0, 1.0)
+    b = masks.stability(logits(spark, sf_dir), 0.0, 1.0, symmetric=False).withColumnRenamed("score", "other")
     return rounded(a.join(b, ["img", "mask"]), 6)
 
 
 def filtered(spark, sf_dir):
-    rows = masks.areas(discs(spark)).join(masks.stability(logits(spark), 0.0, 1.0), ["img", "mask"]).select("img", "mask", "area", F.col("score").alias("stability"), (F.col("mask") / 5).alias("iou"))
+    rows = masks.areas(discs(spark, sf_dir)).join(masks.stability(logits(spark, sf_dir), 0.0, 1.0), ["img", "mask"]).select("img", "mask", "area", F.col("score").alias("stability"), (F.col("mask") / 5).alias("iou"))
     return masks.filtered(rows, 0.4, 0.5, 60).select("img", "mask")
 
 
 def sprinkles(spark, sf_dir):
-    rows = logits(spark).withColumn("logit", F.when(F.expr(INSIDE), F.lit(1.0)).otherwise(F.lit(-1.0)))
+    rows = logits(spark, sf_dir).withColumn("logit", F.when(F.expr(INSIDE), F.lit(1.0)).otherwise(F.lit(-1.0)))
     return masks.holes_and_sprinkles(cut(rows), 2)
 
 
@@ -161,7 +163,7 @@ SELECT img, mask, y, x, CASE WHEN area <= least(2, (SELECT area // 2 FROM ar WHE
 
 
 def boundary(spark, sf_dir):
-    return masks.boundary(discs(spark).join(sizes(spark), "img"))
+    return masks.boundary(discs(spark, sf_dir).join(sizes(spark, sf_dir), "img"))
 
 
 def boundary_f(spark, sf_dir):
@@ -176,25 +178,25 @@ bd AS (SELECT DISTINCT o.img, o.mask, o.y, o.x FROM o JOIN o n ON n.img = o.img
 
 
 def distance(spark, sf_dir):
-    return rounded(masks.distance_transform(discs(spark), sizes(spark)), 6)
+    return rounded(masks.distance_transform(discs(spark, sf_dir), sizes(spark, sf_dir)), 6)
 
 
 DISTANCE_SQL = GRID_SQL + ", ou AS (SELECT * FROM m4 WHERE NOT EXISTS (SELECT 1 FROM ms WHERE ms.img = m4.img AND ms.mask = m4.mask AND ms.y = m4.y AND ms.x = m4.x)), dt AS (SELECT ms.img, ms.mask, ms.y, ms.x, min(sqrt(((ms.y - o.y) ** 2 + (ms.x - o.x) ** 2)::DOUBLE)) AS d FROM ms JOIN ou o USING (img, mask) GROUP BY ALL)"
 
 
 def error_prompts(spark, sf_dir):
-    own = discs(spark)
+    own = discs(spark, sf_dir)
     ref = own.where("mask >= 2").withColumn("mask", F.col("mask") - 1)
-    return masks.error_prompts(own.where("mask <= 3"), ref, sizes(spark))
+    return masks.error_prompts(own.where("mask <= 3"), ref, sizes(spark, sf_dir))
 
 
 def inside_samples(spark, sf_dir):
-    return rounded(masks.inside_samples(discs(spark), sizes(spark), 5, 3).withColumn("k", F.col("k").cast("int")), 6)
+    return rounded(masks.inside_samples(discs(spark, sf_dir), sizes(spark, sf_dir), 5, 3).withColumn("k", F.col("k").cast("int")), 6)
 
 
 def best_candidate(spark, sf_dir):
-    both = masks.overlapping_masks(discs(spark)).where("a = 1").select("img", F.col("b").alias("mask"), "both")
-    size = masks.areas(discs(spark))
+    both = masks.overlapping_masks(discs(spark, sf_dir)).where("a = 1").select("img", F.col("b").alias("mask"), "both")
+    size = masks.areas(discs(spark, sf_dir))
     rows = both.join(size.withColumnRenamed("area", "n"), ["img", "mask"]).join(size.where("mask = 1").select("img", F.col("area").alias("n_ref")), "img").withColumn("score", F.col("mask") / 10)
     return masks.best_candidate(rows)
 
@@ -208,11 +210,11 @@ def crops(spark, sf_dir):
 
 
 QUERIES = {
-    "mask_areas": lambda s, d: masks.areas(discs(s)), "painter_merge": lambda s, d: masks.painted(discs(s)), "painted_labels": lambda s, d: label_map(s), "label_map_masks": lambda s, d: masks.decomposed(label_map(s)), "mask_union": lambda s, d: masks.union(discs(s)),
+    "mask_areas": lambda s, d: masks.areas(discs(s, d)), "painter_merge": lambda s, d: masks.painted(discs(s, d)), "painted_labels": lambda s, d: label_map(s, d), "label_map_masks": lambda s, d: masks.decomposed(label_map(s, d)), "mask_union": lambda s, d: masks.union(discs(s, d)),
     "pixel_components": components, "island_removal": islands, "hole_filling": holes, "cleaned_label_map": cleaned_map, "unchanged_masks": cleaned_once, "rle_encode": rle, "rle_decode": rle_decoded,
-    "mask_boxes": lambda s, d: masks.boxes(discs(s)), "mask_boxes_exclusive": lambda s, d: masks.boxes(discs(s), exclusive=True), "mask_iou_pairs": lambda s, d: rounded(masks.overlapping_masks(discs(s)), 6),
+    "mask_boxes": lambda s, d: masks.boxes(discs(s, d)), "mask_boxes_exclusive": lambda s, d: masks.boxes(discs(s, d), exclusive=True), "mask_iou_pairs": lambda s, d: rounded(masks.overlapping_masks(discs(s, d)), 6),
     "box_iou_pairs": box_pairs, "giou_pairs": giou_pairs, "box_formats": box_formats, "box_filters": box_filters, "nms": nms, "nms_matrix": nms_matrix, "stability_score": stability, "filtered_masks": filtered,
-    "pixel_exclusive": lambda s, d: rounded(masks.exclusive(logits(s)), 6), "shrunk_masks": lambda s, d: masks.shrunk(logits(s)), "score_exclusive": lambda s, d: masks.winners_by_score(logits(s), masks.areas(discs(s)).select("img", "mask", F.col("area").alias("score"))),
+    "pixel_exclusive": lambda s, d: rounded(masks.exclusive(logits(s, d)), 6), "shrunk_masks": lambda s, d: masks.shrunk(logits(s, d)), "score_exclusive": lambda s, d: masks.winners_by_score(logits(s, d), masks.areas(discs(s, d)).select("img", "mask", F.col("area").alias("score"))),
     "holes_and_sprinkles": sprinkles, "mask_boundary": boundary, "boundary_f": boundary_f, "distance_transform": distance, "error_prompts": error_prompts, "inside_samples": inside_samples, "best_candidate": best_candidate, "point_grid": points, "crop_boxes": crops,
 }
 ISLAND = ", isl AS (SELECT img, mask, y, x FROM (SELECT *, first_value(c) OVER (PARTITION BY img, mask ORDER BY area DESC, c) AS top FROM msa) WHERE area >= 3 OR c = top)"
@@ -233,8 +235,8 @@ ORACLES = {
     "mask_boxes": GRID_SQL + "SELECT img, mask, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM ms GROUP BY ALL",
     "mask_boxes_exclusive": GRID_SQL + "SELECT img, mask, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM ms GROUP BY ALL",
     "mask_iou_pairs": GRID_SQL + ", p AS (SELECT a.img, a.mask AS a, b.mask AS b, count(*) AS both_in FROM ms a JOIN ms b ON a.img = b.img AND a.y = b.y AND a.x = b.x AND a.mask < b.mask GROUP BY ALL) SELECT p.img, p.a, p.b, both_in AS both, round(both_in / greatest(x.area + y.area - both_in, 1), 6) AS iou, round(both_in / (least(x.area, y.area) + 1e-8), 6) AS iom FROM p JOIN ar x ON x.img = p.img AND x.mask = p.a JOIN ar y ON y.img = p.img AND y.mask = p.b",
-    "box_iou_pairs": BOX_SQL + " SELECT img, a, b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) > 0.1",
-    "giou_pairs": BOX_SQL + " SELECT img, a, b, round(i / (s - i) - (h - (s - i)) / h, 6) AS giou FROM (SELECT *, (greatest(ax1, bx1) - least(ax0, bx0)) * (greatest(ay1, by1) - least(ay0, by0)) AS h FROM p WHERE a % 7 = 0)",
+    "box_iou_pairs": BOX_SQL + " SELECT img, a, b, round(i / (s - i), 12) AS iou FROM p WHERE i / (s - i) > 0.1",
+    "giou_pairs": BOX_SQL + " SELECT img, a, b, round(i / (s - i) - (h - (s - i)) / h, 12) AS giou FROM (SELECT *, (greatest(ax1, bx1) - least(ax0, bx0)) * (greatest(ay1, by1) - least(ay0, by0)) AS h FROM p)",
     "box_formats": BOX_SQL + " SELECT img, id, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in [("xywh_0", "x0"), ("xywh_1", "y0"), ("xywh_2", "x1 - x0"), ("xywh_3", "y1 - y0"), ("cxcywh_0", "(x0 + x1) / 2"), ("cxcywh_1", "(y0 + y1) / 2"), ("cxcywh_2", "x1 - x0"), ("cxcywh_3", "y1 - y0")] + [(f"{t}_back_{i}", c) for t in ("xywh", "cxcywh") for i, c in enumerate(("x0", "y0", "x1", "y1"))]) + " FROM b",
     "box_filters": BOX_SQL + " SELECT img, id, " + " OR ".join(f"(abs({c} - {k}) <= 2 AND abs({c} - {i}) > 2)" for c, k, i in (("x0", 5, 0), ("y0", 5, 0), ("x1", 40, 80), ("y1", 30, 80))) + " AS edge, " + " OR ".join(f"({c}0 / 80 + {c}1 / 80) / 2 < 0.2::DOUBLE OR ({c}0 / 80 + {c}1 / 80) / 2 > 1 - 0.2::DOUBLE" for c in "xy") + " AS border FROM b",
     "nms": NMS_SQL, "nms_matrix": NMS_SQL,

@@ -6,41 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.operators import geometry, labels, mincut
-from facetflow.plans.analogues import table
+from facetflow.plans.analogues import NUMBERS_SQL, numbered, table
 from facetflow.plans.lifting_queries import rounded
 from facetflow.session import cut
 
-N, M, MESHES = 8, 9, 3
+N, M, MESHES = 8, 9, 3  # rows and columns of a mesh; meshes that pixels are of
 
 
-def vertices(spark: SparkSession) -> DataFrame:
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of (N + 1) x (M + 1) vertices; heights come from an arithmetic hash, so sides have angles."""
-    i, j, mesh = F.expr(f"id div {M + 1} % {N + 1}"), F.expr(f"id % {M + 1}"), F.expr(f"id div {(N + 1) * (M + 1)}")
-    rows = spark.range(MESHES * (N + 1) * (M + 1)).select(mesh.cast("int").alias("mesh"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    i, j = F.expr(f"id div {M + 1}"), F.expr(f"id % {M + 1}")
+    rows = numbered(spark, sf_dir, "mesh").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit((N + 1) * (M + 1) - 1)))).select("mesh", i.cast("int").alias("i"), j.cast("int").alias("j"))
     return rows.select("mesh", (F.col("i") * (M + 1) + F.col("j")).alias("v"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), (F.pmod(F.col("i") * 37 + F.col("j") * 91 + F.col("mesh") * 17, F.lit(11)) / 10.0).alias("z"))
 
 
-def quads(spark: SparkSession) -> DataFrame:
-    rows = spark.range(MESHES * N * M).select(F.expr(f"id div {N * M}").cast("int").alias("mesh"), F.expr(f"id % {N * M}").cast("int").alias("f"))
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(spark, sf_dir, "mesh").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(N * M - 1))))
     a = F.expr(f"f div {M}") * (M + 1) + F.expr(f"f % {M}")
     return rows.select("mesh", "f", F.array(*[(a + k).cast("int") for k in (0, 1, M + 2, M + 1)]).alias("v"))
 
 
-def faces(spark: SparkSession) -> DataFrame:
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two triangles a quad, 2 q and 2 q + 1."""
-    return geometry.triangles(quads(spark)).select("mesh", F.col("tri").cast("int").alias("f"), "v")
+    return geometry.triangles(quads(spark, sf_dir)).select("mesh", F.col("tri").cast("int").alias("f"), "v")
 
 
-def face_labels(spark: SparkSession) -> DataFrame:
+def face_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches with specks of other labels; a tenth of the faces has none, some have 0."""
     q, noise = F.expr("f div 2"), F.pmod(F.col("f") * 7919 + F.col("mesh") * 31, F.lit(23))
     patch = 1 + F.expr(f"(f div 2) div {M} div 3") * 2 + F.expr(f"(f div 2) % {M} div 5")
     label = F.when(noise.isin(1, 2), 5).when(noise == 3, 0).otherwise(patch)
-    return faces(spark).where(~noise.isin(7, 8)).select("mesh", "f", label.cast("int").alias("label"), q.alias("q")).drop("q")
+    return faces(spark, sf_dir).where(~noise.isin(7, 8)).select("mesh", "f", label.cast("int").alias("label"), q.alias("q")).drop("q")
 
 
-GRID_SQL = f"""WITH RECURSIVE vt AS (SELECT m::INT AS mesh, (i * {M + 1} + j)::INT AS v, i::DOUBLE AS x, j::DOUBLE AS y, ((i * 37 + j * 91 + m * 17) % 11) / 10.0::DOUBLE AS z FROM range({MESHES}) a(m), range({N + 1}) b(i), range({M + 1}) c(j)),
-qd AS (SELECT m::INT AS mesh, q::INT AS f, ((q // {M}) * {M + 1} + q % {M})::INT AS a FROM range({MESHES}) a(m), range({N * M}) b(q)),
+GRID_SQL = f"""WITH RECURSIVE vt AS (SELECT m::INT AS mesh, (i * {M + 1} + j)::INT AS v, i::DOUBLE AS x, j::DOUBLE AS y, ((i * 37 + j * 91 + m * 17) % 11) / 10.0::DOUBLE AS z FROM {NUMBERS_SQL} a(m), range({N + 1}) b(i), range({M + 1}) c(j)),
+qd AS (SELECT m::INT AS mesh, q::INT AS f, ((q // {M}) * {M + 1} + q % {M})::INT AS a FROM {NUMBERS_SQL} a(m), range({N * M}) b(q)),
 fc AS (SELECT mesh, 2 * f AS f, [a, a + 1, a + {M + 2}] AS v FROM qd UNION ALL SELECT mesh, 2 * f + 1, [a, a + {M + 2}, a + {M + 1}] FROM qd),
 nz AS (SELECT mesh, f, (f * 7919 + mesh * 31) % 23 AS k FROM fc),
 lb AS (SELECT mesh, f, (CASE WHEN k IN (1, 2) THEN 5 WHEN k = 3 THEN 0 ELSE 1 + ((f // 2) // {M} // 3) * 2 + ((f // 2) % {M}) // 5 END)::INT AS label FROM nz WHERE k NOT IN (7, 8)),
@@ -56,55 +56,55 @@ an AS (SELECT DISTINCT pr.mesh, s AS src, t AS dst, acos(least(greatest(p.nx * q
 """
 
 
-def shapes(spark):
-    return geometry.face_shapes(faces(spark), vertices(spark))
+def shapes(spark, sf_dir):
+    return geometry.face_shapes(faces(spark, sf_dir), vertices(spark, sf_dir))
 
 
-def sides(spark):
-    return geometry.side_angles(faces(spark), shapes(spark))
+def sides(spark, sf_dir):
+    return geometry.side_angles(faces(spark, sf_dir), shapes(spark, sf_dir))
 
 
-def _parts(spark):
-    return labels.label_components(face_labels(spark), labels.adjacency(faces(spark)))
+def _parts(spark, sf_dir):
+    return labels.label_components(face_labels(spark, sf_dir), labels.adjacency(faces(spark, sf_dir)))
 
 
 def split_labels(spark, sf_dir):
-    return labels.split(_parts(spark))
+    return labels.split(_parts(spark, sf_dir))
 
 
 def small_component_drop(spark, sf_dir):
-    return labels.without_small(_parts(spark), shapes(spark).select("mesh", "f", "area"), 0.2, 0.2)
+    return labels.without_small(_parts(spark, sf_dir), shapes(spark, sf_dir).select("mesh", "f", "area"), 0.2, 0.2)
 
 
 def hole_fill(spark, sf_dir):
-    return labels.fill_holes(face_labels(spark), labels.adjacency(faces(spark)), 3)
+    return labels.fill_holes(face_labels(spark, sf_dir), labels.adjacency(faces(spark, sf_dir)), 3)
 
 
 def hole_fill_rest(spark, sf_dir):
-    few = face_labels(spark).where("label = 5")
-    return labels.fill_rest(few, faces(spark))
+    few = face_labels(spark, sf_dir).where("label = 5")
+    return labels.fill_rest(few, faces(spark, sf_dir))
 
 
 def smoothed(spark, sf_dir):
     """The chain: drop small components, fill holes, fill the rest, split."""
-    adjacent = cut(labels.adjacency(faces(spark)))
-    kept = labels.without_small(labels.label_components(face_labels(spark), adjacent), shapes(spark).select("mesh", "f", "area"), 0.05, 0.05)
-    full = cut(labels.fill_rest(labels.fill_holes(kept, adjacent), faces(spark)))
+    adjacent = cut(labels.adjacency(faces(spark, sf_dir)))
+    kept = labels.without_small(labels.label_components(face_labels(spark, sf_dir), adjacent), shapes(spark, sf_dir).select("mesh", "f", "area"), 0.05, 0.05)
+    full = cut(labels.fill_rest(labels.fill_holes(kept, adjacent), faces(spark, sf_dir)))
     return labels.split(labels.label_components(full, adjacent))
 
 
 def submesh_faces(spark, sf_dir):
-    return labels.submeshes(faces(spark), face_labels(spark))[0].select("mesh", "label", "f", F.array_join("v", ",").alias("v"))
+    return labels.submeshes(faces(spark, sf_dir), face_labels(spark, sf_dir))[0].select("mesh", "label", "f", F.array_join("v", ",").alias("v"))
 
 
 def submesh_vertices(spark, sf_dir):
-    return labels.submeshes(faces(spark), face_labels(spark))[1]
+    return labels.submeshes(faces(spark, sf_dir), face_labels(spark, sf_dir))[1]
 
 
 def label_energy(spark, sf_dir):
-    start = labels.fill_rest(face_labels(spark), faces(spark))
+    start = labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir))
     other = start.withColumn("label", F.when(F.col("f") % 5 == 0, 1).otherwise(F.col("label")))
-    return rounded(labels.energy(other, start, sides(spark)), 6)
+    return rounded(labels.energy(other, start, sides(spark, sf_dir)), 6)
 
 
 ENERGY_SQL = GRID_SQL + """, st AS (SELECT fc.mesh, fc.f, coalesce(label, 0) AS label FROM fc LEFT JOIN lb USING (mesh, f)), ot AS (SELECT mesh, f, CASE WHEN f % 5 = 0 THEN 1 ELSE label END AS label FROM st),
@@ -114,8 +114,8 @@ SELECT mesh, data, round(smooth, 6) AS smooth, round(data + smooth, 6) AS energy
 
 
 def cut_graph(spark, sf_dir):
-    start = labels.fill_rest(face_labels(spark), faces(spark))
-    costs = sides(spark).select("mesh", "src", "dst", labels.smoothness(F.col("angle")).alias("cost"))
+    start = labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir))
+    costs = sides(spark, sf_dir).select("mesh", "src", "dst", labels.smoothness(F.col("angle")).alias("cost"))
     return mincut.expansion_graph(start, start, costs, 1).groupBy("mesh").agg(F.count("*").alias("arcs"), F.count_if(F.col("u") == "S").alias("from_s"), F.count_if(F.col("v") == "T").alias("to_t"), F.count_if(F.col("cap") == float("inf")).alias("fixed"))
 
 
@@ -127,8 +127,8 @@ SELECT mesh, 2 * n + 2 * same + 5 * diff AS arcs, n AS from_s, n + diff AS to_t,
 
 def refined_labels(spark, sf_dir):
     """Whether the refined labels' energy is at most the initial one's."""
-    start = cut(labels.fill_rest(face_labels(spark), faces(spark)))
-    ends = cut(sides(spark))
+    start = cut(labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir)))
+    ends = cut(sides(spark, sf_dir))
     costs = ends.select("mesh", "src", "dst", labels.smoothness(F.col("angle"), 0.3).alias("cost"))
     after = labels.energy(mincut.refined(start, costs), start, ends, 0.3).select("mesh", F.col("energy").alias("after"))
     before = labels.energy(start, start, ends, 0.3).select("mesh", F.col("energy").alias("before"))
@@ -136,11 +136,11 @@ def refined_labels(spark, sf_dir):
 
 
 def weight_grid(spark, sf_dir):
-    rows = spark.range(MESHES * 15).select(F.expr("id div 15").cast("int").alias("mesh"), (F.expr("id % 15") + 1.0).alias("weight"))
-    return rows.withColumn("labels", (40 - 2 * F.col("weight") - F.col("mesh")).cast("int"))
+    rows = numbered(spark, sf_dir, "mesh").withColumn("weight", F.explode(F.sequence(F.lit(1), F.lit(15))).cast("double"))
+    return rows.withColumn("labels", (40 - 2 * F.col("weight") - F.col("mesh") % 3).cast("int"))
 
 
-WEIGHT_SQL = "WITH w AS (SELECT m::INT AS mesh, (i + 1)::DOUBLE AS weight, (40 - 2 * (i + 1) - m)::INT AS labels FROM range(3) a(m), range(15) b(i))"
+WEIGHT_SQL = f"WITH w AS (SELECT m::INT AS mesh, (i + 1)::DOUBLE AS weight, (40 - 2 * (i + 1) - m % 3)::INT AS labels FROM {NUMBERS_SQL} a(m), range(15) b(i))"
 
 
 def closest_weight(spark, sf_dir):
@@ -158,44 +158,44 @@ def triangulated(spark, sf_dir):
 
 
 def remapped_pixels(spark, sf_dir):
-    tri_map = geometry.triangles(quads(spark)).select("mesh", F.col("tri").cast("int").alias("tri"), "f")
+    tri_map = geometry.triangles(quads(spark, sf_dir)).select("mesh", F.col("tri").cast("int").alias("tri"), "f")
     pixels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % MESHES).cast("int").alias("mesh"), F.col("l_orderkey").alias("px"), F.col("l_linenumber").alias("py"), (F.col("l_partkey") % 170 - 1).cast("int").alias("f"))
     return geometry.remapped(pixels, tri_map)
 
 
 def polygon_areas(spark, sf_dir):
-    return rounded(geometry.face_shapes(quads(spark), vertices(spark)).select("mesh", "f", "area"), 6)
+    return rounded(geometry.face_shapes(quads(spark, sf_dir), vertices(spark, sf_dir)).select("mesh", "f", "area"), 6)
 
 
 POLYGON_SQL = GRID_SQL + f", tr AS (SELECT mesh, f // 2 AS f, area FROM sh) SELECT mesh, f, round(sum(area), 6) AS area FROM tr GROUP BY ALL"
 
 
 def vertex_means(spark, sf_dir):
-    values = faces(spark).select("mesh", "f", F.pmod(F.col("f") * 13, F.lit(7)).cast("double").alias("value"))
-    return rounded(geometry.face_to_vertex(values, faces(spark), scaled=True), 6)
+    values = faces(spark, sf_dir).select("mesh", "f", F.pmod(F.col("f") * 13, F.lit(7)).cast("double").alias("value"))
+    return rounded(geometry.face_to_vertex(values, faces(spark, sf_dir), scaled=True), 6)
 
 
 def pixel_values(spark, sf_dir):
-    values = faces(spark).select("mesh", "f", F.pmod(F.col("f") * 13, F.lit(7)).cast("double").alias("value"))
-    at_vertices = geometry.face_to_vertex(values, faces(spark))
+    values = faces(spark, sf_dir).select("mesh", "f", F.pmod(F.col("f") * 13, F.lit(7)).cast("double").alias("value"))
+    at_vertices = geometry.face_to_vertex(values, faces(spark, sf_dir))
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_discount", "l_tax")])
     w = F.array(F.col("l_discount"), F.col("l_tax"), 1 - F.col("l_discount") - F.col("l_tax"))
     pixels = line.select((F.col("l_orderkey") % MESHES).cast("int").alias("mesh"), F.lit(0).alias("view"), F.col("l_orderkey").alias("py"), F.col("l_linenumber").alias("px"), (F.col("l_partkey") % 150 - 6).cast("int").alias("f"), w.alias("w"))
-    return rounded(geometry.at_pixels(pixels, faces(spark), at_vertices), 6)
+    return rounded(geometry.at_pixels(pixels, faces(spark, sf_dir), at_vertices), 6)
 
 
 def cut_vertices(spark, sf_dir):
-    return geometry.cut_vertices(faces(spark), labels.fill_rest(face_labels(spark), faces(spark)))
+    return geometry.cut_vertices(faces(spark, sf_dir), labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir)))
 
 
 def average_radius(spark, sf_dir):
-    return rounded(geometry.average_radius(shapes(spark)), 6)
+    return rounded(geometry.average_radius(shapes(spark, sf_dir)), 6)
 
 
 def cut_discrepancy(spark, sf_dir):
-    est = faces(spark).select("mesh", "f", F.expr(f"(f div 2) div {M} div 4").alias("label"))
-    ref = faces(spark).select("mesh", "f", F.expr(f"(f div 2) % {M} div 5").alias("label"))
-    return rounded(geometry.cut_discrepancy(cut(faces(spark)), cut(vertices(spark)), est, ref), 6)
+    est = faces(spark, sf_dir).select("mesh", "f", F.expr(f"(f div 2) div {M} div 4").alias("label"))
+    ref = faces(spark, sf_dir).select("mesh", "f", F.expr(f"(f div 2) % {M} div 5").alias("label"))
+    return rounded(geometry.cut_discrepancy(cut(faces(spark, sf_dir)), cut(vertices(spark, sf_dir)), est, ref), 6)
 
 
 CUT_DISCREPANCY_SQL = GRID_SQL + f""", e1 AS (SELECT mesh, f, (f // 2) // {M} // 4 AS label FROM fc), e2 AS (SELECT mesh, f, ((f // 2) % {M}) // 5 AS label FROM fc),
@@ -213,8 +213,8 @@ SELECT mesh, round(d / n / radius, 6) AS value FROM su JOIN ra USING (mesh)"""
 
 
 def vertex_distances(spark, sf_dir):
-    sides_ = cut(geometry.side_lengths(faces(spark), vertices(spark)))
-    return rounded(geometry.distances(vertices(spark).where("v % 30 = 0").select("mesh", "v"), sides_), 6)
+    sides_ = cut(geometry.side_lengths(faces(spark, sf_dir), vertices(spark, sf_dir)))
+    return rounded(geometry.distances(vertices(spark, sf_dir).where("v % 30 = 0").select("mesh", "v"), sides_), 6)
 
 
 DISTANCES_SQL = GRID_SQL + """, sd0 AS (SELECT DISTINCT ed.mesh, a, b, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS len FROM ed JOIN vt p ON p.mesh = ed.mesh AND p.v = a JOIN vt q ON q.mesh = ed.mesh AND q.v = b),
@@ -224,21 +224,21 @@ SELECT mesh, v, round(min(d), 6) AS d FROM w1 GROUP BY ALL"""
 
 
 def bbox(spark, sf_dir):
-    return rounded(geometry.bounding_box(vertices(spark)), 6)
+    return rounded(geometry.bounding_box(vertices(spark, sf_dir)), 6)
 
 
 def bbox_normalised(spark, sf_dir):
-    return rounded(geometry.normalised(vertices(spark)), 6)
+    return rounded(geometry.normalised(vertices(spark, sf_dir)), 6)
 
 
 def diameter_scale(spark, sf_dir):
-    values = faces(spark).select("mesh", "f", F.when(F.col("f") % 9 == 0, F.lit(float("nan"))).otherwise(F.pmod(F.col("f") * 13, F.lit(7)).cast("double")).alias("value"))
+    values = faces(spark, sf_dir).select("mesh", "f", F.when(F.col("f") % 9 == 0, F.lit(float("nan"))).otherwise(F.pmod(F.col("f") * 13, F.lit(7)).cast("double")).alias("value"))
     return rounded(geometry.diameter_scale(values), 6)
 
 
 def posed(spark, sf_dir):
     pose = F.array(*[F.lit(float(v)) for v in (0, -1, 0, 2, 1, 0, 0, 3, 0, 0, 1, -1, 0, 0, 0, 1)])
-    return rounded(geometry.transformed(vertices(spark), pose), 6)
+    return rounded(geometry.transformed(vertices(spark, sf_dir), pose), 6)
 
 
 def look_at(spark, sf_dir):
@@ -274,7 +274,7 @@ def decimation(spark, sf_dir):
 
 def sampled_points(spark, sf_dir):
     """Samples of each triangle lie on its plane: barycentric means of its corners; counted by face."""
-    return geometry.surface_samples(faces(spark), vertices(spark), 4).groupBy("mesh", "f").agg(F.count("*").alias("n"), F.count_if((F.col("x") >= 0) & (F.col("x") <= N) & (F.col("y") >= 0) & (F.col("y") <= M)).alias("inside"))
+    return geometry.surface_samples(faces(spark, sf_dir), vertices(spark, sf_dir), 4).groupBy("mesh", "f").agg(F.count("*").alias("n"), F.count_if((F.col("x") >= 0) & (F.col("x") <= N) & (F.col("y") >= 0) & (F.col("y") <= M)).alias("inside"))
 
 
 def box_corners(spark, sf_dir):
@@ -283,15 +283,15 @@ def box_corners(spark, sf_dir):
 
 
 def label_colours(spark, sf_dir):
-    rows = face_labels(spark).select("mesh", "f", labels.colours(F.col("label")).alias("c"))
+    rows = face_labels(spark, sf_dir).select("mesh", "f", labels.colours(F.col("label")).alias("c"))
     return rows.select("mesh", "f", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
 
 
 QUERIES = {
-    "grid_adjacency": lambda s, d: labels.adjacency(faces(s)), "ngon_adjacency": lambda s, d: labels.adjacency(quads(s), "all"), "face_components": lambda s, d: _parts(s),
-    "small_component_drop": small_component_drop, "hole_fill": hole_fill, "hole_fill_rest": hole_fill_rest, "split_labels": split_labels, "smoothed_labels": smoothed, "label_counts": lambda s, d: labels.counts(face_labels(s)), "dense_relabel": lambda s, d: labels.dense(face_labels(s)),
+    "grid_adjacency": lambda s, d: labels.adjacency(faces(s, d)), "ngon_adjacency": lambda s, d: labels.adjacency(quads(s, d), "all"), "face_components": lambda s, d: _parts(s, d),
+    "small_component_drop": small_component_drop, "hole_fill": hole_fill, "hole_fill_rest": hole_fill_rest, "split_labels": split_labels, "smoothed_labels": smoothed, "label_counts": lambda s, d: labels.counts(face_labels(s, d)), "dense_relabel": lambda s, d: labels.dense(face_labels(s, d)),
     "label_colours": label_colours, "submesh_faces": submesh_faces, "submesh_vertices": submesh_vertices, "label_energy": label_energy, "cut_graph": cut_graph, "refined_labels": refined_labels, "closest_weight": closest_weight, "crawled_weight": crawled_weight,
-    "triangulate": triangulated, "remapped_pixels": remapped_pixels, "polygon_areas": polygon_areas, "face_shapes": lambda s, d: rounded(shapes(s), 6), "side_angles": lambda s, d: rounded(sides(s), 6), "dihedral_max": lambda s, d: rounded(geometry.sharpest(sides(s), faces(s)), 6),
+    "triangulate": triangulated, "remapped_pixels": remapped_pixels, "polygon_areas": polygon_areas, "face_shapes": lambda s, d: rounded(shapes(s, d), 6), "side_angles": lambda s, d: rounded(sides(s, d), 6), "dihedral_max": lambda s, d: rounded(geometry.sharpest(sides(s, d), faces(s, d)), 6),
     "face_to_vertex": vertex_means, "bary_interp": pixel_values, "cut_vertices": cut_vertices, "average_radius": average_radius, "cut_discrepancy": cut_discrepancy, "vertex_distances": vertex_distances, "bounding_box": bbox, "bbox_normalise": bbox_normalised,
     "diameter_scale": diameter_scale, "posed_points": posed, "look_at": look_at, "camera_sets": camera_sets, "range_norm": rounding, "decimation_target": decimation, "surface_samples": sampled_points, "box_corners": box_corners,
 }
@@ -307,7 +307,7 @@ SMALL_SQL = ", q AS (SELECT mesh, comp, count(*) AS n, sum(area) AS a FROM cmp J
 VERTEX_SQL = GRID_SQL + ", fv AS (SELECT mesh, unnest(v) AS v, ((f * 13) % 7)::DOUBLE AS value FROM fc), vm AS (SELECT mesh, v, avg(value) AS value FROM fv GROUP BY ALL)"
 ORACLES = {
     "grid_adjacency": GRID_SQL + "SELECT * FROM adj",
-    "ngon_adjacency": f"WITH q AS (SELECT m::INT AS mesh, i, j, (i * {M} + j)::INT AS f FROM range({MESHES}) a(m), range({N}) b(i), range({M}) c(j)) SELECT p.mesh, p.f AS src, q.f AS dst FROM q p JOIN q ON q.mesh = p.mesh AND abs(p.i - q.i) + abs(p.j - q.j) = 1",
+    "ngon_adjacency": f"WITH q AS (SELECT m::INT AS mesh, i, j, (i * {M} + j)::INT AS f FROM {NUMBERS_SQL} a(m), range({N}) b(i), range({M}) c(j)) SELECT p.mesh, p.f AS src, q.f AS dst FROM q p JOIN q ON q.mesh = p.mesh AND abs(p.i - q.i) + abs(p.j - q.j) = 1",
     "face_components": GRID_SQL + "SELECT mesh, f, label, comp FROM cmp",
     "small_component_drop": GRID_SQL + SMALL_SQL.format(t=0.2) + " SELECT mesh, f, label, comp FROM cmp WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.mesh = cmp.mesh AND bad.comp = cmp.comp)",
     "hole_fill": FILL_SQL + " SELECT * FROM h2",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,7 +127,7 @@ def dense_index(spark, sf_dir):
 
 def _history(spark, sf_dir):
     own = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("session"), F.col("event_id").alias("frame"), (F.pmod(F.col("event_id") * 37, F.lit(100)) / 100.0).alias("score"))
-    return own.where("frame % 23 = 0").select("session", F.col("frame").alias("q")), own.where("frame % 11 = 0").select("session", "frame"), own
+    return own.select("session", F.col("frame").alias("q")), own.where("frame % 11 = 0").select("session", "frame"), own
 
 
 def closest_frames(spark, sf_dir):
@@ -159,35 +158,34 @@ def in_order(spark, sf_dir):
     return tracking.in_order(_frames(spark, sf_dir), 500, 40, reverse=True)
 
 
-def _outputs(spark, sf_dir, whole):
-    """Outputs of all frames, or of those that OUT_SQL holds."""
+def _outputs(spark, sf_dir):
     own = _frames(spark, sf_dir)
-    return (own if whole else own.where("frame < 400")).select("session", "obj", "frame", F.when(F.col("frame") % 5 == 0, "cond").otherwise("non").alias("kind"), (F.col("frame") % 9).alias("area"))
+    return own.select("session", "obj", "frame", F.when(F.col("frame") % 5 == 0, "cond").otherwise("non").alias("kind"), (F.col("frame") % 9).alias("area"))
 
 
-def consolidated(spark, sf_dir, whole=False):
-    own = _outputs(spark, sf_dir, whole)
+def consolidated(spark, sf_dir):
+    own = _outputs(spark, sf_dir)
     temp = own.where("frame % 10 = 0").select("session", "obj", "frame", F.lit("temp").alias("kind"), (F.col("area") + 100).alias("area"))
     return tracking.consolidated(own.unionByName(temp), own.where("obj % 4 = 0"), own.where("frame % 25 = 0"))
 
 
-def shown(spark, sf_dir, whole=False):
-    own = _outputs(spark, sf_dir, whole)
+def shown(spark, sf_dir):
+    own = _outputs(spark, sf_dir)
     return tracking.shown(own, own.where("obj % 10 = 0").select("session", "obj").distinct(), own.where("frame % 7 = 0").select("session", "obj", "frame"), own.where("frame < 20").select("session", "obj", "frame"))
 
 
-def by_priority(spark, sf_dir, whole=False):
-    own = _outputs(spark, sf_dir, whole).select("session", "obj", "frame", "area")
+def by_priority(spark, sf_dir):
+    own = _outputs(spark, sf_dir).select("session", "obj", "frame", "area")
     return tracking.by_priority([own.where("frame % 2 = 0").withColumn("area", F.col("area") + 1000), own.where("frame % 3 = 0").withColumn("area", F.col("area") + 100), own], ["session", "obj", "frame"])
 
 
-def action_plan(spark, sf_dir, whole=False):
-    e = table(spark, sf_dir, "events").where(F.lit(whole) | (F.col("user_id") < 60))
+def action_plan(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "propagate").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "refine").otherwise("add")
     return tracking.action_plan(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("type"), (F.col("event_id") % 9).alias("obj"))).select("session", "mode", F.array_join(F.col("objs").cast("array<string>"), ",").alias("objs"))
 
 
-ACTIONS_SQL = """WITH a AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'propagate' WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'refine' ELSE 'add' END AS type, event_id % 9 AS obj FROM events WHERE user_id < 60),
+ACTIONS_SQL = """WITH a AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'propagate' WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'refine' ELSE 'add' END AS type, event_id % 9 AS obj FROM events),
 l AS (SELECT session, max(seq) FILTER (type = 'propagate') AS last FROM a GROUP BY ALL), s AS (SELECT a.session, any_value(last) AS last, count(*) FILTER (seq > coalesce(last, -1)) AS n, count(*) FILTER (seq > coalesce(last, -1) AND type = 'remove') AS gone, list_sort(list(DISTINCT obj) FILTER (seq > coalesce(last, -1) AND type IN ('add', 'refine'))) AS objs FROM a JOIN l USING (session) GROUP BY a.session),
 m AS (SELECT *, CASE WHEN last IS NULL OR gone > 0 THEN 'full' WHEN n = 0 THEN 'fetch' ELSE 'partial' END AS mode FROM s) SELECT session, mode, CASE WHEN mode = 'partial' THEN coalesce(array_to_string(objs, ','), '') ELSE '' END AS objs FROM m"""
 
@@ -208,8 +206,8 @@ def capped_points(spark, sf_dir):
     return tracking.capped_points(own, 8)
 
 
-def dense_records(spark, sf_dir, whole=False):
-    own = _outputs(spark, sf_dir, whole)
+def dense_records(spark, sf_dir):
+    own = _outputs(spark, sf_dir)
     return tracking.dense_records(own, own.where("obj % 8 = 0"), own.where("frame % 20 = 0")).select("session", "obj", F.array_join(F.col("areas").cast("array<string>"), ",").alias("areas"))
 
 
@@ -235,11 +233,8 @@ QUERIES = {
     "closest_frames": closest_frames, "scored_history": scored_history, "strided_history": strided_history, "evicted_outputs": evicted, "reconditioned": reconditioned, "frames_in_order": in_order, "consolidated": consolidated, "shown_outputs": shown, "result_priority": by_priority,
     "action_plan": action_plan, "prompt_state": prompts, "capped_points": capped_points, "dense_records": dense_records, "frame_shards": lambda s, d: _frames(s, d).groupBy(tracking.shard(F.col("frame"), 4).alias("worker")).agg(F.count("*").alias("n")), "tracking_stream": tracking_stream, "session_stream": session_stream,
 }
-#: Over all rows; the queries of these names without _whole hold to the ids that their SQL names.
-WHOLE = {"consolidated": consolidated, "shown_outputs": shown, "result_priority": by_priority, "action_plan": action_plan, "dense_records": dense_records}
-QUERIES |= {f"{name}_whole": functools.partial(query, whole=True) for name, query in WHOLE.items()}
-OUT_SQL = FRAMES_SQL + ", o AS (SELECT session, obj, frame, CASE WHEN frame % 5 = 0 THEN 'cond' ELSE 'non' END AS kind, frame % 9 AS area FROM f WHERE frame < 400)"
-HISTORY_SQL = "WITH h AS (SELECT user_id % 7 AS session, event_id AS frame, ((event_id * 37) % 100) / 100.0::DOUBLE AS score FROM events), q AS (SELECT session, frame AS q FROM h WHERE frame % 23 = 0)"
+OUT_SQL = FRAMES_SQL + ", o AS (SELECT session, obj, frame, CASE WHEN frame % 5 = 0 THEN 'cond' ELSE 'non' END AS kind, frame % 9 AS area FROM f)"
+HISTORY_SQL = "WITH h AS (SELECT user_id % 7 AS session, event_id AS frame, ((event_id * 37) % 100) / 100.0::DOUBLE AS score FROM events), q AS (SELECT session, frame AS q FROM h)"
 ORACLES = {
     "keep_alive": ALIVE_SQL + " SELECT * FROM k", "hidden_by_counter": ALIVE_SQL + " SELECT session, obj, frame FROM k WHERE alive <= 0", "confirmation": CONFIRM_SQL + " SELECT * FROM c",
     "delayed_emit": CONFIRM_SQL + " SELECT session, obj, frame, coalesce(lead(confirmed, 3) OVER (PARTITION BY session, obj ORDER BY frame), last_value(confirmed) OVER (PARTITION BY session, obj ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS shown FROM c",
@@ -268,4 +263,3 @@ ORACLES = {
     "frame_shards": "SELECT (event_id % 4)::INT AS worker, count(*) AS n FROM events GROUP BY ALL",
     "tracking_stream": ALIVE_SQL.replace("WITH f", "WITH RECURSIVE f") + ", m AS (SELECT *, sum((NOT matched)::INT) OVER (PARTITION BY session, obj ORDER BY frame) AS g FROM f), r AS (SELECT *, sum(matched::INT) OVER (PARTITION BY session, obj, g ORDER BY frame)::INT AS run FROM m) SELECT k.session, k.obj, k.frame, alive, run, max(run) OVER (PARTITION BY k.session, k.obj ORDER BY k.frame) >= 3 AS confirmed FROM k JOIN r ON r.session = k.session AND r.obj = k.obj AND r.frame = k.frame",
 }
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(" WHERE frame < 400", "").replace(" WHERE user_id < 60", "") for name in WHOLE}

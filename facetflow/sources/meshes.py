@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,10 +73,10 @@ def _ply(lines: list[str]) -> Iterator[tuple]:
 PARSERS = {"obj": _obj, "off": _off, "ply": _ply}
 
 
-def elements(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(mesh, kind v or f, id, x, y, z, v): vertices and faces of the obj, off and ascii ply files of a folder.
+def elements(spark: SparkSession, folder: str, glob: str = "*", kind: str | None = None) -> DataFrame:
+    """(mesh, kind v or f, id, x, y, z, v): vertices and faces of the obj, off and ascii ply files of a folder; kind: what all files are, whatever their names.
 
-    A file is parsed in one task, as numbering needs all lines before; files are spread over the cluster.
+    A mesh is named by its folder, if that is a partition (mesh=name), else by its file. A file is parsed in one task, as numbering needs all lines before; files are spread over the cluster.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
 
@@ -83,17 +84,19 @@ def elements(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 name, _, extension = path.rpartition("/")[2].rpartition(".")
-                if extension.lower() in PARSERS:
-                    rows = [(name, *r) for r in PARSERS[extension.lower()](bytes(content).decode("utf-8", "replace").splitlines())]
+                partition = [p for p in path.split("/")[:-1] if p.startswith("mesh=")]
+                name, extension = unquote(partition[-1][5:]) if partition else name, (kind or extension).lower()
+                if extension in PARSERS:
+                    rows = [(name, *r) for r in PARSERS[extension](bytes(content).decode("utf-8", "replace").splitlines())]
                     for at in range(0, len(rows), 50_000):
                         yield pd.DataFrame(rows[at : at + 50_000], columns=["mesh", "kind", "id", "x", "y", "z", "v"])
 
     return files.select("path", "content").mapInPandas(run, ELEMENTS)
 
 
-def mesh(spark: SparkSession, folder: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
-    """(vertices (mesh, v, x, y, z), faces (mesh, f, v))."""
-    rows = elements(spark, folder, glob)
+def mesh(spark: SparkSession, folder: str, glob: str = "*", kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices (mesh, v, x, y, z), faces (mesh, f, v)); see elements."""
+    rows = elements(spark, folder, glob, kind)
     return rows.where("kind = 'v'").select("mesh", F.col("id").alias("v"), "x", "y", "z"), rows.where("kind = 'f'").select("mesh", F.col("id").alias("f"), "v")
 
 
@@ -157,6 +160,17 @@ def write_obj(lines: DataFrame, folder: str) -> None:
     lines.repartition("mesh").sortWithinPartitions("mesh", "part", "id").select("mesh", F.col("line").alias("value")).write.partitionBy("mesh").mode("overwrite").text(folder)
 
 
+def part_lines(vertices: DataFrame, faces: DataFrame, prefix: str = "part") -> DataFrame:
+    """(mesh, part, id, line): an OBJ file for each label above 0 of a mesh (faces with label), named mesh_prefix_001 and so on; its vertices are numbered anew."""
+    name = F.concat(F.col("mesh").cast("string"), F.format_string(f"_{prefix}_%03d", "label"))
+    own = faces.where("label > 0").select(name.alias("mesh"), "mesh", "label", "f", "v").toDF("name", "mesh", "label", "f", "v")
+    used = own.select("name", "mesh", F.explode("v").alias("v")).distinct().withColumn("to", F.row_number().over(Window.partitionBy("name").orderBy("v")) - 1)
+    points = used.join(vertices, ["mesh", "v"]).select(F.col("name").alias("mesh"), F.col("to").alias("v"), "x", "y", "z")
+    corners = own.select("name", "label", "f", F.posexplode("v").alias("i", "v")).join(used.select("name", "v", "to"), ["name", "v"])
+    corners = corners.groupBy(F.col("name").alias("mesh"), "label", "f").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "to"))), lambda s: s["to"]).alias("v"))
+    return obj_lines(points, corners)
+
+
 def write_parts(faces: DataFrame, folder: str) -> None:
     """A folder a label, without label 0."""
     faces.where("label <> 0").repartition("mesh", "label").write.partitionBy("mesh", "label").mode("overwrite").parquet(folder)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import features, geometry, graph, labels, lifting, masks, metrics, mincut, text, tracking
+from facetflow.operators import features, geometry, graph, labels, lifting, masks, metrics, mincut, pixels, skew, text, tracking
 from facetflow.sources import meshes
 
 
@@ -187,3 +187,60 @@ def test_byte_pairs(spark):
     ids = own.select(text.byte_pairs(merges, 8)("words").alias("ids")).first()["ids"]
     assert len(ids) == 8 and ids[0] == 514 and ids[1] == 513 and text.decoded(ids[1:4], merges) == "the é"
     assert len(set(text.byte_letters().values())) == 256
+
+
+def test_keep_alive_over_chunks(spark):
+    """Counted frame by frame, at chunks of any size."""
+    moves = [(i * 7919 % 13) < 6 for i in range(200)]
+    frames = spark.createDataFrame([("s", 1, i, m) for i, m in enumerate(moves)], "session string, obj int, frame bigint, matched boolean")
+    value, expected = 0, []
+    for m in moves:
+        value = max(-1, min(5, value + (1 if m else -1)))
+        expected.append(value)
+    for chunk in (3, 64, 1000):
+        assert [r["alive"] for r in tracking.keep_alive(frames, 0, 5, -1, chunk).orderBy("frame").collect()] == expected
+
+
+def test_hot_keys_meet_in_parts(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("k"), "id").where("k < 2 OR id < 10")
+    single = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k bigint, name string")
+    hot = skew.parts_of(rows.groupBy("k").count(), "k", "count", 100)
+    assert hot.count() == 2 and hot.agg(F.min("parts")).first()[0] > 10
+    found = skew.met(rows, single, hot, "k", "id")
+    assert found.count() == rows.count() and found.where("(k = 0) <> (name = 'a')").count() == 0
+    assert skew.dealt(rows, hot, "k", "id").select("k", "part").distinct().count() > 20
+
+
+def test_unfinished_iterations_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
+
+
+def test_sessions(spark):
+    types = ["add", "start", "add", "remove", "add", "reset", "add", "close", "close", "add"]
+    for n, expected in ((1, (False, [])), (3, (True, [1])), (4, (True, [])), (5, (True, [1])), (6, (True, [])), (7, (True, [1])), (9, (False, [])), (10, (False, []))):
+        rows = spark.createDataFrame([("s", i, t, 1) for i, t in enumerate(types[:n])], "session string, seq int, type string, obj int")
+        assert [(r["open"], r["objs"]) for r in tracking.session_states(rows).collect()] == [expected]
+
+
+def test_dendrogram_cut_stops_at_the_number(spark):
+    merges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 3.0), (0, 2, 3, 2.0)], "mesh int, src long, dst long, w double")
+    nodes = spark.createDataFrame([(0, i) for i in range(4)], "mesh int, n long")
+    assert sorted((r["n"], r["cluster"]) for r in features.dendrogram_cut(merges, nodes, 2).collect()) == [(0, 0), (1, 0), (2, 2), (3, 2)]
+
+
+def test_pixel_functions(spark):
+    row = spark.range(1).select(
+        pixels.packed(F.array(F.lit(300.0)), True).alias("grey"),
+        pixels.packed(F.array().cast("array<double>"), False).alias("none"),
+        pixels.linspace(F.lit(1.0), F.lit(2.0), 5).alias("line"),
+        pixels.padded_concat(F.array(F.lit(1.0), F.lit(9.0)), F.array(F.lit(False), F.lit(True)), F.array(F.lit(2.0)), F.array(F.lit(False))).alias("both"),
+        pixels.shaded(F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0)), [F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(-1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))], F.array(F.lit(0.0), F.lit(1.0))).alias("dark"),
+    ).first()
+    assert row["grey"] == [1.0] * 3 and row["none"] == [0.0] * 3 and row["line"] == [1.0, 1.25, 1.5, 1.75, 2.0] and row["both"] == [1.0, 2.0, 0.0] and row["dark"] == 0.0
+
+
+def test_pre_tokens_of_any_script(spark):
+    row = spark.range(1).select(text.pre_tokens(F.lit("привет! łódź it's 42½ ok")).alias("t")).first()
+    assert row["t"] == ["привет", "!", "łódź", "it", "'s", "4", "2", "½", "ok"]

@@ -6,7 +6,7 @@ from facetflow.plans import catalog
 def test_index_merge_takes_all_values(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
     values = {r["vec_id"]: round(r["embedding"][3] + 0.5, 6) for r in rows}
-    found = catalog.QUERIES["index_merge_whole"](spark, small).collect()
+    found = catalog.QUERIES["index_merge"](spark, small).collect()
     assert max(r["idx"] for r in found) > 50
     assert all(abs(r["value"] - values.get(r["idx"], 0.0)) < 2e-6 for r in found)
 
