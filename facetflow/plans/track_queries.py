@@ -24,9 +24,11 @@ def _frames(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Overlaps (session, frame, trk, det, iou, score) from lineitem: an order is a frame."""
-    line = table(spark, sf_dir, "lineitem")
-    rows = line.select((F.col("l_orderkey") % 5).alias("session"), F.col("l_orderkey").alias("frame"), (F.col("l_partkey") % 6).alias("trk"), (F.col("l_suppkey") % 6).alias("det"), (F.pmod(F.col("l_partkey") * 13 + F.col("l_suppkey") * 7, F.lit(101)) / 100.0).alias("iou"))
-    return rows.groupBy("session", "frame", "trk", "det").agg(F.max("iou").alias("iou"))
+    return _overlaps(table(spark, sf_dir, "lineitem")).groupBy("session", "frame", "trk", "det").agg(F.max("iou").alias("iou"))
+
+
+def _overlaps(line):
+    return line.select((F.col("l_orderkey") % 5).alias("session"), F.col("l_orderkey").alias("frame"), (F.col("l_partkey") % 6).alias("trk"), (F.col("l_suppkey") % 6).alias("det"), (F.pmod(F.col("l_partkey") * 13 + F.col("l_suppkey") * 7, F.lit(101)) / 100.0).alias("iou"))
 
 
 def _detections(spark, sf_dir):
@@ -211,9 +213,8 @@ def dense_records(spark, sf_dir):
     return tracking.dense_records(own, own.where("obj % 8 = 0"), own.where("frame % 20 = 0")).select("session", "obj", F.array_join(F.col("areas").cast("array<string>"), ",").alias("areas"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+def _stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
 
 
 def tracking_stream(spark, sf_dir):
@@ -221,6 +222,18 @@ def tracking_stream(spark, sf_dir):
     return tracks.run_once(tracks.tracked(frames(_stream(spark, sf_dir)), 0, 5, -1, 3), f"{shared_dir(spark)}/tracks-{uuid.uuid4().hex}")
 
 
+def step_stream(spark, sf_dir):
+    """Association, confirmation and delayed output of overlaps as they come."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return tracks.run_once(tracks.stepped(_overlaps(_stream(spark, sf_dir, "lineitem"))), f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}")
+
+
+STEP_SQL = PAIRS_SQL + """, fr AS (SELECT DISTINCT session, frame FROM pr), tk AS (SELECT session, trk, min(frame) AS first FROM pr GROUP BY ALL), hit AS (SELECT DISTINCT session, frame, trk FROM pr WHERE iou >= 0.5),
+g AS (SELECT fr.session, fr.frame, tk.trk AS obj, hit.trk IS NOT NULL AS matched FROM fr JOIN tk ON tk.session = fr.session AND fr.frame >= tk.first LEFT JOIN hit ON hit.session = fr.session AND hit.frame = fr.frame AND hit.trk = tk.trk),
+m AS (SELECT *, sum((NOT matched)::INT) OVER (PARTITION BY session, obj ORDER BY frame) AS k FROM g), r AS (SELECT *, sum(matched::INT) OVER (PARTITION BY session, obj, k ORDER BY frame)::INT AS run FROM m),
+c AS (SELECT *, max(run) OVER (PARTITION BY session, obj ORDER BY frame) >= 3 AS sure FROM r), l AS (SELECT session, frame, obj, run, lead(sure, 3) OVER (PARTITION BY session, obj ORDER BY frame) AS shown FROM c) SELECT * FROM l WHERE shown IS NOT NULL"""
+
+
 def session_stream(spark, sf_dir):
     """Sessions that the watermark has closed; the last ones of the stream stay open."""
     events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -231,11 +244,12 @@ QUERIES = {
     "keep_alive": keep_alive, "confirmation": confirmation, "delayed_emit": delayed, "early_removals": removals, "hidden_by_counter": hidden_by_counter, "duplicate_tracks": duplicates, "last_occluded": last_occluded, "hidden_by_overlap": hidden_by_overlap,
     "matched_pairs": lambda s, d: rounded(tracking.matches(_pairs(s, d), 0.5), 6), "unmatched_tracks": unmatched, "new_detections": new_detections, "sure_pairs": sure_pairs, "optimal_assignment": assigned, "least_loaded": least_loaded, "dense_index": dense_index,
     "closest_frames": closest_frames, "scored_history": scored_history, "strided_history": strided_history, "evicted_outputs": evicted, "reconditioned": reconditioned, "frames_in_order": in_order, "consolidated": consolidated, "shown_outputs": shown, "result_priority": by_priority,
-    "action_plan": action_plan, "prompt_state": prompts, "capped_points": capped_points, "dense_records": dense_records, "frame_shards": lambda s, d: _frames(s, d).groupBy(tracking.shard(F.col("frame"), 4).alias("worker")).agg(F.count("*").alias("n")), "tracking_stream": tracking_stream, "session_stream": session_stream,
+    "action_plan": action_plan, "prompt_state": prompts, "capped_points": capped_points, "dense_records": dense_records, "frame_shards": lambda s, d: _frames(s, d).groupBy(tracking.shard(F.col("frame"), 4).alias("worker")).agg(F.count("*").alias("n")), "tracking_stream": tracking_stream, "step_stream": step_stream, "session_stream": session_stream,
 }
 OUT_SQL = FRAMES_SQL + ", o AS (SELECT session, obj, frame, CASE WHEN frame % 5 = 0 THEN 'cond' ELSE 'non' END AS kind, frame % 9 AS area FROM f)"
 HISTORY_SQL = "WITH h AS (SELECT user_id % 7 AS session, event_id AS frame, ((event_id * 37) % 100) / 100.0::DOUBLE AS score FROM events), q AS (SELECT session, frame AS q FROM h)"
 ORACLES = {
+    "step_stream": STEP_SQL,
     "keep_alive": ALIVE_SQL + " SELECT * FROM k", "hidden_by_counter": ALIVE_SQL + " SELECT session, obj, frame FROM k WHERE alive <= 0", "confirmation": CONFIRM_SQL + " SELECT * FROM c",
     "delayed_emit": CONFIRM_SQL + " SELECT session, obj, frame, coalesce(lead(confirmed, 3) OVER (PARTITION BY session, obj ORDER BY frame), last_value(confirmed) OVER (PARTITION BY session, obj ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS shown FROM c",
     "early_removals": FRAMES_SQL + ", m AS (SELECT *, min(frame) OVER (PARTITION BY session, obj) AS first, sum((NOT matched)::INT) OVER (PARTITION BY session, obj ORDER BY frame) AS misses FROM f) SELECT session, obj, min(frame) AS frame FROM m WHERE misses >= 3 AND frame - first < 2000 GROUP BY ALL",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 class TrackState(StatefulProcessor):
@@ -39,6 +40,50 @@ class TrackState(StatefulProcessor):
         pass
 
 
+class StepState(StatefulProcessor):
+    """Per session: its tracks' matches in a row and confirmations, and the frames whose output is held back.
+
+    A frame's overlaps say which tracks it matches; every track known so far counts on. A frame is given out once
+    look_ahead - 1 later ones are there, with what each of its tracks has become by then. The state holds a few numbers a track and
+    look_ahead - 1 frames.
+    """
+
+    def __init__(self, least: float, needed: int, look_ahead: int):
+        self.limits = (least, needed, look_ahead)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("session", StructType([StructField("json", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        least, needed, look_ahead = self.limits
+        tracks, held = json.loads(self.state.get()[0]) if self.state.exists() else ({}, [])
+        pairs = pd.concat(list(rows))
+        out = []
+        for frame, own in pairs.groupby("frame", sort=True):
+            matched = set(own.loc[own["iou"] >= least, "trk"].tolist())
+            for trk in {*map(int, tracks), *own["trk"].tolist()}:
+                run, sure = tracks.get(str(trk), (0, False))
+                run = run + 1 if trk in matched else 0
+                tracks[str(trk)] = (run, bool(sure or run >= needed))
+            held.append((int(frame), {t: run for t, (run, _) in tracks.items()}))
+            if len(held) >= look_ahead:
+                at, then = held.pop(0)
+                out += [(key[0], at, int(t), run, tracks[t][1]) for t, run in then.items()]
+        self.state.update((json.dumps((tracks, held)),))
+        yield pd.DataFrame(out, columns=["session", "frame", "obj", "run", "shown"])
+
+    def close(self) -> None:
+        pass
+
+
+STEP_SCHEMA = "session bigint, frame bigint, obj bigint, run int, shown boolean"
+
+
+def stepped(pairs: DataFrame, least: float = 0.5, needed: int = 3, look_ahead: int = 4) -> DataFrame:
+    """A streaming table of overlaps (session, frame, trk, iou) -> each frame's tracks with run and shown, delayed; needs the RocksDB state store. Frames must come in order over batches."""
+    return pairs.select("session", "frame", "trk", "iou").groupBy("session").transformWithStateInPandas(StepState(least, needed, look_ahead), STEP_SCHEMA, outputMode="append", timeMode="none")
+
+
 SCHEMA = "session bigint, obj bigint, frame bigint, alive int, run int, confirmed boolean"
 
 
