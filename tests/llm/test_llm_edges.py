@@ -144,3 +144,7 @@ def test_urls(spark):
     assert found[5][2:] == ("org/fr/", "allow") and found[6][3] == "block" and found[7][3] == "block" and found[8][3] == "allow"
     assert found[9][2] is None and found[10][2:] == ("example.com/de/", "block")
     assert url_filter.url_verdicts(table.limit(0)).count() == 0 and url_filter.url_verdicts(table).count() == len(rows)
+    long = spark.createDataFrame([(1, "http://x.org/" + "a/" * 200_000 + "casino"), (2, "http://x.org/" + "casinos" * 100_000), (3, "http://x.org/free-free-free"), (4, "http://x.org/free?win")], "page_id bigint, url string")
+    assert [(r["verdict"], r["strict_terms"], r["soft_terms"]) for r in url_filter.url_verdicts(long).orderBy("page_id").collect()] == [("block", 1, 0), ("allow", 0, 0), ("allow", 0, 1), ("block", 0, 2)]
+    strict, soft = url_filter.vocabulary(url_filter.TERMS)
+    assert len(strict) + len(soft) > 130 and not set(strict) & set(soft)
