@@ -42,14 +42,14 @@ def transformed(points: DataFrame, pose: Column, snap: float = 1e-6) -> DataFram
     return points.withColumns({c: F.when(same, F.col(c)).otherwise(dot([pose[4 * i + k] for k in range(3)], p) + pose[4 * i + 3]) for i, c in enumerate(AXES)})
 
 
-def look_at(eye: list[Column], target: list[Column], up: tuple[float, float, float] = (0.0, 0.0, 1.0), nudge: float = 1e-6) -> Column:
-    """Row-major camera-to-world pose that looks from eye to target along -z; if the view is along up, up is nudged."""
+def look_at(eye: list[Column], target: list[Column], up: tuple[float, float, float] = (0.0, 1.0, 0.0), nudge: float = 1e-6) -> Column:
+    """Row-major camera-to-world pose that looks from eye to target along -z; where the view is along up, the eye is moved by `nudge` on each axis, also in the pose."""
+    ups = [F.lit(u) for u in up]
+    flat = F.greatest(*[F.abs(c) for c in cross(minus(target, eye), ups)]) < nudge
+    eye = [F.when(flat, c + nudge).otherwise(c) for c in eye]
     back = minus(eye, target)
     size = length(back)
     z = [c / size for c in back]
-    ups = [F.lit(u) for u in up]
-    flat = length(cross(ups, z)) < nudge
-    ups = [F.when(flat, u + nudge).otherwise(u) for u in ups]
     x = cross(ups, z)
     n = length(x)
     x = [c / n for c in x]

@@ -109,9 +109,12 @@ def run_length_area(counts: Column) -> Column:
     return F.aggregate(F.filter(counts, lambda x, i: i % 2 == 1), F.lit(0), lambda s, x: s + x)
 
 
-def boxes(masks: DataFrame, exclusive: bool = False, by=BY) -> DataFrame:
-    """(by, mask, x0, y0, x1, y1): the last pixel's place, or one beyond it. Masks without pixels have no row."""
+def boxes(masks: DataFrame, exclusive: bool = False, everyone: DataFrame | None = None, by=BY) -> DataFrame:
+    """(by, mask, x0, y0, x1, y1): the last pixel's place, or one beyond it. Masks without pixels have no row, or, if in `everyone` (by, mask), all zeros."""
     more = 1 if exclusive else 0
+    if everyone is not None:
+        found = everyone.select(*by, "mask").distinct().join(boxes(masks, exclusive, by=by), [*by, "mask"], "left")
+        return found.fillna(0, ["x0", "y0", "x1", "y1"])
     return masks.groupBy(*by, "mask").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + more).alias("x1"), (F.max("y") + more).alias("y1"))
 
 
@@ -270,15 +273,16 @@ def dilated(pixels: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     return pixels.select(*keys, "y", "x", F.explode(steps).alias("s")).select(*keys, (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x")).distinct()
 
 
-def boundary_f(est: DataFrame, ref: DataFrame, radius: int, by=BY) -> DataFrame:
-    """(by, mask, f): agreement of two sets of boundary pixels within the radius. Both empty have no row; one empty gives 0."""
+def boundary_f(est: DataFrame, ref: DataFrame, radius: int, everyone: DataFrame | None = None, by=BY) -> DataFrame:
+    """(by, mask, f): agreement of two sets of boundary pixels within the radius. One empty gives 0; both empty give 1 for the masks of `everyone` (by, mask), else no row."""
     keys = [*by, "mask"]
     hit = lambda a, b: a.join(dilated(b, radius, keys), [*keys, "y", "x"], "left_semi").groupBy(*keys).agg(F.count("*").alias("hits"))
     size = lambda a: a.groupBy(*keys).agg(F.count("*").alias("n"))
     p = size(est).join(hit(est, ref), keys, "left").select(*keys, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("p"))
     r = size(ref).join(hit(ref, est), keys, "left").select(*keys, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("r"))
     both = p.join(r, keys, "full")
-    return both.select(*keys, F.coalesce(F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))), F.lit(0.0)).alias("f"))
+    found = both.select(*keys, F.coalesce(F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))), F.lit(0.0)).alias("f"))
+    return found if everyone is None else everyone.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("f", F.lit(1.0)).alias("f"))
 
 
 def distance_transform(masks: DataFrame, sizes: DataFrame, by=BY) -> DataFrame:

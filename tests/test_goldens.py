@@ -244,3 +244,17 @@ def test_pixel_functions(spark):
 def test_pre_tokens_of_any_script(spark):
     row = spark.range(1).select(text.pre_tokens(F.lit("привет! łódź it's 42½ ok")).alias("t")).first()
     assert row["t"] == ["привет", "!", "łódź", "it", "'s", "4", "2", "½", "ok"]
+
+
+def test_empty_masks(spark):
+    none = spark.createDataFrame([], "img int, mask int, y int, x int")
+    one, everyone = spark.createDataFrame([(0, 1, 2, 3)], none.schema), spark.createDataFrame([(0, 1), (0, 2)], "img int, mask int")
+    assert rows(masks.boxes(one, everyone=everyone), "mask", "x0", "y0", "x1", "y1") == [(1, 3, 2, 3, 2), (2, 0, 0, 0, 0)]
+    assert rows(masks.boundary_f(one, none, 1, everyone), "mask", "f") == [(1, 0.0), (2, 1.0)]
+
+
+def test_view_along_up_moves_the_eye(spark):
+    own = spark.createDataFrame([(0.0, 3.0, 0.0), (0.0, 0.0, 3.0)], "x double, y double, z double")
+    poses = [r["p"] for r in own.select(geometry.look_at([F.col(c) for c in "xyz"], [F.lit(0.0)] * 3).alias("p")).collect()]
+    assert [poses[0][i] for i in (3, 7, 11)] == [1e-6, 3.000001, 1e-6] and [poses[1][i] for i in (3, 7, 11)] == [0.0, 0.0, 3.0]
+    assert [round(v, 6) for v in poses[1]] == [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 3, 0, 0, 0, 1]
