@@ -46,9 +46,9 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: no lineage, and unlike a checkpoint neither its partitioning nor its constraints, so AQE may split a join of it and the planner has less to infer."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written to the shared folder (within `folder`, if given) and read again: no lineage, and unlike a checkpoint neither its partitioning nor its constraints, so AQE may split a join of it and the planner has less to infer."""
+    path = f"{folder or shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
