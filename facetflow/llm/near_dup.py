@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from facetflow.llm.common import U64, mix64
 from facetflow.operators.graph import components
 from facetflow.operators.skew import copied, dealt, met, parts_of
-from facetflow.session import stored
+from facetflow.session import discard, shared_dir, stored
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED, AT_ONCE = 12, 2, 1 << 16
 SAMPLED, COMMON = 8, 1 << 17  # a share of the texts, and a number of shingles, that the order of least_first() is made from
+Keep = Callable[[DataFrame], DataFrame]  # cuts the lineage of a table that is read several times
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64))[:, None]
 
 
@@ -154,9 +156,9 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return matched / (len(a) + len(b) - matched) if matched >= least else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, keep: Keep = stored) -> DataFrame:
     """pairs (a, a_id, b, b_id) with `similar`: whether the texts of the two keys align. Texts are fetched by id and held to their key; a hub of many pairs is dealt out in parts. Texts are always shuffled, so that the plan is the same at every size."""
-    pairs = stored(pairs)
+    pairs = keep(pairs)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     hot = parts_of(pairs.groupBy("a_id").count(), "a_id", "count", 256)
     pairs = dealt(pairs, hot, "a_id", "b")
@@ -183,7 +185,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     return joined.mapInArrow(run, "a binary, b binary, similar boolean").distinct()
 
 
-def starred(members: DataFrame) -> DataFrame:
+def starred(members: DataFrame, keep: Keep = stored) -> DataFrame:
     """members (bucket, text_key, id, n, class, weight) of buckets of two texts and more, with their bucket's hub, how many they are and whether they are of one class.
 
     The hub is the text of the greatest weight (ties: the least id): the texts that share its buckets with it,
@@ -191,14 +193,14 @@ def starred(members: DataFrame) -> DataFrame:
     Members of a hot bucket meet its hub in several parts.
     """
     own = F.struct((-F.col("weight")).alias("less"), "id", "text_key", "n", "class")
-    hubs = stored(members.groupBy("bucket").agg(F.min(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1"))
+    hubs = keep(members.groupBy("bucket").agg(F.min(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1"))
     return met(members, hubs, parts_of(hubs, "bucket", "texts", 1000), "bucket", "text_key")
 
 
-def weighed(members: DataFrame) -> DataFrame:
+def weighed(members: DataFrame, keep: Keep = stored) -> DataFrame:
     """members of buckets of two texts and more, with weight: the sizes of a text's buckets together."""
-    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = stored(met(members, sizes, parts_of(sizes, "bucket", "size", 1000), "bucket", "text_key"))
+    sizes = keep(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = keep(met(members, sizes, parts_of(sizes, "bucket", "size", 1000), "bucket", "text_key"))
     return shared.drop("size").join(shared.groupBy("text_key").agg(F.sum("size").alias("weight")), "text_key")
 
 
@@ -221,29 +223,29 @@ def classed(members: DataFrame, tested: DataFrame) -> DataFrame:
     return members.drop("class").join(found, "text_key", "left").withColumn("class", F.coalesce("found", "text_key")).drop("found")
 
 
-def links(texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def links(texts: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, keep: Keep = stored) -> DataFrame:
     """Tested pairs (a, b, similar) of texts (text_key, id, n, sketch) that span the classes of similar ones.
 
     Texts that share a sketch share a bucket. Each is aligned with its bucket's hub. Buckets of three and more
     texts that this leaves in several classes are split by each of the other sketches, and again aligned with a hub. Where a
     bucket still has several classes, its texts of different classes are aligned with each other if they share one of the shingles that similar texts must share.
     """
-    members = weighed(texts.select("text_key", "id", "n", F.explode("sketch").alias("bucket"), F.col("text_key").alias("class")))
-    members = stored(starred(members))
-    tested = stored(verified(paired(members, similarity), docs, key, text, similarity))
+    members = weighed(texts.select("text_key", "id", "n", F.explode("sketch").alias("bucket"), F.col("text_key").alias("class")), keep)
+    members = keep(starred(members, keep))
+    tested = keep(verified(paired(members, similarity), docs, key, text, similarity, keep))
     columns = ["bucket", "text_key", "id", "n", "class", "weight"]
-    open_ = stored(starred(classed(members.where("texts > 2").select(*columns), tested)).where("not one").select(*columns))
+    open_ = keep(starred(classed(members.where("texts > 2").select(*columns), tested), keep).where("not one").select(*columns))
     if open_.isEmpty():
         return tested
     # the texts that their hub did not take in, each bucket split by the other sketches
     split = open_.join(texts.select("text_key", "sketch"), "text_key").select("text_key", "id", "n", "class", F.col("bucket").alias("outer"), F.explode("sketch").alias("inner")).where(F.col("inner") > F.col("outer"))
-    split = stored(starred(weighed(split.withColumn("bucket", F.xxhash64("outer", "inner")).drop("outer", "inner"))).where("not one"))
-    more = stored(verified(untested(paired(split, similarity), tested), docs, key, text, similarity))
-    tested = stored(tested.unionByName(more))
-    open_ = stored(starred(classed(open_, tested)).where("not one AND texts > 2").select(*columns))
+    split = keep(starred(weighed(split.withColumn("bucket", F.xxhash64("outer", "inner")).drop("outer", "inner"), keep), keep).where("not one"))
+    more = keep(verified(untested(paired(split, similarity), tested), docs, key, text, similarity, keep))
+    tested = keep(tested.unionByName(more))
+    open_ = keep(starred(classed(open_, tested), keep).where("not one AND texts > 2").select(*columns))
     if open_.isEmpty():
         return tested
-    return stored(tested.unionByName(verified(untested(crossed(open_, docs, key, text, similarity), tested), docs, key, text, similarity)))
+    return keep(tested.unionByName(verified(untested(crossed(open_, docs, key, text, similarity, keep), tested), docs, key, text, similarity, keep)))
 
 
 def with_shingles(keys: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -302,13 +304,13 @@ def firsts(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.select(*names, "shingles").mapInArrow(run, f"text_key binary, id {kind}, n bigint, class binary, first array<bigint>").select(*names, F.posexplode("first").alias("place", "shingle"))
 
 
-def crossed(open_: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def crossed(open_: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, keep: Keep = stored) -> DataFrame:
     """Pairs of texts of open_ of different classes that sizes, and the places of a shared shingle in least_first(), allow to be similar; each once. No similar pair is left out."""
     columns = ["text_key", "id", "n", "class", "place"]
-    own = firsts(stored(with_shingles(open_.select("text_key", "id", "n", "class").distinct(), docs, key, text)), similarity)
-    several = stored(own.groupBy("shingle").agg(F.count("*").alias("texts"), (F.min("class") < F.max("class")).alias("several")).where("several").select("shingle", "texts"))
+    own = firsts(keep(with_shingles(open_.select("text_key", "id", "n", "class").distinct(), docs, key, text)), similarity)
+    several = keep(own.groupBy("shingle").agg(F.count("*").alias("texts"), (F.min("class") < F.max("class")).alias("several")).where("several").select("shingle", "texts"))
     hot = parts_of(several, "shingle", "texts", 1000)
-    own = stored(met(own, several.select("shingle"), hot, "shingle", "text_key"))
+    own = keep(met(own, several.select("shingle"), hot, "shingle", "text_key"))
     other = copied(own.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns]), hot, "shingle")
     own = dealt(own, hot, "shingle", "text_key")
     near = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-8
@@ -322,8 +324,10 @@ def signed_classes(docs: DataFrame, key: str, text: str, similarity: float) -> D
     rows = stored(signed(docs, key, text))
     some = rows.where(F.col("text_key").isNotNull())
     texts = stored(some.groupBy("text_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("least")))
-    tested = links(texts.where(F.col("id").isNotNull()), docs, key, text, similarity)
+    folder = f"{shared_dir(docs.sparkSession)}/links-{uuid.uuid4().hex}"
+    tested = links(texts.where(F.col("id").isNotNull()), docs, key, text, similarity, lambda df: stored(df, folder))
     found = components(tested.where("similar"), "a", "b").withColumnRenamed("node", "text_key")
+    discard(docs.sparkSession, folder)  # the components are checkpointed
     own = stored(texts.select("text_key", "id", "least", "copies").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key")))
     least = stored(own.groupBy("component").agg(F.min("id").alias("class_id"), F.min("least").alias("kept"), F.count("*").alias("texts")))
     own = met(own, least, parts_of(least, "component", "texts", 10_000), "component", "text_key")
