@@ -20,7 +20,7 @@ def _stars(edges: DataFrame, large: bool, count: int) -> DataFrame:
         joined = both.join(least, "u")
     else:
         least = cut(least)
-        joined = met(both, least.select("u", "m"), parts_of(least, "u", "degree", 10_000, 2 * count), "u", "v")
+        joined = met(both, least.select("u", "m"), parts_of(least, "u", "degree", 10_000), "u", "v")
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
     else:

@@ -206,6 +206,8 @@ def test_hot_keys_meet_in_parts(spark):
     single = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k bigint, name string")
     hot = skew.parts_of(rows.groupBy("k").count(), "k", "count", 100)
     assert hot.count() == 2 and hot.agg(F.min("parts")).first()[0] > 10
+    assert skew.parts_of(rows.groupBy("k").count(), "k", "count", 10_000) is None
+    assert skew.met(rows, single, None, "k", "id").count() == rows.count()
     found = skew.met(rows, single, hot, "k", "id")
     assert found.count() == rows.count() and found.where("(k = 0) <> (name = 'a')").count() == 0
     assert skew.dealt(rows, hot, "k", "id").select("k", "part").distinct().count() > 20
