@@ -20,6 +20,7 @@ from facetflow.session import discard, shared_dir, stored
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED, AT_ONCE = 12, 2, 1 << 16
 SAMPLED, COMMON = 8, 1 << 17  # a share of the texts, and a number of shingles, that the order of least_first() is made from
+HOT = 10_000  # rows of a key (of texts: a tenth of it) from which a join deals it out in parts
 Keep = Callable[[DataFrame], DataFrame]  # cuts the lineage of a table that is read several times
 SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64))[:, None]
 
@@ -160,7 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     """pairs (a, a_id, b, b_id) with `similar`: whether the texts of the two keys align. Texts are fetched by id and held to their key; a hub of many pairs is dealt out in parts. Texts are always shuffled, so that the plan is the same at every size."""
     pairs = keep(pairs)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    hot = parts_of(pairs.groupBy("a_id").count(), "a_id", "count", 256)
+    hot = parts_of(pairs.groupBy("a_id").count(), "a_id", "count", HOT // 10)
     pairs = dealt(pairs, hot, "a_id", "b")
     hubs = pairs.select("a_id", "part").distinct().join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")).hint("merge"), "a_id")
     joined = pairs.join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")).hint("merge"), "b_id").join(hubs.hint("merge"), ["a_id", "part"]).select("a", "b", "a_text", "b_text")
@@ -194,13 +195,13 @@ def starred(members: DataFrame, keep: Keep = stored) -> DataFrame:
     """
     own = F.struct((-F.col("weight")).alias("less"), "id", "text_key", "n", "class")
     hubs = keep(members.groupBy("bucket").agg(F.min(own).alias("hub"), F.count("*").alias("texts"), (F.min("class") == F.max("class")).alias("one")).where("texts > 1"))
-    return met(members, hubs, parts_of(hubs, "bucket", "texts", 1000), "bucket", "text_key")
+    return met(members, hubs, parts_of(hubs, "bucket", "texts", HOT), "bucket", "text_key")
 
 
 def weighed(members: DataFrame, keep: Keep = stored) -> DataFrame:
     """members of buckets of two texts and more, with weight: the sizes of a text's buckets together."""
     sizes = keep(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = keep(met(members, sizes, parts_of(sizes, "bucket", "size", 1000), "bucket", "text_key"))
+    shared = keep(met(members, sizes, parts_of(sizes, "bucket", "size", HOT), "bucket", "text_key"))
     return shared.drop("size").join(shared.groupBy("text_key").agg(F.sum("size").alias("weight")), "text_key")
 
 
@@ -309,7 +310,7 @@ def crossed(open_: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     columns = ["text_key", "id", "n", "class", "place"]
     own = firsts(keep(with_shingles(open_.select("text_key", "id", "n", "class").distinct(), docs, key, text)), similarity)
     several = keep(own.groupBy("shingle").agg(F.count("*").alias("texts"), (F.min("class") < F.max("class")).alias("several")).where("several").select("shingle", "texts"))
-    hot = parts_of(several, "shingle", "texts", 1000)
+    hot = parts_of(several, "shingle", "texts", HOT)
     own = keep(met(own, several.select("shingle"), hot, "shingle", "text_key"))
     other = copied(own.select("shingle", *[F.col(c).alias(f"{c}_b") for c in columns]), hot, "shingle")
     own = dealt(own, hot, "shingle", "text_key")
@@ -330,9 +331,9 @@ def signed_classes(docs: DataFrame, key: str, text: str, similarity: float) -> D
     discard(docs.sparkSession, folder)  # the components are checkpointed
     own = stored(texts.select("text_key", "id", "least", "copies").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key")))
     least = stored(own.groupBy("component").agg(F.min("id").alias("class_id"), F.min("least").alias("kept"), F.count("*").alias("texts")))
-    own = met(own, least, parts_of(least, "component", "texts", 10_000), "component", "text_key")
+    own = met(own, least, parts_of(least, "component", "texts", HOT), "component", "text_key")
     by_text = own.select("text_key", "class_id", "kept", "copies")
-    hot = parts_of(texts, "text_key", "copies", 10_000)
+    hot = parts_of(texts, "text_key", "copies", HOT)
     known = met(some.select("id", "raw", "text_key"), by_text, hot, "text_key", "id").select("id", "raw", "text_key", F.coalesce("class_id", "id").alias("class_id"), (F.struct("id", "raw") == F.col("kept")).alias("stays"))
     return known.unionByName(rows.where(F.col("text_key").isNull()).select("id", "raw", "text_key", F.col("id").alias("class_id"), F.lit(True).alias("stays")))
 

@@ -124,10 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     rows = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, label int, cells array<int>, counts array<float>").toArrow().sort_by("id")
     n = rows.num_rows
     counts = np.zeros((n, DIMENSIONS), dtype=np.float32)
-    for i, (cells, values) in enumerate(zip(rows["cells"].to_pylist(), rows["counts"].to_pylist(), strict=True)):
-        counts[i, cells] = values
+    for i, (cells, values) in enumerate(zip(rows["cells"], rows["counts"], strict=True)):
+        counts[i, cells.values.to_numpy()] = values.values.to_numpy()
     rarity = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = weighted(counts, rarity)
+    del counts
     width = max(1, min(LATENT, n, DIMENSIONS))
     probe = x.T @ (x @ np.random.default_rng(seed).standard_normal((DIMENSIONS, width + 8), dtype=np.float32))
     for _ in range(3):
@@ -135,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     basis, _ = np.linalg.qr(probe)
     _, _, axes = np.linalg.svd(x @ basis, full_matrices=False)
     axes = (basis @ axes[:width].T).astype(np.float64)
-    return Model(rarity, axes, unit(x.astype(np.float64) @ axes), rows["label"].to_numpy().astype(np.float64) if n else np.zeros(0))
+    latent = np.concatenate([x[i : i + 256].astype(np.float64) @ axes for i in range(0, n, 256)]) if n else np.zeros((0, width))
+    return Model(rarity, axes, unit(latent), rows["label"].to_numpy().astype(np.float64) if n else np.zeros(0))
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
