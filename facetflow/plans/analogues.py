@@ -36,9 +36,9 @@ FACING_SQL = "abs(nx * (view / 10.0::DOUBLE) + ny * (1 - view / 10.0::DOUBLE) +
 
 
 def numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Numbers of made images and meshes, five suppliers each, so that they grow with the tables; at least three."""
-    return table(spark, sf_dir, "supplier").select(F.expr("cast(s_suppkey div 5 as int)").alias(name)).distinct()
+    """Numbers of made images and meshes, four suppliers each, so that they grow with the tables; three on the smallest."""
+    return table(spark, sf_dir, "supplier").select(F.expr("cast(s_suppkey div 4 as int)").alias(name)).distinct()
 
 
 #: The same numbers.
-NUMBERS_SQL = "(SELECT DISTINCT (s_suppkey // 5)::INT FROM supplier)"
+NUMBERS_SQL = "(SELECT DISTINCT (s_suppkey // 4)::INT FROM supplier)"

@@ -136,7 +136,7 @@ def refined_labels(spark, sf_dir):
 
 
 def weight_grid(spark, sf_dir):
-    rows = numbered(spark, sf_dir, "mesh").withColumn("weight", F.explode(F.sequence(F.lit(1), F.lit(15))).cast("double"))
+    rows = numbered(spark, sf_dir, "mesh").withColumn("weight", F.explode(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: i.cast("double"))))
     return rows.withColumn("labels", (40 - 2 * F.col("weight") - F.col("mesh") % 3).cast("int"))
 
 
