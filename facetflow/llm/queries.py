@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import ann, bpe, conversations, langid, lm, mixing, near_dup, quality, ranked, token_counts, topk, url_filter
+from facetflow.llm import ann, bpe, conversations, langid, lm, mixing, near_dup, quality, ranked, repeats, token_counts, topk, url_filter
 from facetflow.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,9 +55,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_neighbour_quality, op3_language_spans, op4_temperature_mix, op5_order_minhash, op6_bit_sliced_top_k, op7_one_bit_neighbours, op8_section_tokens, op9_url_filter, op10_byte_bpe, op11_conversation_repair, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_neighbour_quality, op3_language_spans, op4_temperature_mix, op5_order_minhash, op6_bit_sliced_top_k, op7_one_bit_neighbours, op8_section_tokens, op9_url_filter, op10_byte_bpe, op11_conversation_repair, op12_repeated_passages, op13_ranked_search)}
 ORACLES = {"op4_temperature_mix": mixing.MIX_SQL, "op6_bit_sliced_top_k": topk.TOP_K_SQL, "op9_url_filter": url_filter.verdict_sql(), "op11_conversation_repair": conversations.REPAIR_SQL, "op13_ranked_search": ranked.RANKED_SQL}
