@@ -254,7 +254,7 @@ r2 AS (SELECT *, md5(length(role) || ':' || role || ':' || text) AS k, rtrim(tex
 r3 AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS i,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k, nth) AS pos FROM r2),
 r4 AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM r3),
-totals AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+totals AS (SELECT conv_id, coalesce(max(turn)::HUGEINT - min(turn)::HUGEINT + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pos > 1 AND (before || i) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r4 GROUP BY conv_id),
 -- a state's way on: cost and audit; s0 nothing written, s1 a system row, s2 an open user row, s3 a closed pair
 ways AS (SELECT conv_id, n AS pos, {'c': 0, 'a': ''} AS s0, {'c': 10, 'a': 'II'} AS s1, {'c': 5, 'a': 'I'} AS s2, {'c': 0, 'a': ''} AS s3 FROM totals

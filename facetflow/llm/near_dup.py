@@ -320,17 +320,18 @@ def crossed(open_: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     return pairs.select(F.col("text_key").alias("a"), F.col("id").alias("a_id"), F.col("text_key_b").alias("b"), F.col("id_b").alias("b_id")).distinct()
 
 
-def signed_classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """id, raw, text_key and class_id of every row of docs, and `stays`: whether its text is the one of its class that is kept."""
-    rows = stored(signed(docs, key, text))
+def signed_classes(docs: DataFrame, key: str, text: str, similarity: float, within: str | None = None) -> DataFrame:
+    """id, raw, text_key and class_id of every row of docs, and `stays`: whether its text is the one of its class that is kept. What the result reads is stored in the folder `within`."""
+    keep = lambda df: stored(df, within)
+    rows = keep(signed(docs, key, text))
     some = rows.where(F.col("text_key").isNotNull())
-    texts = stored(some.groupBy("text_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("least")))
+    texts = keep(some.groupBy("text_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "raw"))).alias("least")))
     folder = f"{shared_dir(docs.sparkSession)}/links-{uuid.uuid4().hex}"
     tested = links(texts.where(F.col("id").isNotNull()), docs, key, text, similarity, lambda df: stored(df, folder))
     found = components(tested.where("similar"), "a", "b").withColumnRenamed("node", "text_key")
     discard(docs.sparkSession, folder)  # the components are checkpointed
-    own = stored(texts.select("text_key", "id", "least", "copies").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key")))
-    least = stored(own.groupBy("component").agg(F.min("id").alias("class_id"), F.min("least").alias("kept"), F.count("*").alias("texts")))
+    own = keep(texts.select("text_key", "id", "least", "copies").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key")))
+    least = keep(own.groupBy("component").agg(F.min("id").alias("class_id"), F.min("least").alias("kept"), F.count("*").alias("texts")))
     own = met(own, least, parts_of(least, "component", "texts", HOT), "component", "text_key")
     by_text = own.select("text_key", "class_id", "kept", "copies")
     hot = parts_of(texts, "text_key", "copies", HOT)
@@ -357,11 +358,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
 
     Rows without a key and rows without words stay.
     """
-    rows = stored(signed_classes(docs, key, text, similarity).where(F.col("id").isNotNull() & F.col("text_key").isNotNull()))
-    at = (F.col(key) == F.col("_id")) & (raw_digest(text) == F.col("_raw"))
-    out = docs.join(rows.where("not stays").select(F.col("id").alias("_id"), F.col("raw").alias("_raw")).distinct().hint("merge"), at, "left_anti")
-    again = rows.where("stays").groupBy(F.col("id").alias("_id"), F.col("raw").alias("_raw")).count().where("count > 1").drop("count")
-    if again.isEmpty():
-        return out
-    first = out.join(again, at, "left_semi").withColumn("_raw", raw_digest(text)).dropDuplicates([key, "_raw"]).drop("_raw")
-    return out.join(again, at, "left_anti").unionByName(first)
+    folder = f"{shared_dir(docs.sparkSession)}/classes-{uuid.uuid4().hex}"
+    rows = stored(signed_classes(docs, key, text, similarity, folder).where(F.col("id").isNotNull() & F.col("text_key").isNotNull()), folder + "-rows")
+    discard(docs.sparkSession, folder)
+    gone = rows.where("not stays").select("id", "raw").distinct()
+    again = rows.where("stays").groupBy("id", "raw").count().where("count > 1").drop("count")
+    # a row travels whole, so that none of its columns can be taken for one of ours
+    own = docs.select(F.col(key).alias("id"), raw_digest(text).alias("raw"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = own.join(gone.hint("merge"), ["id", "raw"], "left_anti")
+    if not again.isEmpty():
+        first = out.join(again, ["id", "raw"], "left_semi").dropDuplicates(["id", "raw"])
+        out = out.join(again, ["id", "raw"], "left_anti").unionByName(first)
+    return out.select("row.*")

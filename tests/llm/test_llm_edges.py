@@ -10,7 +10,7 @@ from facetflow.llm import ann, bpe, langid, lm, mixing, near_dup, quality, token
 from facetflow.llm.queries import RANKS
 from public_tokenizers import PATTERN
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, section string, _key int, row int, id string, class_id int, held_out int, label int, name int, block int"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, section string, _key int, row int, id string, class_id int, held_out int, label int, name int, block int, _id int, _raw string"
 LONG = "wort " * 50_000 + "x" * 100_000
 
 OPERATORS = {
@@ -27,7 +27,7 @@ OPERATORS = {
 @pytest.fixture(scope="module")
 def docs(spark):
     texts = [None, "", "   \n", "the cat sat on the mat and looked at the dog", "the cat sat on the mat and looked at the dog", LONG, "12 ½ ² 34 !!", "é", "der hund und die katze", "the cat\x1c sat� \U0001f600"]
-    rows = [(i, t, "en" if i % 2 else "de", "a" if i % 3 else None) + (1, 0.5, "s") + (1, 1, "i") + (0,) * 5 for i, t in enumerate(texts)]
+    rows = [(i, t, "en" if i % 2 else "de", "a" if i % 3 else None) + (1, 0.5, "s") + (1, 1, "i") + (0,) * 5 + (7, "r") for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, "no id", None, None) + (None,) * 11]
     return spark.createDataFrame(rows, DOCS)
 
