@@ -222,16 +222,43 @@ def tracking_stream(spark, sf_dir):
     return tracks.run_once(tracks.tracked(frames(_stream(spark, sf_dir)), 0, 5, -1, 3), f"{shared_dir(spark)}/tracks-{uuid.uuid4().hex}")
 
 
-def step_stream(spark, sf_dir):
-    """Association, confirmation and delayed output of overlaps as they come."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return tracks.run_once(tracks.stepped(_overlaps(_stream(spark, sf_dir, "lineitem"))), f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}")
+def _boxes(line):
+    """Detections from lineitem: an order is a frame, two hundred of them a session, a line a box that stays about its place."""
+    x, y = F.col("l_linenumber") * 20 + F.col("l_partkey") % 12, F.col("l_suppkey") % 12
+    return line.select(F.expr("l_orderkey div 200").alias("session"), F.col("l_orderkey").alias("frame"), F.timestamp_seconds(F.col("l_orderkey") + 1_000_000_000).alias("ts"), F.expr("l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey").cast("long").alias("det"), (F.col("l_discount") * 10).alias("score"), *[c.cast("double").alias(n) for c, n in ((x, "x0"), (y, "y0"), (x + 30, "x1"), (y + 30, "y1"))])
 
 
-STEP_SQL = PAIRS_SQL + """, fr AS (SELECT DISTINCT session, frame FROM pr), tk AS (SELECT session, trk, min(frame) AS first FROM pr GROUP BY ALL), hit AS (SELECT DISTINCT session, frame, trk FROM pr WHERE iou >= 0.5),
-g AS (SELECT fr.session, fr.frame, tk.trk AS obj, hit.trk IS NOT NULL AS matched FROM fr JOIN tk ON tk.session = fr.session AND fr.frame >= tk.first LEFT JOIN hit ON hit.session = fr.session AND hit.frame = fr.frame AND hit.trk = tk.trk),
-m AS (SELECT *, sum((NOT matched)::INT) OVER (PARTITION BY session, obj ORDER BY frame) AS k FROM g), r AS (SELECT *, sum(matched::INT) OVER (PARTITION BY session, obj, k ORDER BY frame)::INT AS run FROM m),
-c AS (SELECT *, max(run) OVER (PARTITION BY session, obj ORDER BY frame) >= 3 AS sure FROM r), l AS (SELECT session, frame, obj, run, lead(sure, 3) OVER (PARTITION BY session, obj ORDER BY frame) AS shown FROM c) SELECT * FROM l WHERE shown IS NOT NULL"""
+def step_stream(spark, sf_dir):
+    """Association, new ids, removal, expiry, confirmation and delayed output of detections as they come; a session's last frame is known from the table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ends = _boxes(table(spark, sf_dir, "lineitem")).groupBy("session").agg(F.max("frame").alias("end"))
+    rows = _boxes(_stream(spark, sf_dir, "lineitem")).join(ends, "session")
+    return tracks.run_once(tracks.stepped(rows, tracks.Rules(score=0.3, most=6)), f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}")
+
+
+#: The same rules, frame by frame, with a session's tracks as one list.
+STEP_SQL = """
+WITH RECURSIVE bx AS (SELECT l_orderkey // 200 AS session, l_orderkey AS frame, (l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey)::BIGINT AS det, l_discount * 10 AS score, (l_linenumber * 20 + l_partkey % 12)::DOUBLE AS x0, (l_suppkey % 12)::DOUBLE AS y0 FROM lineitem),
+fr AS (SELECT session, frame, list({'det': det, 'score': score, 'x0': x0, 'y0': y0} ORDER BY det) AS ds, row_number() OVER (PARTITION BY session ORDER BY frame) AS k FROM bx GROUP BY session, frame),
+st AS (SELECT session, 0::BIGINT AS k, 0::BIGINT AS frame, 1::BIGINT AS nxt, []::STRUCT(obj BIGINT, x0 DOUBLE, y0 DOUBLE, fst BIGINT, misses INT, alive INT, run INT, sure BOOLEAN, gone INT, mates BIGINT[])[] AS ts FROM (SELECT DISTINCT session FROM fr)
+UNION ALL SELECT session, k, frame, nxt + len(fresh), list_concat(moved, list_transform(fresh, lambda d, i: {'obj': nxt + i - 1, 'x0': d.x0, 'y0': d.y0, 'fst': frame, 'misses': 0, 'alive': 0, 'run': 1, 'sure': false, 'gone': 0, 'mates': []::BIGINT[]})) FROM (
+  SELECT session, k, frame, nxt, list_transform(t2, lambda t: {'obj': t.obj, 'x0': t.x0, 'y0': t.y0, 'fst': t.fst, 'misses': t.misses, 'alive': t.alive, 'run': t.run, 'sure': t.sure,
+      'gone': CASE WHEN frame - t.fst < 15 AND (len(list_filter(t.mates, lambda m: len(list_filter(t.mates, lambda q: q = m)) >= 3)) > 0 OR (t.run = 0 AND t.misses >= 3)) THEN 1 WHEN t.run = 0 AND t.alive <= -4 THEN 2 ELSE 0 END, 'mates': t.mates}) AS moved,
+    list_sort(list_transform(list_sort(list_transform(fresh0, lambda d: {'s': -d.score, 'det': d.det, 'd': d}))[:greatest(0, 6 - len(live))], lambda e: {'det': e.det, 'x0': e.d.x0, 'y0': e.d.y0})) AS fresh FROM (
+    SELECT *, list_transform(hit, lambda h: CASE WHEN len(h.ds) > 0
+        THEN {'obj': h.t.obj, 'x0': h.ds[1].x0, 'y0': h.ds[1].y0, 'fst': h.t.fst, 'misses': h.t.misses, 'alive': least(h.t.alive + 1, 8), 'run': h.t.run + 1, 'sure': h.t.sure OR h.t.run + 1 >= 3, 'gone': 0, 'mates': list_concat(h.t.mates, h.elders)}
+        ELSE {'obj': h.t.obj, 'x0': h.t.x0, 'y0': h.t.y0, 'fst': h.t.fst, 'misses': h.t.misses + 1, 'alive': greatest(h.t.alive - 1, -4), 'run': 0, 'sure': h.t.sure, 'gone': 0, 'mates': h.t.mates} END) AS t2,
+      list_filter(ds, lambda d: d.score >= 0.3::DOUBLE AND len(list_filter(pairs, lambda p: p.det = d.det)) = 0) AS fresh0 FROM (
+      SELECT *, list_transform(live, lambda t: {'t': t, 'ds': list_sort(list_transform(list_filter(pairs, lambda p: p.obj = t.obj), lambda p: {'o': -p.iou, 'det': p.det, 'x0': p.x0, 'y0': p.y0})),
+          'elders': list_filter(list_transform(list_filter(pairs, lambda p: p.obj = t.obj), lambda p: list_sort(list_transform(list_filter(pairs, lambda q: q.det = p.det), lambda q: {'f': q.fst, 'o': q.obj}))[1].o), lambda e: e <> t.obj)}) AS hit FROM (
+        SELECT session, k, frame, nxt, ds, live, list_filter(flatten(list_transform(live, lambda t: list_transform(ds, lambda d: {'obj': t.obj, 'fst': t.fst, 'det': d.det, 'x0': d.x0, 'y0': d.y0,
+            'iou': (greatest(30 - abs(t.x0 - d.x0), 0) * greatest(30 - abs(t.y0 - d.y0), 0)) / (1800 - greatest(30 - abs(t.x0 - d.x0), 0) * greatest(30 - abs(t.y0 - d.y0), 0))}))), lambda p: p.iou >= 0.5) AS pairs FROM (
+          SELECT fr.session, fr.k, fr.frame, nxt, ds, list_filter(ts, lambda t: t.gone = 0) AS live FROM st JOIN fr ON fr.session = st.session AND fr.k = st.k + 1)))))),
+tr AS (SELECT session, k, frame, unnest(ts) AS t FROM st WHERE k > 0),
+o AS (SELECT session, k, frame, t.obj AS obj, t.run AS run, t.alive <= 0 AND t.run = 0 AS hidden, t.sure AS sure, t.gone AS gone FROM tr),
+fate AS (SELECT session, obj, min(CASE WHEN sure THEN k END) AS sure_at, min(CASE WHEN gone = 1 THEN k END) AS removed_at FROM o GROUP BY ALL), last AS (SELECT session, max(k) AS n FROM fr GROUP BY ALL)
+SELECT fr.session, fr.frame, o.obj, o.run::INT AS run, o.hidden, CASE WHEN o.obj IS NOT NULL THEN coalesce(sure_at <= least(fr.k + 3, n), false) AND NOT coalesce(removed_at <= least(fr.k + 3, n), false) END AS shown, false AS late
+FROM fr JOIN last USING (session) LEFT JOIN (SELECT * FROM o WHERE gone = 0) o ON o.session = fr.session AND o.k = fr.k LEFT JOIN fate ON fate.session = o.session AND fate.obj = o.obj"""
 
 
 def session_stream(spark, sf_dir):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 class TrackState(StatefulProcessor):
@@ -40,48 +41,158 @@ class TrackState(StatefulProcessor):
         pass
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Of the step: overlaps, scores and the cap of new tracks; frames that confirm, remove or end a track; frames held back."""
+
+    least: float = 0.5  # IoU of a match
+    score: float = 0.5  # of a detection that may start a track
+    most: int = 100  # tracks of a session
+    needed: int = 3  # matches in a row that confirm a track
+    unmatched: int = 3  # misses that remove a young track
+    shared: int = 3  # frames that a young track shares its detection with an elder one, and is removed
+    young: int = 15  # frames from its first that a track is young
+    start: int = 0  # the counter: its first value, and its bounds; at the lower one a track ends
+    high: int = 8
+    low: int = -4
+    look_ahead: int = 4
+
+
+TRACK = "x0 double, y0 double, x1 double, y1 double, first bigint, misses int, alive int, run int, sure boolean, gone int, until bigint"
+STEP_SCHEMA = "session bigint, frame bigint, obj bigint, run int, hidden boolean, shown boolean, late boolean"
+
+
+def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlaps of boxes (x0, y0, x1, y1) by pairs; 0 where both are empty."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.prod(np.clip(high - low, 0, None), axis=2)
+    area = lambda x: np.prod(x[:, 2:] - x[:, :2], axis=1)
+    whole = area(a)[:, None] + area(b)[None, :] - both
+    return np.divide(both, whole, out=np.zeros_like(both), where=whole > 0)
+
+
 class StepState(StatefulProcessor):
-    """Per session: its tracks' matches in a row and confirmations, and the frames whose output is held back.
+    """Per session: tracks as a map by id, frames held back as a list, pairs of tracks that share detections as a map, and a few numbers.
+
+    Each frame's detections are matched with the boxes that tracks had last (many tracks may share one); a track takes the box of its best.
+    Detections of a good score that overlap no track start tracks, the best of them up to the cap, with ids that are never used again. Young tracks that
+    miss, or share with an elder one, are removed: no frame shows them, nor those held back. A track whose counter is at its
+    lower bound ends. A frame is given out when look_ahead - 1 later ones are there, or at the session's end: at its last frame where that is
+    known (`end`), else by a timer once the watermark is `gap` past its last frame. Then all of the session's state is cleared. What is gone leaves the state with the
+    last frame held that it was in, so the state holds the cap's tracks, look_ahead frames of them, and pairs of young ones.
 
-    A frame's overlaps say which tracks it matches; every track known so far counts on. A frame is given out once
-    look_ahead - 1 later ones are there, with what each of its tracks has become by then. The state holds a few numbers a track and
-    look_ahead - 1 frames.
+    A batch is sorted by frame; a frame that comes after a later one of an earlier batch is given out as late, without tracks.
     """
 
-    def __init__(self, least: float, needed: int, look_ahead: int):
-        self.limits = (least, needed, look_ahead)
+    def __init__(self, rules: Rules, gap_ms: int):
+        self.rules, self.gap = rules, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", StructType([StructField("json", StringType())]))
+        self.handle = handle
+        self.tracks = handle.getMapState("tracks", "obj bigint", TRACK)
+        self.pairs = handle.getMapState("pairs", "elder bigint, obj bigint", "frames int")
+        self.held = handle.getListState("held", "frame bigint, obj bigint, run int, hidden boolean")
+        self.session = handle.getValueState("session", "next bigint, last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        least, needed, look_ahead = self.limits
-        tracks, held = json.loads(self.state.get()[0]) if self.state.exists() else ({}, [])
-        pairs = pd.concat(list(rows))
-        out = []
-        for frame, own in pairs.groupby("frame", sort=True):
-            matched = set(own.loc[own["iou"] >= least, "trk"].tolist())
-            for trk in {*map(int, tracks), *own["trk"].tolist()}:
-                run, sure = tracks.get(str(trk), (0, False))
-                run = run + 1 if trk in matched else 0
-                tracks[str(trk)] = (run, bool(sure or run >= needed))
-            held.append((int(frame), {t: run for t, (run, _) in tracks.items()}))
-            if len(held) >= look_ahead:
-                at, then = held.pop(0)
-                out += [(key[0], at, int(t), run, tracks[t][1]) for t, run in then.items()]
-        self.state.update((json.dumps((tracks, held)),))
-        yield pd.DataFrame(out, columns=["session", "frame", "obj", "run", "shown"])
+        found = pd.concat(list(rows)).sort_values(["frame", "det"])
+        following, last = self.session.get() if self.session.exists() else (1, -(1 << 62))
+        tracks = {k[0]: list(v) for k, v in self.tracks.iterator()}
+        pairs = {tuple(k): v[0] for k, v in self.pairs.iterator()}
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        known_tracks, known_pairs, out = set(tracks), set(pairs), []
+        ended = False
+        for frame, own in found.groupby("frame", sort=True):
+            if frame <= last:
+                out.append((key[0], frame, None, None, None, None, True))
+                continue
+            last = int(frame)
+            following = self.advance(tracks, pairs, own, last, following)
+            rows_ = [(last, obj, t[7], bool(t[6] <= 0 and t[7] == 0)) for obj, t in sorted(tracks.items()) if not t[9]]
+            held += rows_ or [(last, None, None, None)]
+            numbers = sorted({r[0] for r in held})
+            ended = own["end"].notna().any() and last >= own["end"].max()
+            ready = numbers if ended else numbers[: max(0, len(numbers) - self.rules.look_ahead + 1)]
+            out += self.given(key, [r for r in held if r[0] in ready], tracks)
+            held = [r for r in held if r[0] not in ready]
+            for obj in [o for o, t in tracks.items() if t[9] and (not held or held[0][0] > t[10])]:
+                del tracks[obj]
+            for pair in [p for p in pairs if p[1] not in tracks or p[0] not in tracks]:
+                del pairs[pair]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if ended:
+            self.clear()
+        else:
+            self.session.update((following, last))
+            self.held.put(held) if held else self.held.clear()
+            for obj in known_tracks - set(tracks):
+                self.tracks.removeKey((obj,))
+            for obj, t in tracks.items():
+                self.tracks.updateValue((obj,), tuple(t))
+            for pair in known_pairs - set(pairs):
+                self.pairs.removeKey(pair)
+            for pair, n in pairs.items():
+                self.pairs.updateValue(pair, (n,))
+            self.handle.registerTimer(int(found["ts"].max().timestamp() * 1000) + self.gap)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
+
+    def advance(self, tracks: dict, pairs: dict, own: pd.DataFrame, frame: int, following: int) -> int:
+        """Move tracks on by the detections of one frame; the next free id."""
+        r = self.rules
+        boxes, dets = own[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float), own["det"].to_numpy()
+        live = sorted(o for o, t in tracks.items() if not t[9])
+        overlap = box_iou(np.array([tracks[o][:4] for o in live]).reshape(-1, 4), boxes)
+        for obj, row in zip(live, overlap, strict=True):
+            t = tracks[obj]
+            if (row >= r.least).any():
+                t[:4] = boxes[int(row.argmax())].tolist()  # of equal ones the first detection's
+                t[6], t[7] = min(t[6] + 1, r.high), t[7] + 1
+                t[8] = bool(t[8] or t[7] >= r.needed)
+            else:
+                t[5], t[6], t[7] = t[5] + 1, max(t[6] - 1, r.low), 0
+        for column in (overlap >= r.least).T:
+            elder, *others = sorted((tracks[live[i]][4], live[i]) for i in np.flatnonzero(column)) or [(0, 0)]
+            for _, obj in others:
+                pairs[elder[1], obj] = pairs.get((elder[1], obj), 0) + 1
+        shared = {obj for (_, obj), n in pairs.items() if n >= r.shared}
+        for obj in live:
+            t = tracks[obj]
+            young = frame - t[4] < r.young
+            if young and (obj in shared or (t[7] == 0 and t[5] >= r.unmatched)):
+                t[9], t[10] = 1, frame
+            elif t[7] == 0 and t[6] <= r.low:
+                t[9], t[10] = 2, frame
+        fresh = [i for i in range(len(dets)) if own["score"].iloc[i] >= r.score and not (len(live) and (overlap[:, i] >= r.least).any())]
+        fresh = sorted(sorted(fresh, key=lambda i: (-own["score"].iloc[i], i))[: max(0, r.most - len(live))])
+        for obj, i in enumerate(fresh, following):
+            tracks[obj] = [*boxes[i].tolist(), frame, 0, r.start, 1, r.needed <= 1, 0, 0]
+        return following + len(fresh)
+
+    def given(self, key, rows: list[tuple], tracks: dict) -> list[tuple]:
+        return [(key[0], frame, obj, run, hidden, bool(tracks[obj][8] and tracks[obj][9] != 1) if obj is not None else None, False) for frame, obj, run, hidden in rows]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tracks = {k[0]: list(v) for k, v in self.tracks.iterator()}
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        self.clear()
+        yield pd.DataFrame(self.given(key, held, tracks), columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
+
+    def clear(self) -> None:
+        for state in (self.tracks, self.pairs, self.held, self.session):
+            state.clear()
 
     def close(self) -> None:
         pass
 
 
-STEP_SCHEMA = "session bigint, frame bigint, obj bigint, run int, shown boolean"
+def stepped(detections: DataFrame, rules: Rules | None = None, gap: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """Tracks of a streaming table of detections (session, frame, ts, det, score, x0, y0, x1, y1, end): a row a frame and track, or one without a track, each frame once; see StepState. Needs the RocksDB state store.
 
-
-def stepped(pairs: DataFrame, least: float = 0.5, needed: int = 3, look_ahead: int = 4) -> DataFrame:
-    """A streaming table of overlaps (session, frame, trk, iou) -> each frame's tracks with run and shown, delayed; needs the RocksDB state store. Frames must come in order over batches."""
-    return pairs.select("session", "frame", "trk", "iou").groupBy("session").transformWithStateInPandas(StepState(least, needed, look_ahead), STEP_SCHEMA, outputMode="append", timeMode="none")
+    end is the session's last frame where it is known, else null. shown: whether the track is confirmed and not removed once the frame is given out; hidden: missed with its counter used up. A batch of a session meets in one task: the source's maxFilesPerTrigger or maxBytesPerTrigger bounds it.
+    """
+    names = ["session", "frame", "ts", "det", "score", "x0", "y0", "x1", "y1", "end"]
+    return detections.select(*names).withWatermark("ts", late).groupBy("session").transformWithStateInPandas(StepState(rules or Rules(), int(pd.Timedelta(gap).total_seconds() * 1000)), STEP_SCHEMA, outputMode="append", timeMode="eventTime")
 
 
 SCHEMA = "session bigint, obj bigint, frame bigint, alive int, run int, confirmed boolean"
