@@ -12,7 +12,7 @@ from facetflow.plans.analogues import numbered, table
 from facetflow.plans.lifting_queries import rounded
 from facetflow.plans.mesh_queries import GRID_SQL, face_labels, faces, shapes, vertices
 from facetflow.session import cut, shared_dir
-from facetflow.sources import meshes
+from facetflow.sources import mesh_source, meshes
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -182,6 +182,9 @@ def source_options(spark, sf_dir):
 
 # --- files --------------------------------------------------------------------------------------
 
+FILES = ("ply", "stl", "gltf", "glb", "3mf", "off")
+
+
 def obj_round_trip(spark, sf_dir):
     """Meshes written as OBJ text, read again by the mesh reader."""
     folder = f"{shared_dir(spark)}/obj-{uuid.uuid4().hex}"
@@ -203,6 +206,24 @@ def ply_round_trip(spark, sf_dir):
     return rounded(meshes.mesh(spark, folder, kind="ply")[0].withColumn("mesh", F.col("mesh").cast("int")), 6)
 
 
+def files_round_trip(kind: str, by_source: bool):
+    """Meshes written as files of a kind, read again by the data source or by Spark's file reader: of each corner the face, its place and coordinates."""
+
+    def query(spark, sf_dir):
+        folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        mesh_source.write_files(vertices(spark, sf_dir), faces(spark, sf_dir), folder, kind)
+        if by_source:
+            mesh_source.register(spark)
+            rows = spark.read.format("meshes").option("partitionBytes", 1 << 20).load(folder)
+        else:
+            rows = meshes.elements(spark, folder)
+        corners = rows.where("kind = 'f'").select("mesh", F.col("id").alias("f"), F.posexplode("v").alias("corner", "id"))
+        found = corners.join(rows.where("kind = 'v'").select("mesh", "id", "x", "y", "z"), ["mesh", "id"])
+        return rounded(found.select(F.col("mesh").cast("int").alias("mesh"), "f", "corner", "x", "y", "z"), 4)
+
+    return query
+
+
 def label_json_round_trip(spark, sf_dir):
     folder = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
     meshes.labels_json(face_labels(spark, sf_dir)).write.partitionBy("mesh").text(folder)
@@ -237,7 +258,7 @@ QUERIES = {
     "l2_normalise": l2, "mean_vectors": mean_vectors, "plane_scatter_mean": plane_mean, "pool_gather": pool_gather, "plane_sample": plane_sample, "voxel_mean": voxel_mean, "voxel_sample": voxel_sample, "ball_query": ball_query, "cosine_top_k": cosine_top_k,
     "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "vector_functions": small_functions, "masked_mean": masked_means,
     "canonical_text": canonical, "pretokenise": pre_tokens, "byte_pairs": byte_pairs, "unescaped_text": unescaped, "colour_text": colours, "source_options": source_options,
-    "obj_round_trip": obj_round_trip, "ply_round_trip": ply_round_trip, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
+    "obj_round_trip": obj_round_trip, "ply_round_trip": ply_round_trip, **{f"{k}_file_round_trip": files_round_trip(k, i % 2 == 0) for i, k in enumerate(FILES)}, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
 }
 POOL = " + ".join(f"max(value) OVER (PARTITION BY mesh, {CELL.format(c=a)}, {CELL.format(c=b)})" for a, b in (("x", "y"), ("x", "z"), ("y", "z")))
 ORACLES = {
@@ -257,6 +278,7 @@ ORACLES = {
     "source_options": "SELECT p_partkey, 'fast_' || p_size || ',slow' AS found FROM part",
     "obj_round_trip": GRID_SQL + ", st AS (SELECT fc.mesh, fc.f, coalesce(label, 0) AS label FROM fc LEFT JOIN lb USING (mesh, f)) SELECT mesh, (SELECT count(*) FROM vt WHERE vt.mesh = st.mesh) AS vertices, count(*) AS faces, count(DISTINCT label) AS materials, (SELECT round(sum(z), 4) FROM vt WHERE vt.mesh = st.mesh) AS z, sum(v[1] + v[2] + v[3])::BIGINT AS corners FROM st JOIN fc USING (mesh, f) GROUP BY mesh",
     "ply_round_trip": GRID_SQL + "SELECT mesh, v::BIGINT AS v, x, y, z FROM vt",
+    **{f"{k}_file_round_trip": GRID_SQL + "SELECT o.mesh, o.f, (o.i - 1)::INT AS corner, x, y, round(z, 4) AS z FROM (SELECT mesh, f, generate_subscripts(v, 1) AS i, unnest(v) AS v FROM fc) o JOIN vt ON vt.mesh = o.mesh AND vt.v = o.v" for k in FILES},
     "label_json_round_trip": GRID_SQL + "SELECT mesh, f, label FROM lb",
     "change_rows": GRID_SQL + ", o AS (SELECT lb.mesh, label, v, row_number() OVER w AS id, lag(label) OVER w AS before FROM lb JOIN fc USING (mesh, f) WINDOW w AS (PARTITION BY lb.mesh ORDER BY label, lb.f)) SELECT mesh, id::INT AS id, CASE WHEN before IS DISTINCT FROM label THEN 'usemtl label_' || label || chr(10) ELSE '' END || 'f ' || (v[1] + 1) || ' ' || (v[2] + 1) || ' ' || (v[3] + 1) AS line FROM o",
     "label_gaps": GRID_SQL + "SELECT mesh, count(DISTINCT f) AS faces, max(f) AS last FROM lb GROUP BY mesh HAVING min(f) <> 0 OR max(f) + 1 <> count(DISTINCT f)",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EXTENSIONS = ("glb", "gltf", "obj", "ply", "stl", "3mf", "off")  # those listed as mesh files; obj, off and ascii ply are read
-ELEMENTS = "mesh string, kind string, id int, x double, y double, z double, v array<int>"
+from facetflow.sources.mesh_formats import DECODERS, decoded
+from facetflow.sources.mesh_source import ELEMENTS, batches_of
+
+EXTENSIONS = ("glb", "gltf", "obj", "ply", "stl", "3mf", "off")
 
 
 def listed(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -20,84 +22,38 @@ def listed(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTEN
     return found.select("path", extension.alias("extension"), "length").where(F.col("extension").isin(*extensions))
 
 
-def _obj(lines: list[str]) -> Iterator[tuple]:
-    n = f = 0
-    for line in lines:
-        words = line.split()
-        if words and words[0] == "v":
-            yield "v", n, *map(float, words[1:4]), None
-            n += 1
-        elif words and words[0] == "f":
-            at = [int(w.split("/")[0]) for w in words[1:]]
-            yield "f", f, None, None, None, [i - 1 if i > 0 else n + i for i in at]
-            f += 1
-
-
-def _off(lines: list[str]) -> Iterator[tuple]:
-    words = [w for line in lines for w in line.split("#")[0].split()]
-    words = words[1:] if words[0].upper() == "OFF" else words
-    vertices, faces = int(words[0]), int(words[1])
-    at = 3
-    for i in range(vertices):
-        yield "v", i, *map(float, words[at : at + 3]), None
-        at += 3
-    for f in range(faces):
-        n = int(words[at])
-        yield "f", f, None, None, None, [int(w) for w in words[at + 1 : at + 1 + n]]
-        at += n + 1
-
-
-def _ply(lines: list[str]) -> Iterator[tuple]:
-    counts, names, part, at = {}, [], None, 0
-    for at, line in enumerate(lines):
-        words = line.split()
-        if words[:1] == ["format"] and words[1] != "ascii":
-            raise ValueError("only ascii ply is read")
-        if words[:1] == ["element"]:
-            part = words[1]
-            counts[part] = int(words[2])
-        elif words[:1] == ["property"] and part == "vertex":
-            names.append(words[-1])
-        elif words[:1] == ["end_header"]:
-            break
-    rows = lines[at + 1 :]
-    place = [names.index(c) for c in "xyz"]
-    for i in range(counts.get("vertex", 0)):
-        words = rows[i].split()
-        yield "v", i, *[float(words[p]) for p in place], None
-    for f in range(counts.get("face", 0)):
-        words = rows[counts["vertex"] + f].split()
-        yield "f", f, None, None, None, [int(w) for w in words[1 : 1 + int(words[0])]]
-
-
-PARSERS = {"obj": _obj, "off": _off, "ply": _ply}
-
-
 def elements(spark: SparkSession, folder: str, glob: str = "*", kind: str | None = None) -> DataFrame:
-    """(mesh, kind v or f, id, x, y, z, v): vertices and faces of the obj, off and ascii ply files of a folder; kind: what all files are, whatever their names.
+    """(mesh, kind v or f, id, x, y, z, v): vertices and faces of the mesh files of a folder, by Spark's own file reader; kind: what all files are, whatever their names.
 
-    A mesh is named by its folder, if that is a partition (mesh=name), else by its file. A file is parsed in one task, as numbering needs all lines before; files are spread over the cluster.
+    A mesh is named by its folder, if that is a partition (mesh=name), else by its file. A file is parsed in one task, as numbering needs all that comes before; files are spread over the cluster.
+    A file that is cut short or not understood fails the read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 name, _, extension = path.rpartition("/")[2].rpartition(".")
                 partition = [p for p in path.split("/")[:-1] if p.startswith("mesh=")]
                 name, extension = unquote(partition[-1][5:]) if partition else name, (kind or extension).lower()
-                if extension in PARSERS:
-                    rows = [(name, *r) for r in PARSERS[extension](bytes(content).decode("utf-8", "replace").splitlines())]
-                    for at in range(0, len(rows), 50_000):
-                        yield pd.DataFrame(rows[at : at + 50_000], columns=["mesh", "kind", "id", "x", "y", "z", "v"])
+                if extension in DECODERS:
+                    try:
+                        yield from batches_of(name, decoded(extension, content.as_py()))
+                    except ValueError as wrong:
+                        raise ValueError(f"{path}: {wrong}") from wrong
 
-    return files.select("path", "content").mapInPandas(run, ELEMENTS)
+    return files.select("path", "content").mapInArrow(run, ELEMENTS)
 
 
-def mesh(spark: SparkSession, folder: str, glob: str = "*", kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vertices (mesh, v, x, y, z), faces (mesh, f, v)); see elements."""
+def mesh(spark: SparkSession, folder: str, glob: str = "*", kind: str | None = None, normalise: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices (mesh, v, x, y, z), faces (mesh, f, v)); see elements. normalise: cube, extent or half, as geometry.normalised takes it."""
     rows = elements(spark, folder, glob, kind)
-    return rows.where("kind = 'v'").select("mesh", F.col("id").alias("v"), "x", "y", "z"), rows.where("kind = 'f'").select("mesh", F.col("id").alias("f"), "v")
+    points, faces = rows.where("kind = 'v'").select("mesh", F.col("id").alias("v"), "x", "y", "z"), rows.where("kind = 'f'").select("mesh", F.col("id").alias("f"), "v")
+    if normalise:
+        from facetflow.operators.geometry import normalised
+
+        points = normalised(points, normalise)
+    return points, faces
 
 
 def point_cloud(spark: SparkSession, folder: str, glob: str = "*.ply") -> DataFrame:
