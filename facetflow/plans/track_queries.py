@@ -11,6 +11,7 @@ from facetflow.operators import tracking
 from facetflow.plans.analogues import table
 from facetflow.plans.lifting_queries import rounded
 from facetflow.session import shared_dir
+from facetflow.sources import frames as frame_source
 from facetflow.streaming import tracks
 
 
@@ -261,6 +262,17 @@ SELECT fr.session, fr.frame, o.obj, o.run::INT AS run, o.hidden, CASE WHEN o.obj
 FROM fr JOIN last USING (session) LEFT JOIN (SELECT * FROM o WHERE gone = 0) o ON o.session = fr.session AND o.k = fr.k LEFT JOIN fate ON fate.session = o.session AND fate.obj = o.obj"""
 
 
+def frame_stream(spark, sf_dir):
+    """Pages written as frames' files, five folders, read as a stream of frames."""
+    folder = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("session"), F.col("page_id").alias("frame"), F.encode("html", "UTF-8").alias("content"))
+    frame_source.write_frames(pages, f"{folder}/in")
+    frame_source.register(spark)
+    stream = spark.readStream.format("frames").option("framesPerSecond", 4).load(f"{folder}/in")
+    rows = tracks.run_once(stream.select(F.col("session").cast("int").alias("session"), "frame", (F.unix_micros("ts") / 1e6).alias("second"), F.md5("content").alias("digest")), folder)
+    return rows
+
+
 def session_stream(spark, sf_dir):
     """Sessions that the watermark has closed; the last ones of the stream stay open."""
     events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -271,12 +283,12 @@ QUERIES = {
     "keep_alive": keep_alive, "confirmation": confirmation, "delayed_emit": delayed, "early_removals": removals, "hidden_by_counter": hidden_by_counter, "duplicate_tracks": duplicates, "last_occluded": last_occluded, "hidden_by_overlap": hidden_by_overlap,
     "matched_pairs": lambda s, d: rounded(tracking.matches(_pairs(s, d), 0.5), 6), "unmatched_tracks": unmatched, "new_detections": new_detections, "sure_pairs": sure_pairs, "optimal_assignment": assigned, "least_loaded": least_loaded, "dense_index": dense_index,
     "closest_frames": closest_frames, "scored_history": scored_history, "strided_history": strided_history, "evicted_outputs": evicted, "reconditioned": reconditioned, "frames_in_order": in_order, "consolidated": consolidated, "shown_outputs": shown, "result_priority": by_priority,
-    "action_plan": action_plan, "prompt_state": prompts, "capped_points": capped_points, "dense_records": dense_records, "frame_shards": lambda s, d: _frames(s, d).groupBy(tracking.shard(F.col("frame"), 4).alias("worker")).agg(F.count("*").alias("n")), "tracking_stream": tracking_stream, "step_stream": step_stream, "session_stream": session_stream,
+    "action_plan": action_plan, "prompt_state": prompts, "capped_points": capped_points, "dense_records": dense_records, "frame_shards": lambda s, d: _frames(s, d).groupBy(tracking.shard(F.col("frame"), 4).alias("worker")).agg(F.count("*").alias("n")), "tracking_stream": tracking_stream, "step_stream": step_stream, "frame_stream": frame_stream, "session_stream": session_stream,
 }
 OUT_SQL = FRAMES_SQL + ", o AS (SELECT session, obj, frame, CASE WHEN frame % 5 = 0 THEN 'cond' ELSE 'non' END AS kind, frame % 9 AS area FROM f)"
 HISTORY_SQL = "WITH h AS (SELECT user_id % 7 AS session, event_id AS frame, ((event_id * 37) % 100) / 100.0::DOUBLE AS score FROM events), q AS (SELECT session, frame AS q FROM h)"
 ORACLES = {
-    "step_stream": STEP_SQL,
+    "step_stream": STEP_SQL, "frame_stream": "SELECT (page_id % 5)::INT AS session, page_id AS frame, page_id / 4.0::DOUBLE AS second, md5(html) AS digest FROM pages",
     "keep_alive": ALIVE_SQL + " SELECT * FROM k", "hidden_by_counter": ALIVE_SQL + " SELECT session, obj, frame FROM k WHERE alive <= 0", "confirmation": CONFIRM_SQL + " SELECT * FROM c",
     "delayed_emit": CONFIRM_SQL + " SELECT session, obj, frame, coalesce(lead(confirmed, 3) OVER (PARTITION BY session, obj ORDER BY frame), last_value(confirmed) OVER (PARTITION BY session, obj ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS shown FROM c",
     "early_removals": FRAMES_SQL + ", m AS (SELECT *, min(frame) OVER (PARTITION BY session, obj) AS first, sum((NOT matched)::INT) OVER (PARTITION BY session, obj ORDER BY frame) AS misses FROM f) SELECT session, obj, min(frame) AS frame FROM m WHERE misses >= 3 AND frame - first < 2000 GROUP BY ALL",

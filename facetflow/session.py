@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,20 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
+    """What is stored at path; made and stored first where there is nothing whole (a write that did not end has no _SUCCESS), or where overwrite asks for it. A table that is replaced is written beside it first, so it may be made from the old one."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target = jvm.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if overwrite or not files.exists(jvm.Path(path, "_SUCCESS")):
+        fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        make().write.parquet(fresh)
+        files.delete(target, True)
+        if not files.rename(jvm.Path(fresh), target):
+            raise OSError(f"{fresh} can't be moved to {path}")
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; survives the loss of executors."""
     shared_dir(df.sparkSession)
