@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetflow.operators.skew import met, parts_of
 from facetflow.session import cut
 
-SOURCES, BLOCKS = 100_000, 200_000  # rows up to which a table of sources or blocks is broadcast
+SOURCES, BLOCKS = 100_000, 200_000  # rows up to which a table of sources or blocks is broadcast; beyond that hot sources are dealt out
+HOT, STEPS = 100_000, 64
 BLOCK_TOKENS = 65_536
 
 
@@ -27,44 +29,41 @@ def digest(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
-def exponent(measure: Callable[[float], float], limit: float, rising: bool) -> float:
-    """By bisection, to a millionth: rising=False: the least exponent in [0, 1] whose measure (falling) is at most limit; rising=True: the greatest whose measure (falling) is at least limit."""
-    good = (lambda a: measure(a) >= limit) if rising else (lambda a: measure(a) <= limit)
+def exponent(measures: Callable[[list[float]], list[float]], limit: float, rising: bool) -> float:
+    """To a millionth: rising=False: the least exponent in [0, 1] whose measure (falling) is at most limit; rising=True: the greatest whose measure (falling) is at least limit. Of each interval STEPS - 1 points are measured at once, as many steps of a bisection."""
+    good = (lambda v: v >= limit) if rising else (lambda v: v <= limit)
     best, other = (1.0, 0.0) if not rising else (0.0, 1.0)
-    if good(other):
+    if good(measures([other])[0]):
         return other
-    for _ in range(48):
-        mid = (best + other) / 2
-        if good(mid):
-            best = mid
-        else:
-            other = mid
+    for _ in range(8):
+        points = [other + (best - other) * i / STEPS for i in range(1, STEPS)]
+        found = next((i for i, v in enumerate(measures(points)) if good(v)), len(points))
+        best, other = points[found] if found < len(points) else best, points[found - 1] if found else other
     return (math.floor if rising else math.ceil)(best * 1e6) / 1e6
 
 
+def powers(some: DataFrame, whole: int, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent the sum over sources of their share to it, and of that times the share's logarithm: decimal sums, the same in whatever order."""
+    share = F.col("tokens") / F.lit(float(whole))
+    rows = some.select(share.alias("share"), F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a")).withColumn("p", F.pow("share", "a"))
+    exact = lambda c: F.sum(c.cast("decimal(28,20)")).cast("double")
+    found = {r["i"]: (r["power"], r["mass"]) for r in rows.groupBy("i").agg(exact(F.col("p")).alias("power"), exact(F.col("p") * F.log("share")).alias("mass")).collect()}
+    return [found[i] for i in range(len(exponents))]
+
+
 def weights(totals: DataFrame, repetition: float | None, entropy: float | None, cover: bool) -> tuple[float, float, float]:
     """(exponent, sum of powers of the shares, budget in tokens) for totals (name, tokens)."""
     some = totals.where("tokens > 0")
-    rows = some.limit(SOURCES + 1).collect()
-    if len(rows) <= SOURCES:
-        values = sorted((r["tokens"] for r in rows), reverse=True)
-        whole, top, low = sum(values), max(values, default=0), min(values, default=0)
-        power = lambda a: sum((v / whole) ** a for v in values)
-        mass = lambda a: sum((v / whole) ** a * math.log(v / whole) for v in values)
-    else:  # too many sources for the driver: each step of the bisection is one aggregation
-        whole, top, low = some.agg(F.sum("tokens"), F.max("tokens"), F.min("tokens")).first()
-        share = F.col("tokens") / whole
-        power = lambda a: some.agg(F.sum(F.pow(share, F.lit(a)))).first()[0]
-        mass = lambda a: some.agg(F.sum(F.pow(share, F.lit(a)) * F.log(share))).first()[0]
+    whole, top, low = some.agg(F.sum("tokens"), F.max("tokens"), F.min("tokens")).first()
     if not whole:
         return 1.0, 1.0, 0.0
     if entropy is not None:
-        a = exponent(lambda a: math.log(power(a)) - a * mass(a) / power(a), entropy, True)
+        a = exponent(lambda e: [math.log(p) - a * m / p for a, (p, m) in zip(e, powers(some, whole, e), strict=True)], entropy, True)
     elif cover:
-        a = exponent(lambda a: (low / top) ** (a - 1), repetition, False)
+        a = exponent(lambda e: [(low / top) ** (a - 1) for a in e], repetition, False)
     else:
-        a = exponent(lambda a: (low / whole) ** (a - 1) / power(a), repetition, False)
-    z = power(a)
+        a = exponent(lambda e: [(low / whole) ** (a - 1) / p for a, (p, _) in zip(e, powers(some, whole, e), strict=True)], repetition, False)
+    z = powers(some, whole, [a])[0][0]
     return a, z, (top / ((top / whole) ** a / z) if cover else float(whole))
 
 
@@ -85,7 +84,7 @@ def running(rows: DataFrame, keys: list[str], order: str, tie: str, value: str)
 
 def planned(slim: DataFrame, repetition: float | None, entropy: float | None, cover: bool, seed: str) -> DataFrame:
     """The plan, one row per block of a source and epoch that has a place, for slim (name, id, tokens): name, n_blocks, block, epoch, rank, cutoff (greatest order digest that is in, null: all)."""
-    totals = cut(slim.groupBy("name").agg(F.sum("tokens").alias("tokens")))
+    totals = cut(slim.groupBy("name").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
     a, z, budget = weights(totals, repetition, entropy, cover)
     whole = totals.agg(F.sum("tokens")).first()[0] or 1
     share = F.col("tokens") / F.lit(whole)
@@ -94,10 +93,10 @@ def planned(slim: DataFrame, repetition: float | None, entropy: float | None, co
         "name",
         F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("int").alias("epochs"),
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("rest"),
-        F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long").alias("n_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long").alias("n_blocks"), "rows",
     )
     sources = cut(sources)
-    by = slim.join(small(sources, SOURCES), "name").withColumn("block", block_of(F.col("n_blocks"), seed))
+    by = of_source(slim, sources.select("name", "epochs", "rest", "n_blocks"), sources).withColumn("block", block_of(F.col("n_blocks"), seed))
     blocks = by.groupBy("name", "block").agg(F.sum("tokens").alias("tokens"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).withColumn("order", digest(seed, "block", F.col("name"), F.col("epoch").cast("string"), F.col("block").cast("string")))
     blocks = running(blocks, ["name", "epoch"], "order", "block", "tokens").where((F.col("epoch") < F.col("epochs")) | (F.col("before") < F.col("rest")))
@@ -108,7 +107,14 @@ def planned(slim: DataFrame, repetition: float | None, entropy: float | None, co
     keys = by.select("name", "block", "id", "tokens").join(edge, ["name", "block"]).groupBy("name", "left", digest(seed, "row", F.col("epoch").cast("string"), F.col("id")).alias("key")).agg(F.sum("tokens").alias("tokens"), F.min("id").alias("id"))
     cutoffs = running(keys, ["name", "left"], "key", "id", "tokens").where("before < left").groupBy("name").agg(F.max("key").alias("cutoff"))
     kept = blocks.join(cutoffs, "name", "left").select("name", "n_blocks", "block", "epoch", "rank", F.when(F.col("left").isNotNull(), F.col("cutoff")).alias("cutoff"))
-    return cut(kept)
+    return cut(kept.join(small(sources.select("name", "rows"), SOURCES), "name"))
+
+
+def of_source(rows: DataFrame, sources: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows joined with one row a source, broadcast if there are few; else rows of hot sources, by sizes (name, rows), are dealt out in parts."""
+    if sources.limit(SOURCES + 1).count() <= SOURCES:
+        return rows.join(F.broadcast(sources), "name")
+    return met(rows, sources, parts_of(sizes.select("name", "rows"), "name", "rows", HOT), "name", "id")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -118,9 +124,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def dealt(slim: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     """slim's rows, once for each epoch in which each has a place, with epoch, rank and order_key."""
-    counts = small(plan.groupBy("name").agg(F.first("n_blocks").alias("n_blocks")), SOURCES)
-    at = slim.join(counts, "name").withColumn("block", block_of(F.col("n_blocks"), seed)).drop("n_blocks")
-    rows = at.join(small(plan.drop("n_blocks"), BLOCKS), ["name", "block"]).withColumn("order_key", digest(seed, "row", F.col("epoch").cast("string"), F.col("id")))
+    counts = plan.groupBy("name").agg(F.first("n_blocks").alias("n_blocks"), F.first("rows").alias("rows"))
+    at = of_source(slim, counts.drop("rows"), counts).withColumn("block", block_of(F.col("n_blocks"), seed)).drop("n_blocks")
+    rows = at.join(small(plan.drop("n_blocks", "rows"), BLOCKS), ["name", "block"]).withColumn("order_key", digest(seed, "row", F.col("epoch").cast("string"), F.col("id")))
     return rows.where(F.col("cutoff").isNull() | (F.col("order_key") <= F.col("cutoff")))
 
 

@@ -28,7 +28,7 @@ OPERATORS = {
 def docs(spark):
     texts = [None, "", "   \n", "the cat sat on the mat and looked at the dog", "the cat sat on the mat and looked at the dog", LONG, "12 ½ ² 34 !!", "é", "der hund und die katze", "the cat\x1c sat� \U0001f600"]
     rows = [(i, t, "en" if i % 2 else "de", "a" if i % 3 else None) + (1, 0.5, "s") + (1, 1, "i") + (0,) * 5 + (7, "r") for i, t in enumerate(texts)]
-    rows += [rows[3], rows[3], (None, "no id", None, None) + (None,) * 11]
+    rows += [rows[3], rows[3], (None, "no id", None, None) + (None,) * 13]
     return spark.createDataFrame(rows, DOCS)
 
 
