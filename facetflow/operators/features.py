@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from facetflow.operators.graph import components
 from facetflow.session import cut
 
+TREE = 200_000  # edges up to which a unit's may meet in one task
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -133,25 +135,129 @@ def within(points: DataFrame, centres: DataFrame, radius: float, k: int, by=("me
     return both.withColumn("d2", d2).where(F.col("d2") <= radius * radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("d2")
 
 
-def spanning_tree(edges: DataFrame, by=("mesh",)) -> DataFrame:
-    """(by, src, dst, w) of the minimum spanning forest of edges (by, src, dst, w; src < dst), by Boruvka's rounds; ties go to the smaller ends, so the forest is one."""
-    own = cut(edges.select(*by, "src", "dst", F.col("w").cast("double").alias("w")).where("src < dst").groupBy(*by, "src", "dst").agg(F.min("w").alias("w")))
-    names = cut(own.select(*by, F.col("src").alias("n")).unionByName(own.select(*by, F.col("dst").alias("n"))).distinct().withColumn("c", F.col("n")))
-    tree = None
+def nearest(points: DataFrame, k: int, by=("mesh",)) -> DataFrame:
+    """(by, id, other, d2, rank): the k nearest other points of each (by, id, x, y, z), ties to the smaller id; all where there are fewer. Exact.
+
+    An equi-join over the 27 grid cells about a point, of a cell size by the density of its unit. Whatever lies outside them is a cell's side
+    away at least, so a point whose k-th neighbour is nearer is done; the others are looked at again with cells twice as wide, at last
+    with all of the unit in the 27. A join's hot cells are split by Spark (adaptive skew joins).
+    """
+    axes = ("x", "y", "z")
+    boxes = points.groupBy(*by).agg(F.count("*").alias("n"), *[F.min(c).alias(f"low_{c}") for c in axes], F.greatest(*[F.max(c) - F.min(c) for c in axes]).alias("side"))
+    parts = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n") / (4 * k))))
+    own = cut(points.select(*by, "id", *axes).join(boxes, list(by)).withColumn("cell", F.when(F.col("side") > 0, F.col("side") / parts).otherwise(1.0)).drop("side"))
+    steps = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    apart = {c: F.col(c) - F.col(f"c{c}") for c in axes}
+    d2 = apart["x"] * apart["x"] + apart["y"] * apart["y"] + apart["z"] * apart["z"]
+    asked, done, wide = own, None, 1
+    while True:
+        grid = {c: F.floor((F.col(c) - F.col(f"low_{c}")) / (F.col("cell") * wide)) for c in axes}
+        place = own.select(*by, F.col("id").alias("other"), *axes, *[g.alias(f"g{c}") for c, g in grid.items()])
+        near = asked.select(*by, "id", "n", "cell", *[F.col(c).alias(f"c{c}") for c in axes], *[g.alias(f"o{c}") for c, g in grid.items()], F.explode(steps).alias("s"))
+        near = near.select(*by, "id", "n", "cell", *[f"c{c}" for c in axes], *[(F.col(f"o{c}") + F.col(f"s.{c}")).alias(f"g{c}") for c in axes])
+        pairs = near.join(place, [*by, *[f"g{c}" for c in axes]], "left").where(F.col("other").isNull() | (F.col("other") != F.col("id"))).withColumn("d2", d2)
+        order = Window.partitionBy(*by, "id").orderBy(F.asc_nulls_last("d2"), "other")
+        found = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        whole = F.least(F.lit(k), F.col("n") - 1)
+        ends = found.groupBy(*by, "id").agg(F.count("other").alias("has"), F.max("d2").alias("far"), F.first("cell").alias("side"), F.first("n").alias("n"))
+        sure = (F.col("has") >= whole) & ((F.col("far") <= F.pow(F.col("side") * wide, 2)) | (F.col("n") - 1 <= F.col("has")))
+        ends = cut(ends.select(*by, "id", sure.alias("sure")))
+        fresh = found.join(ends.where("sure"), [*by, "id"]).where(F.col("other").isNotNull()).select(*by, "id", "other", "d2", "rank")
+        done = fresh if done is None else done.unionByName(fresh)
+        left = asked.join(ends.where("sure"), [*by, "id"], "left_anti")
+        left = left.where(F.col("n") > 1)
+        if (most := left.agg(F.max(F.col("n"))).first()[0]) is None:
+            return done
+        done, asked, wide = cut(done), cut(left), wide * 2
+        if wide > 4 * most:
+            raise RuntimeError("points with coordinates that aren't numbers have no neighbours")
+
+
+def spanning_tree(edges: DataFrame, by=("mesh",), parts: DataFrame | None = None) -> DataFrame:
+    """(by, src, dst, w) of the minimum spanning forest of edges (by, src, dst, w; src < dst), by Boruvka's rounds; ties go to the smaller ends, so the forest is one. parts (by, n, c): nodes that are joined already.
+
+    A round reads only what is left: edges between components, of parallel ones the least, under the components' names. Once they are
+    few enough for one task a unit's are sorted and joined there.
+    """
+    own = edges.select(*by, "src", "dst", F.col("w").cast("double").alias("w")).where("src < dst").groupBy(*by, "src", "dst").agg(F.min("w").alias("w"))
+    edge = F.struct("w", "src", "dst")
+    if parts is None:
+        open_ = own.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"), edge.alias("e"))
+    else:
+        a, b = parts.select(*by, F.col("n").alias("src"), F.col("c").alias("ca")), parts.select(*by, F.col("n").alias("dst"), F.col("c").alias("cb"))
+        open_ = own.join(a, [*by, "src"], "left").join(b, [*by, "dst"], "left").select(*by, F.coalesce("ca", "src").alias("a"), F.coalesce("cb", "dst").alias("b"), edge.alias("e"))
+    slim = lambda df: cut(df.where("a <> b").groupBy(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")))
+    open_, tree = slim(open_), []
+    while (count := open_.count()) > TREE:
+        best = cut(open_.select(*by, "a", "b", "e", F.explode(F.array("a", "b")).alias("c")).groupBy(*by, "c").agg(F.min_by(F.struct("a", "b", "e"), "e").alias("x")).select(*by, "x.a", "x.b", "x.e").distinct())
+        tree.append(best.select(*by, "e.src", "e.dst", "e.w"))
+        node = lambda c: F.struct(*by, F.col(c).alias("n"))
+        found = components(best.select(node("a").alias("src"), node("b").alias("dst")))
+        found = cut(found.select(*[F.col(f"node.{c}") for c in by], F.col("node.n").alias("n"), F.col("component.n").alias("c")))
+        ends = [found.withColumnsRenamed({"n": e, "c": f"_{e}"}) for e in "ab"]
+        open_ = slim(open_.join(ends[0], [*by, "a"]).join(ends[1], [*by, "b"]).select(*by, F.col("_a").alias("a"), F.col("_b").alias("b"), "e"))
+    if count:
+        kinds = dict(own.dtypes)
+
+        def joined(batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch.sort_values(["w", "src", "dst"])
+            _, at = np.unique(batch[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+            parent, taken = list(range(at.max() + 1)), []
+
+            def root(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for a, b in at.reshape(-1, 2).tolist():
+                a, b = root(a), root(b)
+                taken.append(a != b)
+                parent[max(a, b)] = min(a, b)
+            return batch[taken][[*by, "src", "dst", "w"]]
+
+        rest = open_.select(*by, "a", "b", "e.w", "e.src", "e.dst").groupBy(*by).applyInPandas(joined, ", ".join(f"{c} {kinds[c]}" for c in (*by, "src", "dst", "w")))
+        tree.append(cut(rest))
+    out = tree[0] if tree else own.limit(0)
+    for more in tree[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def joining_edges(points: DataFrame, parts: DataFrame, k: int = 10, by=("mesh",), whole: bool = True) -> DataFrame:
+    """(by, src, dst, w): edges that join components: parts (by, f, comp) of points (by, f, x, y, z): of the graph of each point's k nearest others the least ones, by distance, that lead from one component to another.
+
+    Where that graph leaves several components and whole=True, the points nearest the components' centroids are joined the same way, until there is one.
+    """
+    here = points.select(*by, F.col("f").alias("id"), "x", "y", "z")
+    known = cut(parts.select(*by, F.col("f").alias("n"), F.col("comp").alias("c")))
+    found = None
     while True:
-        a, b = names.select(*by, F.col("n").alias("src"), F.col("c").alias("ca")), names.select(*by, F.col("n").alias("dst"), F.col("c").alias("cb"))
-        open_ = cut(own.join(a, [*by, "src"]).join(b, [*by, "dst"]).where("ca <> cb"))
-        if open_.isEmpty():
-            break
-        edge = F.struct("w", "src", "dst")
-        sides = open_.select(*by, F.col("ca").alias("c"), edge.alias("e")).unionByName(open_.select(*by, F.col("cb").alias("c"), edge.alias("e")))
-        best = cut(sides.groupBy(*by, "c").agg(F.min("e").alias("e")).select(*by, "e.src", "e.dst", "e.w").distinct())
-        tree = best if tree is None else cut(tree.unionByName(best))
+        near = nearest(here, k, by).select(*by, F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"), F.sqrt("d2").alias("w"))
+        fresh = cut(spanning_tree(near, by, known))
+        found = fresh if found is None else cut(found.unionByName(fresh))
+        if not whole or fresh.isEmpty():
+            return found
+        links = fresh.join(known.toDF(*by, "src", "a"), [*by, "src"]).join(known.toDF(*by, "dst", "b"), [*by, "dst"])
         node = lambda c: F.struct(*by, F.col(c).alias("n"))
-        found = components(tree.select(node("src").alias("src"), node("dst").alias("dst")))
-        found = found.select(*[F.col(f"node.{c}") for c in by], F.col("node.n").alias("n"), F.col("component.n").alias("c2"))
-        names = cut(names.join(found, [*by, "n"], "left").select(*by, "n", F.coalesce("c2", "c").alias("c")))
-    return own.limit(0) if tree is None else tree.select(*by, "src", "dst", "w")
+        joined = components(links.select(node("a").alias("src"), node("b").alias("dst")))
+        joined = joined.select(*[F.col(f"node.{c}") for c in by], F.col("node.n").alias("c"), F.col("component.n").alias("to"))
+        known = cut(known.join(joined, [*by, "c"], "left").select(*by, "n", F.coalesce("to", "c").alias("c")))
+        several = known.groupBy(*by).agg((F.min("c") < F.max("c")).alias("several")).where("several").select(*by)
+        if several.isEmpty():
+            return found
+        own = points.join(known.toDF(*by, "f", "comp"), [*by, "f"]).join(several, list(by), "left_semi")
+        here = cut(representatives(own, by).join(points, [*by, "f"]).select(*by, F.col("f").alias("id"), "x", "y", "z"))
+
+
+def component_edges(points: DataFrame, parts: DataFrame, k: int = 10, by=("mesh",), with_neighbours: bool = False) -> DataFrame:
+    """(by, src, dst, w): the spanning tree of each component's k nearest others, by the distance of their centroids, between the faces nearest the centroids; with_neighbours: the whole graph of those neighbours. points (by, f, x, y, z), parts (by, f, comp)."""
+    own = points.join(parts.select(*by, "f", "comp"), [*by, "f"])
+    centroids = own.groupBy(*by, F.col("comp").alias("id")).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z")])
+    near = nearest(centroids, k, by).select(*by, F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"), F.sqrt("d2").alias("w"))
+    edges = near.groupBy(*by, "src", "dst").agg(F.min("w").alias("w")) if with_neighbours else spanning_tree(near, by)
+    face = representatives(own, by)
+    named = edges.join(face.toDF(*by, "src", "a"), [*by, "src"]).join(face.toDF(*by, "dst", "b"), [*by, "dst"])
+    return named.select(*by, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "w")
 
 
 def single_linkage(tree: DataFrame, nodes: DataFrame, limit: float, by=("mesh",)) -> DataFrame:
@@ -184,55 +290,133 @@ def representatives(points: DataFrame, by=("mesh",)) -> DataFrame:
     return points.join(mean, [*by, "comp"]).groupBy(*by, "comp").agg(F.min_by("f", F.struct(d2.alias("d2"), "f")).alias("f"))
 
 
-def agglomerated(vectors: DataFrame, adjacent: DataFrame | None, clusters: int, linkage: str = "average", by=("mesh",)) -> DataFrame:
-    """(by, f, cluster): a mesh's vectors (by, f, v) merged, the closest two first, until so many clusters are left; with
-    adjacent (by, src, dst) only clusters that touch may merge (ward ignores it). linkage: average, complete, single or ward.
-
-    A mesh is one group, as each merge depends on all before; meshes are spread over the cluster. Clusters are numbered by least face.
+def _touching(x: np.ndarray, a: np.ndarray, b: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+    """Merges (i, j, distance), i < j the least members, of clusters that touch, the closest two first: from the sides a - b of rows x. A side's distance is its ends'; where two sides become one, their mean by size, the greater or the less. Memory is the sides'."""
+    ends = np.unique(np.sort(np.stack([a, b], axis=1)[a != b], axis=1), axis=0)
+    far = np.sqrt(((x[ends[:, 0]] - x[ends[:, 1]]) ** 2).sum(axis=1))
+    near: list[dict[int, float]] = [{} for _ in range(len(x))]
+    for i, j, d in zip(*ends.T.tolist(), far.tolist(), strict=True):
+        near[i][j] = near[j][i] = d
+    waiting = sorted(zip(far.tolist(), *ends.T.tolist(), strict=True))
+    size, out = [1] * len(x), []
+    while waiting:
+        d, i, j = heapq.heappop(waiting)
+        if near[i].get(j) != d:  # of clusters that have merged since, or a distance that has changed
+            continue
+        out.append((i, j, d))
+        own, other = near[i], near[j]
+        del own[j], other[i]
+        for k in own.keys() | other.keys():
+            p, q = own.get(k), other.get(k)
+            if p is None or q is None:
+                new = q if p is None else p
+            elif linkage == "average":
+                new = (size[i] * p + size[j] * q) / (size[i] + size[j])
+            else:
+                new = min(p, q) if linkage == "single" else max(p, q)
+            near[k].pop(j, None)
+            if new != p:
+                heapq.heappush(waiting, (new, min(i, k), max(i, k)))
+            own[k] = near[k][i] = new
+        near[j] = {}
+        size[i] += size[j]
+    return out
+
+
+def _chained(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (i, j, distance) of all rows by Ward's rule, the closest two first: by chains of nearest neighbours over the clusters' centroids. Memory is the rows'."""
+    n = len(x)
+    centre, size, least = x.astype(float).copy(), np.ones(n), np.arange(n)
+    live, chain, out = np.ones(n, dtype=bool), [], []
+
+    def apart(i: int) -> np.ndarray:
+        d = ((centre - centre[i]) ** 2).sum(axis=1) * (2 * size * size[i] / (size + size[i]))
+        d[~live] = np.inf
+        d[i] = np.inf
+        return d
+
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(live)[0]))
+        while True:
+            d = apart(chain[-1])
+            best = d.min()
+            # the one before in the chain, where it is as near: else chains could go round
+            if len(chain) > 1 and d[chain[-2]] <= best:
+                break
+            at = np.flatnonzero(d == best)
+            chain.append(int(at[np.argmin(least[at])]))
+        i, j = sorted((chain.pop(), chain.pop()), key=lambda c: least[c])
+        out.append((int(least[i]), int(least[j]), float(np.sqrt(best))))
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        live[j] = False
+    return sorted(out, key=lambda m: (m[2], m[0], m[1]))
+
+
+def _everywhere(x: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+    """Merges of all rows, the closest two first, over the matrix of their distances."""
+    n = len(x)
+    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
+    np.fill_diagonal(d, np.inf)
+    size, out = np.ones(n), []
+    for _ in range(n - 1):
+        i, j = sorted(divmod(int(d.argmin()), n))
+        out.append((i, j, float(d[i, j])))
+        new = np.minimum(d[i], d[j]) if linkage == "single" else np.maximum(d[i], d[j]) if linkage == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = new, new
+        d[j] = d[:, j] = np.inf
+        d[i, i] = np.inf
+        size[i] += size[j]
+    return out
+
+
+def merges(vectors: DataFrame, adjacent: DataFrame | None, linkage: str = "average", by=("mesh",)) -> DataFrame:
+    """(by, step, src, dst, w): a mesh's vectors (by, f, v) merged, the closest two clusters first, until none are left that may: the dendrogram, clusters named by their least face.
+
+    linkage: average, complete, single or ward. With adjacent (by, src, dst) only clusters that touch may merge, and a distance is one of sides, as a
+    sparse graph gives it; ward ignores it. A mesh is one group, as each merge depends on those before, and takes memory by its vectors and sides, but for
+    average, complete and single without adjacent, which take the matrix of all distances; meshes are spread over the cluster.
     """
-    keys, joined = list(by), adjacent if adjacent is not None and linkage != "ward" else vectors.select(*by, F.col("f").alias("src"), F.col("f").alias("dst")).limit(0)
+    if linkage not in ("average", "complete", "single", "ward"):
+        raise ValueError("linkage is average, complete, single or ward")
     free = adjacent is None or linkage == "ward"
-    schema = ", ".join(f"{c} {dict(vectors.dtypes)[c]}" for c in by) + ", f bigint, cluster int"
+    sides = vectors.select(*by, F.col("f").alias("src"), F.col("f").alias("dst")).limit(0) if free else adjacent
+    kinds = dict(vectors.dtypes)
 
     def run(key: tuple, faces: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
         faces = faces.sort_values("f")
         ids, x = faces["f"].to_numpy(), np.array(faces["v"].tolist(), dtype=float)
-        n = len(ids)
-        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
-        may = np.ones((n, n), dtype=bool) if free else np.zeros((n, n), dtype=bool)
-        if not free and len(sides):
-            a, b = np.searchsorted(ids, sides["src"].to_numpy()), np.searchsorted(ids, sides["dst"].to_numpy())
-            may[a, b] = may[b, a] = True
-        np.fill_diagonal(may, False)
-        size, owner, left = np.ones(n), np.arange(n), n
-        while left > clusters:
-            open_ = np.where(may, d, np.inf)
-            i, j = sorted(divmod(int(open_.argmin()), n))
-            if not np.isfinite(open_[i, j]):
-                break
-            if linkage == "single":
-                new = np.minimum(d[i], d[j])
-            elif linkage == "complete":
-                new = np.maximum(d[i], d[j])
-            elif linkage == "average":
-                new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            else:
-                new = np.sqrt(np.maximum(((size + size[i]) * d[i] ** 2 + (size + size[j]) * d[j] ** 2 - size * d[i, j] ** 2) / (size + size[i] + size[j]), 0))
-            d[i], d[:, i] = new, new
-            may[i] |= may[j]
-            may[:, i] = may[i]
-            may[j] = may[:, j] = False
-            may[i, i] = False
-            size[i] += size[j]
-            owner[owner == j] = i
-            left -= 1
-        _, cluster = np.unique(owner, return_inverse=True)
-        out = pd.DataFrame({"f": ids, "cluster": cluster})
-        for name, value in zip(keys, key, strict=True):
-            out.insert(0, name, value)
-        return out[[*keys, "f", "cluster"]]
-
-    return vectors.select(*by, "f", "v").groupBy(*keys).cogroup(joined.select(*by, "src", "dst").groupBy(*keys)).applyInPandas(run, schema)
+        if linkage == "ward":
+            found = _chained(x)
+        elif free:
+            found = _everywhere(x, linkage)
+        else:
+            known = sides[sides["src"].isin(ids) & sides["dst"].isin(ids)]
+            found = _touching(x, np.searchsorted(ids, known["src"].to_numpy()), np.searchsorted(ids, known["dst"].to_numpy()), linkage)
+        a, b, w = zip(*found, strict=True) if found else ([], [], [])
+        rows = {c: [value] * len(a) for c, value in zip(by, key, strict=True)}
+        return pd.DataFrame(rows | {"step": range(len(a)), "src": ids[list(a)], "dst": ids[list(b)], "w": w})
+
+    return vectors.select(*by, "f", "v").groupBy(*by).cogroup(sides.select(*by, "src", "dst").groupBy(*by)).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", step bigint, src bigint, dst bigint, w double")
+
+
+def cut_to(merges: DataFrame, nodes: DataFrame, counts: list[int], by=("mesh",)) -> DataFrame:
+    """(by, clusters, f, cluster): for each of counts the clusters of nodes (by, f) after as many merges() as leave so many, numbered by least face."""
+    sizes = nodes.groupBy(*by).agg(F.count("*").alias("n"))
+    names = [*by, "clusters"]
+    wanted = F.explode(F.array(*[F.lit(c) for c in counts])).alias("clusters")
+    done = merges.join(sizes, list(by)).select("*", wanted).where(F.col("step") < F.col("n") - F.col("clusters")).select(*names, "src", "dst", F.lit(0.0).alias("w"))
+    own = nodes.select(*by, F.col("f").alias("n"), wanted)
+    found = single_linkage(done, own, 0.0, names)
+    order = Window.partitionBy(*names).orderBy("cluster")
+    return found.select(*names, F.col("n").alias("f"), (F.dense_rank().over(order) - 1).cast("int").alias("cluster"))
+
+
+def agglomerated(vectors: DataFrame, adjacent: DataFrame | None, clusters: int, linkage: str = "average", by=("mesh",)) -> DataFrame:
+    """(by, f, cluster): merges() of a mesh's vectors (by, f, v) until so many clusters are left; numbered by least face."""
+    tree = cut(merges(vectors, adjacent, linkage, by))
+    return cut_to(tree, vectors, [clusters], by).drop("clusters")
 
 
 def cosine_neighbours(vectors: DataFrame, k: int, every: int, keys: str = "id", vector: str = "v", slots: int = 64) -> DataFrame:

@@ -110,9 +110,42 @@ def chained(spark, sf_dir):
     return features.chained(parts)
 
 
+def _parts(spark, sf_dir):
+    """Components of six ids each."""
+    return _points(spark, sf_dir).select("mesh", F.col("id").alias("f"), (F.col("id") - F.col("id") % 6).alias("comp"))
+
+
+def _places(spark, sf_dir):
+    return _points(spark, sf_dir).select("mesh", F.col("id").alias("f"), "x", "y", "z")
+
+
 def representatives(spark, sf_dir):
-    parts = labels.label_components(face_labels(spark, sf_dir), labels.adjacency(faces(spark, sf_dir)))
-    return features.representatives(parts.join(shapes(spark, sf_dir).select("mesh", "f", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), ["mesh", "f"])).withColumn("mesh", F.col("mesh"))
+    return features.representatives(_places(spark, sf_dir).join(_parts(spark, sf_dir), ["mesh", "f"]))
+
+
+def nearest_points(spark, sf_dir):
+    return features.nearest(_points(spark, sf_dir), 6).select("mesh", "id", "other", "rank")
+
+
+def joining_edges(spark, sf_dir):
+    return rounded(features.joining_edges(_places(spark, sf_dir), _parts(spark, sf_dir), 6, whole=False), 6)
+
+
+def component_edges(spark, sf_dir):
+    return rounded(features.component_edges(_places(spark, sf_dir), _parts(spark, sf_dir), 6), 6)
+
+
+NEAR_SQL = POINT_SQL + """, pc AS (SELECT mesh, id, x, y, z, id - id % 6 AS comp FROM p), ce AS (SELECT mesh, comp AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pc GROUP BY ALL),
+rp AS (SELECT mesh, comp, f FROM (SELECT pc.mesh, comp, pc.id AS f, row_number() OVER (PARTITION BY pc.mesh, comp ORDER BY (pc.x - ce.x) * (pc.x - ce.x) + (pc.y - ce.y) * (pc.y - ce.y) + (pc.z - ce.z) * (pc.z - ce.z), pc.id) AS r FROM pc JOIN ce ON ce.mesh = pc.mesh AND ce.id = comp) WHERE r = 1)"""
+NEXT_SQL = """, nn AS (SELECT * FROM (SELECT a.mesh, a.id, b.id AS other, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) AS d2,
+  row_number() OVER (PARTITION BY a.mesh, a.id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z), b.id)::INT AS rank FROM {t} a JOIN {t} b ON a.mesh = b.mesh AND a.id <> b.id) WHERE rank <= 6)"""
+NEAR_EDGES = ", ke AS (SELECT mesh, least(id, other) AS src, greatest(id, other) AS dst, min(sqrt(d2)) AS w FROM nn GROUP BY ALL)"
+#: Kruskal's way: edges ke one after another over the list of a mesh's nodes kn (mesh, n, c).
+KRUSKAL = """, ks AS (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY w, src, dst) AS k FROM ke),
+kz AS (SELECT mesh, 0::BIGINT AS k, list({'n': n, 'c': c} ORDER BY n) AS st, 0::BIGINT AS src, 0::BIGINT AS dst, 0::DOUBLE AS w, false AS took FROM kn GROUP BY mesh
+  UNION ALL SELECT mesh, k, CASE WHEN ca <> cb THEN list_transform(st, lambda x: {'n': x.n, 'c': CASE WHEN x.c = greatest(ca, cb) THEN least(ca, cb) ELSE x.c END}) ELSE st END, src, dst, w, ca <> cb FROM (
+    SELECT ks.mesh, ks.k, st, ks.src, ks.dst, ks.w, list_filter(st, lambda x: x.n = ks.src)[1].c AS ca, list_filter(st, lambda x: x.n = ks.dst)[1].c AS cb FROM kz JOIN ks ON ks.mesh = kz.mesh AND ks.k = kz.k + 1)),
+tk AS (SELECT mesh, src, dst, w FROM kz WHERE took)"""
 
 
 def k_means(spark, sf_dir):
@@ -256,7 +289,7 @@ def scene(spark, sf_dir):
 
 QUERIES = {
     "l2_normalise": l2, "mean_vectors": mean_vectors, "plane_scatter_mean": plane_mean, "pool_gather": pool_gather, "plane_sample": plane_sample, "voxel_mean": voxel_mean, "voxel_sample": voxel_sample, "ball_query": ball_query, "cosine_top_k": cosine_top_k,
-    "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "vector_functions": small_functions, "masked_mean": masked_means,
+    "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "nearest_points": nearest_points, "joining_edges": joining_edges, "component_edges": component_edges, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "vector_functions": small_functions, "masked_mean": masked_means,
     "canonical_text": canonical, "pretokenise": pre_tokens, "byte_pairs": byte_pairs, "unescaped_text": unescaped, "colour_text": colours, "source_options": source_options,
     "obj_round_trip": obj_round_trip, "ply_round_trip": ply_round_trip, **{f"{k}_file_round_trip": files_round_trip(k, i % 2 == 0) for i, k in enumerate(FILES)}, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
 }
@@ -267,6 +300,11 @@ ORACLES = {
     "plane_scatter_mean": POINT_SQL + f" SELECT mesh, {CELL.format(c='x')} + 8 * {CELL.format(c='y')} AS cell, round(avg(value), 6) AS value FROM p GROUP BY ALL",
     "pool_gather": POINT_SQL + f" SELECT id, round({POOL}, 6) AS pooled FROM p",
     "plane_sample": SAMPLE_SQL, "voxel_mean": VOXEL_SQL + " SELECT mesh, vx, vy, vz, round(value, 6) AS value FROM vx", "voxel_sample": VOXEL_SAMPLE_SQL, "ball_query": BALL_SQL, "cosine_top_k": COSINE_SQL, "single_linkage": LINKAGE_SQL,
+    "component_representatives": NEAR_SQL + "SELECT mesh, comp, f FROM rp", "nearest_points": NEAR_SQL + NEXT_SQL.format(t="p") + "SELECT mesh, id, other, rank FROM nn",
+    "joining_edges": NEAR_SQL + NEXT_SQL.format(t="p") + NEAR_EDGES.replace("ke AS", "kf AS") + """, kc AS (SELECT kf.*, least(a.comp, b.comp) AS ca, greatest(a.comp, b.comp) AS cb FROM kf JOIN pc a ON a.mesh = kf.mesh AND a.id = src JOIN pc b ON b.mesh = kf.mesh AND b.id = dst WHERE a.comp <> b.comp),
+kb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mesh, ca, cb ORDER BY w, src, dst) AS r FROM kc) WHERE r = 1), ke AS (SELECT mesh, ca AS src, cb AS dst, w FROM kb), kn AS (SELECT DISTINCT mesh, comp AS n, comp AS c FROM pc)""" + KRUSKAL + "SELECT kb.mesh, kb.src, kb.dst, round(kb.w, 6) AS w FROM tk JOIN kb ON kb.mesh = tk.mesh AND kb.ca = tk.src AND kb.cb = tk.dst",
+    "component_edges": NEAR_SQL + NEXT_SQL.format(t="ce") + NEAR_EDGES + ", kn AS (SELECT mesh, id AS n, id AS c FROM ce)" + KRUSKAL + "SELECT tk.mesh, least(a.f, b.f) AS src, greatest(a.f, b.f) AS dst, round(w, 6) AS w FROM tk JOIN rp a ON a.mesh = tk.mesh AND a.comp = src JOIN rp b ON b.mesh = tk.mesh AND b.comp = dst",
+    "mst_edges": LINK_SQL + ", ke AS (SELECT mesh, src, dst, min(w)::DOUBLE AS w FROM lk WHERE src < dst GROUP BY ALL), kn AS (SELECT mesh, src AS n, src AS c FROM lk UNION SELECT mesh, dst, dst FROM lk)" + KRUSKAL + "SELECT mesh, src, dst, w FROM tk",
     "component_chain": GRID_SQL + ", c AS (SELECT mesh, comp, min(f) AS f FROM cmp GROUP BY ALL) SELECT * FROM (SELECT mesh, f AS src, lead(f) OVER (PARTITION BY mesh ORDER BY comp) AS dst FROM c) WHERE dst IS NOT NULL",
     "index_merge": "WITH e AS (SELECT vec_id AS id, round(embedding[4]::DOUBLE + 0.5, 6) AS value FROM embeddings) SELECT p_partkey, p_partkey % 60 - 1 AS idx, coalesce(value, 0)::DOUBLE AS value FROM part LEFT JOIN e ON e.id = p_partkey % 60 - 1",
     "vector_functions": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({'sin' if i % 2 == 0 else 'cos'}(l_discount * 2 * pi() / pow(10000, {2 * (i // 2) / 4})), 6) AS w{i}" for i in range(4)) + ", round(ln(greatest(l_discount, 1e-3) / greatest(1 - l_discount, 1e-3)), 6) AS logit, round(least(greatest((l_discount * 100 - l_tax * 50 + 3 * l_quantity) / sqrt(3), -12), 12), 6) AS score FROM lineitem",
