@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -419,18 +421,35 @@ def agglomerated(vectors: DataFrame, adjacent: DataFrame | None, clusters: int,
     return cut_to(tree, vectors, [clusters], by).drop("clusters")
 
 
-def cosine_neighbours(vectors: DataFrame, k: int, every: int, keys: str = "id", vector: str = "v", slots: int = 64) -> DataFrame:
+def cosine_neighbours(vectors: DataFrame, k: int, every: int, keys: str = "id", vector: str = "v", rows: int = 4096, queries: int = 1024) -> DataFrame:
     """(query, rank, id, score): of each row whose id is divisible by `every` the k other rows of largest cosine; ties to the smaller id.
 
-    All rows are dealt to `slots` by a hash of their id; each query goes to every slot and hands on its k best rows there.
+    Rows and queries are packed in blocks, of about so many by a hash of their id; each pair of blocks is one matrix product, of which the best k a query are
+    handed on. What the product puts within rounding of the k-th is scored again, in one order, so that ties are ties.
     """
-    unit = vectors.select(F.col(keys).alias("id"), l2_normalised(F.col(vector)).alias("u"))
-    asked = unit.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("u").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    own = unit.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")).join(asked.hint("merge"), "slot").where(F.col("query") != F.col("id"))
-    score = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    found = own.select("query", "slot", "id", score.alias("score"))
-    best = Window.partitionBy("slot", "query").orderBy(F.desc("score"), "id")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    unit = vectors.select(F.col(keys).cast("long").alias("id"), l2_normalised(F.col(vector)).alias("u"))
+    asked = unit.where(F.col("id") % every == 0)
+    n, m = unit.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    blocks, lots = -(-n // rows) or 1, -(-m // queries) or 1
+    packed = lambda df, parts, names: df.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(names[0])).agg(F.collect_list("id").alias(names[1]), F.collect_list("u").alias(names[2]))
+    pairs = packed(unit, blocks, ("block", "ids", "us")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).join(packed(asked, lots, ("lot", "query", "qs")), "lot").select("ids", "us", "query", "qs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda c: np.array(c.as_py(), dtype=float)
+        for batch in batches:
+            for ids, us, query, qs in zip(*batch.columns, strict=True):
+                ids, us, query, qs = np.array(ids.as_py()), matrix(us), np.array(query.as_py()), matrix(qs)
+                scores = qs @ us.T
+                scores[query[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(query), -2.0)
+                a, b = np.nonzero(scores >= np.maximum(least, -2.0)[:, None] - 1e-9)
+                exact = np.add.accumulate(qs[a] * us[b], axis=1)[:, -1] if len(a) else np.zeros(0)
+                order = np.lexsort((ids[b], -exact, a))
+                a, b, exact = a[order], b[order], exact[order]
+                keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+                yield pa.record_batch([pa.array(query[a[keep]]), pa.array(ids[b[keep]]), pa.array(exact[keep])], names=["query", "id", "score"])
+
+    found = pairs.mapInArrow(run, "query bigint, id bigint, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetflow.operators.graph import components
+from facetflow.session import cut
 
 BY = ("img",)
+CONFLICTS = 200_000  # up to which a group's may meet in one task
 
 
 def areas(masks: DataFrame, by=BY) -> DataFrame:
@@ -105,6 +107,59 @@ def from_run_lengths(rle: DataFrame, sizes: DataFrame, by=BY) -> DataFrame:
     return on.select(*by, "mask", F.expr("cast(at % h AS int)").alias("y"), F.expr("cast(at div h AS int)").alias("x"))
 
 
+def packed_counts(counts: Column) -> Column:
+    """Run lengths as text: from the fourth on a length less the one two before, five bits a character from the lowest, 32 if more follow, from character 48 on."""
+
+    @F.pandas_udf("string")
+    def pack(rows: pd.Series) -> pd.Series:
+        rows = rows.map(lambda r: np.zeros(0, dtype=np.int64) if r is None else np.asarray(r, dtype=np.int64))
+        sizes = rows.map(len).to_numpy()
+        if not sizes.sum():
+            return pd.Series([""] * len(rows))
+        values = np.concatenate(rows.to_list())
+        at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        values = np.where(at > 2, values - np.append([0, 0], values[:-2]), values)
+        digits, more = [], np.ones(len(values), dtype=bool)
+        while more.any():
+            low, values = values & 31, values >> 5
+            goes_on = more & np.where(low & 16, values != -1, values != 0)
+            digits.append(np.where(more, low + np.where(goes_on, 32, 0) + 48, 0))
+            more = goes_on
+        text = np.stack(digits, axis=1).astype(np.uint8)
+        each = np.cumsum((text > 0).sum(axis=1))
+        ends = np.append(0, each)[np.cumsum(sizes)]
+        whole = text[text > 0].tobytes().decode("ascii")
+        return pd.Series([whole[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)])
+
+    return pack(counts)
+
+
+def unpacked_counts(text: Column) -> Column:
+    """Run lengths from packed_counts(); text that ends within a number, or has other characters, raises an error."""
+
+    @F.pandas_udf("array<int>")
+    def unpack(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            raw = np.frombuffer((row or "").encode("ascii", "replace"), dtype=np.uint8).astype(np.int64) - 48
+            if len(raw) and (raw.min() < 0 or raw.max() > 63 or raw[-1] & 32):
+                raise ValueError(f"not run lengths: {row[:40]!r}")
+            last = (raw & 32) == 0
+            number = np.cumsum(np.append(0, last[:-1])) if len(raw) else raw
+            first = np.flatnonzero(np.append(True, last[:-1])) if len(raw) else raw
+            place = np.arange(len(raw)) - first[number] if len(raw) else raw
+            values = np.zeros(len(first), dtype=np.int64)
+            np.add.at(values, number, (raw & 31) << (5 * place))
+            ends = np.flatnonzero(last)
+            values = np.where(raw[ends] & 16, values - (1 << (5 * (place[ends] + 1))), values) if len(raw) else values
+            for parity in (1, 2):  # each length is that two before and a difference, from the fourth on
+                values[parity::2] = np.cumsum(values[parity::2])
+            out.append(values.astype(np.int32))
+        return pd.Series(out)
+
+    return unpack(text)
+
+
 def run_length_area(counts: Column) -> Column:
     return F.aggregate(F.filter(counts, lambda x, i: i % 2 == 1), F.lit(0), lambda s, x: s + x)
 
@@ -188,28 +243,77 @@ def overlapping_masks(masks: DataFrame, by=BY) -> DataFrame:
     return own.select(*by, "a", "b", "both", (F.col("both") / union).alias("iou"), (F.col("both") / (F.least("na", "nb") + 1e-8)).alias("iom"))
 
 
-def suppressed(boxes: DataFrame, threshold: float, least_score: float | None = None, by=BY) -> DataFrame:
+def undisputed(scores: DataFrame, conflicts: DataFrame, by=BY) -> DataFrame:
+    """(by, id) of scores (by, id, score) that greedy suppression keeps: by falling score (ties: the smaller id), what conflicts (by, a, b) with nothing kept.
+
+    In rounds on the graph of conflicts: what no better one that is still undecided conflicts with is kept, and what conflicts with it dropped.
+    A round reads the conflicts that are left; once they are few enough one task decides them. What conflicts with nothing is never joined again.
+    """
+    keys = [*by, "id"]
+    place = F.struct((-F.col("score")).alias("s"), "id")
+    ranked = scores.select(*keys, place.alias("p"))
+    sides = conflicts.select(*by, "a", "b").join(ranked.toDF(*by, "a", "pa"), [*by, "a"]).join(ranked.toDF(*by, "b", "pb"), [*by, "b"]).where("a <> b")
+    better = F.col("pa") < F.col("pb")
+    open_ = cut(sides.select(*by, F.when(better, F.col("pa")).otherwise(F.col("pb")).alias("up"), F.when(better, F.col("pb")).otherwise(F.col("pa")).alias("down")).distinct())
+    out = ranked.join(open_.select(*by, F.col("up.id").alias("id")).unionByName(open_.select(*by, F.col("down.id").alias("id"))).distinct(), keys, "left_anti").select(*keys)
+    while (count := open_.count()) > CONFLICTS:
+        ups, downs = open_.select(*by, F.col("up").alias("p")).distinct(), open_.select(*by, F.col("down").alias("p")).distinct()
+        kept = cut(ups.join(downs, [*by, "p"], "left_anti"))
+        gone = cut(open_.join(kept.withColumnRenamed("p", "up"), [*by, "up"], "left_semi").select(*by, F.col("down").alias("p")).distinct())
+        rest = open_.join(gone.withColumnRenamed("p", "up"), [*by, "up"], "left_anti").join(gone.withColumnRenamed("p", "down"), [*by, "down"], "left_anti").join(kept.withColumnRenamed("p", "up"), [*by, "up"], "left_anti")
+        left = cut(rest)
+        # what only dropped ones spoke against is kept as well
+        free = downs.unionByName(ups).distinct().join(gone.unionByName(kept), [*by, "p"], "left_anti").join(left.select(*by, F.col("up").alias("p")).unionByName(left.select(*by, F.col("down").alias("p"))).distinct(), [*by, "p"], "left_anti")
+        out = out.unionByName(cut(kept.unionByName(free)).select(*by, "p.id"))
+        open_ = left
+    if count:
+        kinds = dict(scores.dtypes)
+
+        def decided(rows: pd.DataFrame) -> pd.DataFrame:
+            worse: dict = {}
+            for s, i, t, j in zip(rows["us"], rows["ui"], rows["ds"], rows["di"], strict=True):
+                worse.setdefault((s, i), []).append((t, j))
+                worse.setdefault((t, j), [])
+            gone, kept = set(), []
+            for p in sorted(worse):
+                if p not in gone:
+                    kept.append(p[1])
+                    gone.update(worse[p])
+            out = pd.DataFrame({"id": kept})
+            for c in reversed(by):
+                out.insert(0, c, rows[c].iloc[0])
+            return out
+
+        slim = open_.select(*by, F.col("up.s").alias("us"), F.col("up.id").alias("ui"), F.col("down.s").alias("ds"), F.col("down.id").alias("di"))
+        out = out.unionByName(slim.groupBy(*by).applyInPandas(decided, ", ".join(f"{c} {kinds[c]}" for c in keys)))
+    return out
+
+
+def suppressed(boxes: DataFrame, threshold: float, least_score: float | None = None, by=BY, cell: float | None = None) -> DataFrame:
     """boxes (by, id, x0..y1, score) that greedy suppression keeps: by falling score (ties: the smaller id), a box stays if its IoU with all kept ones is at most the threshold.
 
-    A group's boxes meet in one array, as each decision depends on those before; groups are images or crops.
+    Overlaps are found by a grid of this cell size, by default the boxes' mean longer side, and decided in rounds, so an image's boxes spread over tasks.
     """
     own = boxes if least_score is None else boxes.where(F.col("score") > least_score)
-    row = F.struct((-F.col("score")).alias("s"), "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    lists = own.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    cut = "(greatest(least(k.x1, b.x1) - greatest(k.x0, b.x0), 0D) * greatest(least(k.y1, b.y1) - greatest(k.y0, b.y0), 0D))"
-    union = f"((k.x1 - k.x0) * (k.y1 - k.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {cut})"
-    kept = F.expr(f"aggregate(all, slice(all, 1, 0), (kept, b) -> IF(exists(kept, k -> {cut} > {float(threshold)}D * {union}), kept, concat(kept, array(b))))")
-    return lists.select(*by, F.explode(kept).alias("k")).select(*by, "k.id", "k.x0", "k.y0", "k.x1", "k.y1", (-F.col("k.s")).alias("score"))
+    if cell is None:
+        side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        cell = own.agg(F.avg(F.when(side > 0, side))).first()[0] or 1.0
+    pairs = overlapping_boxes(own.select(*by, "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]), float(cell), threshold, by)
+    return own.join(undisputed(own, pairs, by), [*by, "id"], "left_semi").select(*by, "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "score")
 
 
 def suppressed_by_matrix(scores: DataFrame, overlaps: DataFrame, threshold: float, by=BY) -> DataFrame:
     """(by, id) that greedy suppression keeps, given pairs (by, a, b, iou) instead of boxes."""
-    both = overlaps.where(F.col("iou") > threshold)
-    both = both.select(*by, F.col("a").alias("id"), F.col("b").alias("other")).unionByName(both.select(*by, F.col("b").alias("id"), F.col("a").alias("other")))
-    near = both.groupBy(*by, "id").agg(F.collect_set("other").alias("near"))
-    rows = scores.join(near, [*by, "id"], "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.coalesce("near", F.array().cast(near.schema["near"].dataType)).alias("near")))).alias("all"))
-    kept = F.expr("aggregate(all, transform(slice(all, 1, 0), a -> a.id), (kept, b) -> IF(arrays_overlap(kept, b.near), kept, concat(kept, array(b.id))))")
-    return rows.select(*by, F.explode(kept).alias("id"))
+    return undisputed(scores, overlaps.where(F.col("iou") > threshold), by)
+
+
+def cleaned_and_suppressed(masks: DataFrame, pixels: DataFrame, least: int, threshold: float, by=BY) -> DataFrame:
+    """(by, mask, y, x): masks cleaned of holes and islands, then those that box suppression keeps, where masks that cleaning left as they were count as better than changed ones (ties: the smaller)."""
+    after, score = cleaned_once(masks, pixels, least, by)
+    after = cut(after)
+    own = boxes(after, by=by).join(score, [*by, "mask"]).withColumnRenamed("mask", "id")
+    kept = suppressed(own, threshold, by=by).select(*by, F.col("id").alias("mask"))
+    return after.join(kept, [*by, "mask"], "left_semi")
 
 
 def stability(pixels: DataFrame, threshold: float, offset: float, symmetric: bool = True, by=BY) -> DataFrame:
@@ -286,31 +390,37 @@ def boundary_f(est: DataFrame, ref: DataFrame, radius: int, everyone: DataFrame
 
 
 def distance_transform(masks: DataFrame, sizes: DataFrame, by=BY) -> DataFrame:
-    """(by, mask, y, x, d): Euclidean distance of each mask pixel from the nearest pixel outside; null if there is none. One group a mask: two passes over its image."""
+    """(by, mask, y, x, d): Euclidean distance of each mask pixel from the nearest pixel outside; null if there is none.
+
+    Two passes, over columns and over rows, so that a line and never an image meets in one task: the distance to the nearest outside pixel of the column, then the
+    least of these and the steps along the row.
+    """
     keys = [*by, "mask"]
+    column, run = Window.partitionBy(*keys, "x").orderBy("y"), Window.partitionBy(*keys, "x", "run")
     own = masks.join(sizes, list(by)).select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"))
-    types = dict(masks.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", y int, x int, d double"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(rows["h"].iloc[0]), int(rows["w"].iloc[0])
-        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
-        inside = np.zeros((h, w), dtype=bool)
-        inside[y, x] = True
-        at = np.arange(h)[:, None]
-        up = np.maximum.accumulate(np.where(inside, -(1 << 30), at), axis=0)
-        down = np.minimum.accumulate(np.where(inside, 1 << 30, at)[::-1], axis=0)[::-1]
-        column = np.minimum(at - up, down - at).astype(float) ** 2  # to the nearest outside pixel of the same column
-        best = np.full(len(rows), np.inf)
-        for k in range(w):
-            best = np.minimum(best, column[y, k] + (x - k) ** 2.0)
-        d = np.sqrt(best)
-        out = pd.DataFrame({"y": y, "x": x, "d": np.where(d < 1 << 20, d, np.nan)})
-        for name, value in reversed(list(zip(keys, key, strict=True))):
-            out.insert(0, name, value)
-        return out
-
-    return own.groupBy(*keys).applyInPandas(run, schema).withColumn("d", F.when(~F.isnan("d"), F.col("d")))
+    own = own.withColumn("run", F.col("y") - F.row_number().over(column))
+    first, last = F.min("y").over(run), F.max("y").over(run)
+    far = F.least(F.when(first > 0, F.col("y") - first + 1), F.when(last < F.col("h") - 1, last - F.col("y") + 1))
+    rows = own.withColumn("g", far).groupBy(*keys, "y", "w").agg(F.array_sort(F.collect_list(F.struct("x", "g"))).alias("line"))
+
+    @F.pandas_udf("array<double>")
+    def along(lines: pd.Series, widths: pd.Series) -> pd.Series:
+        out = []
+        for line, w in zip(lines, widths, strict=True):
+            x = np.array([p["x"] for p in line])
+            best = np.zeros(w)
+            best[x] = [np.inf if p["g"] is None else float(p["g"]) ** 2 for p in line]
+            start = best.copy()
+            for k in range(1, w):
+                if best.max() <= k * k:
+                    break
+                best[k:] = np.minimum(best[k:], start[:-k] + k * k)
+                best[:-k] = np.minimum(best[:-k], start[k:] + k * k)
+            out.append(np.where(np.isfinite(best[x]), np.sqrt(best[x]), np.nan))
+        return pd.Series(out)
+
+    found = rows.withColumn("d", along("line", "w")).select(*keys, "y", F.explode(F.arrays_zip("line", "d")).alias("p"))
+    return found.select(*keys, "y", F.col("p.line.x").alias("x"), F.when(~F.isnan("p.d"), F.col("p.d")).alias("d"))
 
 
 def error_prompts(est: DataFrame, ref: DataFrame, sizes: DataFrame, by=BY) -> DataFrame:

@@ -195,9 +195,22 @@ def least_loaded(loads: DataFrame, items: int, by=BY) -> DataFrame:
     return places.withColumn("item", F.row_number().over(order) - 1).where(F.col("item") < items).select(*by, "item", "worker")
 
 
+def running_count(rows: DataFrame, keys: list[str], order: list[Column], counted: Column, name: str) -> DataFrame:
+    """rows with `name`: how many counted rows of its keys come before and with it in the order, which tells all rows apart.
+
+    Rows are dealt out by range, so that a key's spread over tasks; of each range only its sum meets others.
+    """
+    parts = cut(rows.withColumn("_one", counted.cast("long")).repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_one").alias("_sum")).select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = parts.withColumn(name, F.sum("_one").over(within))
+    return own.join(sums, [*keys, "_part"]).withColumn(name, F.col(name) + F.col("_before")).drop("_one", "_part", "_before")
+
+
 def dense_index(objects: DataFrame, by=BY) -> DataFrame:
     """(by, obj, idx): live objects numbered in order of id; removing one closes the gap."""
-    return objects.select(*by, "obj").distinct().withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("obj")) - 1)
+    return running_count(objects.select(*by, "obj").distinct(), list(by), [F.col("obj")], F.lit(1), "n").select(*by, "obj", (F.col("n") - 1).cast("int").alias("idx"))
 
 
 # --- history --------------------------------------------------------------------------------------
@@ -205,7 +218,7 @@ def dense_index(objects: DataFrame, by=BY) -> DataFrame:
 def _numbered(queries: DataFrame, frames: DataFrame, by) -> tuple[DataFrame, DataFrame]:
     """(queries (by, q, r): how many frames of its session come before q; frames (by, frame, i): numbered from 1)."""
     rows = queries.select(*by, F.col("q").alias("at"), F.lit(0).alias("is_frame")).distinct().unionByName(frames.select(*by, F.col("frame").alias("at"), F.lit(1).alias("is_frame")).distinct())
-    rows = rows.withColumn("n", F.sum("is_frame").over(Window.partitionBy(*by).orderBy("at", "is_frame").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running_count(rows, list(by), [F.col("at"), F.col("is_frame")], F.col("is_frame"), "n")
     return rows.where("is_frame = 0").select(*by, F.col("at").alias("q"), F.col("n").alias("r")), rows.where("is_frame = 1").select(*by, F.col("at").alias("frame"), F.col("n").alias("i"))
 
 
@@ -237,9 +250,14 @@ def scored_history(queries: DataFrame, frames: DataFrame, k: int, least: float,
 
 
 def evicted(outputs: DataFrame, corrections: DataFrame, reach: int, by=BY) -> DataFrame:
-    """outputs (by, obj, frame) without those within `reach` frames of a correction (by, obj, at) of the same object."""
-    near = corrections.select(*by, "obj", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)).alias("frame")).distinct()
-    return outputs.join(near, [*by, "obj", "frame"], "left_anti")
+    """outputs (by, obj, frame, ..) without those within `reach` frames of a correction (by, obj, at) of the same object: of the last one before and the next one after."""
+    keys = [*by, "obj"]
+    rows = outputs.select(*keys, "frame", F.lit(False).alias("fix"), F.struct(*outputs.columns).alias("row"))
+    both = rows.unionByName(corrections.select(*keys, F.col("at").alias("frame"), F.lit(True).alias("fix")).distinct(), allowMissingColumns=True)
+    at, w = F.when(F.col("fix"), F.col("frame")), Window.partitionBy(*keys).orderBy("frame")
+    before, after = F.max(at).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.min(at).over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = (F.col("frame") - F.col("before") <= reach) | (F.col("after") - F.col("frame") <= reach)
+    return both.withColumns({"before": before, "after": after}).where(~F.col("fix") & ~F.coalesce(near, F.lit(False))).select("row.*")
 
 
 def reconditioned(pairs: DataFrame, every: int, least_iou: float, least_score: float) -> DataFrame:
@@ -250,8 +268,7 @@ def reconditioned(pairs: DataFrame, every: int, least_iou: float, least_score: f
 def in_order(frames: DataFrame, start: int, count: int | None, reverse: bool, by=BY) -> DataFrame:
     """(by, frame, step): frames from `start` on, forward or in reverse, at most count + 1."""
     own = frames.where(F.col("frame") <= start if reverse else F.col("frame") >= start)
-    order = Window.partitionBy(*by).orderBy(F.desc("frame") if reverse else F.asc("frame"))
-    own = own.select(*by, "frame").distinct().withColumn("step", F.row_number().over(order) - 1)
+    own = running_count(own.select(*by, "frame").distinct(), list(by), [F.desc("frame") if reverse else F.asc("frame")], F.lit(1), "n").select(*by, "frame", (F.col("n") - 1).cast("int").alias("step"))
     return own if count is None else own.where(F.col("step") <= count)
 
 

@@ -177,6 +177,25 @@ BOUNDARY_SQL = GRID_SQL + f""", o AS (SELECT m4.img, m4.mask, m4.y, m4.x, (ms.y
 bd AS (SELECT DISTINCT o.img, o.mask, o.y, o.x FROM o JOIN o n ON n.img = o.img AND n.mask = o.mask AND n.y - o.y IN (0, 1) AND n.x - o.x IN (0, 1) AND n.b <> o.b)"""
 
 
+def packed_counts(spark, sf_dir):
+    """Run lengths as text, and read from it again."""
+    own = masks.run_lengths(discs(spark, sf_dir), sizes(spark, sf_dir)).select("img", "mask", "area", masks.packed_counts(F.col("counts")).alias("text"))
+    again = masks.unpacked_counts(F.col("text"))
+    return own.select("img", "mask", "text", F.array_join(again, ",").alias("counts"), masks.run_length_area(again).cast("long").alias("area"))
+
+
+def line_counts(spark, sf_dir):
+    """Orders' quantities as run lengths, of all sizes and differences."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda s: (s["l_partkey"] * s["l_suppkey"] % 100_003).cast("int")).alias("counts"))
+    text = masks.packed_counts(F.col("counts"))
+    return rows.select("l_orderkey", text.alias("text"), (masks.unpacked_counts(text) == F.col("counts")).alias("same"))
+
+
+def cleaned_suppressed(spark, sf_dir):
+    own = masks.cleaned_and_suppressed(cut(discs(spark, sf_dir)), grid(spark, sf_dir), 3, 0.2)
+    return own.select("img", "mask", "y", "x")
+
+
 def distance(spark, sf_dir):
     return rounded(masks.distance_transform(discs(spark, sf_dir), sizes(spark, sf_dir)), 6)
 
@@ -211,12 +230,16 @@ def crops(spark, sf_dir):
 
 QUERIES = {
     "mask_areas": lambda s, d: masks.areas(discs(s, d)), "painter_merge": lambda s, d: masks.painted(discs(s, d)), "painted_labels": lambda s, d: label_map(s, d), "label_map_masks": lambda s, d: masks.decomposed(label_map(s, d)), "mask_union": lambda s, d: masks.union(discs(s, d)),
-    "pixel_components": components, "island_removal": islands, "hole_filling": holes, "cleaned_label_map": cleaned_map, "unchanged_masks": cleaned_once, "rle_encode": rle, "rle_decode": rle_decoded,
+    "pixel_components": components, "island_removal": islands, "hole_filling": holes, "cleaned_label_map": cleaned_map, "unchanged_masks": cleaned_once, "rle_encode": rle, "rle_decode": rle_decoded, "packed_counts": packed_counts, "line_counts": line_counts, "cleaned_suppressed": cleaned_suppressed,
     "mask_boxes": lambda s, d: masks.boxes(discs(s, d)), "mask_boxes_exclusive": lambda s, d: masks.boxes(discs(s, d), exclusive=True), "mask_iou_pairs": lambda s, d: rounded(masks.overlapping_masks(discs(s, d)), 6),
     "box_iou_pairs": box_pairs, "giou_pairs": giou_pairs, "box_formats": box_formats, "box_filters": box_filters, "nms": nms, "nms_matrix": nms_matrix, "stability_score": stability, "filtered_masks": filtered,
     "pixel_exclusive": lambda s, d: rounded(masks.exclusive(logits(s, d)), 6), "shrunk_masks": lambda s, d: masks.shrunk(logits(s, d)), "score_exclusive": lambda s, d: masks.winners_by_score(logits(s, d), masks.areas(discs(s, d)).select("img", "mask", F.col("area").alias("score"))),
     "holes_and_sprinkles": sprinkles, "mask_boundary": boundary, "boundary_f": boundary_f, "distance_transform": distance, "error_prompts": error_prompts, "inside_samples": inside_samples, "best_candidate": best_candidate, "point_grid": points, "crop_boxes": crops,
 }
+#: A list c of run lengths as text, by cases and powers.
+PACK_SQL = """array_to_string(list_transform(list_transform(range(len(c)), lambda i: c[i + 1] - CASE WHEN i > 2 THEN c[i - 1] ELSE 0 END), lambda x: array_to_string(list_transform(
+  range(CASE WHEN x BETWEEN -16 AND 15 THEN 1 WHEN x BETWEEN -512 AND 511 THEN 2 WHEN x BETWEEN -16384 AND 16383 THEN 3 ELSE 4 END),
+  lambda k: chr((48 + (floor(x / pow(32, k))::BIGINT % 32 + 32) % 32 + CASE WHEN x BETWEEN -pow(2, 5 * k + 4) AND pow(2, 5 * k + 4) - 1 THEN 0 ELSE 32 END)::INT)), '')), '')"""
 ISLAND = ", isl AS (SELECT img, mask, y, x FROM (SELECT *, first_value(c) OVER (PARTITION BY img, mask ORDER BY area DESC, c) AS top FROM msa) WHERE area >= 3 OR c = top)"
 OUTSIDE = ", ou AS (SELECT * FROM m4 WHERE NOT EXISTS (SELECT 1 FROM ms WHERE ms.img = m4.img AND ms.mask = m4.mask AND ms.y = m4.y AND ms.x = m4.x))"
 F_SQL = BOUNDARY_SQL + """, e AS (SELECT * FROM bd WHERE mask <= 3), r AS (SELECT img, mask - 1 AS mask, y, x FROM bd WHERE mask >= 2),
@@ -231,6 +254,8 @@ ORACLES = {
     "pixel_components": GRID_SQL + COMPONENTS.format(p="ms") + " SELECT * FROM msa",
     "island_removal": GRID_SQL + COMPONENTS.format(p="ms") + ISLAND + " SELECT * FROM isl",
     "hole_filling": GRID_SQL + OUTSIDE + COMPONENTS.format(p="ou") + " SELECT * FROM ms UNION ALL SELECT img, mask, y, x FROM oua WHERE area < 3",
+    "packed_counts": f"SELECT img, mask, {PACK_SQL} AS text, counts, area FROM (SELECT *, list_transform(string_split(counts, ','), lambda v: v::BIGINT) AS c FROM ({RLE_SQL}))",
+    "line_counts": f"SELECT l_orderkey, {PACK_SQL} AS text, true AS same FROM (SELECT l_orderkey, list((l_partkey * l_suppkey % 100003)::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey) AS c FROM lineitem GROUP BY l_orderkey)",
     "rle_encode": RLE_SQL, "rle_decode": GRID_SQL + "SELECT * FROM ms",
     "mask_boxes": GRID_SQL + "SELECT img, mask, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM ms GROUP BY ALL",
     "mask_boxes_exclusive": GRID_SQL + "SELECT img, mask, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM ms GROUP BY ALL",
