@@ -135,6 +135,15 @@ def refined_labels(spark, sf_dir):
     return before.join(after, "mesh").select("mesh", (F.col("after") <= F.col("before") + 1e-9).alias("no_worse"), (F.col("after") < F.col("before") - 1e-9).alias("better"))
 
 
+def refined_to_target(spark, sf_dir):
+    """Labels refined by that one of eight weights that leaves about six of more than ten faces: how many are left, and faces that kept their label."""
+    start = cut(labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir)))
+    costs = cut(sides(spark, sf_dir).select("mesh", "src", "dst", labels.smoothness(F.col("angle"), 1.0).alias("cost")))
+    found = mincut.refined_to(start, costs, [0.02 * 2**i for i in range(8)], 6, seed=0.1)
+    own = found.join(start.withColumnRenamed("label", "was"), ["mesh", "f"])
+    return own.groupBy("mesh", "weight").agg(F.count_distinct("label").alias("labels"), F.count_if(F.col("label") == F.col("was")).alias("kept"))
+
+
 def weight_grid(spark, sf_dir):
     rows = numbered(spark, sf_dir, "mesh").withColumn("weight", F.explode(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: i.cast("double"))))
     return rows.withColumn("labels", (40 - 2 * F.col("weight") - F.col("mesh") % 3).cast("int"))
@@ -290,7 +299,7 @@ def label_colours(spark, sf_dir):
 QUERIES = {
     "grid_adjacency": lambda s, d: labels.adjacency(faces(s, d)), "ngon_adjacency": lambda s, d: labels.adjacency(quads(s, d), "all"), "face_components": lambda s, d: _parts(s, d),
     "small_component_drop": small_component_drop, "hole_fill": hole_fill, "hole_fill_rest": hole_fill_rest, "split_labels": split_labels, "smoothed_labels": smoothed, "label_counts": lambda s, d: labels.counts(face_labels(s, d)), "dense_relabel": lambda s, d: labels.dense(face_labels(s, d)),
-    "label_colours": label_colours, "submesh_faces": submesh_faces, "submesh_vertices": submesh_vertices, "label_energy": label_energy, "cut_graph": cut_graph, "refined_labels": refined_labels, "closest_weight": closest_weight, "crawled_weight": crawled_weight,
+    "label_colours": label_colours, "submesh_faces": submesh_faces, "submesh_vertices": submesh_vertices, "label_energy": label_energy, "cut_graph": cut_graph, "refined_labels": refined_labels, "refined_to_target": refined_to_target, "closest_weight": closest_weight, "crawled_weight": crawled_weight,
     "triangulate": triangulated, "remapped_pixels": remapped_pixels, "polygon_areas": polygon_areas, "face_shapes": lambda s, d: rounded(shapes(s, d), 6), "side_angles": lambda s, d: rounded(sides(s, d), 6), "dihedral_max": lambda s, d: rounded(geometry.sharpest(sides(s, d), faces(s, d)), 6),
     "face_to_vertex": vertex_means, "bary_interp": pixel_values, "cut_vertices": cut_vertices, "average_radius": average_radius, "cut_discrepancy": cut_discrepancy, "vertex_distances": vertex_distances, "bounding_box": bbox, "bbox_normalise": bbox_normalised,
     "diameter_scale": diameter_scale, "posed_points": posed, "look_at": look_at, "camera_sets": camera_sets, "range_norm": rounding, "decimation_target": decimation, "surface_samples": sampled_points, "box_corners": box_corners,
