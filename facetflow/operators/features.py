@@ -62,6 +62,15 @@ def k_means(vectors: DataFrame, k: int, starts: int = 3, rounds: int = 100, seed
     return found.join(F.broadcast(order), "c").select(key, "cluster")
 
 
+def k_sweep(vectors: DataFrame, counts: list[int], starts: int = 3, rounds: int = 100, seed: int = 0, key: str = "id", vector: str = "v") -> DataFrame:
+    """(k, key, cluster): k_means() for each of several numbers of clusters."""
+    out = None
+    for k in counts:
+        own = cut(k_means(vectors, k, starts, rounds, seed, key, vector).select(F.lit(k).alias("k"), key, "cluster"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def mixture_costs(values: DataFrame, k: int, seed: int = 0, key: str = "id", value: str = "x") -> DataFrame:
     """(key, costs array, label): -ln of each component's posterior for a number, and the cheapest component."""
     rows = values.select(key, array_to_vector(F.array(F.col(value).cast("double"))).alias("u"))
@@ -101,6 +110,15 @@ def plane_sample(points: DataFrame, grid: DataFrame, size: int, axes: tuple[str,
     return near.join(grid, [*by, "i", "j"]).groupBy(*by, key).agg(F.sum(weight * F.col("value")).alias("value"))
 
 
+def planes_sample(points: DataFrame, grids: dict[str, DataFrame], size: int, by=("mesh",), key: str = "id") -> DataFrame:
+    """(by, key, value): the sum of plane_sample() over planes, each named by its two axes (xy, yz, xz) with its own grid."""
+    out = None
+    for axes, grid in grids.items():
+        own = plane_sample(points, grid, size, tuple(axes), by, key)
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy(*by, key).agg(F.sum("value").alias("value"))
+
+
 def voxel_mean(points: DataFrame, size: int, value: str = "value", by=("mesh",)) -> DataFrame:
     """(by, vx, vy, vz, value): mean of the points whose coordinates in [0, 1], times size - 1, round (halves to even) to the voxel."""
     at = {f"v{c}": F.bround(F.least(F.greatest(F.col(c) * (size - 1), F.lit(0.0)), F.lit(float(size - 1)))).cast("int") for c in ("x", "y", "z")}

@@ -118,6 +118,13 @@ def cameras(spark: SparkSession, kind: str, n: int = 0, radius: float = 1.0, ele
     return spark.createDataFrame(rows, "camera int, x double, y double, z double")
 
 
+def sphere_cameras(items: DataFrame, key: str, seed: int = 0, radius: float = 1.0) -> DataFrame:
+    """(key, x, y, z): a place on the sphere for each key, its two angles evenly by a hash of seed and key."""
+    share = lambda name: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    own = items.select(key, (share("turn") * 2 * math.pi).alias("turn"), (share("polar") * math.pi).alias("polar"))
+    return own.select(key, (radius * F.sin("polar") * F.cos("turn")).alias("x"), (radius * F.sin("polar") * F.sin("turn")).alias("y"), (radius * F.cos("polar")).alias("z"))
+
+
 # --- meshes -------------------------------------------------------------------------------------
 
 def bounding_box(points: DataFrame, by=BY) -> DataFrame:
@@ -141,6 +148,16 @@ def normalised(points: DataFrame, mode: str = "cube", by=BY) -> DataFrame:
     return centred.select(*by, "v", *[(F.col(c) * scale).alias(c) for c in AXES])
 
 
+def normalised_by_area(points: DataFrame, faces: DataFrame, by=BY) -> DataFrame:
+    """Points about the mean of the faces' centres by area (of the points' box where no face has any), over the longest side of their box."""
+    shape = face_shapes(faces, points, by)
+    middle = shape.groupBy(*by).agg(F.sum("area").alias("_a"), *[F.sum(F.col("area") * F.col(f"c{c}")).alias(f"_{c}") for c in AXES])
+    box = bounding_box(points, by).join(middle, list(by), "left")
+    side = F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in AXES])
+    own = points.join(box, list(by))
+    return own.select(*by, "v", *[((F.col(c) - F.when(F.col("_a") > 0, F.col(f"_{c}") / F.col("_a")).otherwise(F.col(f"centre_{c}"))) / F.when(side > 0, side).otherwise(1.0)).alias(c) for c in AXES])
+
+
 def triangles(polygons: DataFrame, by=BY) -> DataFrame:
     """(by, tri, f, v): fans from the first corner; polygons of fewer than three corners give none but keep their number."""
     fan = F.expr("transform(sequence(1, size(v) - 2), i -> array(v[0], v[i], v[i + 1]))")
@@ -156,6 +173,11 @@ def remapped(pixels: DataFrame, tri_map: DataFrame, by=BY) -> DataFrame:
     return keyed.drop("f").join(tri_map.select(*by, "tri", "f"), [*by, "tri"], "left").withColumn("f", F.coalesce("f", F.lit(-1))).drop("tri", "last")
 
 
+def valid_ids(f: Column, count: Column) -> Column:
+    """Face numbers of pixels; those outside [-1, count) are -1."""
+    return F.when((f >= -1) & (f < count), f).otherwise(F.lit(-1))
+
+
 def corners(faces: DataFrame, vertices: DataFrame, by=BY) -> DataFrame:
     """(by, f, place, v, x, y, z): each face's corners; also the mesh with vertices of its own for each corner."""
     return faces.select(*by, "f", F.posexplode("v").alias("place", "v")).join(vertices, [*by, "v"])

@@ -107,6 +107,24 @@ def submeshes(faces: DataFrame, labels: DataFrame, by=BY) -> tuple[DataFrame, Da
     return own, vertices.select(*by, "label", "v", "old")
 
 
+def parts_of(faces: DataFrame, labels: DataFrame, least: int = 1, by=BY) -> tuple[DataFrame, DataFrame]:
+    """submeshes() of labels above 0 that have `least` faces and more."""
+    sizes = labels.where("label <> 0").groupBy(*by, "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return submeshes(faces, labels.join(sizes.drop("_n"), [*by, "label"], "left_semi"), by)
+
+
+def carried(vertices: DataFrame, values: DataFrame, by=BY) -> DataFrame:
+    """Submesh vertices (by, label, v, old) with what the mesh's vertices carry: values (by, v, ..), as texture places and colours; nulls where there is none."""
+    return vertices.join(values.withColumnRenamed("v", "old"), [*by, "old"], "left")
+
+
+def numbered_components(parts: DataFrame, by=BY) -> DataFrame:
+    """parts (by, f, comp) with their components numbered from 0 in the order in which faces come to them."""
+    firsts = parts.groupBy(*by, "comp").agg(F.min("f").alias("_first"))
+    numbers = firsts.withColumn("part", (F.row_number().over(Window.partitionBy(*by).orderBy("_first")) - 1).cast("int"))
+    return parts.join(numbers.drop("_first"), [*by, "comp"]).select(*by, "f", "part")
+
+
 def smoothness(angle: Column, weight: float = 6.0) -> Column:
     """Cost of a boundary at a side with this dihedral angle: flat sides cost most."""
     return -F.log(angle / F.lit(3.141592653589793) + F.lit(1e-20)) * weight

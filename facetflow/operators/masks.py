@@ -467,6 +467,52 @@ def crop_boxes(spark: SparkSession, h: int, w: int, layers: int, overlap: float
     return spark.createDataFrame(rows, "layer int, x0 int, y0 int, x1 int, y1 int")
 
 
+def uncropped(box: list[Column], crop: list[Column]) -> list[Column]:
+    """A box or points (x, y, ..) of a crop (x0, y0, ..) in the image's coordinates."""
+    return [c + crop[i % 2] for i, c in enumerate(box)]
+
+
+def uncropped_masks(masks: DataFrame, crops: DataFrame, by=BY) -> DataFrame:
+    """(by, mask, y, x): pixels of masks of crops (by, crop, mask, y, x) in the image; crops (by, crop, x0, y0, x1, y1). Pixels outside their crop are left out."""
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("x1") - F.col("x0")) & (F.col("y") < F.col("y1") - F.col("y0"))
+    return masks.join(crops, [*by, "crop"]).where(inside).select(*by, "mask", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
+
+
+def layered_points(images: DataFrame, n: int, layers: int, shrink: int = 2) -> DataFrame:
+    """images with layer, x, y: for each layer of crops from 0 on a grid of n // shrink ** layer points a side over the unit square."""
+    def grid(layer: int, m: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(m * m - 1)), lambda i: F.struct(F.lit(layer).alias("layer"), ((i % m + 0.5) / m).alias("x"), ((F.floor(i / m) + 0.5) / m).alias("y")))
+
+    rows = F.flatten(F.array(*[grid(layer, n // shrink**layer) for layer in range(layers + 1) if n // shrink**layer]))
+    return images.withColumn("_p", F.explode(rows)).select(*images.columns, "_p.*")
+
+
+def scaled_box(box: list[Column], w: Column, h: Column) -> list[Column]:
+    """A box of shares of the image in pixels."""
+    return [c * (h if i % 2 else w) for i, c in enumerate(box)]
+
+
+def jittered(boxes: DataFrame, sizes: DataFrame, share: float = 0.1, most: float = 20.0, seed: int = 0, by=BY) -> DataFrame:
+    """boxes (by, mask, x0, y0, x1, y1) with each side moved, by a hash, up to this share of the box's width or height, `most` pixels at most, within the image; sizes (by, h, w)."""
+    draw = lambda c: 2 * F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(c), *[F.col(k).cast("string") for k in (*by, "mask")])), 1, 8), 16, 10).cast("double") / float(1 << 32) - 1
+    own = boxes.join(sizes, list(by))
+    reach = {"x": F.least((F.col("x1") - F.col("x0")) * share, F.lit(most)), "y": F.least((F.col("y1") - F.col("y0")) * share, F.lit(most))}
+    end = {"x": F.col("w") - 1, "y": F.col("h") - 1}
+    return own.select(*by, "mask", *[F.greatest(F.least(F.col(c) + draw(c) * reach[c[0]], end[c[0]].cast("double")), F.lit(0.0)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def uniform_prompts(est: DataFrame, ref: DataFrame, pixels: DataFrame, seed: int = 0, by=BY) -> DataFrame:
+    """(by, mask, y, x, positive): of the pixels in which est and ref differ one by a hash, positive where est misses it; of masks without any, a pixel outside the mask, not positive. pixels (by, y, x) is the whole image."""
+    keys, on = [*by, "mask"], [*by, "mask", "y", "x"]
+    missed = ref.select(*on).join(est.select(*on), on, "left_anti").withColumn("positive", F.lit(True))
+    extra = est.select(*on).join(ref.select(*on), on, "left_anti").withColumn("positive", F.lit(False))
+    wrong = missed.unionByName(extra)
+    right = ref.select(*keys).distinct().join(wrong.select(*keys).distinct(), keys, "left_anti")
+    outside = right.join(pixels.select(*by, "y", "x"), list(by)).join(ref.select(*on), on, "left_anti").withColumn("positive", F.lit(False))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in on]))
+    return wrong.unionByName(outside.select(*wrong.columns)).groupBy(*keys).agg(F.min_by(F.struct("y", "x", "positive"), F.struct(draw, "y", "x")).alias("b")).select(*keys, "b.*")
+
+
 def scaled_points(x: Column, y: Column, w: Column, h: Column, resolution: int) -> list[Column]:
     return [x / w * resolution, y / h * resolution]
 

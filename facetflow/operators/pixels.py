@@ -17,6 +17,15 @@ def packed(channels: Column, divide: bool) -> Column:
     return F.transform(three, lambda c: F.greatest(F.least(c / (255.0 if divide else 1.0), F.lit(1.0)), F.lit(0.0)))
 
 
+def packed_images(pixels: DataFrame, images: DataFrame, by: list[str], least: int = 64) -> DataFrame:
+    """(by, y, x, r, g, b): pixels (by, y, x, channels) as three values within [0, 1]; of an image with any value above 1 all are 0 to 255. Images (by) without pixels are `least` x `least` black ones."""
+    top = pixels.groupBy(*by).agg((F.max(F.array_max("channels")) > 1).alias("_divide"))
+    own = pixels.join(top, by).select(*by, "y", "x", F.when(F.col("_divide"), packed(F.col("channels"), True)).otherwise(packed(F.col("channels"), False)).alias("c"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(least * least - 1))).alias("i")
+    empty = images.select(*by).distinct().join(top, by, "left_anti").select(*by, at).select(*by, F.expr(f"cast(i div {least} as int)").alias("y"), F.expr(f"cast(i % {least} as int)").alias("x"), F.array(*[F.lit(0.0)] * 3).alias("c"))
+    return own.unionByName(empty).select(*by, "y", "x", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
+
+
 def projected(channels: Column, names: list[str], wanted: list[str]) -> Column:
     """The wanted channels by name; an unknown name raises ValueError."""
     return F.array(*[F.get(channels, F.lit(names.index(n))) for n in wanted])
@@ -61,6 +70,14 @@ def plane_points(points: DataFrame, keep: list[str]) -> DataFrame:
     return points.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
 
 
+def grid_points(units: DataFrame, size: int, corners: bool = False) -> DataFrame:
+    """units with i, j, k, x, y, z: the places of a size x size x size grid over [-1, 1], cell centres or (corners) from end to end."""
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    at = (lambda c: -1 + 2 * F.col(c) / max(size - 1, 1)) if corners else (lambda c: -1 + (2 * F.col(c) + 1) / size)
+    own = units.withColumn("i", F.explode(places)).withColumn("j", F.explode(places)).withColumn("k", F.explode(places))
+    return own.withColumns({c: at(n).cast("double") for c, n in zip("xyz", "ijk", strict=True)})
+
+
 def linspace(low: Column, high: Column, count: int) -> Column:
     """`count` values at equal distances from low to high, both included; one: low."""
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: low + (high - low) * i / max(count - 1, 1))

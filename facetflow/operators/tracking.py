@@ -319,6 +319,45 @@ def prompts(inputs: DataFrame, by=BY) -> DataFrame:
     return own.join(last, [*by, "obj", "frame", "_g"]).groupBy(*by, "obj", "frame").agg(F.first("kind").alias("kind"), F.sum("n").alias("n_points")).where("kind <> 'clear'")
 
 
+def after_clearing(outputs: DataFrame, inputs: DataFrame, cleared: DataFrame, shared: bool = False, by=BY) -> DataFrame:
+    """outputs (by, obj, frame, kind, ..) after the prompts of cleared (by, obj, frame) are gone: a conditioning output (cond) there is a plain one (non) from now on, and no longer counts as tracked.
+
+    shared: the frame is downgraded, for all objects, only where none of them has inputs (by, obj, frame) left, and a session with no
+    conditioning output left loses all its outputs.
+    """
+    keys = [*by, "obj", "frame"]
+    cleared = cleared.select(*keys).distinct()
+    if not shared:
+        return outputs.join(cleared.withColumn("_c", F.lit(True)), keys, "left").withColumn("kind", F.when(F.col("_c") & (F.col("kind") == "cond"), "non").otherwise(F.col("kind"))).drop("_c")
+    left = inputs.join(cleared, keys, "left_anti").select(*by, "frame").distinct()
+    bare = cleared.select(*by, "frame").distinct().join(left, [*by, "frame"], "left_anti").withColumn("_c", F.lit(True))
+    out = outputs.join(bare, [*by, "frame"], "left").withColumn("kind", F.when(F.col("_c") & (F.col("kind") == "cond"), "non").otherwise(F.col("kind"))).drop("_c")
+    kept = out.where("kind = 'cond'").select(*by).distinct()
+    untouched = outputs.select(*by).distinct().join(bare.select(*by).distinct(), list(by), "left_anti")
+    return out.join(kept.unionByName(untouched).distinct(), list(by), "left_semi").select(*outputs.columns)
+
+
+def after_resets(rows: DataFrame, resets: DataFrame, objects: bool = False, by=BY) -> DataFrame:
+    """rows (by, seq, ..) without those before their session's last reset: resets (by, seq, everything). objects: rows are the objects' ids, which only a reset of everything takes."""
+    last = (resets.where("everything") if objects else resets).groupBy(*by).agg(F.max("seq").alias("_last"))
+    return rows.join(last, list(by), "left").where(F.col("_last").isNull() | (F.col("seq") > F.col("_last"))).drop("_last")
+
+
+def without_objects(outputs: DataFrame, objects: DataFrame, removed: DataFrame, by=BY) -> DataFrame:
+    """outputs (by, obj, ..) without the removed objects (by, obj), at every frame; one that is not among objects (by, obj) raises ValueError."""
+    keys = [*by, "obj"]
+    unknown = removed.select(*keys).distinct().join(objects.select(*keys), keys, "left_anti").take(1)
+    if unknown:
+        raise ValueError(f"no such object: {unknown[0].asDict()}")
+    return outputs.join(removed.select(*keys).distinct(), keys, "left_anti")
+
+
+def trimmed_outputs(outputs: DataFrame, last: DataFrame, pointers: int = 16, by=BY) -> DataFrame:
+    """outputs (by, obj, frame, kind) that a session still needs at its frame `last` (by, last): all conditioning ones, and plain ones of the last 20 * pointers frames."""
+    own = outputs.join(last, list(by))
+    return own.where((F.col("kind") == "cond") | (F.col("frame") > F.col("last") - 20 * pointers)).drop("last")
+
+
 def capped_points(points: DataFrame, most: int, by=BY) -> DataFrame:
     """points (by, obj, frame, seq) of which, beyond `most`, the first and the last halves stay."""
     keys = [*by, "obj", "frame"]
