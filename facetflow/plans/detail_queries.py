@@ -46,6 +46,35 @@ SPHERE_SQL = """WITH a AS (SELECT s_suppkey, 2 * pi() * (('0x' || substr(md5('0|
 SELECT s_suppkey, round(2 * sin(p) * cos(t), 6) AS x, round(2 * sin(p) * sin(t), 6) AS y, round(2 * cos(p), 6) AS z FROM a"""
 
 
+def camera_sets(spark, sf_dir):
+    """How many cameras each nation has, and how many of them are as far as its radius says."""
+    own = camera_places(spark, sf_dir).join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    far = F.abs(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) - 1 - F.col("n_regionkey"))
+    return own.groupBy("n_nationkey").agg(F.count("*").alias("n"), F.count_if(far < 1e-5).alias("on_sphere"))
+
+
+def look_at(spark, sf_dir):
+    """Poses of cameras that look at a point of each supplier's own from the sphere about it."""
+    eyes = cut(geometry.sphere_cameras(table(spark, sf_dir, "supplier"), "s_suppkey", radius=3.0).withColumn("tx", (F.col("s_suppkey") % 5) / 10.0))
+    pose = geometry.look_at([F.col("x"), F.col("y"), F.col("z")], [F.col("tx"), F.lit(0.0), F.lit(0.0)])
+    return rounded(cut(eyes.select("s_suppkey", pose.alias("pose"))).select("s_suppkey", F.posexplode("pose").alias("i", "value")), 6)
+
+
+LOOK_SQL = SPHERE_SQL.partition("SELECT s_suppkey, round(")[0] + """, e AS (SELECT s_suppkey, 3 * sin(p) * cos(t) AS ex, 3 * sin(p) * sin(t) AS ey, 3 * cos(p) AS ez, (s_suppkey % 5) / 10.0::DOUBLE AS tx FROM a),
+z AS (SELECT *, (ex - tx) / sqrt((ex - tx) ** 2 + ey ** 2 + ez ** 2) AS zx, ey / sqrt((ex - tx) ** 2 + ey ** 2 + ez ** 2) AS zy, ez / sqrt((ex - tx) ** 2 + ey ** 2 + ez ** 2) AS zz FROM e), x AS (SELECT *, zz / sqrt(zz ** 2 + zx ** 2) AS xx, -zx / sqrt(zz ** 2 + zx ** 2) AS xz FROM z),
+m AS (SELECT s_suppkey, [xx, zy * xz, zx, ex, 0, zz * xx - zx * xz, zy, ey, xz, -zy * xx, zz, ez, 0, 0, 0, 1] AS m FROM x) SELECT s_suppkey, (generate_subscripts(m, 1) - 1)::INT AS i, round(unnest(m), 6) + 0.0 AS value FROM m"""
+
+
+def triangulate(spark, sf_dir):
+    """Triangles of polygons with a corner more than an order has lines, a hundred orders a mesh."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).select(F.expr("l_orderkey div 100").alias("mesh"), (F.col("l_orderkey") % 100).cast("int").alias("f"), F.sequence(F.lit(0), F.col("n").cast("int")).alias("v"))
+    return geometry.triangles(rows).select("mesh", F.col("tri").cast("long").alias("tri"), "f", F.array_join("v", ",").alias("v"))
+
+
+def point_grid(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "nation").select("n_nationkey").join(F.broadcast(masks.point_grid(spark, 8))), 6)
+
+
 def area_normalise(spark, sf_dir):
     return rounded(geometry.normalised_by_area(vertices(spark, sf_dir), faces(spark, sf_dir)), 6)
 
@@ -223,14 +252,17 @@ def cluster_sweep(spark, sf_dir):
     return features.k_sweep(cut(own), [2, 4], starts=1, rounds=10).groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"))
 
 
-def crop_plans(spark, sf_dir):
+def crop_boxes(spark, sf_dir):
     """Crops of the images of meshes' numbers: 60 by 40 pixels, two layers."""
     boxes = masks.crop_boxes(spark, 40, 60, 2)
     return numbered(spark, sf_dir, "img").join(F.broadcast(boxes))
 
 
-QUERIES = {f.__name__: f for f in (camera_places, sphere_cameras, area_normalise, valid_ids, packed_images, grid_points, large_parts, carried_values, component_numbers, planes_sample, uncropped_masks, layered_points, jittered_boxes, uniform_prompts, cleared_prompts, cleared_shared, reset_inputs, removed_objects, trimmed_outputs, material_lines, part_tables, point_clouds, cluster_sweep, crop_plans)}
+QUERIES = {f.__name__: f for f in (camera_places, camera_sets, look_at, triangulate, point_grid, sphere_cameras, area_normalise, valid_ids, packed_images, grid_points, large_parts, carried_values, component_numbers, planes_sample, uncropped_masks, layered_points, jittered_boxes, uniform_prompts, cleared_prompts, cleared_shared, reset_inputs, removed_objects, trimmed_outputs, material_lines, part_tables, point_clouds, cluster_sweep, crop_boxes)}
 ORACLES = {
+    "camera_sets": "SELECT n_nationkey, [6, 8, 14, 10][1 + n_nationkey % 4]::BIGINT AS n, [6, 8, 14, 10][1 + n_nationkey % 4]::BIGINT AS on_sphere FROM nation", "look_at": LOOK_SQL,
+    "triangulate": "WITH p AS (SELECT l_orderkey // 100 AS mesh, (l_orderkey % 100)::INT AS f, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey), t AS (SELECT mesh, f, unnest(range(n - 2)) AS k FROM p) SELECT mesh, row_number() OVER (PARTITION BY mesh ORDER BY f, k) - 1 AS tri, f, '0,' || (k + 1) || ',' || (k + 2) AS v FROM t",
+    "point_grid": "SELECT n_nationkey, (i + 0.5::DOUBLE) / 8 AS x, (j + 0.5::DOUBLE) / 8 AS y FROM nation, range(8) a(i), range(8) b(j)",
     "camera_places": CAMERA_SQL, "sphere_cameras": SPHERE_SQL, "area_normalise": AREA_SQL, "packed_images": PACK_SQL, "large_parts": PARTS_SQL, "carried_values": CARRIED_SQL, "planes_sample": PLANES_SQL, "uncropped_masks": UNCROP_SQL, "jittered_boxes": JITTER_SQL, "uniform_prompts": PROMPT_SQL, "material_lines": MATERIAL_SQL,
     "valid_ids": "SELECT CASE WHEN l_partkey % 210 - 5 BETWEEN -1 AND 199 THEN l_partkey % 210 - 5 ELSE -1 END::INT AS f, count(*) AS n FROM lineitem GROUP BY 1",
     "grid_points": "SELECT n_nationkey, i::INT AS i, j::INT AS j, k::INT AS k, -1 + (2 * i + 1) / 4.0::DOUBLE AS x, -1 + (2 * j + 1) / 4.0::DOUBLE AS y, -1 + (2 * k + 1) / 4.0::DOUBLE AS z FROM nation, range(4) a(i), range(4) b(j), range(4) c(k)",
@@ -245,6 +277,6 @@ ORACLES = {
     "removed_objects": OUT_SQL + " SELECT * FROM o WHERE obj % 4 <> 1", "trimmed_outputs": OUT_SQL + " SELECT o.* FROM o JOIN (SELECT session, max(frame) AS last FROM o GROUP BY ALL) USING (session) WHERE kind = 'cond' OR frame > last - 80",
     "part_tables": GRID_SQL + "SELECT mesh, label, f, array_to_string(v, ',') AS v FROM fc JOIN lb USING (mesh, f) WHERE label <> 0", "point_clouds": GRID_SQL + "SELECT mesh, v, x, y, z FROM vt",
     "cluster_sweep": "SELECT k::INT AS k, count(*) AS n, k AS clusters FROM embeddings, (VALUES (2), (4)) t(k) GROUP BY k",
-    "crop_plans": f"""WITH l AS (SELECT i AS layer, (1 << i) AS n, floor((512 / 1500.0::DOUBLE) * 40 * 2 / (1 << i))::INT AS o FROM range(1, 3) t(i)), c AS (SELECT *, ceil((o * (n - 1) + 60) / n::DOUBLE)::INT AS cw, ceil((o * (n - 1) + 40) / n::DOUBLE)::INT AS ch FROM l)
+    "crop_boxes": f"""WITH l AS (SELECT i AS layer, (1 << i) AS n, floor((512 / 1500.0::DOUBLE) * 40 * 2 / (1 << i))::INT AS o FROM range(1, 3) t(i)), c AS (SELECT *, ceil((o * (n - 1) + 60) / n::DOUBLE)::INT AS cw, ceil((o * (n - 1) + 40) / n::DOUBLE)::INT AS ch FROM l)
       SELECT m::INT AS img, b.* FROM {NUMBERS_SQL} a(m), (SELECT 0::INT AS layer, 0::INT AS x0, 0::INT AS y0, 60::INT AS x1, 40::INT AS y1 UNION ALL SELECT layer::INT, ((cw - o) * i)::INT, ((ch - o) * j)::INT, least((cw - o) * i + cw, 60)::INT, least((ch - o) * j + ch, 40)::INT FROM c, range(4) p(i), range(4) q(j) WHERE i < n AND j < n) b""",
 }

@@ -220,21 +220,13 @@ def best_candidate(spark, sf_dir):
     return masks.best_candidate(rows)
 
 
-def points(spark, sf_dir):
-    return rounded(masks.point_grid(spark, 8), 6)
-
-
-def crops(spark, sf_dir):
-    return masks.crop_boxes(spark, 480, 640, 2).groupBy("layer").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-
-
 QUERIES = {
     "mask_areas": lambda s, d: masks.areas(discs(s, d)), "painter_merge": lambda s, d: masks.painted(discs(s, d)), "painted_labels": lambda s, d: label_map(s, d), "label_map_masks": lambda s, d: masks.decomposed(label_map(s, d)), "mask_union": lambda s, d: masks.union(discs(s, d)),
     "pixel_components": components, "island_removal": islands, "hole_filling": holes, "cleaned_label_map": cleaned_map, "unchanged_masks": cleaned_once, "rle_encode": rle, "rle_decode": rle_decoded, "packed_counts": packed_counts, "line_counts": line_counts, "cleaned_suppressed": cleaned_suppressed,
     "mask_boxes": lambda s, d: masks.boxes(discs(s, d)), "mask_boxes_exclusive": lambda s, d: masks.boxes(discs(s, d), exclusive=True), "mask_iou_pairs": lambda s, d: rounded(masks.overlapping_masks(discs(s, d)), 6),
     "box_iou_pairs": box_pairs, "giou_pairs": giou_pairs, "box_formats": box_formats, "box_filters": box_filters, "nms": nms, "nms_matrix": nms_matrix, "stability_score": stability, "filtered_masks": filtered,
     "pixel_exclusive": lambda s, d: rounded(masks.exclusive(logits(s, d)), 6), "shrunk_masks": lambda s, d: masks.shrunk(logits(s, d)), "score_exclusive": lambda s, d: masks.winners_by_score(logits(s, d), masks.areas(discs(s, d)).select("img", "mask", F.col("area").alias("score"))),
-    "holes_and_sprinkles": sprinkles, "mask_boundary": boundary, "boundary_f": boundary_f, "distance_transform": distance, "error_prompts": error_prompts, "inside_samples": inside_samples, "best_candidate": best_candidate, "point_grid": points, "crop_boxes": crops,
+    "holes_and_sprinkles": sprinkles, "mask_boundary": boundary, "boundary_f": boundary_f, "distance_transform": distance, "error_prompts": error_prompts, "inside_samples": inside_samples, "best_candidate": best_candidate, 
 }
 #: A list c of run lengths as text, by cases and powers.
 PACK_SQL = """array_to_string(list_transform(list_transform(range(len(c)), lambda i: c[i + 1] - CASE WHEN i > 2 THEN c[i - 1] ELSE 0 END), lambda x: array_to_string(list_transform(
@@ -280,5 +272,4 @@ q AS (SELECT d.img, d.mask, d.y, d.x, d.pos, min((d.y - o.y) ** 2 + (d.x - o.x)
 SELECT img, mask, y, x, pos = 1 AS positive FROM (SELECT *, row_number() OVER (PARTITION BY img, mask ORDER BY dd DESC, pos DESC, y, x) AS r FROM q) WHERE r = 1""",
     "inside_samples": GRID_SQL + f", s AS (SELECT *, row_number() OVER (PARTITION BY img, mask ORDER BY md5('3|' || img || '|' || mask || '|' || y || '|' || x)) AS r FROM ms) SELECT img, mask, (row_number() OVER (PARTITION BY img, mask ORDER BY x, y) - 1)::INT AS k, round(x / {W - 1}, 6) AS sx, round(y / {H - 1}, 6) AS sy FROM s WHERE r <= 5",
     "best_candidate": GRID_SQL + ", p AS (SELECT a.img, b.mask, count(*) AS n FROM ms a JOIN ms b ON a.img = b.img AND a.y = b.y AND a.x = b.x AND a.mask = 1 AND b.mask > 1 GROUP BY ALL), q AS (SELECT p.img, p.mask, n / (x.area + y.area - n) AS iou FROM p JOIN ar x ON x.img = p.img AND x.mask = 1 JOIN ar y ON y.img = p.img AND y.mask = p.mask) SELECT img, mask FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY iou DESC, mask) AS r FROM q) WHERE r = 1",
-    "point_grid": "SELECT round((i + 0.5) / 8, 6)::DOUBLE AS x, round((j + 0.5) / 8, 6)::DOUBLE AS y FROM range(8) a(i), range(8) b(j)",
 }

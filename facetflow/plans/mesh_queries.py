@@ -160,12 +160,6 @@ def crawled_weight(spark, sf_dir):
     return labels.crawled_weight(weight_grid(spark, sf_dir), 21)
 
 
-def triangulated(spark, sf_dir):
-    """Triangles of polygons of 2 to 6 corners."""
-    rows = spark.range(30).select(F.lit(0).alias("mesh"), F.col("id").cast("int").alias("f"), F.sequence(F.lit(0), (F.col("id") % 5 + 1).cast("int")).alias("v"))
-    return geometry.triangles(rows).select("mesh", F.col("tri").cast("long").alias("tri"), "f", F.array_join("v", ",").alias("v"))
-
-
 def remapped_pixels(spark, sf_dir):
     tri_map = geometry.triangles(quads(spark, sf_dir)).select("mesh", F.col("tri").cast("int").alias("tri"), "f")
     pixels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % MESHES).cast("int").alias("mesh"), F.col("l_orderkey").alias("px"), F.col("l_linenumber").alias("py"), (F.col("l_partkey") % 170 - 1).cast("int").alias("f"))
@@ -250,27 +244,6 @@ def posed(spark, sf_dir):
     return rounded(geometry.transformed(vertices(spark, sf_dir), pose), 6)
 
 
-def look_at(spark, sf_dir):
-    eyes = geometry.cameras(spark, "icosa", radius=3.0)
-    eye = [F.col(c) for c in "xyz"]
-    eyes = cut(eyes.withColumn("pose", geometry.look_at(eye, [F.lit(0.0)] * 3)))
-    pose = F.col("pose")
-    # a pose's axes are of length 1 and square to each other, and the third looks back from the target
-    row = lambda i, k: pose[4 * i + k]
-    dots = [sum((row(i, a) * row(i, b) for i in (1, 2)), row(0, a) * row(0, b)) for a, b in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]
-    back = sum((row(i, 2) * eye[i] for i in (1, 2)), row(0, 2) * eye[0])
-    return rounded(eyes.select("camera", *[(d + 0.0).alias(f"d{k}") for k, d in enumerate(dots)], back.alias("back")), 6).select("camera", *[F.abs(f"d{k}").alias(f"d{k}") for k in range(6)], "back")
-
-
-def camera_sets(spark, sf_dir):
-    kinds = [("tetra", 0), ("octa", 0), ("cube", 0), ("icosa", 0), ("dodeca", 0), ("standard", 6), ("swirl", 9)]
-    out = None
-    for kind, n in kinds:
-        own = geometry.cameras(spark, kind, n).groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2 - 1) < 1e-9).alias("on_sphere"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def rounding(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.discretised(F.col("l_quantity"), 0.0, 50.0, 11).alias("i"))
     return rows.withColumn("back", geometry.undiscretised(F.col("i"), 0.0, 50.0, 11))
@@ -300,9 +273,9 @@ QUERIES = {
     "grid_adjacency": lambda s, d: labels.adjacency(faces(s, d)), "ngon_adjacency": lambda s, d: labels.adjacency(quads(s, d), "all"), "face_components": lambda s, d: _parts(s, d),
     "small_component_drop": small_component_drop, "hole_fill": hole_fill, "hole_fill_rest": hole_fill_rest, "split_labels": split_labels, "smoothed_labels": smoothed, "label_counts": lambda s, d: labels.counts(face_labels(s, d)), "dense_relabel": lambda s, d: labels.dense(face_labels(s, d)),
     "label_colours": label_colours, "submesh_faces": submesh_faces, "submesh_vertices": submesh_vertices, "label_energy": label_energy, "cut_graph": cut_graph, "refined_labels": refined_labels, "refined_to_target": refined_to_target, "closest_weight": closest_weight, "crawled_weight": crawled_weight,
-    "triangulate": triangulated, "remapped_pixels": remapped_pixels, "polygon_areas": polygon_areas, "face_shapes": lambda s, d: rounded(shapes(s, d), 6), "side_angles": lambda s, d: rounded(sides(s, d), 6), "dihedral_max": lambda s, d: rounded(geometry.sharpest(sides(s, d), faces(s, d)), 6),
+    "remapped_pixels": remapped_pixels, "polygon_areas": polygon_areas, "face_shapes": lambda s, d: rounded(shapes(s, d), 6), "side_angles": lambda s, d: rounded(sides(s, d), 6), "dihedral_max": lambda s, d: rounded(geometry.sharpest(sides(s, d), faces(s, d)), 6),
     "face_to_vertex": vertex_means, "bary_interp": pixel_values, "cut_vertices": cut_vertices, "average_radius": average_radius, "cut_discrepancy": cut_discrepancy, "vertex_distances": vertex_distances, "bounding_box": bbox, "bbox_normalise": bbox_normalised,
-    "diameter_scale": diameter_scale, "posed_points": posed, "look_at": look_at, "camera_sets": camera_sets, "range_norm": rounding, "decimation_target": decimation, "surface_samples": sampled_points, "box_corners": box_corners,
+    "diameter_scale": diameter_scale, "posed_points": posed, "range_norm": rounding, "decimation_target": decimation, "surface_samples": sampled_points, "box_corners": box_corners,
 }
 FILL_SQL = GRID_SQL
 for _k in range(3):
@@ -331,7 +304,6 @@ ORACLES = {
     "cut_graph": CUT_SQL,
     "closest_weight": WEIGHT_SQL + " SELECT mesh, arg_min(weight, abs(labels - 21) * 1000 + weight) AS weight FROM w GROUP BY mesh",
     "crawled_weight": WEIGHT_SQL + " SELECT mesh, min(weight) AS weight FROM w WHERE weight >= 6 AND abs(labels - 21) <= 1 GROUP BY mesh",
-    "triangulate": "WITH p AS (SELECT i::INT AS f, i % 5 + 2 AS n FROM range(30) t(i)), t AS (SELECT f, k FROM p, range(4) r(k) WHERE k < n - 2) SELECT 0 AS mesh, row_number() OVER (ORDER BY f, k) - 1 AS tri, f, '0,' || (k + 1) || ',' || (k + 2) AS v FROM t",
     "remapped_pixels": f"SELECT (l_orderkey % {MESHES})::INT AS mesh, l_orderkey AS px, l_linenumber AS py, (CASE WHEN l_partkey % 170 = 0 THEN -1 ELSE least(l_partkey % 170 - 1, {2 * N * M - 1}) // 2 END)::INT AS f FROM lineitem",
     "polygon_areas": POLYGON_SQL,
     "face_shapes": GRID_SQL + "SELECT mesh, f, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("area", "cx", "cy", "cz", "nx", "ny", "nz")) + " FROM sh",
@@ -347,8 +319,6 @@ ORACLES = {
     "bbox_normalise": GRID_SQL + ", b AS (SELECT mesh, (min(x) + max(x)) / 2 AS bx, (min(y) + max(y)) / 2 AS by_, (min(z) + max(z)) / 2 AS bz FROM vt GROUP BY mesh), c AS (SELECT vt.mesh, v, x - bx AS x, y - by_ AS y, z - bz AS z FROM vt JOIN b USING (mesh)), s AS (SELECT mesh, 0.999 / max(greatest(abs(x), abs(y), abs(z))) AS s FROM c GROUP BY mesh) SELECT c.mesh, v, round(x * s, 6) AS x, round(y * s, 6) AS y, round(z * s, 6) AS z FROM c JOIN s USING (mesh)",
     "diameter_scale": GRID_SQL + ", d AS (SELECT mesh, f, CASE WHEN f % 9 = 0 THEN 0.0 ELSE (f * 13) % 7 END::DOUBLE AS v FROM fc) SELECT mesh, f, round(ln(4 * (v - min(v) OVER (PARTITION BY mesh)) / (max(v) OVER (PARTITION BY mesh) - min(v) OVER (PARTITION BY mesh)) + 1) / ln(5), 6) AS value FROM d",
     "posed_points": GRID_SQL + "SELECT mesh, v, round(-y + 2, 6) AS x, round(x + 3, 6) AS y, round(z - 1, 6) AS z FROM vt",
-    "look_at": "SELECT i::INT AS camera, 1.0::DOUBLE AS d0, 1.0::DOUBLE AS d1, 1.0::DOUBLE AS d2, 0.0::DOUBLE AS d3, 0.0::DOUBLE AS d4, 0.0::DOUBLE AS d5, 3.0::DOUBLE AS back FROM range(12) t(i)",
-    "camera_sets": "SELECT * FROM (VALUES ('tetra', 4::BIGINT, 4::BIGINT), ('octa', 6, 6), ('cube', 8, 8), ('icosa', 12, 12), ('dodeca', 20, 20), ('standard', 14, 14), ('swirl', 9, 9)) t(kind, n, on_sphere)",
     "range_norm": "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 50 * 10, 0)::INT AS i, round_even(l_quantity / 50 * 10, 0) / 10 * 50 AS back FROM lineitem",
     "decimation_target": "SELECT p_partkey, floor(p_size * 0.3::DOUBLE)::INT AS goal, round(least(greatest(1 - floor(p_size * 0.3::DOUBLE) / p_size, 0.0), 0.99)::DOUBLE, 6) AS share FROM part",
     "surface_samples": GRID_SQL + "SELECT mesh, f, 4::BIGINT AS n, 4::BIGINT AS inside FROM fc",
