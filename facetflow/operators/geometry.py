@@ -237,9 +237,10 @@ def diameter_scale(values: DataFrame, by=BY) -> DataFrame:
 
 def at_pixels(pixels: DataFrame, faces: DataFrame, values: DataFrame, by=BY) -> DataFrame:
     """(by, view, py, px, value): pixels (.., f, w array<double>) take the barycentric mean of their triangle's vertex values; background takes 0."""
-    on = pixels.where("f >= 0").join(faces, [*by, "f"]).select(*by, "view", "py", "px", F.posexplode(F.arrays_zip("v", "w")).alias("k", "c"))
-    sums = on.select(*by, "view", "py", "px", F.col("c.v").alias("v"), F.col("c.w").alias("w")).join(values, [*by, "v"]).groupBy(*by, "view", "py", "px").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    return pixels.select(*by, "view", "py", "px").join(sums, [*by, "view", "py", "px"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    at = faces.select(*by, "f", F.posexplode("v").alias("k", "v")).join(values, [*by, "v"], "left")
+    at = at.groupBy(*by, "f").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("_v"))  # once a face
+    mean = F.aggregate(F.zip_with("w", "_v", lambda w, v: F.coalesce(w * v, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    return pixels.join(at, [*by, "f"], "left").select(*by, "view", "py", "px", F.coalesce(F.when(F.col("f") >= 0, mean), F.lit(0.0)).alias("value"))
 
 
 def cut_vertices(faces: DataFrame, labels: DataFrame, by=BY) -> DataFrame:

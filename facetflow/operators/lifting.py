@@ -132,9 +132,13 @@ class Lift:
     def overlaps(self) -> DataFrame:
         return overlaps(self.winners, self.by)
 
+    @cached_property
+    def _winners(self) -> DataFrame:
+        return cut(self.winners)
+
     @cached_property
     def _overlaps(self) -> DataFrame:
-        return cut(self.overlaps)
+        return cut(overlaps(self._winners, self.by))
 
     @cached_property
     def ratios(self) -> DataFrame:
@@ -165,7 +169,7 @@ class Lift:
         return hooks(self.edges, self.by)
 
     def lifted(self, merge: str = "last_view") -> DataFrame:
-        return lifted(self.winners, self.votes, self.hooks, merge, self.by)
+        return lifted(self._winners, self.votes, self.hooks, merge, self.by)
 
 
 def label_statistics(labels: DataFrame, by=BY) -> DataFrame:
