@@ -200,8 +200,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_tokens, ids_sha256, decoded_sha256 of the whole text's ids and of the bytes that they decode to.
 
-    Null or empty text: 0 tokens and the digest of nothing. Repeated rows give repeated rows. The ids stay
-    in the worker; only the digests leave it.
+    Null or empty text: 0 tokens and the digest of nothing. Repeated rows give repeated rows. Texts of any length are encoded whole, in time by
+    their length. An empty table gives an empty result; other columns are ignored. The ids stay in the worker; only the digests leave it.
     """
     kind = docs.schema[key].dataType.simpleString()
 

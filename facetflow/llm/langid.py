@@ -207,7 +207,7 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of docs with a language whose share of the words is at least `least`; all columns as they are."""
+    """The rows of docs with a language whose share of the words is at least `least`; all columns as they are. Null texts, and those without a letter, have none and go; repeated rows stay repeated; an empty table stays empty."""
     shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,8 @@ def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3)
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out (crc32 of the key modulo 4 is 2), lang_pred, score, n_spans for every row of docs, learned from text and lang of the rows of other folds.
 
-    Ties go to the first language by name. Texts of any length are read whole; see predicted for null and empty ones.
+    Ties go to the first language by name. Texts of any length are read whole; see predicted for null and empty ones. Rows of a null
+    language are not learned from; without any to learn from all are und. An empty table gives an empty result; other columns are ignored.
     """
     model = fit(docs.where(fold(key, 4) != 2), lang, text)
     return predicted(docs, model, key, text).select(key, (fold(key, 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")

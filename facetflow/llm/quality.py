@@ -155,7 +155,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores at least `least`, all columns as they are."""
+    """The rows of docs whose text scores at least `least`, all columns as they are. Null and empty texts score 0.5; repeated rows stay repeated; an empty table stays empty."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +171,7 @@ def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out (crc32 of the key modulo 3 is 1), score, predicted (1 if score >= 0.5) for every row of docs; see fit and scored.
 
-    The k labelled vectors of the largest cosines vote, of equal ones those of the smaller ids; whole texts of any length count.
+    The k labelled vectors of the largest cosines vote, of equal ones those of the smaller ids; whole texts of any length count. Null and empty texts score 0.5, repeated rows alike.
+    An empty table gives an empty result; without labels all score 0.5. Other columns are ignored.
     """
     return scored(docs, fit(docs, labels, key=key, text=text), key, text).select(key, (fold(key, 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -115,7 +115,8 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, key: str = "doc_id"
     """One row per section of every document: key, section (from 0), n_chars, n_tokens, n_crossing (those of n_tokens that reach into another section).
 
     The whole text is encoded once, so a document's n_tokens sum to those of its encoding. Null or empty text: one
-    section of 0 characters and 0 tokens. Repeated rows give repeated rows, other columns are ignored. Narrow.
+    section of 0 characters and 0 tokens. Repeated rows give repeated rows, other columns are ignored. Texts of any length are encoded whole; an
+    empty table gives an empty result. Narrow.
     """
     return counted(docs, key, [text], lines_of(separator), path, pattern, rule)
 

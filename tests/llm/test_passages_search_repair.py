@@ -5,12 +5,13 @@ import itertools
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
 
-from facetflow.llm import conversations, ranked, repeats
+from facetflow.llm import conversations, ranked, repeats, url_filter
 
 # --- conversation repair
 
@@ -191,3 +192,33 @@ def test_search_as_by_brute_force(spark, monkeypatch, change):
     found = sorted(map(tuple, ranked.ranked(table, asked).collect()), key=repr)
     assert found == sorted(plain_ranked(docs, items), key=repr)
     assert ranked.ranked(table.limit(0), asked).count() == 0 and ranked.ranked(table, asked.limit(0)).count() == 0
+
+
+# --- a large url vocabulary
+
+
+def test_a_hundred_thousand_url_terms(spark, tmp_path):
+    """Verdicts as by a set of every url's words, and no slower for a thousand times the terms."""
+    rnd = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    terms = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9))) for _ in range(100_000)})
+    kinds = {t: rnd.choice(["strict", "soft", "soft"]) for t in terms}
+    urls = [(i, "http://x" + str(i) + ".org/" + "/".join(rnd.choice(terms) if rnd.random() < 0.03 else "".join(rnd.choice(letters) for _ in range(10)) for _ in range(20))) for i in range(3000)]
+    table = spark.createDataFrame(urls, "page_id bigint, url string").repartition(4).cache()
+    table.count()
+    seconds = {}
+    for n in (100, len(terms)):
+        some = rnd.sample(terms, n)
+        path = tmp_path / f"terms{n}.txt"
+        path.write_text("".join(f"{kinds[t]} {t}\n" for t in some))
+        url_filter.url_verdicts(table, terms=str(path)).count()
+        began = time.time()
+        found = {r["page_id"]: (r["verdict"], r["strict_terms"], r["soft_terms"]) for r in url_filter.url_verdicts(table, terms=str(path)).collect()}
+        seconds[n] = time.time() - began
+        known = set(some)
+        for i, url in urls:
+            words = {w for w in re.findall("[a-z0-9]+", url) if w in known}
+            strict, soft = (sum(kinds[w] == k for w in words) for k in ("strict", "soft"))
+            assert found[i] == ("block" if strict or soft >= 2 else "allow", strict, soft)
+    table.unpersist()
+    assert seconds[len(terms)] < 5 * seconds[100] + 3  # building the automaton is all that grows
