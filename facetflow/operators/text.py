@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import html
+import json
 import re
 from collections.abc import Iterator
 
@@ -68,18 +69,32 @@ def merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
-def byte_pairs(merges: list[tuple[str, str]], length: int | None = 77):
+def merges_of(path: str) -> list[tuple[str, str]]:
+    """The merges of a tokenizer file (JSON with model.merges, as pairs or as `left right`) in order of rank."""
+    with open(path, encoding="utf-8") as file:
+        return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.load(file)["model"]["merges"]]
+
+
+@functools.lru_cache(maxsize=2)
+def _vocabulary(merges: str | tuple[tuple[str, str], ...]) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """(ids, ranks): ids of the byte letters, the same at a word's end, and the merges."""
+    own = merges_of(merges) if isinstance(merges, str) else merges
+    letters = list(byte_letters().values())
+    vocabulary = [*letters, *[c + "</w>" for c in letters], *["".join(m) for m in own]]
+    return {t: i for i, t in enumerate(vocabulary)}, {m: i for i, m in enumerate(own)}
+
+
+def byte_pairs(merges: str | list[tuple[str, str]], length: int | None = 77):
     """Pandas UDF: an array of pre-tokens -> ids of their byte pairs between a start and an end id, cut to `length` with the end kept, padded with 0; whole with None.
 
-    Ids: the byte letters, the same at a word's end, the merges, start, end. The merges are a parameter.
+    Ids: the byte letters, the same at a word's end, the merges, start, end. merges: the pairs, or the path of a tokenizer file that every machine has.
     """
-    letters = list(byte_letters().values())
-    vocabulary = [*letters, *[c + "</w>" for c in letters], *["".join(m) for m in merges]]
-    ids, ranks = {t: i for i, t in enumerate(vocabulary)}, {m: i for i, m in enumerate(merges)}
-    start, end = len(vocabulary), len(vocabulary) + 1
+    merges = merges if isinstance(merges, str) else tuple(merges)
 
     @F.pandas_udf("array<int>")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids, ranks = _vocabulary(merges)
+        start, end = 512 + len(ranks), 513 + len(ranks)
         known = functools.lru_cache(maxsize=50_000)(lambda w: [ids[t] for t in merged("".join(byte_letters()[b] for b in w.encode()), ranks)])
         for part in parts:
             rows = []
@@ -94,7 +109,8 @@ def byte_pairs(merges: list[tuple[str, str]], length: int | None = 77):
     return encode
 
 
-def decoded(ids: list[int], merges: list[tuple[str, str]]) -> str:
+def decoded(ids: list[int], merges: str | list[tuple[str, str]]) -> str:
+    merges = merges_of(merges) if isinstance(merges, str) else merges
     letters = list(byte_letters().values())
     vocabulary = [*letters, *[c + "</w>" for c in letters], *["".join(m) for m in merges]]
     back = {c: b for b, c in byte_letters().items()}

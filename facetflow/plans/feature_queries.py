@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,8 +195,7 @@ def pre_tokens(spark, sf_dir):
 
 def byte_pairs(spark, sf_dir):
     """Ids of whole texts; a padded prompt is byte_pairs() with its length."""
-    merges = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("e", "r"), ("a", "n"), ("an", "d</w>"), ("in", "g</w>")]
-    return table(spark, sf_dir, "documents").select("doc_id", text.byte_pairs(merges, None)(text.pre_tokens(F.lower("text"))).alias("ids"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.byte_pairs(public_tokenizers.path("word_bpe_49k.json"), None)(text.pre_tokens(F.lower("text"))).alias("ids"))
 
 
 def unescaped(spark, sf_dir):

@@ -244,6 +244,8 @@ ORACLES = {
     "label_map_masks": GRID_SQL + f"SELECT img, (coalesce(rank, 0) + 1)::INT AS mask, y, x FROM g LEFT JOIN pa USING (img, y, x) WHERE x < {W - 3}",
     "mask_union": GRID_SQL + "SELECT DISTINCT img, y, x FROM ms",
     "pixel_components": GRID_SQL + COMPONENTS.format(p="ms") + " SELECT * FROM msa",
+    # a mask stays as it is if it has no hole to fill and, with that, no island to lose
+    "unchanged_masks": GRID_SQL + OUTSIDE + COMPONENTS.format(p="ms") + ISLAND + COMPONENTS.format(p="ou") + " SELECT img, mask, (NOT EXISTS (SELECT 1 FROM oua WHERE oua.img = ms.img AND oua.mask = ms.mask AND area < 3) AND count(*) = (SELECT count(*) FROM isl WHERE isl.img = ms.img AND isl.mask = ms.mask))::INT AS score FROM ms GROUP BY img, mask",
     "island_removal": GRID_SQL + COMPONENTS.format(p="ms") + ISLAND + " SELECT * FROM isl",
     "hole_filling": GRID_SQL + OUTSIDE + COMPONENTS.format(p="ou") + " SELECT * FROM ms UNION ALL SELECT img, mask, y, x FROM oua WHERE area < 3",
     "packed_counts": f"SELECT img, mask, {PACK_SQL} AS text, counts, area FROM (SELECT *, list_transform(string_split(counts, ','), lambda v: v::BIGINT) AS c FROM ({RLE_SQL}))",

@@ -276,7 +276,14 @@ def frame_stream(spark, sf_dir):
 def session_stream(spark, sf_dir):
     """Sessions that the watermark has closed; the last ones of the stream stay open."""
     events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return tracks.run_once(tracks.per_session(events), f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}")
+    found = tracks.run_once(tracks.per_session(events), f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}")
+    return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+SESSION_SQL = """WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, lag(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e),
+g AS (SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 30 MINUTE AS last, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, epoch_us(first) AS "start", epoch_us(last) AS "end", n FROM g WHERE last <= (SELECT max(ts::TIMESTAMP) - INTERVAL 1 HOUR FROM events)"""
 
 
 QUERIES = {
@@ -288,7 +295,7 @@ QUERIES = {
 OUT_SQL = FRAMES_SQL + ", o AS (SELECT session, obj, frame, CASE WHEN frame % 5 = 0 THEN 'cond' ELSE 'non' END AS kind, frame % 9 AS area FROM f)"
 HISTORY_SQL = "WITH h AS (SELECT user_id % 7 AS session, event_id AS frame, ((event_id * 37) % 100) / 100.0::DOUBLE AS score FROM events), q AS (SELECT session, frame AS q FROM h)"
 ORACLES = {
-    "step_stream": STEP_SQL, "frame_stream": "SELECT (page_id % 5)::INT AS session, page_id AS frame, page_id / 4.0::DOUBLE AS second, md5(html) AS digest FROM pages",
+    "session_stream": SESSION_SQL, "step_stream": STEP_SQL, "frame_stream": "SELECT (page_id % 5)::INT AS session, page_id AS frame, page_id / 4.0::DOUBLE AS second, md5(html) AS digest FROM pages",
     "keep_alive": ALIVE_SQL + " SELECT * FROM k", "hidden_by_counter": ALIVE_SQL + " SELECT session, obj, frame FROM k WHERE alive <= 0", "confirmation": CONFIRM_SQL + " SELECT * FROM c",
     "delayed_emit": CONFIRM_SQL + " SELECT session, obj, frame, coalesce(lead(confirmed, 3) OVER (PARTITION BY session, obj ORDER BY frame), last_value(confirmed) OVER (PARTITION BY session, obj ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS shown FROM c",
     "early_removals": FRAMES_SQL + ", m AS (SELECT *, min(frame) OVER (PARTITION BY session, obj) AS first, sum((NOT matched)::INT) OVER (PARTITION BY session, obj ORDER BY frame) AS misses FROM f) SELECT session, obj, min(frame) AS frame FROM m WHERE misses >= 3 AND frame - first < 2000 GROUP BY ALL",

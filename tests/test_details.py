@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import features, geometry, masks, tracking
+from facetflow.operators import features, geometry, masks, text, tracking
 from facetflow.sources import meshes
 
 
@@ -47,3 +47,18 @@ def test_boxes_of_empty_masks(spark):
     everyone = spark.createDataFrame([(0, 1), (0, 2)], "img int, mask int")
     assert sorted(map(tuple, masks.boxes(own, everyone=everyone).collect())) == [(0, 1, 3, 2, 3, 2), (0, 2, 0, 0, 0, 0)]
     assert sorted(map(tuple, masks.boxes(own, True, everyone).collect())) == [(0, 1, 3, 2, 4, 3), (0, 2, 0, 0, 0, 0)]
+
+
+def test_byte_pairs_of_a_public_vocabulary(spark, small):
+    """Equal to the tokenizers library on whole documents, and back again."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", text.byte_pairs(path, None)(text.pre_tokens(F.lower("text"))).alias("ids")).collect()
+    for r in docs:
+        expected = plain.encode(r["text"].lower(), add_special_tokens=False).ids
+        assert r["ids"] == [49406, *expected, 49407], r["doc_id"]
+    assert "".join(text.decoded(docs[0]["ids"], path).split()) == "".join(docs[0]["text"].lower().split())
