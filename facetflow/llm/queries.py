@@ -77,4 +77,4 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_neighbour_quality, op3_language_spans, op4_temperature_mix, op5_order_minhash, op6_bit_sliced_top_k, op7_one_bit_neighbours, op8_section_tokens, op9_url_filter, op10_byte_bpe, op11_conversation_repair, op12_repeated_passages, op13_ranked_search)}
-ORACLES = {"op4_temperature_mix": mixing.MIX_SQL, "op6_bit_sliced_top_k": topk.TOP_K_SQL, "op9_url_filter": url_filter.verdict_sql(), "op11_conversation_repair": conversations.REPAIR_SQL, "op13_ranked_search": ranked.RANKED_SQL}
+ORACLES = {"op4_temperature_mix": mixing.MIX_SQL, "op6_bit_sliced_top_k": topk.TOP_K_SQL, "op9_url_filter": url_filter.verdict_sql(), "op11_conversation_repair": conversations.REPAIR_SQL, "op12_repeated_passages": repeats.REPEATS_SQL, "op13_ranked_search": ranked.RANKED_SQL}

@@ -405,3 +405,19 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of without_repeats()."""
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return without_repeats(docs).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by the plain way: every string of 100 bytes, as 200 hexadecimal digits, by its digest.
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(greatest(length(h) // 2 - 99, 0)), lambda p: md5_number(substr(h, 2 * p + 1, 200)))) AS m, generate_subscripts(range(greatest(length(h) // 2 - 99, 0)), 1) - 1 AS p FROM d),
+s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id NULLS FIRST, p) AS r FROM w),
+c AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS fresh FROM s WHERE r > 1),
+g AS (SELECT doc_id, p, sum(coalesce(fresh, false)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, k),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS n, max(b) AS last FROM sp GROUP BY doc_id),
+kp AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM sp UNION ALL SELECT d.doc_id, coalesce(last, 0), length(h) // 2 FROM d LEFT JOIN t ON t.doc_id IS NOT DISTINCT FROM d.doc_id),
+k AS (SELECT kp.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM kp JOIN d ON d.doc_id IS NOT DISTINCT FROM kp.doc_id GROUP BY kp.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id IS NOT DISTINCT FROM d.doc_id JOIN k ON k.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
