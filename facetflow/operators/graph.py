@@ -88,13 +88,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
 
     Edges are undirected; repeated edges, loops and edges with null ends count for nothing. Alternates large and
     small stars (rounds grow with the square of the logarithm of the size), cutting the lineage each round with a checkpoint;
-    RuntimeError if `rounds` of them don't end it. Up to TASK edges are read by one task instead.
+    RuntimeError if `rounds` of them don't end it. Up to TASK edges are read by one task instead, if `rounds` allows for any such graph.
     """
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)) & F.lit(True)).toDF("u", "v", "ok").where("ok").drop("ok").distinct()
     now = cut(now)
     # a forest of stars with unchanged edges stays so; an order-free digest of the edges tells
     count = now.count()
-    if count <= TASK:
+    if count <= TASK and rounds >= TASK.bit_length():  # as many as any such graph may need
         return _in_one_task(now)
     digest = lambda edges: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     state = digest(now)
