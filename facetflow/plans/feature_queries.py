@@ -195,6 +195,12 @@ def pre_tokens(spark, sf_dir):
 
 def byte_pairs(spark, sf_dir):
     """Ids of whole texts; a padded prompt is byte_pairs() with its length."""
+    merges = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("e", "r"), ("a", "n"), ("an", "d</w>"), ("in", "g</w>")]
+    return table(spark, sf_dir, "documents").select("doc_id", text.byte_pairs(merges, None)(text.pre_tokens(F.lower("text"))).alias("ids"))
+
+
+def vocabulary_pairs(spark, sf_dir):
+    """Ids of whole texts by the merges of a public tokenizer file."""
     return table(spark, sf_dir, "documents").select("doc_id", text.byte_pairs(public_tokenizers.path("word_bpe_49k.json"), None)(text.pre_tokens(F.lower("text"))).alias("ids"))
 
 
@@ -290,7 +296,7 @@ def scene(spark, sf_dir):
 QUERIES = {
     "l2_normalise": l2, "mean_vectors": mean_vectors, "plane_scatter_mean": plane_mean, "pool_gather": pool_gather, "plane_sample": plane_sample, "voxel_mean": voxel_mean, "voxel_sample": voxel_sample, "ball_query": ball_query, "cosine_top_k": cosine_top_k,
     "mst_edges": mst, "single_linkage": single_linkage, "component_chain": chained, "component_representatives": representatives, "nearest_points": nearest_points, "joining_edges": joining_edges, "component_edges": component_edges, "kmeans": k_means, "pca": pca, "gmm": gmm, "agglomerative": agglomerated, "index_merge": merged_by_index, "vector_functions": small_functions, "masked_mean": masked_means,
-    "canonical_text": canonical, "pretokenise": pre_tokens, "byte_pairs": byte_pairs, "unescaped_text": unescaped, "colour_text": colours, "source_options": source_options,
+    "canonical_text": canonical, "pretokenise": pre_tokens, "byte_pairs": byte_pairs, "vocabulary_pairs": vocabulary_pairs, "unescaped_text": unescaped, "colour_text": colours, "source_options": source_options,
     "obj_round_trip": obj_round_trip, "ply_round_trip": ply_round_trip, **{f"{k}_file_round_trip": files_round_trip(k, i % 2 == 0) for i, k in enumerate(FILES)}, "label_json_round_trip": label_json_round_trip, "change_rows": changed_rows, "label_gaps": label_gaps, "anti_processed": not_processed, "natural_order": natural_order, "scene_flatten": scene,
 }
 POOL = " + ".join(f"max(value) OVER (PARTITION BY mesh, {CELL.format(c=a)}, {CELL.format(c=b)})" for a, b in (("x", "y"), ("x", "z"), ("y", "z")))

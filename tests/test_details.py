@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetflow.operators import features, geometry, masks, text, tracking
+from facetflow.plans import catalog
 from facetflow.sources import meshes
 
 
@@ -57,7 +58,7 @@ def test_byte_pairs_of_a_public_vocabulary(spark, small):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", text.byte_pairs(path, None)(text.pre_tokens(F.lower("text"))).alias("ids")).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").join(catalog.QUERIES["vocabulary_pairs"](spark, small), "doc_id").collect()
     for r in docs:
         expected = plain.encode(r["text"].lower(), add_special_tokens=False).ids
         assert r["ids"] == [49406, *expected, 49407], r["doc_id"]
