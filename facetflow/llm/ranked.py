@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from facetflow.session import stored
 
 TOP = 10
-POSTINGS = 1 << 20  # of a shard; a document with more of them has a shard of its own
+POSTINGS = 1 << 19  # of a shard; a document with more of them has a shard of its own
 WIDE = 64  # nodes that a search opens at once
 TERMS = 1_000_000  # of the items that are searched for at once; more items are searched in several rounds
 SAMPLED = 16  # a share of the shards is searched first, for bounds that the search of all starts from
