@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from facetflow.llm.common import U64, chunks, fold, mix64, posix_dir
@@ -78,7 +80,8 @@ def longer(h: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def hashed(columns: list[np.ndarray]) -> np.ndarray:
-    return functools.reduce(longer, columns)
+    """Hashes of n-grams from those of their words, or from their words' numbers (32 bits)."""
+    return functools.reduce(longer, [mix64(c) if c.dtype == np.uint32 else c for c in columns])
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -101,6 +104,28 @@ def summed(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndar
     return h[starts], [c[first] for c in columns], [np.add.reduceat(v[order], starts, dtype=np.int64) if len(starts) else v.astype(np.int64) for v in values]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers as bytes, all first bytes before all second ones, which compress better."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def joined(data: bytes, kind: np.dtype) -> np.ndarray:
+    """What planes() took apart."""
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> tuple[bytes, np.dtype]:
+    """Ascending integers as their differences."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    d = d.astype(np.min_scalar_type(int(d.max())) if len(d) else np.uint8)
+    return planes(d), d.dtype
+
+
+def climbed(data: bytes, kind: np.dtype, to: np.dtype) -> np.ndarray:
+    """What steps() took apart."""
+    return np.cumsum(joined(data, kind), dtype=to)
+
+
 def binary_rows(level: int, kind: int, parts: int, h: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
     """Rows of ROWS for n-grams sorted by hash: the words of each part's once, the n-grams in their words' order."""
     part = part_of(h, parts)
@@ -110,13 +135,18 @@ def binary_rows(level: int, kind: int, parts: int, h: np.ndarray, columns: list[
         index = index.reshape(len(columns), -1).astype(np.min_scalar_type(len(words)))
         order = np.lexsort(index[::-1])
         own = [v[a:b][order] for v in values]
-        data = pickle.dumps((words, index[:, order], [v.astype(np.min_scalar_type(int(v.max()))) for v in own]), protocol=5)
+        first, *rest = index[:, order]
+        data = pickle.dumps((words.dtype, steps(words), steps(first), [(planes(x), x.dtype) for x in rest], index.dtype, [v.astype(np.min_scalar_type(int(v.max()))) for v in own]), protocol=5)
         yield level, int(part[a]), kind, zstandard.compress(data, 1)
 
 
 def unpacked(rows: list[bytes], columns: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    found = [pickle.loads(zstandard.decompress(r)) for r in rows]
-    return [np.concatenate([w[i[c]] for w, i, _ in found]) for c in range(columns)], [np.concatenate([v[c].astype(np.int64) for *_, v in found]) for c in range(values)]
+    words, numbers = [], []
+    for kind, own, first, rest, small, values_ in (pickle.loads(zstandard.decompress(r)) for r in rows):
+        own = climbed(*own, kind)
+        words.append([own[i] for i in (climbed(*first, small), *(joined(*x) for x in rest))])
+        numbers.append(values_)
+    return [np.concatenate([w[c] for w in words]) for c in range(columns)], [np.concatenate([v[c].astype(np.int64) for v in numbers]) for c in range(values)]
 
 
 def batches_of(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +269,11 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, part_bytes: int
     rows = docs.select(F.col(text).alias("text")).mapInArrow(counted(order, parts), ROWS)
     for level in range(order, 0, -1):
         rows = rows.repartitionById(parts, F.col("part")).mapInArrow(level_files(folder, order, level, parts), ROWS)
+    return model_of(rows, folder, order, parts)
+
+
+def model_of(rows: DataFrame, folder: str, order: int, parts: int, n: int = 0, v: int = 0) -> Model:
+    """The model of the files that rows' tasks write, and of the sums they hand on; n and v are given where words are counted before."""
     names = "level int, " + ", ".join(f"{s} bigint" for s in SUMS)
     found = {r["level"]: r for r in rows.mapInArrow(sums, names).groupBy("level").agg(*[F.sum(s).alias(s) for s in SUMS]).collect()}
     empty = dict.fromkeys(SUMS, 0)
@@ -246,7 +281,8 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, part_bytes: int
     reduced = tuple(discounts([s["n1"], s["n2"], s["n3"], s["n4"]]) for s in by_level)
     words, d = by_level[0], reduced[0]
     left = (d[1] * words["n1"] + d[2] * words["n2"] + d[3] * words["more"]) / words["total"] if words["total"] else 1.0
-    return Model(folder, order, parts, words["occurrences"], words["words"], words["total"], reduced, left / (words["words"] + 1))
+    n, v = n or words["occurrences"], v or words["words"]
+    return Model(folder, order, parts, n, v, words["total"], reduced, left / (v + 1))
 
 
 @functools.lru_cache(maxsize=OPEN)
@@ -336,6 +372,364 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
 
+# Scoring the training table itself needs no model of all its n-grams: tokens travel once, by the word before them, to a part that
+# holds all n-grams with it; a word that is often in that place ("hot") is dealt out by the word before, and so on, and only
+# n-grams of which parts see a share are summed in files.
+
+UNKNOWN, MARK, FIRST = 0, 1, 2  # numbers of words not in the training rows, of the begin mark, and of the first word
+DEALT_BYTES, BLOCK, SLICE = 20_000_000, 1_000_000, 1 << 19  # of text in a part; tokens that a task deals out at a time, and that it takes at a time out of a part
+HOT = 24  # a word is hot if a HOT-th of a part's bytes is less than its occurrences, so parts have at most HOT / 2 hot words each on average
+
+
+def word_counts(parts: int):
+    """Texts -> their words' occurrences, summed over GRAMS tokens at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield from batches_of(binary_rows(1, WORD, parts, h, [h], [n]))
+
+        for batch in batches:
+            for _, texts in chunks(batch.column(0).to_pylist()):
+                held.append(tokens(texts, 1)[0])
+                size += len(held[-1])
+                if size >= GRAMS:
+                    yield from out()
+                    held.clear()
+                    size = 0
+        if size:
+            yield from out()
+
+    return run
+
+
+def word_files(folder: str, parts: int, often: float):
+    """Writes a part's words: sorted hashes, numbers, occurrences; hands on (words, occurrences, numbers of hot words). Frequent words have low numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                found.setdefault(part, []).append(data)
+        for part in sorted(found):
+            h, _, (n,) = summed(*unpacked(found.pop(part), 1, 1))
+            rank = np.empty(len(h), dtype=np.int64)
+            rank[np.argsort(-n, kind="stable")] = np.arange(len(h))
+            ids = rank * parts + part + FIRST
+            if ids.max() >= 1 << 32:
+                raise ValueError("more distinct words than numbers of 32 bits")
+            temporary = f"{folder}/words/{part}.{os.getpid()}.{os.urandom(4).hex()}"
+            os.makedirs(os.path.dirname(temporary), exist_ok=True)
+            with open(temporary, "wb") as file:
+                for x in (np.array([len(h)]), h, n, ids.astype(np.uint32)):
+                    file.write(x.tobytes())
+            os.replace(temporary, f"{folder}/words/{part}")
+            yield pa.record_batch([pa.array([len(h)]), pa.array([int(n.sum())]), pa.array([ids[n > often].tolist()], pa.list_(pa.int64()))], names=["words", "occurrences", "hot"])
+
+    return run
+
+
+@functools.lru_cache(maxsize=OPEN)
+def mapped_words(path: str) -> tuple[np.ndarray, ...] | None:
+    if not os.path.exists(path):
+        return None
+    raw = np.memmap(path, dtype=np.uint8, mode="r")
+    n = int(raw[:8].view(np.int64)[0])
+    return raw[8 : 8 + 8 * n].view(U64), raw[8 + 8 * n : 8 + 16 * n].view(np.int64), raw[8 + 16 * n :].view(np.uint32)
+
+
+def numbered(folder: str, parts: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and occurrences of words by their sorted distinct hashes."""
+    ids, seen = np.full(len(words), UNKNOWN, dtype=np.uint32), np.zeros(len(words), dtype=np.int64)
+    part = part_of(words, parts)
+    starts = runs(part)
+    for a, b in zip(starts, np.append(starts, len(part))[1:], strict=True):
+        found = mapped_words(f"{folder}/words/{part[a]}")
+        if found is not None:
+            h, n, own = found
+            at = np.searchsorted(h, words[a:b])
+            at[at == len(h)] = 0
+            good = np.flatnonzero(h[at] == words[a:b])
+            ids[a + good], seen[a + good] = own[at[good]], n[at[good]]
+    ids[words == U64(BEGIN)] = MARK
+    return ids, seen
+
+
+def are_hot(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """hot: flags by number, as far as there are any."""
+    return hot[np.minimum(ids, len(hot) - 1)]
+
+
+def hot_flags(ids: list[int]) -> np.ndarray:
+    """Unknown words and marks are hot, and the last flag stands for all higher numbers."""
+    flags = np.zeros(max([MARK, *ids]) + 2, dtype=bool)
+    flags[[UNKNOWN, MARK, *ids]] = True
+    return flags
+
+
+def home(columns: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    """Hashes that deal tokens out: of the word before, and as long as words are hot of the one before that too, at last of the token's own word and place."""
+    *before, word = columns
+    key, left = mix64(before[-1]), are_hot(before[-1], hot)
+    for x in (*before[-2::-1], word):
+        key[left] = longer(key[left], mix64(x[left]))
+        left = left & are_hot(x, hot)
+    key[left] = longer(key[left], mix64(np.flatnonzero(left)))
+    return key
+
+
+def dealt_tokens(folder: str, order: int, parts: int, hot: np.ndarray, n: int, v: int):
+    """(key, text, train) -> by part, blocks of tokens with the words before them; and for each group of texts a row of what needs no n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = TaskContext.get().partitionId() << 32
+        held: list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]] = []
+        about: list[pa.RecordBatch] = []
+        size = texts_held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*(x[0] for x in held), strict=True)]
+            text, train, part = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            by_part = np.argsort(part, kind="stable")
+            starts = runs(part[by_part])
+            for a, b in zip(starts, np.append(starts, len(part))[1:], strict=True):
+                at = by_part[a:b]
+                data = zstandard.compress(pickle.dumps((group, [planes(c[at]) for c in columns], steps(text[at]), np.packbits(train[at])), protocol=5), 3)
+                yield pa.record_batch([pa.array([int(part[at[0]])], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(about).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as file:
+                file.write_table(table)
+            data = zstandard.compress(pickle.dumps((group, sink.getvalue().to_pybytes()), protocol=5), 1)
+            yield pa.record_batch([pa.array([zlib.crc32(b"%d" % group) % parts], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            for first, texts in chunks(batch.column(1).to_pylist(), 2_000_000):
+                h, sizes = tokens(texts, order)
+                words, index = np.unique(h, return_inverse=True)
+                ids, seen = numbered(folder, parts, words)
+                base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))
+                own = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes + order - 1)
+                counted_ = words[index] != U64(BEGIN)
+                rows = batch.slice(first, len(texts))
+                train = np.array(rows.column(2).to_pylist(), dtype=bool)
+                about.append(pa.record_batch([rows.column(0), pa.array(sizes), *(pa.array(np.bincount(own[counted_], weights=x[index[counted_]], minlength=len(texts))) for x in (seen > 0, base))], names=["key", "n", "known", "base"]))
+                for start in range(0, len(h), WINDOW):
+                    at = np.flatnonzero(counted_[start : start + WINDOW]) + start
+                    columns = [ids[index[at - k]] for k in range(order - 1, -1, -1)]
+                    part = part_of(home(columns, hot), parts).astype(np.min_scalar_type(parts))
+                    held.append((columns, own[at] + np.uint32(texts_held), train[own[at]], part))
+                    size += len(at)
+                    if size >= BLOCK:
+                        yield from out()
+                        held.clear()
+                        size = 0
+                texts_held += len(texts)
+                if not held or texts_held >= 1 << 16:
+                    if held:
+                        yield from out()
+                    yield from close()
+                    held.clear()
+                    about.clear()
+                    size = texts_held = 0
+                    group += 1
+        if held:
+            yield from out()
+        if about:
+            yield from close()
+
+    return run
+
+
+def block(data: bytes) -> tuple | None:
+    """(group, columns, text, train) of a block; of a group's row (group, its table)."""
+    group, *rest = pickle.loads(zstandard.decompress(bytes(data)))
+    if len(rest) == 1:
+        return group, *rest
+    columns = [joined(c, np.uint32) for c in rest[0]]
+    return group, columns, climbed(*rest[1], np.uint32), np.unpackbits(rest[2], count=len(columns[0])).astype(bool)
+
+
+def slices(columns: list[np.ndarray], hot: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of a part's tokens, about SLICE at a time; n-grams that are not shared between parts are not shared between slices."""
+    n = len(columns[0]) // SLICE + 1
+    some = np.concatenate([(home([c[at : at + SLICE] for c in columns], hot) % U64(1 << 32) * U64(n) >> U64(32)).astype(np.min_scalar_type(n)) for at in range(0, len(columns[0]), SLICE)])
+    for k in range(n):
+        yield np.flatnonzero(some == k)
+
+
+def levels(columns: list[np.ndarray], train: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the longest n-grams to pairs: level, each token's n-gram, and by n-gram a token of it, its context, its count, whether parts see a share of it and of its context.
+
+    Counts are this part's: of tokens, or of the distinct words before; those of which parts see a share leave out what level_files hands on.
+    """
+    order, word = len(columns), columns[-1].astype(U64)
+    flags = [are_hot(c, hot) for c in columns]
+    by_level, context, far = [], np.zeros(len(word), dtype=np.int64), np.ones(len(word), dtype=bool)
+    for level in range(2, order + 1):
+        context = np.unique(context.astype(U64) << U64(32) | columns[order - level], return_inverse=True)[1]
+        keys, gram = np.unique(context.astype(U64) << U64(32) | word, return_inverse=True)
+        one = np.empty(len(keys), dtype=np.int64)
+        one[gram] = np.arange(len(gram))
+        far = far & flags[order - level]
+        by_level.append((level, gram, one, context[one], far[one] & flags[-1][one] if level == order else far[one], far[one]))
+    longest = None
+    for level, gram, one, context, shared, shared_context in reversed(by_level):
+        n = np.bincount(gram[train] if longest is None else gram[longest], minlength=len(one))
+        longest = one[(n > 0) & ~shared]
+        yield level, gram, one, context, n, shared, shared_context
+
+
+def counts_of(order: int, parts: int, hot: np.ndarray):
+    """A part's blocks -> rows of ROWS: counts of counts of the n-grams that it holds alone, counts of others, and of words."""
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, int, int, bytes]]:
+        held: list[list[np.ndarray]] = []
+        for _, data in rows:
+            if len(x := block(data)) > 2:
+                held.append([c[x[3]] for c in x[1]])
+        if not held:
+            return
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        shares: dict[tuple[int, int], list[tuple[list[np.ndarray], list[np.ndarray]]]] = {}
+
+        def add(level: int, kind: int, at: np.ndarray, words: list[np.ndarray], values: list[np.ndarray]) -> None:
+            if at.any():
+                shares.setdefault((level, kind), []).append(summed([c[at] for c in words], [x[at] for x in values])[1:])
+
+        for at in slices(columns, hot):
+            for level, _, one, _, n, shared, shared_context in levels(some := [c[at] for c in columns], np.ones(len(at), dtype=bool), hot):
+                own = [c[one] for c in some[order - level :]]
+                add(level, GRAM, shared & (n > 0), own, [n])
+                alone = ~shared & (n > 0)
+                m = n[alone]
+                yield level, 0, STATS, pickle.dumps([*[int((m == k).sum()) for k in (1, 2, 3, 4)], int((m > 2).sum()), int(m.sum()), len(m), 0, 0])
+                add(level - 1, CONTEXT, alone & shared_context, own[:-1], [n, n == 1, n == 2, n > 2])
+                if level == 2:
+                    add(1, GRAM, alone, own[1:], [np.ones(len(n), dtype=np.uint8)])
+        for (level, kind), found in shares.items():
+            words, values = ([np.concatenate(x) for x in zip(*y, strict=True)] for y in zip(*found, strict=True))
+            yield from binary_rows(level, kind, parts, *summed(words, values))
+
+    return run
+
+
+def looked_up(model: Model, columns: list[np.ndarray]) -> np.ndarray:
+    """The numbers of n-grams in any order."""
+    keys, index = np.unique(hashed(columns), return_inverse=True)
+    return numbers(model, len(columns), keys)[index]
+
+
+def dealt_probabilities(model: Model, columns: list[np.ndarray], train: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Probability of each token of a slice."""
+    words, before = np.unique(columns[-1], return_inverse=True)
+    d = np.array(model.discounts)
+    n = looked_up(model, [words])[:, 0]
+    p = (np.maximum(n - d[0][np.minimum(n, 3)], 0) / model.total if model.total else 0.0) + model.floor
+    for level, gram, one, context, n, shared, shared_context in reversed(list(levels(columns, train, hot))):
+        own = [c[one] for c in columns[model.order - level :]]
+        if shared.any():
+            n[shared] = looked_up(model, [c[shared] for c in own])[:, 0]
+        sums_ = [np.bincount(context, weights=x) for x in (n, n == 1, n == 2, n > 2)]
+        some = np.empty(len(sums_[0]), dtype=np.int64)
+        some[context] = np.arange(len(context))
+        if shared_context.any():
+            far = shared_context[some]
+            for x, y in zip(sums_, looked_up(model, [c[some[far]] for c in own[:-1]])[:, 1:5].T, strict=True):
+                x[far] = y
+        total, (_, d1, d2, d3) = sums_[0], d[level - 1]
+        under = np.where(total > 0, total, 1)
+        left = np.where(total > 0, (sums_[1] * d1 + sums_[2] * d2 + sums_[3] * d3) / under, 1.0)  # a context not seen leaves all to the shorter one
+        p = np.maximum(n - d[level - 1][np.minimum(n, 3)], 0) / under[context] + left[context] * p[before[one]]
+        before = gram
+    return p[before]
+
+
+def scores_of(model: Model, hot: np.ndarray):
+    """A part's blocks -> for each the sums of its texts' scores; and the groups' rows as they are."""
+    order = model.order
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, bool, bytes]]:
+        found = []
+        for _, data in rows:
+            x = block(data)
+            if len(x) > 2:
+                found.append(x)
+            else:
+                yield x[0], True, x[1]
+        if not found:
+            return
+        columns = [np.concatenate([x[1][c] for x in found]) for c in range(order)]
+        train = np.concatenate([x[3] for x in found])
+        found = [(group, text) for group, _, text, _ in found]
+        score = np.empty(len(train))
+        for at in slices(columns, hot):
+            score[at] = np.log10(dealt_probabilities(model, [c[at] for c in columns], train[at], hot))
+        start = 0
+        for group, text in found:
+            own, index = np.unique(text, return_inverse=True)
+            x = np.bincount(index, weights=score[start : start + len(text)])
+            start += len(text)
+            yield group, False, zstandard.compress(pickle.dumps((steps(own), planes(x)), protocol=5), 1)
+
+    return run
+
+
+def texts_of(model: Model, key: str):
+    """Groups' rows and sums -> a row for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, bytes] = {}
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, whole, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if whole:
+                    groups[group] = data
+                    continue
+                texts, x = pickle.loads(zstandard.decompress(data))
+                texts = climbed(*texts, np.int64)
+                had = found.get(group, np.zeros(0))
+                if len(had) <= texts[-1]:
+                    had = np.concatenate([had, np.zeros(int(texts[-1]) + 1 - len(had))])
+                had[texts] += joined(x, np.float64)
+                found[group] = had
+        for group, data in groups.items():
+            table = pa.ipc.open_stream(data).read_all().combine_chunks()
+            n, known, base = (table.column(c).to_numpy() for c in ("n", "known", "base"))
+            score = found.pop(group)
+            for rows in pa.Table.from_arrays([table.column("key"), *map(pa.array, (n, known.astype(np.int64), np.full(len(n), model.n), base, score, 10.0 ** (-score / n)))], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]).to_batches():
+                yield rows
+
+    return run
+
+
+def scored_by_some(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, part_bytes: int = DEALT_BYTES) -> DataFrame:
+    """scored(docs, fit(docs.where(train))) for an order of 2 or more, without files of all n-grams: what is stored are words and n-grams of hot words."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
+    folder = posix_dir(spark, "ngrams")
+    known = docs.where(train).select(F.col(text).alias("text")).mapInArrow(word_counts(parts), ROWS)
+    known = known.repartitionById(parts, F.col("part")).mapInArrow(word_files(folder, parts, size / parts / HOT), "words bigint, occurrences bigint, hot array<bigint>")
+    found = known.agg(F.sum("words").alias("v"), F.sum("occurrences").alias("n"), F.flatten(F.collect_list("hot")).alias("hot")).first()
+    hot, n, v = hot_flags(found["hot"]), found["n"] or 0, found["v"] or 0
+    rows = docs.select(key, text, F.coalesce(train, F.lit(False))).mapInArrow(dealt_tokens(folder, order, parts, hot, n, v), "part int, data binary")
+    dealt = rows.repartitionById(parts, F.col("part")).rdd  # as an RDD it is shuffled once, for both jobs
+    counts = spark.createDataFrame(dealt.mapPartitions(counts_of(order, parts, hot)), ROWS, verifySchema=False)
+    for level in range(order, 0, -1):
+        counts = counts.repartitionById(parts, F.col("part")).mapInArrow(level_files(folder, order, level, parts), ROWS)
+    model = model_of(counts, folder, order, parts, n, v)
+    sums_ = spark.createDataFrame(dealt.mapPartitions(scores_of(model, hot)), "group bigint, whole boolean, data binary", verifySchema=False)
+    kind = docs.schema[key].dataType.simpleString()
+    return sums_.repartition(parts, "group").mapInArrow(texts_of(model, key), f"`{key}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+
+
 def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Every row of docs scored by a model of the rows whose crc32 of the key modulo 5 is not 1 (held_out: it is).
 
@@ -344,5 +738,9 @@ def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     count and are scored each; no training rows: probabilities are those of an unseen word. Texts of any length are read whole, a
     window of tokens at a time. Other columns are ignored. An empty table gives an empty result.
     """
-    model = fit(docs.where(fold(key, 5) != 1), text, order)
-    return scored(docs, model, key, text).select(key, (fold(key, 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    held_out = fold(key, 5) == 1
+    if order == 1:
+        found = scored(docs, fit(docs.where(~held_out), text, order), key, text)
+    else:
+        found = scored_by_some(docs, ~held_out, key, text, order)
+    return found.select(key, held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
