@@ -5,6 +5,9 @@ hot. Counts are summed in each task before they are shuffled, packed by part wit
 sorted hashes and their numbers in the shared folder, and hands on what its n-grams say of the next shorter ones: how many
 distinct words stand before each (suffix), and how often and by what each is followed (prefix). Only the counts of counts
 reach the driver, summed by Spark. Files are written under a temporary name and renamed, so a repeated task does no harm.
+
+That is fit, for a model that scores any texts (scored). Where the table that is learned from is scored itself (held_out_scores), only words, hot
+words' n-grams and one shuffle of the tokens are on disk: a part counts and scores all tokens that follow the same word.
 """
 
 from __future__ import annotations
@@ -381,6 +384,11 @@ DEALT_BYTES, BLOCK, SLICE = 20_000_000, 1_000_000, 1 << 19  # of text in a part;
 HOT = 24  # a word is hot if a HOT-th of a part's bytes is less than its occurrences, so parts have at most HOT / 2 hot words each on average
 
 
+def some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, as the texts of one become Python objects at a time."""
+    return (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000))
+
+
 def word_counts(parts: int):
     """Texts -> their words' occurrences, summed over GRAMS tokens at a time."""
 
@@ -392,8 +400,8 @@ def word_counts(parts: int):
             h, n = np.unique(np.concatenate(held), return_counts=True)
             yield from batches_of(binary_rows(1, WORD, parts, h, [h], [n]))
 
-        for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist()):
+        for batch in some_rows(batches):
+            for _, texts in chunks(batch.column(0).to_pylist(), 2_000_000):
                 held.append(tokens(texts, 1)[0])
                 size += len(held[-1])
                 if size >= GRAMS:
@@ -508,7 +516,7 @@ def dealt_tokens(folder: str, order: int, parts: int, hot: np.ndarray, n: int, v
             data = zstandard.compress(pickle.dumps((group, sink.getvalue().to_pybytes()), protocol=5), 1)
             yield pa.record_batch([pa.array([zlib.crc32(b"%d" % group) % parts], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for batch in some_rows(batches):
             for first, texts in chunks(batch.column(1).to_pylist(), 2_000_000):
                 h, sizes = tokens(texts, order)
                 words, index = np.unique(h, return_inverse=True)
@@ -595,7 +603,7 @@ def counts_of(order: int, parts: int, hot: np.ndarray):
                 held.append([c[x[3]] for c in x[1]])
         if not held:
             return
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        columns = [np.concatenate([x.pop() for x in held]) for _ in range(order)][::-1]
         held.clear()
         shares: dict[tuple[int, int], list[tuple[list[np.ndarray], list[np.ndarray]]]] = {}
 
@@ -665,8 +673,8 @@ def scores_of(model: Model, hot: np.ndarray):
                 yield x[0], True, x[1]
         if not found:
             return
-        columns = [np.concatenate([x[1][c] for x in found]) for c in range(order)]
         train = np.concatenate([x[3] for x in found])
+        columns = [np.concatenate([x[1].pop() for x in found]) for _ in range(order)][::-1]
         found = [(group, text) for group, _, text, _ in found]
         score = np.empty(len(train))
         for at in slices(columns, hot):
@@ -710,7 +718,10 @@ def texts_of(model: Model, key: str):
 
 
 def scored_by_some(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, part_bytes: int = DEALT_BYTES) -> DataFrame:
-    """scored(docs, fit(docs.where(train))) for an order of 2 or more, without files of all n-grams: what is stored are words and n-grams of hot words."""
+    """scored(docs, fit(docs.where(train))) for an order of 2 or more, without files of all n-grams: what is stored are words and n-grams of hot words.
+
+    A text is known by its task and place there, so a repeated task must read its rows in the same order. A part of part_bytes of text is held in memory by a task.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
