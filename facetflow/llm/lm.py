@@ -380,7 +380,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 # n-grams of which parts see a share are summed in files.
 
 UNKNOWN, MARK, FIRST = 0, 1, 2  # numbers of words not in the training rows, of the begin mark, and of the first word
-DEALT_BYTES, BLOCK, SLICE = 20_000_000, 1_000_000, 1 << 19  # of text in a part; tokens that a task deals out at a time, and that it takes at a time out of a part
+DEALT_BYTES, BLOCK, SLICE = 20_000_000, 1_000_000, 1 << 18  # of text in a part; tokens that a task deals out at a time, and that it takes at a time out of a part
 HOT = 24  # a word is hot if a HOT-th of a part's bytes is less than its occurrences, so parts have at most HOT / 2 hot words each on average
 
 
