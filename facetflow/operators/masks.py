@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetflow.operators.graph import components
+from facetflow.operators.graph import components, least_reached
 from facetflow.session import cut
 
 BY = ("img",)
 CONFLICTS = 200_000  # up to which a group's may meet in one task
+TILE = 256  # places of a side of the tiles whose pixels one task joins
+LOT = 100_000  # pixels that a task joins at once, if a tile has no more
 
 
 def areas(masks: DataFrame, by=BY) -> DataFrame:
@@ -42,15 +48,86 @@ def neighbours(pixels: DataFrame, keys: list[str], eight: bool = True) -> DataFr
     return moved.join(pixels.select(*keys, F.col("y").alias("y2"), F.col("x").alias("x2")), [*keys, "y2", "x2"])
 
 
+def _in_tiles(pixels: DataFrame, keys: list[str], eight: bool) -> DataFrame:
+    """pixels (keys, y, x) with cy, cx (the first pixel) and area of their connected component within their tile of TILE by TILE places."""
+    tile = lambda c: F.floor((F.col(c) + TILE // 2) / TILE)
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y", "x")) + f", cy {kinds['y']}, cx {kinds['x']}, area bigint"
+    steps = [1, TILE + 2] + ([TILE + 3, TILE + 1] if eight else [])  # a tile's places are numbered with a margin
+
+    def changes(rows: pa.Table) -> np.ndarray:
+        """Whether a row is the first of its tile."""
+        first = np.zeros(rows.num_rows, dtype=bool)
+        first[:1] = True
+        for c in (*keys, "_ty", "_tx"):
+            codes = rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            first[1:] |= codes[1:] != codes[:-1]
+        return first
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        group = np.cumsum(changes(rows))
+        y, x = (rows[c].combine_chunks() for c in ("y", "x"))
+        known = np.flatnonzero(~(y.is_null().to_numpy(zero_copy_only=False) | x.is_null().to_numpy(zero_copy_only=False)))
+        within = lambda v: (v.take(pa.array(known)).to_numpy().astype(np.int64) + TILE // 2) % TILE + 1
+        place, at, own = np.unique((group[known] * (TILE + 2) + within(y)) * (TILE + 2) + within(x), return_index=True, return_inverse=True)
+        ends = []
+        for step in steps:
+            other = np.searchsorted(place, place + step)
+            hit = np.flatnonzero(place[np.minimum(other, len(place) - 1)] == place + step)
+            ends.append((hit, other[hit]))
+        least = least_reached(*(np.concatenate(e) for e in zip(*ends, strict=True)), len(place))[own]
+        first, area = np.arange(rows.num_rows), np.ones(rows.num_rows, dtype=np.int64)
+        first[known], area[known] = known[at[least]], np.bincount(least, minlength=len(place))[least]
+        lost = np.setdiff1d(first, known) if len(known) < len(first) else first[:0]  # pixels without a place join only those of the same
+        if len(lost):
+            same = Counter(named := list(zip(group[lost], y.take(pa.array(lost)).to_pylist(), x.take(pa.array(lost)).to_pylist(), strict=True)))
+            area[lost] = [same[n] for n in named]
+        firsts = pa.array(first)
+        return pa.record_batch([*(rows[c].combine_chunks() for c in keys), y, x, y.take(firsts), x.take(firsts), pa.array(area)], names=[*keys, "y", "x", "cy", "cx", "area"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, LOT
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= enough:
+                rows = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(changes(rows))[-1])  # the last tile may go on
+                if last:
+                    yield solved(rows.slice(0, last))
+                held, n = rows.slice(last).combine_chunks().to_batches(), n - last
+                enough = max(LOT, 2 * n)
+        if n:
+            yield solved(pa.Table.from_batches(held))
+
+    own = pixels.select(*keys, "y", "x", tile("y").alias("_ty"), tile("x").alias("_tx"))
+    return own.repartition(*keys, "_ty", "_tx").sortWithinPartitions(*keys, "_ty", "_tx", "y", "x").mapInArrow(run, schema)
+
+
 def pixel_components(pixels: DataFrame, keys: list[str], eight: bool = True) -> DataFrame:
-    """pixels with comp (its first pixel, struct y, x) and area of their connected component among pixels of the same keys."""
-    pairs = neighbours(pixels, keys, eight)
+    """pixels with comp (its first pixel, struct y, x) and area of their connected component among pixels of the same keys; those with a null key are left out.
+
+    A task joins the pixels of a tile; only components that touch a tile's border are edges of a graph, so a small image takes no rounds.
+    """
+    at = lambda c: F.pmod(F.col(c) + TILE // 2, F.lit(TILE))
+    border = at("y").isin(0, TILE - 1) | at("x").isin(0, TILE - 1)
+    comp = F.struct(F.col("cy").alias("y"), F.col("cx").alias("x")).alias("comp")
+    for k in keys:
+        pixels = pixels.where(F.col(k).isNotNull())
+    local = _in_tiles(pixels, keys, eight)
+    if pixels.where(border).isEmpty():
+        return local.select(*keys, "y", "x", comp, "area")
+    local = cut(local)
+    edge = local.where(border).select(*keys, "y", "x", "cy", "cx")
+    one, two = edge.withColumnsRenamed({"cy": "ay", "cx": "ax"}), edge.select(*keys, F.col("y").alias("y2"), F.col("x").alias("x2"), "cy", "cx")
+    pairs = neighbours(edge, keys, eight).join(one, [*keys, "y", "x"]).join(two, [*keys, "y2", "x2"]).where("ay <> cy OR ax <> cx")
     node = lambda y, x: F.struct(*keys, F.col(y).alias("y"), F.col(x).alias("x"))
-    found = components(pairs.select(node("y", "x").alias("src"), node("y2", "x2").alias("dst")))
-    found = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.y").alias("y"), F.col("node.x").alias("x"), F.struct(F.col("component.y").alias("y"), F.col("component.x").alias("x")).alias("comp"))
-    own = pixels.select(*keys, "y", "x").join(found, [*keys, "y", "x"], "left").withColumn("comp", F.coalesce("comp", F.struct("y", "x")))
-    sizes = own.groupBy(*keys, "comp").agg(F.count("*").alias("area"))
-    return own.join(sizes, [*keys, "comp"]).select(*keys, "y", "x", "comp", "area")
+    found = components(pairs.select(node("ay", "ax").alias("src"), node("cy", "cx").alias("dst")))
+    found = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.y").alias("cy"), F.col("node.x").alias("cx"), F.struct(F.col("component.y").alias("y"), F.col("component.x").alias("x")).alias("_comp"))
+    firsts = local.where("y = cy AND x = cx").select(*keys, "cy", "cx", "area").distinct()
+    sums = firsts.join(found, [*keys, "cy", "cx"]).groupBy(*keys, "_comp").agg(F.sum("area").alias("_area"))
+    whole = found.join(sums, [*keys, "_comp"])
+    return local.join(whole, [*keys, "cy", "cx"], "left").select(*keys, "y", "x", F.coalesce("_comp", comp).alias("comp"), F.coalesce("_area", "area").alias("area"))
 
 
 def without_islands(masks: DataFrame, least: int, rescue: bool = True, by=BY) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.operators import masks
-from facetflow.plans.analogues import NUMBERS_SQL, numbered, table
+from facetflow.plans.analogues import NUMBERS_SQL, each, numbered, table
 from facetflow.plans.lifting_queries import rounded
 from facetflow.session import cut
 
@@ -15,13 +15,13 @@ INSIDE = "(y - 3 * mask) * (y - 3 * mask) + (x - 2 * mask - img % 3) * (x - 2 *
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered(spark, sf_dir, "img").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(H * W - 1))))
+    rows = each(numbered(spark, sf_dir, "img"), "id", 0, H * W - 1)
     return rows.select("img", F.expr(f"cast(id div {W} as int)").alias("y"), F.expr(f"cast(id % {W} as int)").alias("x"))
 
 
 def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discs with pinholes and specks."""
-    return grid(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(MASKS)))).where(INSIDE).select("img", "mask", "y", "x")
+    return each(grid(spark, sf_dir), "mask", 1, MASKS).where(INSIDE).select("img", "mask", "y", "x")
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.pmod(F.col("y") * 31 + F.col("x") * 17 + F.col("mask") * 71 + F.col("img") * 3, F.lit(97)) / 10.0 - 4.8
-    return grid(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(MASKS)))).select("img", "mask", "y", "x", value.alias("logit"))
+    return each(grid(spark, sf_dir), "mask", 1, MASKS).select("img", "mask", "y", "x", value.alias("logit"))
 
 
 GRID_SQL = f"""WITH RECURSIVE g AS (SELECT a.i::INT AS img, b.y::INT AS y, c.x::INT AS x FROM {NUMBERS_SQL} a(i), range({H}) b(y), range({W}) c(x)),
