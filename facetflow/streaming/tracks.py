@@ -62,15 +62,6 @@ TRACK = "x0 double, y0 double, x1 double, y1 double, first bigint, misses int, a
 STEP_SCHEMA = "session bigint, frame bigint, obj bigint, run int, hidden boolean, shown boolean, late boolean"
 
 
-def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlaps of boxes (x0, y0, x1, y1) by pairs; 0 where both are empty."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.prod(np.clip(high - low, 0, None), axis=2)
-    area = lambda x: np.prod(x[:, 2:] - x[:, :2], axis=1)
-    whole = area(a)[:, None] + area(b)[None, :] - both
-    return np.divide(both, whole, out=np.zeros_like(both), where=whole > 0)
-
-
 class StepState(StatefulProcessor):
     """Per session: tracks as a map by id, frames held back as a list, pairs of tracks that share detections as a map, and a few numbers.
 
@@ -96,34 +87,43 @@ class StepState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["frame", "det"])
-        following, last = self.session.get() if self.session.exists() else (1, -(1 << 62))
-        tracks = {k[0]: list(v) for k, v in self.tracks.iterator()}
-        pairs = {tuple(k): v[0] for k, v in self.pairs.iterator()}
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        found = found[found["frame"].notna()]
+        old = self.session.exists()  # else no state is asked for
+        following, last = self.session.get() if old else (1, -(1 << 62))
+        tracks = {k[0]: list(v) for k, v in self.tracks.iterator()} if old else {}
+        pairs = {tuple(k): v[0] for k, v in self.pairs.iterator()} if old else {}
+        held = [tuple(r) for r in self.held.get()] if old and self.held.exists() else []
         known_tracks, known_pairs, out = set(tracks), set(pairs), []
         ended = False
-        for frame, own in found.groupby("frame", sort=True):
+        numbers = found["frame"].to_numpy()
+        starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])).tolist() if len(numbers) else []
+        boxes, scores = found[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float).tolist(), found["score"].to_numpy(dtype=float).tolist()
+        ends = found["end"].to_numpy(dtype=object, na_value=None).tolist()
+        ends = [None if e is None or e != e else e for e in ends]
+        for a, b in zip(starts, [*starts[1:], len(numbers)], strict=True):
+            frame = int(numbers[a])
             if frame <= last:
                 out.append((key[0], frame, None, None, None, None, True))
                 continue
-            last = int(frame)
-            following = self.advance(tracks, pairs, own, last, following)
-            rows_ = [(last, obj, t[7], bool(t[6] <= 0 and t[7] == 0)) for obj, t in sorted(tracks.items()) if not t[9]]
-            held += rows_ or [(last, None, None, None)]
-            numbers = sorted({r[0] for r in held})
-            ended = own["end"].notna().any() and last >= own["end"].max()
-            ready = numbers if ended else numbers[: max(0, len(numbers) - self.rules.look_ahead + 1)]
+            last = frame
+            following = self.advance(tracks, pairs, boxes[a:b], scores[a:b], last, following)
+            held += [(last, obj, t[7], bool(t[6] <= 0 and t[7] == 0)) for obj, t in sorted(tracks.items()) if not t[9]] or [(last, None, None, None)]
+            end = max((e for e in ends[a:b] if e is not None), default=None)
+            ended = end is not None and last >= end
+            waiting = sorted({r[0] for r in held})
+            ready = set(waiting if ended else waiting[: max(0, len(waiting) - self.rules.look_ahead + 1)])
             out += self.given(key, [r for r in held if r[0] in ready], tracks)
             held = [r for r in held if r[0] not in ready]
             for obj in [o for o, t in tracks.items() if t[9] and (not held or held[0][0] > t[10])]:
                 del tracks[obj]
             for pair in [p for p in pairs if p[1] not in tracks or p[0] not in tracks]:
                 del pairs[pair]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if ended:
+        if old:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if ended and old:
             self.clear()
-        else:
+        elif not ended and (old or len(numbers)):
             self.session.update((following, last))
             self.held.put(held) if held else self.held.clear()
             for obj in known_tracks - set(tracks):
@@ -137,24 +137,37 @@ class StepState(StatefulProcessor):
             self.handle.registerTimer(int(found["ts"].max().timestamp() * 1000) + self.gap)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
 
-    def advance(self, tracks: dict, pairs: dict, own: pd.DataFrame, frame: int, following: int) -> int:
-        """Move tracks on by the detections of one frame; the next free id."""
+    def advance(self, tracks: dict, pairs: dict, boxes: list[list[float]], scores: list[float], frame: int, following: int) -> int:
+        """Move tracks on by the detections of one frame, in order; the next free id. A frame has few of either, so plain numbers take less time than arrays."""
         r = self.rules
-        boxes, dets = own[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float), own["det"].to_numpy()
         live = sorted(o for o, t in tracks.items() if not t[9])
-        overlap = box_iou(np.array([tracks[o][:4] for o in live]).reshape(-1, 4), boxes)
-        for obj, row in zip(live, overlap, strict=True):
+        areas = [(x1 - x0) * (y1 - y0) for x0, y0, x1, y1 in boxes]
+        meets: list[list[int]] = [[] for _ in boxes]  # tracks that each detection overlaps
+        for obj in live:
             t = tracks[obj]
-            if (row >= r.least).any():
-                t[:4] = boxes[int(row.argmax())].tolist()  # of equal ones the first detection's
+            best, at = -1.0, -1
+            u0, v0, u1, v1 = t[:4]
+            own = (u1 - u0) * (v1 - v0)
+            for j, (x0, y0, x1, y1) in enumerate(boxes):
+                w, h = min(u1, x1) - max(u0, x0), min(v1, y1) - max(v0, y0)
+                both = w * h if w > 0 and h > 0 else 0.0
+                whole = own + areas[j] - both
+                overlap = both / whole if whole > 0 else 0.0
+                if overlap >= r.least:
+                    meets[j].append(obj)
+                    if overlap > best:  # of equal ones the first detection's
+                        best, at = overlap, j
+            if at >= 0:
+                t[:4] = boxes[at]
                 t[6], t[7] = min(t[6] + 1, r.high), t[7] + 1
                 t[8] = bool(t[8] or t[7] >= r.needed)
             else:
                 t[5], t[6], t[7] = t[5] + 1, max(t[6] - 1, r.low), 0
-        for column in (overlap >= r.least).T:
-            elder, *others = sorted((tracks[live[i]][4], live[i]) for i in np.flatnonzero(column)) or [(0, 0)]
-            for _, obj in others:
-                pairs[elder[1], obj] = pairs.get((elder[1], obj), 0) + 1
+        for met in meets:
+            if len(met) > 1:
+                elder, *others = sorted((tracks[obj][4], obj) for obj in met)
+                for _, obj in others:
+                    pairs[elder[1], obj] = pairs.get((elder[1], obj), 0) + 1
         shared = {obj for (_, obj), n in pairs.items() if n >= r.shared}
         for obj in live:
             t = tracks[obj]
@@ -163,10 +176,10 @@ class StepState(StatefulProcessor):
                 t[9], t[10] = 1, frame
             elif t[7] == 0 and t[6] <= r.low:
                 t[9], t[10] = 2, frame
-        fresh = [i for i in range(len(dets)) if own["score"].iloc[i] >= r.score and not (len(live) and (overlap[:, i] >= r.least).any())]
-        fresh = sorted(sorted(fresh, key=lambda i: (-own["score"].iloc[i], i))[: max(0, r.most - len(live))])
+        fresh = [i for i, score in enumerate(scores) if score >= r.score and not meets[i]]
+        fresh = sorted(sorted(fresh, key=lambda i: (-scores[i], i))[: max(0, r.most - len(live))])
         for obj, i in enumerate(fresh, following):
-            tracks[obj] = [*boxes[i].tolist(), frame, 0, r.start, 1, r.needed <= 1, 0, 0]
+            tracks[obj] = [*boxes[i], frame, 0, r.start, 1, r.needed <= 1, 0, 0]
         return following + len(fresh)
 
     def given(self, key, rows: list[tuple], tracks: dict) -> list[tuple]:
