@@ -12,7 +12,7 @@ from facetflow.plans.lifting_queries import rounded
 from facetflow.plans.mask_queries import GRID_SQL as MASK_SQL
 from facetflow.plans.mask_queries import discs
 from facetflow.plans.mesh_queries import GRID_SQL, face_labels, faces, vertices
-from facetflow.session import shared_dir
+from facetflow.session import cut, shared_dir
 from facetflow.sources import meshes
 
 LINE = ("l_orderkey", "l_linenumber")
@@ -116,11 +116,11 @@ def sessions(spark, sf_dir):
 def part_round_trip(spark, sf_dir):
     """A file a part, written as OBJ text and read again by the mesh reader."""
     folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
-    own = labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir)).join(faces(spark, sf_dir), ["mesh", "f"])
+    own = cut(labels.fill_rest(face_labels(spark, sf_dir), faces(spark, sf_dir)).join(faces(spark, sf_dir), ["mesh", "f"]))
     meshes.write_obj(meshes.part_lines(vertices(spark, sf_dir), own), folder)
-    points, triangles = meshes.mesh(spark, folder, kind="obj")
-    found = points.groupBy("mesh").agg(F.count("*").alias("vertices"), F.round(F.sum("z"), 4).alias("z"))
-    return found.join(triangles.groupBy("mesh").agg(F.count("*").alias("faces")), "mesh")
+    point, triangle = F.col("kind") == "v", F.col("kind") == "f"
+    found = meshes.elements(spark, folder, kind="obj").groupBy("mesh").agg(F.count_if(point).alias("vertices"), F.round(F.sum(F.when(point, F.col("z"))), 4).alias("z"), F.count_if(triangle).alias("faces"))
+    return found.where("vertices > 0 AND faces > 0")
 
 
 def _three(*sql: str) -> str:

@@ -1,5 +1,6 @@
 """What larger tables showed: assignments without overlap, components over tiles, estimates."""
 
+import glob
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from facetflow.operators import masks, tracking
 from facetflow.plans import mask_queries, mesh_queries
+from facetflow.sources import meshes
 
 
 def test_pairs_without_overlap_are_assigned(spark):
@@ -62,3 +64,10 @@ def test_estimates_are_of_rows_made(spark, tmp_path, rows):
     spark.range(400).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{folder}/supplier.parquet")
     found = rows(spark, folder)
     assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= 8 * found.count()
+
+
+def test_files_are_written_by_several_tasks(spark, tmp_path):
+    lines = spark.range(40).select(F.col("id").alias("mesh"), F.lit(0).alias("part"), F.lit(0).alias("id"), F.lit("v 0 0 0").alias("line"))
+    meshes.write_obj(lines, f"{tmp_path}/out")
+    files = glob.glob(f"{tmp_path}/out/mesh=*/part-*.txt")
+    assert len(files) == 40 and len({f.rpartition("/")[2][:10] for f in files}) > 1
