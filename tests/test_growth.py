@@ -71,3 +71,12 @@ def test_files_are_written_by_several_tasks(spark, tmp_path):
     meshes.write_obj(lines, f"{tmp_path}/out")
     files = glob.glob(f"{tmp_path}/out/mesh=*/part-*.txt")
     assert len(files) == 40 and len({f.rpartition("/")[2][:10] for f in files}) > 1
+
+
+def test_absent_results_are_made_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tracking, "BLOCK", 2)
+    rows = [(1, o, f, "cond" if f % 2 else "non", f) for o in (1, 2) for f in range(5) if (o + f) % 3] + [(2, 1, None, "non", 7)]
+    outputs = spark.createDataFrame(rows, "session int, obj int, frame int, kind string, area int")
+    found = sorted((tuple(r) for r in tracking.consolidated(outputs, outputs, outputs).collect()), key=repr)
+    there = {(s, f, o): (k, a) for s, o, f, k, a in rows if f is not None}
+    assert found == sorted([(1, f, o, *there.get((1, f, o), ("absent", 0))) for o in (1, 2) for f in range(5)] + [(2, None, 1, "absent", 0)], key=repr)
